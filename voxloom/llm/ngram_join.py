@@ -11,8 +11,9 @@ fragment is handled apart:
 4. Documents with equal sets become one node. Nodes that share a prefix n-gram are candidates.
 5. Candidate pairs get the partial overlap of each fragment apart, and these are summed per pair and held against t.
 
-Candidates are found in rounds: first each list of nodes is compared with one hub, linked nodes become components,
-and then only nodes of different components are compared, each with each. So a group of thousands of near copies costs
+Candidates are found in rounds: first each list of nodes is compared with one hub, that whose n-grams are the most
+frequent (the text that others were made from has the most in common with all), then with one by hash. Linked nodes
+become components, and then only nodes of different components are compared, each with each. So a group of thousands of near copies costs
 as many comparisons as it has members, and no link between components is lost.
 """
 
@@ -179,8 +180,8 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_block_rows(out)], schema=_BLOCK)
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("segments", pa.list_(pa.list_(pa.int64())))])
-_DOC_DDL = "doc_id long, n long, node long, prefix array<long>, segments array<array<long>>"
+_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("weight", pa.int64()), ("own", pa.int64()), ("prefix", pa.list_(pa.int64())), ("segments", pa.list_(pa.list_(pa.int64())))])
+_DOC_DDL = "doc_id long, n long, node long, weight long, own long, prefix array<long>, segments array<array<long>>"
 
 
 def _ordered(percent: int):
@@ -203,6 +204,8 @@ def _ordered(percent: int):
         own = n - shared
         first = n - (percent * n + 99) // 100 + 1
         live = (own < first) & (n > 0)
+        summed = np.concatenate(([0], np.cumsum(df[order].astype(np.int64))))
+        weight = ((summed[cut[1:]] - summed[cut[:-1]] + own) << 10) // np.maximum(n, 1)
         nodes, prefix, segments = [None] * len(ids), [None] * len(ids), [None] * len(ids)
         for k in np.flatnonzero(live).tolist():
             x = grams[cut[k] : cut[k + 1]]
@@ -212,7 +215,7 @@ def _ordered(percent: int):
                 nodes[k] = int(_mix(np.array([_mix(x).sum(dtype=np.uint64) + _mix(x ^ _M2).sum(dtype=np.uint64) * _M3 + _mix(np.array([salt]))[0]])).view(np.int64)[0])
             seg = x >> np.uint64(61)
             segments[k] = [np.sort(x[seg == s]).view(np.int64) for s in range(SEGMENTS)]
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefix, _DOC.field(3).type), pa.array(segments, _DOC.field(4).type)], schema=_DOC)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(weight, pa.int64()), pa.array(own, pa.int64()), pa.array(prefix, _DOC.field(5).type), pa.array(segments, _DOC.field(6).type)], schema=_DOC)
 
     return run
 
@@ -253,30 +256,32 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(spark, "ngram")
     rows = scratch.put(shared_ngrams(docs, id_col, text_col, width, threshold_percent), "rows")
     live = rows.where("node is not null")
-    nodes = scratch.put(live.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments")), "nodes")
-    listed = nodes.select("node", "n", F.explode("prefix").alias("gram"))
-    lists = scratch.put(listed.join(listed.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram").select("gram", "node", "n"), "lists")
+    nodes = scratch.put(live.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments")), "nodes")
+    listed = nodes.select("node", "n", "weight", "own", F.posexplode("prefix").alias("at", "gram")).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))
+    lists = scratch.put(listed.join(listed.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram").select("gram", "node", "n", "weight", "rest"), "lists")
     segments = nodes.select("node", F.posexplode("segments").alias("frag", "grams")).where(F.size("grams") > 0)
-    fits = lambda x, y: 100 * F.least(x, y) >= threshold_percent * F.greatest(x, y)
+    #: In the order of n-grams nothing before the first common one is common, so what follows it has to be enough.
+    fits = (100 + threshold_percent) * F.least("rx", "ry") >= threshold_percent * (F.col("nx") + F.col("ny"))
 
     edges = None
     roots: DataFrame | None = None
     tried: DataFrame | None = None
     for turn in range(HUB_ROUNDS + 1):
-        named = lists.withColumn("comp", F.col("node")) if roots is None else lists.join(roots.toDF("node", "root"), "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("comp"))
+        named = lists.withColumn("comp", F.col("node")) if roots is None else lists.join(roots.toDF("node", "root"), "node", "left").select("gram", "node", "n", "weight", "rest", F.coalesce("root", "node").alias("comp"))
         mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
         open_lists = scratch.put(named.join(mixed, "gram"), f"open{turn}")
         if open_lists.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            hubs = open_lists.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")).alias("hub"))
-            pairs = open_lists.join(hubs, "gram").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.comp").alias("cx"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+            first = F.col("weight") if not turn else F.lit(0)
+            hubs = open_lists.groupBy("gram").agg(F.max(F.struct(first, F.xxhash64("node", F.lit(turn)), "node", "n", "rest", "comp")).alias("hub"))
+            pairs = open_lists.join(hubs, "gram").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.rest").alias("rx"), F.col("hub.comp").alias("cx"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy"))
         else:
             sizes = open_lists.groupBy("gram", "comp").agg(F.count("*").alias("m"))
             major = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"))
-            minor = open_lists.join(major, "gram").where("comp <> major").select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            pairs = minor.join(open_lists.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy")), "gram")
-        pairs = pairs.where((F.col("cx") != F.col("cy")) & fits(F.col("nx"), F.col("ny")))
+            minor = open_lists.join(major, "gram").where("comp <> major").select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("comp").alias("cx"))
+            pairs = minor.join(open_lists.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy")), "gram")
+        pairs = pairs.where((F.col("cx") != F.col("cy")) & fits)
         low = F.col("x") < F.col("y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
         if tried is not None:
