@@ -11,6 +11,8 @@ from . import chat
 from .mixing import mix_oracle, plan_mix
 from .ngram_join import ngram_jaccard_components
 from .packing import byte_bpe_encoder, pack_documents
+from .rules import quality_verdicts
+from .secrets import describe, find_secrets
 from .sharding import assign_shards
 from .topk import exact_top_k, top_k_oracle
 from .warc import warc_round_trip
@@ -38,6 +40,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -65,6 +71,13 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = describe(F.filter("spans", lambda s: s["kind"] < 3))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
+
+
 def public_byte_bpe(folder: str = TOKENIZERS):
     """The 50k byte-level tokenizer of the public vocabulary files."""
     return byte_bpe_encoder(f"{folder}/byte_bpe_50k.json", f"{folder}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
@@ -78,10 +91,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
     "op3_warc": op3_warc,
+    "op5_quality_rules": op5_quality_rules,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_shard_documents": op7_shard_documents,
     "op8_format_chats": op8_format_chats,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {"op2_mix_sources": mix_oracle(), "op6_exact_top_k": top_k_oracle(), "op8_format_chats": chat.chat_oracle()}
