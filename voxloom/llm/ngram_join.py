@@ -255,6 +255,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     rows = scratch.put(shared_ngrams(docs, id_col, text_col, width, threshold_percent), "rows")
+    scratch.free_shuffles()
     live = rows.where("node is not null")
     nodes = scratch.put(live.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments")), "nodes")
     listed = nodes.select("node", "n", "weight", "own", F.posexplode("prefix").alias("at", "gram")).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))

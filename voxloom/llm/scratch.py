@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+    def free_shuffles(self) -> None:
+        """Have Spark delete the shuffle files of plans that are done and no longer referenced.
+
+        Spark's cleaner only acts when the driver's JVM collects its garbage, by default after half an hour.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """True if df has at most that many rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
