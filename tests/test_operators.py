@@ -165,8 +165,8 @@ def test_grid_against_arrays(spark):
     assert where(grid.eroded(on)) == set(zip(*map(np.ndarray.tolist, np.nonzero(bricks.morph(mask, cross, False))), strict=True))
     wide = bricks.morph(np.pad(mask, 1), cross, True)
     assert where(grid.dilated(on)) == {(a - 1, b - 1, e - 1) for a, b, e in zip(*map(np.ndarray.tolist, np.nonzero(wide)), strict=True)}
-    for k in (6, 26):
-        comp = {(r["z"], r["y"], r["x"]): r["comp"] for r in grid.labelled(on, mask.shape, k).collect()}
+    for k, brick in ((6, 64), (26, 64), (6, 3), (26, 3)):
+        comp = {(r["z"], r["y"], r["x"]): r["comp"] for r in grid.labelled(on, mask.shape, k, brick=brick).collect()}
         lab = bricks.label(mask, k)
         pairs = {(comp[a], lab[a]) for a in comp}
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == lab.max()

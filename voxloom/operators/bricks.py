@@ -42,28 +42,33 @@ def edt(mask: np.ndarray) -> np.ndarray:
 
 
 def distance_transform(vox: DataFrame, mask: str) -> DataFrame:
-    """(scan, z, y, x, d): exact distance of masked voxels to the nearest other voxel of the data.
+    """(scan, z, y, x, d): exact distance of masked voxels to the nearest other voxel of the data; without one they are left out.
 
-    Separable: slices are done along y and x together, then planes of equal y along z. Each group is one plane.
+    Separable: slices are done along y and x together, then planes of equal y along z. Each group is one plane of the
+    scan's extent, so gaps in the data carry distances on.
     """
+    extent = vox.groupBy("scan").agg(*[f(a).alias(f"{a}{k}") for a in ("y", "x") for k, f in ((0, F.min), (1, F.max))])
 
     def slices(part: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = part.y.min(), part.x.min()
-        f = np.full((part.y.max() - y0 + 1, part.x.max() - x0 + 1), np.inf)
-        f[part.y - y0, part.x - x0] = np.where(part[mask], np.inf, 0.0)
-        f = envelope_1d(f)
-        f = envelope_1d(f.T).T
-        return part[["scan", *AXES]].assign(f=f[part.y - y0, part.x - x0])
+        y0, y1, x0, x1 = (int(part[c].iloc[0]) for c in ("y0", "y1", "x0", "x1"))
+        f, want = np.full((y1 - y0 + 1, x1 - x0 + 1), np.inf), np.zeros((y1 - y0 + 1, x1 - x0 + 1), bool)
+        m = part[mask].to_numpy(bool)
+        f[part.y - y0, part.x - x0] = np.where(m, np.inf, 0.0)
+        want[part.y - y0, part.x - x0] = m
+        f = envelope_1d(envelope_1d(f).T).T
+        y, x = np.nonzero(np.isfinite(f) | want)
+        return pd.DataFrame({"scan": part.scan.iloc[0], "z": part.z.iloc[0], "y": y + y0, "x": x + x0, "f": f[y, x], "want": want[y, x]})
 
     def planes(part: pd.DataFrame) -> pd.DataFrame:
         z0, x0 = part.z.min(), part.x.min()
         f = np.full((part.z.max() - z0 + 1, part.x.max() - x0 + 1), np.inf)
         f[part.z - z0, part.x - x0] = part.f
         f = envelope_1d(f)
-        return part[["scan", *AXES]].assign(d=np.sqrt(f[part.z - z0, part.x - x0]))
+        out = part[part.want]
+        return out[["scan", *AXES]].assign(d=np.sqrt(f[out.z - z0, out.x - x0]))
 
-    flat = vox.select("scan", *AXES, mask).groupBy("scan", "z").applyInPandas(slices, "scan int, z int, y int, x int, f double")
-    return flat.groupBy("scan", "y").applyInPandas(planes, "scan int, z int, y int, x int, d double").where("d > 0")
+    flat = vox.select("scan", *AXES, mask).join(extent, "scan").groupBy("scan", "z").applyInPandas(slices, "scan int, z int, y int, x int, f double, want boolean")
+    return flat.groupBy("scan", "y").applyInPandas(planes, "scan int, z int, y int, x int, d double").where("d < double('inf')")
 
 
 def label(mask: np.ndarray, connectivity: int = 6) -> np.ndarray:

@@ -5,11 +5,15 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.graph import labelled_components
+from voxloom.operators.bricks import label as label_array
+from voxloom.operators.components import components
 from voxloom.operators.spatial import AXES
+from voxloom.scratch import Scratch
 
 KEY = ("scan", *AXES)
 
@@ -50,12 +54,16 @@ def contact_pairs(vox: DataFrame, label: str, ice: Column, least: int) -> DataFr
 
 
 def max_filter(vox: DataFrame, value: str, radius: int, out: str, function=F.max) -> DataFrame:
-    """``vox`` with the largest value in the cube of edge 2 radius + 1: three windows along lines. ``F.min`` gives the least."""
+    """``vox`` with the largest value in the cube of edge 2 radius + 1; ``F.min`` gives the least.
+
+    Axis by axis: each value is spread along one axis and combined map-side, which takes 3 (2 radius + 1) rows a voxel
+    instead of their cube. Places without a voxel carry values on, so gaps in the data don't matter.
+    """
+    spread = vox.select(*KEY, F.col(value).alias("__v"))
     for axis in AXES:
-        others = [a for a in AXES if a != axis]
-        w = Window.partitionBy("scan", *others).orderBy(axis).rangeBetween(-radius, radius)
-        vox = vox.withColumn(out, function(F.col(value) if axis == AXES[0] else F.col(out)).over(w))
-    return vox
+        moved = spread.select("scan", *[(F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)) if a == axis else F.col(a)).alias(a) for a in AXES], "__v")
+        spread = moved.groupBy(*KEY).agg(function("__v").alias("__v"))
+    return vox.join(spread.withColumnRenamed("__v", out), [*KEY])
 
 
 def dilated(mask: DataFrame, connectivity: int = 6) -> DataFrame:
@@ -77,11 +85,38 @@ def voxel_id(shape: tuple[int, int, int]) -> Column:
     return ((F.col("scan").cast("long") * shape[0] + F.col("z")) * shape[1] + F.col("y")) * shape[2] + F.col("x")
 
 
-def labelled(mask: DataFrame, shape: tuple[int, int, int], connectivity: int, least: int = 1) -> DataFrame:
-    """(scan, z, y, x, id, comp, size): components of the mask; comp is the smallest linear index, -1 where below ``least`` voxels."""
-    own = mask.select(*KEY, voxel_id(shape).alias("id"))
-    pairs = adjacent(own, connectivity, ["id"]).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    return own.join(labelled_components(own, pairs, least), "id")
+#: Edge of the bricks that are labelled as arrays.
+BRICK = 64
+
+
+def labelled(mask: DataFrame, shape: tuple[int, int, int], connectivity: int, least: int = 1, brick: int = BRICK) -> DataFrame:
+    """(scan, z, y, x, id, comp, size): components of the mask; comp is the smallest linear index, -1 where below ``least`` voxels.
+
+    Bricks are labelled as arrays, and only what touches across their faces goes through the graph, so its size is that
+    of the faces. A group is one brick.
+    """
+    scratch = Scratch(mask.sparkSession, "labelled")
+    own = mask.select(*KEY, voxel_id(shape).alias("id"), *[F.floor(F.col(a) / brick).cast("int").alias(f"b{a}") for a in AXES])
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        at = part[list(AXES)].to_numpy()
+        low = at.min(axis=0)
+        m = np.zeros(at.max(axis=0) - low + 1, bool)
+        place = tuple((at - low).T)
+        m[place] = True
+        part = part.assign(own=label_array(m, connectivity)[place])
+        return part.assign(own=part.groupby("own")["id"].transform("min"))[[*KEY, "id", "own"]]
+
+    local = scratch.put(own.groupBy("scan", *[f"b{a}" for a in AXES]).applyInPandas(one, "scan int, z int, y int, x int, id long, own long"), "local")
+    edge = F.lit(False)
+    for a in AXES:
+        edge = edge | (F.col(a) % brick).isin(0, brick - 1)
+    links = adjacent(local.where(edge), connectivity, ["own"]).where("a_own <> b_own").select(F.least("a_own", "b_own").alias("a"), F.greatest("a_own", "b_own").alias("b"))
+    roots = components(scratch, links).toDF("own", "root")
+    sizes = local.groupBy("own").agg(F.count("*").alias("n")).join(roots, "own", "left").select("own", F.coalesce("root", "own").alias("root"), "n")
+    whole = sizes.groupBy("root").agg(F.min("own").alias("comp"), F.sum("n").alias("size"))
+    named = sizes.join(whole, "root").select("own", F.when(F.col("size") >= least, F.col("comp")).otherwise(F.lit(-1)).alias("comp"), "size")
+    return local.join(named, "own").select(*KEY, "id", "comp", "size")
 
 
 def relabelled(df: DataFrame, comp: str = "comp", keys: Sequence[str] = ("scan",)) -> DataFrame:
@@ -178,7 +213,7 @@ def feret(vox: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def framed(vox: DataFrame, shifts: DataFrame) -> DataFrame:
     """Voxels in the common frame: each scan moved by its whole offsets (scan, dz, dy, dx)."""
-    return vox.join(F.broadcast(shifts), "scan").select("scan", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES], *[c for c in vox.columns if c not in KEY])
+    return vox.join(shifts, "scan").select("scan", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES], *[c for c in vox.columns if c not in KEY])
 
 
 def checked_frames(shapes: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def stratified(points: DataFrame, wanted: DataFrame, band: str, n: int, id_col:
     """n samples with as many points per band as ``wanted`` (band, want), or all where a band has fewer."""
     by = Window.partitionBy("replica", band).orderBy("__h", id_col)
     marked = replicas(points, n).withColumn("__h", F.xxhash64(F.lit(seed), "replica", id_col)).withColumn("__r", F.row_number().over(by))
-    return marked.join(F.broadcast(wanted), band).where(F.col("__r") <= F.col("want")).drop("__r", "__h", "want")
+    return marked.join(wanted, band).where(F.col("__r") <= F.col("want")).drop("__r", "__h", "want")
 
 
 def tail_p(null: DataFrame, observed: Column | float, value: str, keys: Sequence[str] = (), floored: bool = False) -> DataFrame:

@@ -243,7 +243,7 @@ def cube_samples(spark: SparkSession, d: str) -> DataFrame:
     return inside.withColumn("k", F.floor((F.col("z") - 2) / 4).cast("int")).groupBy("scan", "k").agg(F.count("*").alias("n"), r6(F.avg((F.col("phase") == 2).cast("int"))).alias("phi")).where("n >= 0.9 * 64")
 
 
-@query(f"WITH {VOXELS}, f AS (SELECT scan, z, y, x FROM voxels WHERE label = 0 AND z BETWEEN 4 AND 11), g AS (SELECT f.*, b.label, row_number() OVER (PARTITION BY f.scan, f.z, f.y, f.x ORDER BY (f.z - b.z) * (f.z - b.z) + (f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x), b.label) AS k FROM f JOIN voxels b ON b.scan = f.scan AND b.label > 0 AND abs(f.z - b.z) <= 2 AND abs(f.y - b.y) <= 2 AND abs(f.x - b.x) <= 2) SELECT scan, z, y, x, label FROM g WHERE k = 1")
+@query(f"WITH {VOXELS}, f AS (SELECT scan, z, y, x FROM voxels WHERE label = 0), g AS (SELECT f.*, b.label, row_number() OVER (PARTITION BY f.scan, f.z, f.y, f.x ORDER BY (f.z - b.z) * (f.z - b.z) + (f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x), b.label) AS k FROM f JOIN voxels b ON b.scan = f.scan AND b.label > 0 AND abs(f.z - b.z) <= 2 AND abs(f.y - b.y) <= 2 AND abs(f.x - b.x) <= 2) SELECT scan, z, y, x, label FROM g WHERE k = 1")
 def label_territory(spark: SparkSession, d: str) -> DataFrame:
     """The nearest body of each free voxel, within two voxels."""
     own = voxels(spark, d)
@@ -251,7 +251,7 @@ def label_territory(spark: SparkSession, d: str) -> DataFrame:
     dist = F.element_at(F.array(*[F.lit(sum(k * k for k in o)) for o in cube]), F.col("move") + 1)
     near = grid.shifted(own.where("label > 0"), cube, ["label"]).withColumn("d2", dist)
     best = near.groupBy(*KEY).agg(F.min(F.struct("d2", "label")).alias("b")).select(*KEY, "b.label")
-    return own.where("label = 0 and z between 4 and 11").select(*KEY).join(best, KEY)
+    return own.where("label = 0").select(*KEY).join(best, KEY)
 
 
 @query(f"WITH {VOXELS}, c AS (SELECT label, CASE WHEN count(*) >= 60 THEN 'large' ELSE 'small' END AS class FROM voxels WHERE scan = 0 AND label > 0 GROUP BY 1) SELECT scan, coalesce(class, 'none') AS class, count(*) AS n FROM voxels LEFT JOIN c USING (label) GROUP BY 1, 2")

@@ -80,13 +80,13 @@ def prominent_peaks(spark: SparkSession, d: str) -> DataFrame:
     return s.find_peaks(h, "bin", "n", ["scan"], 10, 4, 5.0)
 
 
-_KNOTS = "knots AS (SELECT user_id % 20 AS key, extract(hour FROM ts) * 60 + extract(minute FROM ts) AS t, max(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), grid AS (SELECT key, 30 * g AS t FROM (SELECT DISTINCT key FROM knots), range(48) r(g))"
+_KNOTS = "knots AS (SELECT user_id % 20 AS key, extract(hour FROM ts) * 60 + extract(minute FROM ts) AS t, max(value) AS v FROM events GROUP BY 1, 2), grid AS (SELECT key, 30 * g AS t FROM (SELECT DISTINCT key FROM knots), range(48) r(g))"
 
 
 @query(f"WITH {_KNOTS} SELECT g.key, g.t, round(CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * ((g.t - x0)::DOUBLE / (x1 - x0)) END, 6) AS v FROM grid g LEFT JOIN LATERAL (SELECT t AS x0, v AS y0 FROM knots k WHERE k.key = g.key AND k.t <= g.t ORDER BY k.t DESC LIMIT 1) a ON true LEFT JOIN LATERAL (SELECT t AS x1, v AS y1 FROM knots k WHERE k.key = g.key AND k.t >= g.t ORDER BY k.t LIMIT 1) b ON true")
 def interp_join(spark: SparkSession, d: str) -> DataFrame:
     """Values on a grid, linear between the knots beside each point and clamped at the ends."""
-    ev = table(spark, d, "events").where("event_id % 3 = 0").select((F.col("user_id") % 20).alias("key"), (F.hour("ts") * 60 + F.minute("ts")).cast("long").alias("t"), F.col("value").alias("v"))
+    ev = table(spark, d, "events").select((F.col("user_id") % 20).alias("key"), (F.hour("ts") * 60 + F.minute("ts")).cast("long").alias("t"), F.col("value").alias("v"))
     grid = ev.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1410).cast("long"), F.lit(30).cast("long"))).alias("t"))
     return s.interpolate(grid, ev, "t", "v", ["key"]).select("key", "t", r6(F.col("v")).alias("v"))
 
@@ -101,17 +101,17 @@ def layer_relative(spark: SparkSession, d: str) -> DataFrame:
     return banded.join(m, "band").select("id", "band", r6(F.when(F.col("n") > 20, F.col("uz") - F.col("m")).otherwise(F.col("uz"))).alias("uz"))
 
 
-@query("SELECT l_orderkey % 100 AS key, l_partkey AS id, round(sum(l_quantity) OVER (PARTITION BY l_orderkey % 100 ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING), 4) AS run FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey % 100 AS key, l_partkey AS id, round(sum(l_quantity) OVER (PARTITION BY l_orderkey % 100 ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING), 4) AS run FROM lineitem")
 def running_sum(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy(F.col("l_orderkey") % 100).orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 100).alias("key"), F.col("l_partkey").alias("id"), F.round(F.sum("l_quantity").over(w), 4).alias("run"))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("key"), F.col("l_partkey").alias("id"), F.round(F.sum("l_quantity").over(w), 4).alias("run"))
 
 
-@query("WITH o AS (SELECT o_custkey % 50 AS specimen, o_orderkey AS scan, o_totalprice AS v FROM orders WHERE o_custkey < 150) SELECT specimen, scan, lead(scan) OVER w AS next_scan, round(lead(v) OVER w - v, 4) AS step FROM o WINDOW w AS (PARTITION BY specimen ORDER BY scan)")
+@query("WITH o AS (SELECT o_custkey % 50 AS specimen, o_orderkey AS scan, o_totalprice AS v FROM orders) SELECT specimen, scan, lead(scan) OVER w AS next_scan, round(lead(v) OVER w - v, 4) AS step FROM o WINDOW w AS (PARTITION BY specimen ORDER BY scan)")
 def scan_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Each scan with the next of its specimen."""
     w = Window.partitionBy("specimen").orderBy("scan")
-    o = table(spark, d, "orders").where("o_custkey < 150").select((F.col("o_custkey") % 50).alias("specimen"), F.col("o_orderkey").alias("scan"), F.col("o_totalprice").alias("v"))
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("specimen"), F.col("o_orderkey").alias("scan"), F.col("o_totalprice").alias("v"))
     return o.select("specimen", "scan", F.lead("scan").over(w).alias("next_scan"), F.round(F.lead("v").over(w) - F.col("v"), 4).alias("step"))
 
 

@@ -225,11 +225,11 @@ def blob_graph(spark: SparkSession, d: str) -> DataFrame:
     return spatial.radius_pairs(blobs, 0.2).select("a", "b", F.round("d", 5).alias("d"))
 
 
-@query(f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT a, b FROM edges WHERE scan = 0), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT 0::BIGINT AS id, 0 AS dist UNION SELECT ways.b, w.dist + 1 FROM w JOIN ways ON ways.a = w.id WHERE w.dist < 40) SELECT id, min(dist)::DOUBLE AS dist FROM w GROUP BY 1")
+@query(f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT a, b FROM edges WHERE scan = 0), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT 1::BIGINT AS id, 0 AS dist UNION SELECT ways.b, w.dist + 1 FROM w JOIN ways ON ways.a = w.id WHERE w.dist < 40) SELECT id, min(dist)::DOUBLE AS dist FROM w GROUP BY 1")
 def hop_distance(spark: SparkSession, d: str) -> DataFrame:
     """Breadth-first distance from one node; each round relaxes from the front alone."""
     own = edges(spark, d).where("scan = 0").select("a", "b", F.lit(1.0).alias("w"))
-    return graph.shortest_paths(own, own, spark.range(1).select("id"))
+    return graph.shortest_paths(own, own, spark.range(1, 2).select("id"))
 
 
 @query(f"WITH {GRAINS}, p AS (SELECT a.label, sqrt({_D2}) - a.r - b.r AS sep FROM grains a JOIN grains b ON a.id < b.id AND a.label = b.label AND {_D2} <= 0.3::DOUBLE * 0.3::DOUBLE), t AS (SELECT quantile_cont(sep, 0.99) AS cut FROM p WHERE label = 0) SELECT label, count(*) AS n, count(*) FILTER (WHERE sep > cut) AS opened, round(any_value(cut), 6) AS cut FROM p, t WHERE label <> 0 GROUP BY 1")

@@ -55,11 +55,11 @@ VOXELS = "voxels AS (SELECT *, CASE WHEN phase = 3 THEN ((z // 4) * 100 + (y //
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scan, a, b, thick): two networks over the same kinds of nodes."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity <= 2")
-    return li.groupBy((F.col("l_orderkey") % 2).alias("scan"), (F.col("l_partkey") % 200).alias("a"), (F.col("l_suppkey") % 100 + 1000).alias("b")).agg(F.max(F.col("l_extendedprice") / 100.0).alias("thick"))
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy((F.col("l_orderkey") % 2).alias("scan"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")).agg(F.max(F.col("l_extendedprice") / 100.0).alias("thick"))
 
 
-EDGES = "edges AS (SELECT l_orderkey % 2 AS scan, l_partkey % 200 AS a, l_suppkey % 100 + 1000 AS b, max(l_extendedprice / 100.0::DOUBLE) AS thick FROM lineitem WHERE l_quantity <= 2 GROUP BY 1, 2, 3)"
+EDGES = "edges AS (SELECT l_orderkey % 2 AS scan, l_partkey AS a, l_suppkey + 1000000 AS b, max(l_extendedprice / 100.0::DOUBLE) AS thick FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
