@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, is_small
+from voxloom.scratch import Scratch, is_small
 
 #: Sources up to which their table is broadcast; it is counted first. Beyond, rows are joined by shuffle.
 BROADCAST_SOURCES = 10_000

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, shared_dir
+from voxloom.scratch import Scratch, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a split, of an archive before the next is begun, and of a read.
