@@ -258,3 +258,17 @@ def test_model_over_bricks(spark):
     b = bricked(volume(spark, mask), "m", 4, 1)
     got = bricks.predict_bricks(b, lambda v: np.stack([-v, v]), 1).collect()
     assert len(got) == 8 and {r["bz"]: set(r["classes"]) for r in got} == {0: {1}, 1: {0}}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000])
+def test_exact_percentiles(spark, n):
+    draw = np.random.default_rng(n)
+    v = np.concatenate([np.round(draw.normal(size=n), 2), np.full(n // 3, 0.5)])
+    df = spark.createDataFrame([(k % 2 if n > 2 else 0, float(x)) for k, x in enumerate(v)] + [(0, None)], "k int, v double")
+    at = [0.0, 0.05, 0.5, 0.98, 1.0]
+    got = {(r["k"], r["p"]): r["v"] for r in stats.exact_percentiles(df, "v", at, ["k"]).collect()}
+    for k in {a for a, _ in got}:
+        own = [x for j, x in enumerate(v) if (j % 2 if n > 2 else 0) == k]
+        assert np.allclose([got[k, p] for p in at], np.quantile(own, at), atol=1e-12)
+    whole = {r["p"]: r["v"] for r in stats.exact_percentiles(df, "v", at).collect()}
+    assert np.allclose([whole[p] for p in at], np.quantile(v, at), atol=1e-12)

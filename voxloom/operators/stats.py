@@ -153,3 +153,30 @@ def tail_p(null: DataFrame, observed: Column | float, value: str, keys: Sequence
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose keys it hasn't."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+
+
+def exact_percentiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = (), accuracy: int = 1000) -> DataFrame:
+    """(keys, p, value): exact percentiles, linear between ranks, of groups too large for one task's memory.
+
+    The built-in ``percentile`` keeps a group's distinct values in one buffer. Here an approximate quantile brackets
+    each rank with its guaranteed error; what lies below is only counted, and only the bracket, about 4 / accuracy of
+    the rows, is put in order, as counts of distinct values.
+    """
+    have = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    e = 2.0 / accuracy
+    low = F.percentile_approx("__v", [max(0.0, p - e) for p in at], accuracy)
+    high = F.percentile_approx("__v", [min(1.0, p + e) for p in at], accuracy)
+    ends = have.groupBy(*keys).agg(F.count("*").alias("__n"), low.alias("__lo"), high.alias("__hi"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.get("__lo", F.lit(k)) if p > e else F.col("__a")).alias("lo"), (F.get("__hi", F.lit(k)) if p < 1 - e else F.col("__b")).alias("hi")) for k, p in enumerate(at)]))
+    marks = ends.select(*keys, "__n", each.alias("m")).select(*keys, F.col("m.p").alias("p"), F.col("m.lo").alias("__lo"), F.col("m.hi").alias("__hi"), (F.col("m.p") * (F.col("__n") - 1)).alias("__pos"))
+    spread = have.join(marks, list(keys)) if keys else have.crossJoin(F.broadcast(marks))
+    group = [*keys, "p", "__lo", "__hi", "__pos"]
+    #: Below the bracket one row with the largest value, above it one with the smallest: in small groups a rank can lie there.
+    side = F.when(F.col("__v") < F.col("__lo"), F.lit(float("-inf"))).when(F.col("__v") <= F.col("__hi"), F.col("__v")).otherwise(F.lit(float("inf")))
+    counted = spread.groupBy(*group, side.alias("__s")).agg(F.count("*").alias("__c"), F.min("__v").alias("__l"), F.max("__v").alias("__h"))
+    upto = F.sum("__c").over(Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("__to", upto).withColumn("__v", F.when(F.col("__s") == float("-inf"), F.col("__h")).otherwise(F.col("__l")))
+    first = F.min_by("__v", F.when(F.col("__to") > F.floor("__pos"), F.col("__to")))
+    second = F.min_by("__v", F.when(F.col("__to") > F.ceil("__pos"), F.col("__to")))
+    out = ranked.groupBy(*group).agg(first.alias("__x"), second.alias("__y"))
+    return out.select(*keys, "p", (F.col("__x") + (F.col("__y") - F.col("__x")) * (F.col("__pos") - F.floor("__pos"))).alias(value))

@@ -380,3 +380,76 @@ def skeleton_segments(spark: SparkSession, d: str) -> DataFrame:
 def scan_extents(spark: SparkSession, d: str) -> DataFrame:
     """Least shape over volumes, for a common crop."""
     return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("scan")).agg(F.min("l_orderkey").alias("nz"))
+
+
+@query(f"WITH {VOXELS}, b AS (SELECT scan, (z // 4)::INTEGER AS block, quantile_cont(grey, 0.95) AS top FROM voxels GROUP BY 1, 2), s AS (SELECT scan, block, (coalesce(lag(top) OVER w, top) * 0.25::DOUBLE + top * 0.5::DOUBLE) + coalesce(lead(top) OVER w, top) * 0.25::DOUBLE AS top FROM b WINDOW w AS (PARTITION BY scan ORDER BY block)), k AS (SELECT scan, block * 4 + 1.5::DOUBLE AS h, top FROM s), v AS (SELECT DISTINCT scan, z::DOUBLE AS h FROM voxels) SELECT v.scan, v.h, round(CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * ((v.h - x0) / (x1 - x0)) END / 7, 4) AS top FROM v LEFT JOIN LATERAL (SELECT h AS x0, top AS y0 FROM k WHERE k.scan = v.scan AND k.h <= v.h ORDER BY k.h DESC LIMIT 1) a ON true LEFT JOIN LATERAL (SELECT h AS x1, top AS y1 FROM k WHERE k.scan = v.scan AND k.h >= v.h ORDER BY k.h LIMIT 1) c ON true")
+def height_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    """A high percentile per block of height, smoothed, and interpolated back to every slice."""
+    from voxloom.operators.series import interpolate, smoothed
+
+    own = voxels(spark, d)
+    blocks = own.groupBy("scan", F.floor(F.col("z") / 4).cast("int").alias("block")).agg(F.percentile("grey", F.lit(0.95)).alias("raw"))
+    knots = smoothed(blocks, "block", "raw", [0.25, 0.5, 0.25], ["scan"], "top").select("scan", (F.col("block") * 4 + 1.5).alias("h"), "top")
+    ask = own.select("scan", F.col("z").cast("double").alias("h")).distinct()
+    return interpolate(ask, knots, "h", "top", ["scan"]).select("scan", "h", F.round(F.col("top") / 7, 4).alias("top"))
+
+
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 2', 6)}, k AS (SELECT m.scan, comp, count(*) AS size, sqrt(avg((y - 7.5) * (y - 7.5) + (x - 4.5) * (x - 4.5))) AS radius, max(z) - min(z) + 1 AS height FROM m JOIN comp USING (id) GROUP BY 1, 2), t AS (SELECT DISTINCT comp FROM m JOIN comp USING (id) JOIN voxels g ON g.scan = m.scan AND g.phase = 3 AND abs(g.z - m.z) + abs(g.y - m.y) + abs(g.x - m.x) = 1) SELECT k.scan, CASE WHEN t.comp IS NULL THEN 'no body' WHEN radius > 6.5 AND height <= 2 THEN 'wall' WHEN size < 3 THEN 'fragment' ELSE 'kept' END AS verdict, count(*) AS n, sum(size)::BIGINT AS voxels FROM k LEFT JOIN t USING (comp) GROUP BY 1, 2")
+def fragment_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Components that touch no body, lie flat at the wall, or are tiny are dropped; the rest is kept."""
+    own = voxels(spark, d)
+    comps = grid.labelled(own.where("phase = 2"), SHAPE, 6)
+    dy, dx = F.col("y") - 7.5, F.col("x") - 4.5
+    k = comps.groupBy("scan", "comp").agg(F.count("*").alias("size"), F.sqrt(F.avg(dy * dy + dx * dx)).alias("radius"), (F.max("z") - F.min("z") + 1).alias("height"))
+    beside = grid.shifted(own.where("phase = 3"), grid.offsets(6)).select(*KEY).distinct()
+    touch = comps.join(beside, KEY, "left_semi").select("scan", "comp").distinct().withColumn("t", F.lit(True))
+    verdict = F.when(F.col("t").isNull(), "no body").when((F.col("radius") > 6.5) & (F.col("height") <= 2), "wall").when(F.col("size") < 3, "fragment").otherwise("kept")
+    return k.join(touch, ["scan", "comp"], "left").groupBy("scan", verdict.alias("verdict")).agg(F.count("*").alias("n"), F.sum("size").alias("voxels"))
+
+
+@query(f"WITH {VOXELS} SELECT scan, phase, count(*) AS n FROM voxels WHERE (y - (7.5 + 0.05::DOUBLE * z)) * (y - (7.5 + 0.05::DOUBLE * z)) + (x - (4.5 - 0.02::DOUBLE * z)) * (x - (4.5 - 0.02::DOUBLE * z)) <= 16 GROUP BY 1, 2")
+def tilted_cylinder(spark: SparkSession, d: str) -> DataFrame:
+    """Voxels inside a cylinder whose axis leans: arithmetic that is pushed to the scan's rows."""
+    dy, dx = F.col("y") - (7.5 + 0.05 * F.col("z")), F.col("x") - (4.5 - 0.02 * F.col("z"))
+    return voxels(spark, d).where(dy * dy + dx * dx <= 16).groupBy("scan", "phase").agg(F.count("*").alias("n"))
+
+
+@query()
+def surface_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Area of the solid's surface by marching tetrahedra."""
+
+    def kernel(v: np.ndarray) -> dict[str, float]:
+        return {"area": round(bricks.surface_area(np.pad((v > 1).astype(float), 1), 0.5), 4)}
+
+    return bricks.per_scan(voxels(spark, d), kernel, "phase", {"area": "double"})
+
+
+@query()
+def face_covers(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the facing shells of touching bodies is solid, on a grid three times as fine, and the class that follows."""
+    import pandas as pd
+
+    own = voxels(spark, d)
+    pairs = grid.contact_pairs(own, "label", F.lit(True), 4).select("scan", F.col("lo").alias("bead_a"), F.col("hi").alias("bead_b"))
+    box = own.where("label > 0").groupBy("scan", F.col("label").alias("bead")).agg(*[f(a).alias(f"{a}{k}") for a in "zyx" for k, f in ((0, F.min), (1, F.max))])
+    a, b = (box.withColumnsRenamed({"bead": f"bead_{s}", **{f"{x}{k}": f"{s}{x}{k}" for x in "zyx" for k in (0, 1)}}) for s in "ab")
+    both = pairs.join(a, ["scan", "bead_a"]).join(b, ["scan", "bead_b"]).select("scan", "bead_a", "bead_b", *[(F.least(f"a{x}0", f"b{x}0") - 1).alias(f"{x}0") for x in "zyx"], *[(F.greatest(f"a{x}1", f"b{x}1") + 1).alias(f"{x}1") for x in "zyx"])
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        at = part[["z", "y", "x"]].to_numpy()
+        low = at.min(axis=0)
+        grey, lab = np.zeros(at.max(axis=0) - low + 1), np.zeros(at.max(axis=0) - low + 1, int)
+        grey[tuple((at - low).T)], lab[tuple((at - low).T)] = part.grey, part.label
+        got = bricks.face_cover(grey, lab == part.bead_a.iloc[0], lab == part.bead_b.iloc[0], 25_000.0)
+        return pd.DataFrame([(part.scan.iloc[0], part.bead_a.iloc[0], part.bead_b.iloc[0], *got.values())], columns=["scan", "bead_a", "bead_b", "cover_a", "cover_b"])
+
+    boxes = bricks.pair_boxes(own.select(*KEY, "grey", "label"), both, 8)
+    cover = boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, cover_a double, cover_b double")
+    some = lambda n: F.when(~F.isnan(n), F.col(n))
+    return cover.select("scan", "bead_a", "bead_b", r6(some("cover_a")).alias("cover_a"), r6(some("cover_b")).alias("cover_b"), c.face_class(some("cover_a"), some("cover_b")).alias("face_class"))
+
+
+@query(f"WITH {VOXELS}, p(p) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) SELECT scan, p, round(CASE p WHEN 0.05 THEN quantile_cont(grey, 0.05) WHEN 0.5 THEN quantile_cont(grey, 0.5) ELSE quantile_cont(grey, 0.95) END, 3) AS grey FROM voxels, p GROUP BY 1, 2")
+def grey_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of whole scans: groups that no task could hold."""
+    return stats.exact_percentiles(voxels(spark, d), "grey", [0.05, 0.5, 0.95], ["scan"]).select("scan", "p", F.round("grey", 3).alias("grey"))

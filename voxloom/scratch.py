@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,22 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these."""
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        store = top.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        self.drop(*[n for n in (s.getPath().getName() for s in store.listStatus(top)) if n not in names])
+
     def free_shuffles(self) -> None:
         """Have Spark delete the shuffle files of plans that are done and no longer referenced.
 
         Spark's cleaner only acts when the driver's JVM collects its garbage, by default after half an hour.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first collection lets go of the plans, the second of what they held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
