@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from . import chat
 from .classifier import score_documents
 from .mixing import mix_oracle, plan_mix
-from .ngram_join import ngram_jaccard_components
+from .ngram_join import ngram_jaccard_components, ngram_oracle
 from .packing import byte_bpe_encoder, pack_documents
 from .rules import quality_verdicts
 from .secrets import describe, find_secrets
 from .sharding import assign_shards
 from .topk import exact_top_k, top_k_oracle
-from .warc import warc_round_trip
+from .warc import warc_oracle, warc_round_trip
 
 #: Where the vocabulary files of the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -106,4 +106,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op2_mix_sources": mix_oracle(), "op6_exact_top_k": top_k_oracle(), "op8_format_chats": chat.chat_oracle()}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_oracle(),
+    "op2_mix_sources": mix_oracle(),
+    "op3_warc": warc_oracle(),
+    "op6_exact_top_k": top_k_oracle(),
+    "op8_format_chats": chat.chat_oracle(),
+}

@@ -209,3 +209,11 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_i
     folder = f"{scratch.path}/archives"
     archives = scratch.put(write_archives(pages, folder, id_col, url_col, payload_col, min_bytes), "manifest")
     return read_archives(archives, shared_dir(spark), payloads=payloads)
+
+
+def warc_oracle() -> str:
+    return """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+d AS (SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (k // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
