@@ -272,3 +272,22 @@ def test_exact_percentiles(spark, n):
         assert np.allclose([got[k, p] for p in at], np.quantile(own, at), atol=1e-12)
     whole = {r["p"]: r["v"] for r in stats.exact_percentiles(df, "v", at).collect()}
     assert np.allclose([whole[p] for p in at], np.quantile(v, at), atol=1e-12)
+
+
+def test_delaunay(spark):
+    draw = np.random.default_rng(9)
+    p = draw.random((60, 3))
+    t = field.delaunay(p)
+    vol = np.abs(np.linalg.det(p[t[:, 1:]] - p[t[:, :1]])) / 6
+    for cell in t:
+        m = p[cell[1:]] - p[cell[0]]
+        c = np.linalg.solve(2 * m, (m * m).sum(axis=1))
+        others = np.delete(np.arange(60), cell)
+        assert (((p[others] - p[cell[0]] - c) ** 2).sum(axis=1) >= (c * c).sum() - 1e-6).all()
+    cube = np.array(list(itertools.product((0.0, 1.0), repeat=3)))
+    t8 = field.delaunay(np.vstack([cube, p]))
+    assert abs((np.abs(np.linalg.det(np.vstack([cube, p])[t8[:, 1:]] - np.vstack([cube, p])[t8[:, :1]])) / 6).sum() - 1) < 1e-6 and vol.sum() < 1
+    h = np.array([[0.01, 0.002, 0.0], [-0.003, 0.02, 0.004], [0.001, 0.0, -0.01]])
+    df = spark.createDataFrame([(0, k, *map(float, a), *map(float, h @ a)) for k, a in enumerate(p)], "label int, id long, z double, y double, x double, uz double, uy double, ux double")
+    got = field.tetra_gradients(df, "label").collect()
+    assert len(got) > 100 and all(np.allclose([r[f"h{k}"] for k in range(9)], h.ravel(), atol=1e-6) for r in got)

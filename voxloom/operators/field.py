@@ -79,3 +79,57 @@ def affine_seed(before: DataFrame, after: DataFrame, low: float = 0.02, high: fl
     both = shape(before, "a").crossJoin(shape(after, "b"))
     stretch = F.try_divide(F.col("b1") - F.col("b0"), F.col("a1") - F.col("a0"))
     return both.select(stretch.alias("stretch_z"), (F.col("b0") - stretch * F.col("a0")).alias("shift_z"), F.try_divide("br", "ar").alias("stretch_r"))
+
+
+def delaunay(p: np.ndarray) -> np.ndarray:
+    """Tetrahedra (n, 4) of a point set, by insertion: cells whose sphere holds the new point are opened and closed again over its faces.
+
+    A jitter of 1e-9 of the extent, from the points' numbers, settles points on one sphere. Fewer than four points give none.
+    """
+    n = len(p)
+    if n < 4:
+        return np.zeros((0, 4), int)
+    extent = float(np.ptp(p, axis=0).max()) or 1.0
+    q = (p - p.mean(axis=0)) / extent + np.random.default_rng(0).normal(scale=1e-9, size=p.shape)
+    far = 60.0 * np.array([[1.0, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]])
+    every = np.vstack([q, far])
+    cells = np.array([[n, n + 1, n + 2, n + 3]])
+
+    def spheres(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = every[t[:, 0]]
+        m = every[t[:, 1:]] - a[:, None]
+        c = np.linalg.solve(2 * m, (m * m).sum(axis=2)[..., None])[..., 0]
+        return a + c, (c * c).sum(axis=1)
+
+    centre, r2 = spheres(cells)
+    for k in range(n):
+        inside = ((centre - every[k]) ** 2).sum(axis=1) < r2
+        faces = np.sort(cells[inside][:, [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]].reshape(-1, 3), axis=1)
+        once, count = np.unique(faces, axis=0, return_counts=True)
+        fresh = np.hstack([once[count == 1], np.full(((count == 1).sum(), 1), k)])
+        c, r = spheres(fresh)
+        cells, centre, r2 = np.vstack([cells[~inside], fresh]), np.vstack([centre[~inside], c]), np.concatenate([r2[~inside], r])
+    return cells[(cells < n).all(axis=1)]
+
+
+def tetra_gradients(points: DataFrame, key: str) -> DataFrame:
+    """(key, n0 .. n3, volume, h0 .. h8): displacement gradient of each Delaunay tetrahedron, by groups of points that fit a task.
+
+    ``points`` has (key, id, z, y, x, uz, uy, ux). Flat tetrahedra are left out.
+    """
+    kind = dict(points.dtypes)[key]
+    names = [key, *[f"n{k}" for k in range(4)], "volume", *[f"h{k}" for k in range(9)]]
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        x, u = part[list(AXES)].to_numpy(float), part[[f"u{a}" for a in AXES]].to_numpy(float)
+        t = delaunay(x)
+        m = x[t[:, 1:]] - x[t[:, :1]]
+        vol = np.abs(np.linalg.det(m)) / 6
+        keep = vol > 1e-9 * float(np.ptp(x, axis=0).max() or 1.0) ** 3
+        t, m, vol = t[keep], m[keep], vol[keep]
+        h = np.linalg.solve(m, u[t[:, 1:]] - u[t[:, :1]]).swapaxes(1, 2).reshape(-1, 9) if len(t) else np.zeros((0, 9))
+        return pd.DataFrame({key: part[key].iloc[0], **{f"n{k}": part.id.to_numpy()[t[:, k]] for k in range(4)}, "volume": vol, **{f"h{k}": h[:, k] for k in range(9)}})[names]
+
+    ddl = f"{key} {kind}, n0 long, n1 long, n2 long, n3 long, volume double, " + ", ".join(f"h{k} double" for k in range(9))
+    return points.select(key, "id", *AXES, *[f"u{a}" for a in AXES]).groupBy(key).applyInPandas(one, ddl)

@@ -141,6 +141,16 @@ def rotation_angles(spark: SparkSession, d: str) -> DataFrame:
     return field.rotations(local_strain(spark, d)).select("id", F.round("angle", 4).alias("angle"), F.round("vol", 5).alias("vol"))
 
 
+@query()
+def tetra_strain(spark: SparkSession, d: str) -> DataFrame:
+    """Volume-weighted strain over the Delaunay tetrahedra of each label's points."""
+    t = field.tetra_gradients(grains(spark, d), "label")
+    e = g.green_lagrange([F.col(f"h{k}") for k in range(9)])
+    own = t.select("label", "volume", g.volumetric(e).alias("vol"), g.equivalent_strain(e).alias("eq"))
+    mean = lambda n: F.round(F.sum(F.col(n) * F.col("volume")) / F.sum("volume"), 5).alias(n)
+    return own.groupBy("label").agg(F.count("*").alias("n"), mean("vol"), mean("eq"))
+
+
 _RIGID = "m AS (SELECT avg(z) AS mz, avg(y) AS my, avg(x) AS mx, avg(uz) AS muz, avg(uy) AS muy, avg(ux) AS mux FROM grains), r AS (SELECT id, z - mz AS z, y - my AS y, x - mx AS x, uz - muz AS uz, uy - muy AS uy, ux - mux AS ux FROM grains, m), s AS (SELECT sum(y * y + x * x) AS a0, sum(-z * y) AS a1, sum(-z * x) AS a2, sum(z * z + x * x) AS a4, sum(-y * x) AS a5, sum(z * z + y * y) AS a8, sum(y * ux - x * uy) AS b0, sum(x * uz - z * ux) AS b1, sum(z * uy - y * uz) AS b2 FROM r), t AS (SELECT *, a0 * (a4 * a8 - a5 * a5) - a1 * (a1 * a8 - a5 * a2) + a2 * (a1 * a5 - a4 * a2) AS dd FROM s), w AS (SELECT (b0 * (a4 * a8 - a5 * a5) - a1 * (b1 * a8 - a5 * b2) + a2 * (b1 * a5 - a4 * b2)) / dd AS w0, (a0 * (b1 * a8 - a5 * b2) - b0 * (a1 * a8 - a5 * a2) + a2 * (a1 * b2 - b1 * a2)) / dd AS w1, (a0 * (a4 * b2 - b1 * a5) - a1 * (a1 * b2 - b1 * a2) + b0 * (a1 * a5 - a4 * a2)) / dd AS w2 FROM t)"
 
 
