@@ -125,6 +125,18 @@ def _block_rows(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in _BLOCK], schema=_BLOCK)
 
 
+def _packed(grams: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each hash; what is above is the fragment's number."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(raw: bytes, width: int, top: int) -> np.ndarray:
+    """Hashes of a fragment; top is its number in the bits above."""
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.uint64) | np.uint64(top)
+
+
 def _narrow(x: np.ndarray) -> bytes:
     return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32).tobytes()
 
@@ -133,28 +145,29 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
 
 
-def _postings(width: int, frags: int):
-    """Map kernel: documents to one packed block per fragment."""
+def _postings(width: int, bits: int):
+    """Map kernel: documents to one packed block per fragment; a fragment is what the top ``bits`` of hashes say."""
+    frags, size, down = 1 << bits, 8 - bits // 8, np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
         for ids, texts in _blocks(batches):
             grams, n = shingle_sets(texts, width)
-            frag = (grams >> np.uint64(32)) * np.uint64(frags) >> np.uint64(32)
+            frag = grams >> down
             order = np.argsort(frag.astype(np.uint32), kind="stable")
             doc = np.repeat(np.arange(len(ids)), n)[order]
             grams, cut = grams[order], np.searchsorted(frag[order], np.arange(frags + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cut)).tolist()
             parts = [slice(cut[f], cut[f + 1]) for f in some]
-            yield _block_rows({"frag": some, "block": [seq] * len(some), "grams": [grams[p].tobytes() for p in parts], "gaps": [_narrow(np.diff(doc[p], prepend=0)) for p in parts]})
-            yield _block_rows({"frag": [seq % frags if seq % frags >= 0 else 0], "block": [seq], "ids": [ids], "sizes": [n.tolist()]})
+            yield _block_rows({"frag": some, "block": [seq] * len(some), "grams": [_packed(grams[p], size) for p in parts], "gaps": [_narrow(np.diff(doc[p], prepend=0)) for p in parts]})
+            yield _block_rows({"frag": [hash(seq) % frags], "block": [seq], "ids": [ids], "sizes": [n.tolist()]})
             seq += 1
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Fragment kernel: keep the postings of n-grams that two documents or more have, with their frequency."""
+def _shared(table: pa.Table, size: int) -> pa.Table:
+    """Fragment kernel: keep the postings of n-grams that two documents or more have, with their frequency (65,535 at most, which keeps its order one)."""
     blocks, raw, gaps = table["block"].to_pylist(), table["grams"].to_pylist(), table["gaps"].to_pylist()
     heads = [k for k, g in enumerate(raw) if g is None]
     rows = [k for k, g in enumerate(raw) if g is not None]
@@ -168,15 +181,15 @@ def _shared(table: pa.Table) -> pa.Table:
     for k in heads:
         add(frag=frag, block=blocks[k], ids=table["ids"][k].as_py(), sizes=table["sizes"][k].as_py())
     if rows:
-        parts = [np.frombuffer(raw[k], np.uint64) for k in rows]
+        parts = [_unpacked(raw[k], size, 0) for k in rows]
         _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        df, at = count[back].astype(np.uint32), 0
+        df, at = np.minimum(count, 65_535).astype(np.uint16)[back], 0
         for k, part in zip(rows, parts, strict=True):
             own = df[at : at + len(part)]
             at += len(part)
             if (keep := own > 1).any():
                 doc = np.cumsum(_wide(gaps[k], len(part)))[keep]
-                add(frag=frag, block=blocks[k], grams=part[keep].tobytes(), gaps=_narrow(np.diff(doc, prepend=0)), df=own[keep].tobytes())
+                add(frag=frag, block=blocks[k], grams=_packed(part[keep], size), gaps=_narrow(np.diff(doc, prepend=0)), df=own[keep].tobytes())
     return pa.Table.from_batches([_block_rows(out)], schema=_BLOCK)
 
 
@@ -184,19 +197,19 @@ _DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()
 _DOC_DDL = "doc_id long, n long, node long, weight long, own long, prefix array<long>, segments array<array<long>>"
 
 
-def _ordered(percent: int):
+def _ordered(percent: int, bits: int):
     """Block kernel: each document's shared n-grams in the order of frequency; its prefix and its segments, or nulls where no partner is possible."""
 
     def run(table: pa.Table) -> pa.Table:
         head = next(k for k, ids in enumerate(table["ids"].to_pylist()) if ids is not None)
         ids, n, block = table["ids"][head].as_py(), np.array(table["sizes"][head].as_py()), table["block"][0].as_py()
         rows = [k for k, g in enumerate(table["grams"].to_pylist()) if g is not None]
-        grams, doc, df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        grams, doc, df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
         if rows:
-            parts = [np.frombuffer(table["grams"][k].as_py(), np.uint64) for k in rows]
+            parts = [_unpacked(table["grams"][k].as_py(), 8 - bits // 8, table["frag"][k].as_py() << (64 - bits)) for k in rows]
             grams = np.concatenate(parts)
             doc = np.concatenate([np.cumsum(_wide(table["gaps"][k].as_py(), len(p))) for k, p in zip(rows, parts, strict=True)])
-            df = np.concatenate([np.frombuffer(table["df"][k].as_py(), np.uint32) for k in rows])
+            df = np.concatenate([np.frombuffer(table["df"][k].as_py(), np.uint16) for k in rows])
         order = np.lexsort((grams, df, doc))
         grams, doc = grams[order], doc[order]
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -223,11 +236,12 @@ def _ordered(percent: int):
 def shared_ngrams(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Steps 1 to 3: a row per document, with (node, prefix, segments) only where a link is possible."""
     spark = docs.sparkSession
-    frags = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    #: At least twice as many fragments as partitions, and 256, so that a byte of each hash needn't be sent.
+    bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = texts.mapInArrow(_postings(width, frags), _BLOCK_DDL)
-    kept = blocks.groupBy("frag").applyInArrow(_shared, _BLOCK_DDL)
-    return kept.groupBy("block").applyInArrow(_ordered(percent), _DOC_DDL)
+    blocks = texts.mapInArrow(_postings(width, bits), _BLOCK_DDL)
+    kept = blocks.groupBy("frag").applyInArrow(lambda t: _shared(t, 8 - bits // 8), _BLOCK_DDL)
+    return kept.groupBy("block").applyInArrow(_ordered(percent, bits), _DOC_DDL)
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +316,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of_node = named.join(least, "root").join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left").select("node", "component", "links")
     of_node = scratch.put(of_node, "components")
-    scratch.drop("nodes", "lists")
+    scratch.keep_only("rows", "components")
     return rows.select("doc_id", "n", "node").join(of_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
     )
+
+
+def ngram_oracle() -> str:
+    return r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+flat AS (SELECT doc_id, unnest(g) AS g FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.g) + len(y.g) - n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS seen FROM s UNION SELECT reach.id, ways.b FROM reach JOIN ways ON ways.a = reach.seen)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, min(seen) AS component_id FROM s JOIN reach ON reach.id = doc_id GROUP BY doc_id, g"""
