@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import let, prefix_sums
+
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Tokens that one unit of a part expands to: an image's tile, a second of audio, a page of a document.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
@@ -58,18 +60,15 @@ def format_chats(turns: DataFrame, unit_tokens: Mapping[str, int] | None = None)
         F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("head"), F.array_join(F.transform(t["parts"], _visit), "").alias("body"))).alias("vs"),
     )
     sized = visited.select("conv_id", "ts", "vs", F.transform("vs", lambda v: F.struct((v["role"] == "assistant").alias("loss"), F.length(v["head"]).alias("head"), F.length(v["body"]).alias("body"))).alias("ls"))
-    #: One fold over the lengths gives every span.
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, length: bigint>>").alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["head"] + x["body"] + len(END)).cast("long").alias("at"),
-        F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["head"]).cast("long").alias("start"), x["body"].cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    )
+    turn_chars = F.transform("ls", lambda x: (x["head"] + x["body"] + len(END)).cast("long"))
+    placed = let(prefix_sums(turn_chars), lambda before: F.transform("ls", lambda x, i: F.struct(x["loss"].alias("loss"), (F.get(before, i) + x["head"]).cast("long").alias("start"), x["body"].cast("long").alias("length"))))
+    spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
     media = F.filter(F.flatten(F.transform("ts", lambda t: t["parts"])), lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
     attachments = F.transform(media, lambda p, i: F.struct(i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), (F.coalesce(tokens[p["type"]], F.lit(1)) * F.coalesce(p["units"], F.lit(1))).cast("long").alias("tokens")))
     out = sized.select(
         "conv_id",
         F.array_join(F.transform("vs", lambda v: F.concat(v["head"], v["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("ls", empty, step)["spans"].alias("loss_spans"),
+        spans.alias("loss_spans"),
         attachments.alias("attachments"),
     )
     return out.withColumn("placeholder_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
