@@ -111,9 +111,11 @@ def learn_decision_list(train: DataFrame, names: Sequence[str], max_rules: int =
     condition. No rows, or rows of one class only, give an empty list.
     """
     scratch = Scratch(train.sparkSession, "rules")
-    marks = [k / (BINS + 1) for k in range(1, BINS + 1)]
+    marks = [k / BINS for k in range(BINS + 1)]
     found = train.agg(*[F.percentile_approx(f"s.{n}", marks, 10_000).alias(n) for n in names]).first()
-    cuts = {n: sorted(set(found[n] or [])) for n in names}
+    #: Halfway between neighbouring quantiles: a threshold keeps its distance to the rows on both sides.
+    steps = {n: sorted(set(found[n] or [])) for n in names}
+    cuts = {n: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for n, v in steps.items()}
     places = [_bin(F.col(f"s.{n}"), cuts[n]) for n in names]
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 0
     rows = scratch.put(train.select(F.array(*places).alias("bins"), aside.alias("aside"), F.col("reject").cast("long").alias("reject")), "rows")
