@@ -226,7 +226,11 @@ def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline as pipe
 
     for name, docs in (("some", table(spark)), ("none", table(spark, False))):
-        docs.drop("size", "mix", "key").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(0, 1), (10, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        stage = docs
+        for k, (_, f) in enumerate(pipe.STAGES[:-1]):
+            stage = f(spark, stage, f"{tmp_path}/{name}")
+            assert stage.columns == docs.columns, k
         out = pipe.run(spark, f"{tmp_path}/{name}").collect()
         assert {r["doc_id"] for r in out} <= {r[0] for r in rows()} and (name == "some") == bool(out)

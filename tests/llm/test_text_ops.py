@@ -77,7 +77,9 @@ def test_mix(spark, sf_dir):
     plan = q.op2_mix_sources(spark, sf_dir).toPandas()
     sizes = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in docs.collect()}
     assert dict(zip(plan.doc_id, plan["size"], strict=True)) == sizes
-    assert (plan.taken <= 2 * plan["size"]).all() and plan.equals(q.op2_mix_sources(spark, sf_dir).toPandas()[plan.columns]) or True
+    assert (plan.taken <= 2 * plan["size"]).all()
+    again = q.op2_mix_sources(spark, sf_dir).toPandas()
+    assert plan.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
     by = docs.toPandas().assign(size=lambda d: d.doc_id.map(sizes)).groupby("source")["size"].sum().sort_index()
     weight, left, target, open_ = {s: (3, 1, 2)[k % 3] for k, s in enumerate(by.index)}, 1.5 * by.sum(), {}, set(by.index)
     while True:  # reshare until none is above
@@ -101,7 +103,7 @@ def test_mix_edges(spark):
     assert len(plan) == len(rows()) and all(0 <= r["copies"] <= 2 for r in plan)
     assert Counter((r["doc_id"], r["copies"]) for r in plan) == Counter((r["doc_id"], r["copies"]) for r in plan_mix(docs).select("doc_id", "mix.*").collect())
     out = mix_sources(docs)
-    assert out.columns == [c for c in docs.columns if c != "mix"] and out.count() == sum(r["copies"] for r in plan)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in plan)
     assert mix_sources(table(spark, False)).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [r["copies"] for r in plan_mix(blank).select("mix.copies").collect()] == [0, 0]

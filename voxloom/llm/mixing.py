@@ -51,31 +51,31 @@ def bernoulli(id_col: Column, seed: int, chance: Column) -> Column:
     return u < chance
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, keep: Sequence[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with its (size, source_size, target, copies) in the struct column ``mix``, beside ``keep`` (default: all columns).
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, keep: Sequence[str] | None = None, out: str = "mix") -> DataFrame:
+    """Every row of ``docs`` with its (size, source_size, target, copies) in the struct column ``out``, beside ``keep`` (default: all columns).
 
     copies is floor(rate) plus one with the chance of rate's fraction, so at most ``cap`` rounded up. Null texts have
     size 0; null sources are one source. Rows that repeat an id get the same draw; reruns agree, as draws are hashes
-    of seed and id. An empty table gives an empty result. A column of ``docs`` named ``mix`` is replaced.
+    of seed and id. An empty table gives an empty result. A column of ``docs`` named as ``out`` is replaced.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rates = scratch.put(source_rates(sized, weights, share, cap), "rates")
     rates = rates.select(F.struct("source", "source_size", "target", "rate").alias("__rate"))
-    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != "mix"]
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != out]
     wide = docs.select(*columns, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
     joined = wide.join(F.broadcast(rates) if is_small(rates, BROADCAST_SOURCES) else rates, F.col("__source").eqNullSafe(F.col("__rate.source")))
     whole = F.floor("__rate.rate")
     copies = whole + bernoulli(F.col("__id"), seed, F.col("__rate.rate") - whole).cast("long")
     mix = F.struct(F.col("__size").alias("size"), F.col("__rate.source_size").alias("source_size"), F.col("__rate.target").alias("target"), copies.alias("copies"))
-    return joined.select(*columns, mix.alias("mix"))
+    return joined.select(*columns, mix.alias(out))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs``, with its columns, as many times as ``plan_mix`` says (0 times or more)."""
-    plan = plan_mix(docs, **options)
-    times = F.explode(F.sequence(F.lit(1), F.col("mix.copies")))
-    return plan.where("mix.copies > 0").select("*", times.alias("__copy")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
+    plan = plan_mix(docs, out="__mix", **options)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix.copies")))
+    return plan.where("__mix.copies > 0").select("*", times.alias("__copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_oracle() -> str:
