@@ -142,9 +142,10 @@ def test_histogram_closes_its_last_bin(spark):
 
 
 def test_classes_have_a_rule_for_null(spark):
-    df = spark.createDataFrame([(None, 0.9, None, True, 1.0), (0.9, 0.1, 0.2, False, 1.0), (0.9, 0.9, None, True, None)], "a double, b double, q double, c boolean, k double")
-    got = df.select(c.face_class(F.col("a"), F.col("b")).alias("f"), c.q_class(F.col("c"), F.col("k"), F.col("q")).alias("q")).collect()
-    assert [r["f"] for r in got] == ["unmeasured", "adhesive", "cohesive"] and [r["q"] for r in got] == ["mixed", "detached", "none"]
+    df = spark.createDataFrame([(None, 0.9, None, True, 300.0), (0.9, 0.1, 0.1, False, 300.0), (0.9, 0.9, None, True, 10.0), (0.1, 0.1, 0.3, True, 200.0)], "a double, b double, q double, c boolean, k double")
+    got = df.select(c.face_class(F.col("a"), F.col("b")).alias("f"), c.q_class(F.col("k"), F.col("q")).alias("q"), c.q_class(F.col("k"), F.col("q"), F.col("c")).alias("o")).collect()
+    assert [r["f"] for r in got] == ["unmeasured", "adhesive", "cohesive", "stripped"]
+    assert [r["q"] for r in got] == ["mixed", "adhesive", "intact", "cohesive"] and [r["o"] for r in got] == ["mixed", "detached", None, "cohesive"]
     nan = spark.createDataFrame([(1.0, "a"), (float("nan"), "")], "v double, s string")
     assert [tuple(r) for r in ingest(nan).collect()] == [(1.0, "a"), (None, None)]
 
@@ -210,10 +211,25 @@ def test_kernels():
     assert abs(mixed[0, 0] - 2 / (1 / 3 + 1 / 6)) < 1e-2 and abs(mixed[5, 5] - 2 / (1 + 1 / 2)) < 0.6
     lab, grey = bricks.synthetic_grains((16, 16, 16), 6, (2, 4), 1)
     assert lab.max() <= 6 and grey[lab > 0].mean() > grey[lab == 0].mean()
-    cover = bricks.face_cover(np.where(a | b, 200.0, 150.0), a, b, 100.0)
-    assert cover["cover_a"] == cover["cover_b"] == 1.0
-    t = bricks.throat(a & ~b, b & ~a, ~(a | b), np.zeros_like(a))
-    assert t["connected"] and t["crack_frac"] == 0 and t["dsum_min"] >= 2
+    z, y, x = np.ogrid[:48, :23, :23]
+    left, right = (z - 11) ** 2 + (y - 11) ** 2 + (x - 11) ** 2 <= 100, (z - 36) ** 2 + (y - 11) ** 2 + (x - 11) ** 2 <= 100
+    labels = np.where(left, 1, np.where(right, 2, 0))
+    of = {"pair": (1, 2), "radii": (10.0, 10.0)}
+    centres = (np.array([11.0, 11, 11]), np.array([36.0, 11, 11]))
+    filled = np.where(labels > 0, 3, 2)
+    none = np.zeros(labels.shape, bool)
+    t = bricks.throat(labels, filled, none, centres=centres, **of)
+    assert t["connected"] and t["dsum_min"] == 5 and t["gap_vox"] == 4 and t["crack_vox"] == 0 and t["binder_frac"] == 1 and abs(t["axis_dip_deg"]) < 1e-6 and t["neck_severed"] == 0 and 0.2 <= t["q_binder"] <= 0.5
+    empty = np.where(labels > 0, 3, 1)
+    t = bricks.throat(labels, empty, empty == 1, centres=centres, **of)
+    assert not t["connected"] and t["crack_frac"] == 1 and t["pore_vox"] == 0 and t["neck_severed"] == 1
+    assert bricks.throat(np.where(left, 1, 0), filled, none, centres=centres, **of) is None
+    grey = np.where(labels > 0, 200.0, 50.0)
+    half_filled = np.where((filled == 2) & (z < 24), 2, empty)
+    cover = [bricks.face_cover(grey, labels, p, none, half=125.0, **of) for p in (filled, empty, half_filled)]
+    assert cover[0]["cover_a"] == cover[0]["cover_b"] == 1.0 and cover[1]["cover_a"] == cover[1]["cover_b"] == 0.0
+    assert cover[2]["cover_a"] > 0.5 > cover[2]["cover_b"]
+    assert np.allclose(bricks.finer(np.array([[0.0, 3.0]]), 3), [[0, 1, 2, 3]]) and bricks.finer(np.array([[0, 3]]), 3, True).tolist() == [[0, 0, 3, 3]]
     hole = np.ones((9, 9), bool)
     hole[4, 4] = False
     assert bricks.closed_slice(hole, 2, 0).all()

@@ -281,48 +281,105 @@ def surface_area(values: np.ndarray, level: float) -> float:
     return total
 
 
-def throat(a: np.ndarray, b: np.ndarray, binder: np.ndarray, pore: np.ndarray, slack: float = 2.0) -> dict[str, float]:
-    """Measures of the gap between two bodies in one box: the lens where dA + dB <= gap + slack, what fills it, and the neck halfway."""
-    da, db = edt(~a), edt(~b)
-    free = ~a & ~b
-    total = np.where(free, da + db, np.inf)
-    low = float(total.min())
-    lens = free & (total <= low + slack)
-    q = np.where(lens, da / np.maximum(da + db, 1e-9), 0.0)
-    parts = label(lens & binder)
-    near_a, near_b = set(np.unique(parts[da <= 1.0])) - {0}, set(np.unique(parts[db <= 1.0])) - {0}
-    neck = lens & (np.abs(q - 0.5) <= 0.15)
-    crack = lens & pore
-    n, k = max(1, int(lens.sum())), int(neck.sum())
+#: Footprint of a throat in bead radii, and voxels that a lens, a fine lens and a shell need: fixed values.
+FOOT, LEAST_LENS, LEAST_FINE, LEAST_SHELL = 0.40, 50, 200, 50
+SHELL = (1.0, 3.0)
+
+
+def _lens(a: np.ndarray, b: np.ndarray, others: np.ndarray, free: np.ndarray, radii: tuple[float, float], scale: float = 1.0) -> dict:
+    """Distances to both bodies, the gap, the territory that no other body is nearer to, and the lens between them with its place q."""
+    da, db = edt(~a) / scale, edt(~b) / scale
+    total = da + db
+    own = np.minimum(da, db) <= (edt(~others) / scale if others.any() else np.inf)
+    gap = float(total[free].min())
+    mean = 0.5 * (radii[0] + radii[1])
+    lens = free & own & (total <= gap + (FOOT * mean) ** 2 / (mean + 0.5 * gap))
+    return {"da": da, "db": db, "total": total, "own": own, "gap": gap, "mean": mean, "lens": lens, "q": np.minimum(da, db) / np.maximum(total, 1e-6)}
+
+
+def _median(values: np.ndarray) -> float:
+    return float(np.median(values)) if len(values) else float("nan")
+
+
+def throat(labels: np.ndarray, phase: np.ndarray, crack: np.ndarray, pair: tuple[int, int], radii: tuple[float, float], centres: tuple[np.ndarray, np.ndarray], least: int = LEAST_LENS) -> dict[str, float] | None:
+    """Measures of the gap between two bodies in one box; None without both of them or with a lens that is too small.
+
+    The lens is where the distances to both add up to little more than their least sum, and its footprint is a share of the
+    radius. What fills it is binder, crack, or pore that isn't crack. The bodies are connected if one component of
+    bodies and binder holds both. The neck is the layer through the narrowest free voxel, across the line of centres.
+    """
+    a, b = labels == pair[0], labels == pair[1]
+    free = (phase > 0) & (labels <= 0)
+    if not a.any() or not b.any() or not free.any():
+        return None
+    m = _lens(a, b, (labels > 0) & ~a & ~b, free, radii)
+    lens, q, n = m["lens"], m["q"], int(m["lens"].sum())
+    if n < least:
+        return None
+    broken, binder = lens & crack, lens & (phase == 2)
+    pore = lens & (phase == 1) & ~broken
+    parts = label(a | b | binder, 26)
+    most = lambda body: int(np.bincount(parts[body]).argmax())
+    line = np.asarray(centres[1], float) - np.asarray(centres[0], float)
+    line = line / max(float(np.linalg.norm(line)), 1e-9)
+    spots = np.argwhere(free)
+    narrow = spots[int(np.argmin(m["total"][free]))]
+    off = sum((g - c) * u for g, c, u in zip(np.ogrid[tuple(slice(0, k) for k in labels.shape)], narrow, line, strict=True))
+    layer = (np.abs(off) <= 0.5) & m["own"] & free
+    neck, cut = layer & (phase == 2), layer & crack
+    area = float("nan")
+    if neck.any():
+        patches, at = label(neck, 26), np.argwhere(neck)
+        nearest = at[int(((at - narrow) ** 2).sum(axis=1).argmin())]
+        area = float((patches == patches[tuple(nearest)]).sum())
+    radius = float(np.sqrt(area / np.pi))
+    n_neck, n_cut = int(neck.sum()), int(cut.sum())
     return {
-        "dsum_min": low, "lens_vox": int(lens.sum()), "binder_vox": int((lens & binder).sum()), "crack_vox": int(crack.sum()), "binder_frac": float((lens & binder).sum() / n), "crack_frac": float(crack.sum() / n),
-        "connected": bool(near_a & near_b), "neck_severed": float((neck & pore).sum() / k) if k else float("nan"), "q_crack": float(np.median(q[crack])) if crack.any() else float("nan"),
+        "gap_vox": max(m["gap"] - 1.0, 0.0), "dsum_min": m["gap"], "axis_dip_deg": float(np.degrees(np.arccos(min(1.0, abs(line[0]))))), "lens_vox": n,
+        "binder_vox": int(binder.sum()), "pore_vox": int(pore.sum()), "crack_vox": int(broken.sum()), "binder_frac": binder.sum() / n, "pore_frac": pore.sum() / n, "crack_frac": broken.sum() / n,
+        "connected": most(a) == most(b), "bond_area_vox": area, "r_bond_vox": radius, "r_bond_over_r": radius / m["mean"], "neck_binder_vox": n_neck, "neck_crack_vox": n_cut, "neck_severed": n_cut / (n_neck + n_cut) if n_neck + n_cut else float("nan"),
+        "q_crack": _median(q[broken]), "q_binder": _median(q[binder]), "q_pore": _median(q[pore]), "dq_paired": _median(q[broken]) - _median(q[binder]),
     }
 
 
-def face_cover(grey: np.ndarray, a: np.ndarray, b: np.ndarray, half: float, fine: int = 3, shell: tuple[float, float] = (1.0, 3.0), reach: float = 6.0) -> dict[str, float]:
-    """Share of each body's facing shell that is solid, on a grid ``fine`` times as fine by trilinear interpolation."""
-
-    def finer(v: np.ndarray) -> np.ndarray:
-        for axis, n in enumerate(v.shape):
-            at = np.clip((np.arange(n * fine) + 0.5) / fine - 0.5, 0, n - 1)
-            i = np.minimum(at.astype(int), max(0, n - 2))
-            t = (at - i).reshape([-1 if k == axis else 1 for k in range(v.ndim)])
-            v = v.take(i, axis) * (1 - t) + v.take(np.minimum(i + 1, n - 1), axis) * t
-        return v
-
-    g, fa, fb = finer(grey.astype(float)), finer(a.astype(float)) >= 0.5, finer(b.astype(float)) >= 0.5
-    da, db = edt(~fa), edt(~fb)
-    facing = ~fa & ~fb & (da + db <= reach * fine)
-    out = {}
-    for name, d in (("cover_a", da), ("cover_b", db)):
-        own = facing & (d >= shell[0]) & (d <= shell[1])
-        out[name] = float((g[own] >= half).mean()) if own.any() else float("nan")
+def finer(v: np.ndarray, times: int, nearest: bool = False) -> np.ndarray:
+    """``v`` on a grid ``times`` as fine between its first and last cells, trilinear or by the nearest cell."""
+    for axis, n in enumerate(v.shape):
+        at = np.arange((n - 1) * times + 1) / times
+        if nearest:
+            v = v.take(np.rint(at).astype(int), axis)
+            continue
+        i = np.minimum(at.astype(int), max(0, n - 2))
+        t = (at - i).reshape([-1 if k == axis else 1 for k in range(v.ndim)])
+        v = v.take(i, axis) * (1 - t) + v.take(np.minimum(i + 1, n - 1), axis) * t
+    return v
+
+
+def face_cover(grey: np.ndarray, labels: np.ndarray, phase: np.ndarray, crack: np.ndarray, pair: tuple[int, int], radii: tuple[float, float], half: float, fine: int = 3, least: int = LEAST_FINE, least_shell: int = LEAST_SHELL) -> dict[str, float] | None:
+    """How much of both bodies' faces in the lens is still covered by binder, and by crack, on a finer grid.
+
+    Bodies are where the interpolated grey is above half and the nearest label is theirs; a face is the lens's shell within
+    ``SHELL`` voxels of a body. None without both bodies or with a lens that is too small; NaN for faces that are.
+    """
+    lab, ph, broken = finer(labels, fine, True), finer(phase, fine, True), finer(crack, fine, True)
+    solid = finer(grey.astype(float), fine) >= half
+    a, b, beads = solid & (lab == pair[0]), solid & (lab == pair[1]), solid & (lab > 0)
+    free = (ph > 0) & ~beads
+    if not a.any() or not b.any() or not free.any():
+        return None
+    m = _lens(a, b, beads & ~a & ~b, free, radii, fine)
+    if m["lens"].sum() < least:
+        return None
+    out = {"gap_sub_vox": m["gap"]}
+    for name, d in (("a", m["da"]), ("b", m["db"])):
+        shell = m["lens"] & (d >= SHELL[0]) & (d <= SHELL[1])
+        enough = shell.sum() >= least_shell
+        out |= {f"cover_{name}": float((ph[shell] == 2).mean()) if enough else float("nan"), f"crack_at_{name}": float(broken[shell].mean()) if enough else float("nan")}
     return out
 
 
 def pair_boxes(vox: DataFrame, pairs: DataFrame, brick: int) -> DataFrame:
-    """``vox`` rows inside each pair's box, with the pair's keys: boxes are spread over the bricks they touch and joined by brick.
+    """``vox`` rows inside each pair's box, with the pair's columns: boxes are spread over the bricks they touch and joined by brick.
 
     ``pairs`` has (scan, bead_a, bead_b) and the box as z0, z1, y0, y1, x0, x1, ends included.
     """
@@ -334,28 +391,50 @@ def pair_boxes(vox: DataFrame, pairs: DataFrame, brick: int) -> DataFrame:
     inside = F.lit(True)
     for a in AXES:
         inside = inside & F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1"))
-    return joined.where(inside).select("scan", "bead_a", "bead_b", *[c for c in vox.columns if c != "scan"])
+    extra = [c for c in pairs.columns if c not in ("scan", "bead_a", "bead_b", *[f"{a}{k}" for a in AXES for k in (0, 1)])]
+    return joined.where(inside).select("scan", "bead_a", "bead_b", *[c for c in vox.columns if c != "scan"], *extra)
+
 
+def _box(part: pd.DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, np.ndarray], dict]:
+    """Arrays of a pair's box, and its pair, radii and centres in the box."""
+    at = part[list(AXES)].to_numpy()
+    low = at.min(axis=0)
+    place, shape = tuple((at - low).T), at.max(axis=0) - low + 1
+    arrays = {}
+    for c in columns:
+        arrays[c] = np.zeros(shape, part[c].to_numpy().dtype)
+        arrays[c][place] = part[c]
+    one = part.iloc[0]
+    return arrays, {"pair": (int(one.bead_a), int(one.bead_b)), "radii": (float(one.r_a), float(one.r_b)), "centres": tuple(np.array([one[f"{s}{x}"] for x in AXES], float) - low for s in ("ca_", "cb_"))}
 
-def throats(boxes: DataFrame, slack: float = 2.0) -> DataFrame:
-    """A row of ``throat`` measures per pair; ``boxes`` has (scan, bead_a, bead_b, z, y, x, label, phase). A group is one box."""
+
+_THROAT = "gap_vox double, dsum_min double, axis_dip_deg double, lens_vox long, binder_vox long, pore_vox long, crack_vox long, binder_frac double, pore_frac double, crack_frac double, connected boolean, bond_area_vox double, r_bond_vox double, r_bond_over_r double, neck_binder_vox long, neck_crack_vox long, neck_severed double, q_crack double, q_binder double, q_pore double, dq_paired double"
+_FACE = "gap_sub_vox double, cover_a double, crack_at_a double, cover_b double, crack_at_b double"
+
+
+def throats(boxes: DataFrame, least: int = LEAST_LENS) -> DataFrame:
+    """A row of ``throat`` measures per pair. A group is one box.
+
+    ``boxes`` has (scan, bead_a, bead_b, z, y, x, label, phase, crack) and, of each pair, r_a, r_b, ca_z .. cb_x.
+    """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        at = part[list(AXES)].to_numpy()
-        low = at.min(axis=0)
-        shape = at.max(axis=0) - low + 1
-        place = tuple((at - low).T)
-        lab, phase = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        lab[place], phase[place] = part.label, part.phase
-        a, b = int(part.bead_a.iloc[0]), int(part.bead_b.iloc[0])
-        if not (lab == a).any() or not (lab == b).any():
-            return pd.DataFrame(columns=names)
-        got = throat(lab == a, lab == b, phase == 2, phase == 1, slack)
-        return pd.DataFrame([{"scan": part.scan.iloc[0], "bead_a": a, "bead_b": b, **got}])[names]
-
-    kinds = {"dsum_min": "double", "lens_vox": "long", "binder_vox": "long", "crack_vox": "long", "binder_frac": "double", "crack_frac": "double", "connected": "boolean", "neck_severed": "double", "q_crack": "double"}
-    names = ["scan", "bead_a", "bead_b", *kinds]
-    return boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+        v, of = _box(part, ("label", "phase", "crack"))
+        got = throat(v["label"], v["phase"], v["crack"], **of, least=least)
+        return pd.DataFrame([] if got is None else [{"scan": part.scan.iloc[0], "bead_a": of["pair"][0], "bead_b": of["pair"][1], **got}], columns=["scan", "bead_a", "bead_b", *[c.split()[0] for c in _THROAT.split(", ")]])
+
+    return boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, " + _THROAT)
+
+
+def faces(boxes: DataFrame, half: float, least: int = LEAST_FINE, least_shell: int = LEAST_SHELL) -> DataFrame:
+    """A row of ``face_cover`` measures per pair; ``boxes`` as for ``throats``, with grey."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        v, of = _box(part, ("grey", "label", "phase", "crack"))
+        got = face_cover(v["grey"], v["label"], v["phase"], v["crack"], of["pair"], of["radii"], half, least=least, least_shell=least_shell)
+        return pd.DataFrame([] if got is None else [{"scan": part.scan.iloc[0], "bead_a": of["pair"][0], "bead_b": of["pair"][1], **got}], columns=["scan", "bead_a", "bead_b", *[c.split()[0] for c in _FACE.split(", ")]])
+
+    return boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, " + _FACE)
 
 
 def geodesic(open_: np.ndarray, cost: np.ndarray | None = None) -> np.ndarray:

@@ -199,16 +199,37 @@ def border_core(vox: DataFrame, label: str, radius: int) -> DataFrame:
     return both.withColumn("code", F.when(F.col(label) <= 0, 0).when(same, 1).otherwise(2)).drop("__hi", "__lo")
 
 
-def feret(vox: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, feret_mean, feret_min): extents, plus one voxel, along the 13 directions of a cube."""
-    dirs = offsets(26, forward=True)
+def half_sphere(n: int) -> list[tuple[float, float, float]]:
+    """n nearly uniform unit directions (z, y, x) on a half sphere, along a golden spiral from the pole."""
+    if n <= 1:
+        return [(0.0, 0.0, 1.0)]
+    turn, out = np.pi * (3.0 - np.sqrt(5.0)), []
+    for k in range(n):
+        up = 1.0 - k / (n - 1)
+        ring = np.sqrt(max(0.0, 1.0 - up * up))
+        out.append((float(np.sin(turn * k) * ring), float(up), float(np.cos(turn * k) * ring)))
+    return out
+
+
+def feret(vox: DataFrame, keys: Sequence[str], directions: int = 13) -> DataFrame:
+    """(keys, feret_mean, feret_min): extents, plus one voxel, along directions of a half sphere, in one aggregation."""
     spans = []
-    for d in dirs:
-        n = sum(k * k for k in d) ** 0.5
-        t = sum((F.col(a) * float(k) for a, k in zip(AXES[1:], d[1:], strict=True)), F.col("z") * float(d[0])) / n
+    for d in half_sphere(directions):
+        t = F.col("z") * d[0] + F.col("y") * d[1] + F.col("x") * d[2]
         spans.append(F.max(t) - F.min(t) + 1.0)
     got = vox.groupBy(*keys).agg(F.array(*spans).alias("spans"))
-    return got.select(*keys, (F.aggregate("spans", F.lit(0.0), lambda a, x: a + x) / len(dirs)).alias("feret_mean"), F.array_min("spans").alias("feret_min"))
+    return got.select(*keys, (F.aggregate("spans", F.lit(0.0), lambda a, x: a + x) / directions).alias("feret_mean"), F.array_min("spans").alias("feret_min"))
+
+
+def crack_split(gaps: DataFrame, envelope: DataFrame, shape: tuple[int, int, int], void_below: float, min_body: int = 100, half_width: int = 5, skin: int = 20) -> DataFrame:
+    """(scan, z, y, x, class) of gap voxels: bodies below ``min_body`` voxels are left out, those below ``void_below`` are void; of the rest,
+    what survives ``half_width`` erosions is separation, and the crack is body inside of the envelope's skin, else surface."""
+    comps = labelled(gaps, shape, 6).where(F.col("size") >= min_body)
+    rest = comps.where(F.col("size") >= void_below).select(*KEY)
+    deep = eroded(rest, half_width).withColumn("deep", F.lit(True))
+    core = eroded(envelope.select(*KEY), skin).withColumn("core", F.lit(True))
+    kind = F.when(F.col("size") < void_below, "void").when(F.col("deep"), "separation").when(F.col("core"), "body").otherwise("surface")
+    return comps.join(deep, [*KEY], "left").join(core, [*KEY], "left").select(*KEY, kind.alias("class"))
 
 
 def framed(vox: DataFrame, shifts: DataFrame) -> DataFrame:

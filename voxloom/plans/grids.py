@@ -154,16 +154,12 @@ def trapped_air(spark: SparkSession, d: str) -> DataFrame:
     return air.groupBy("scan", F.when(F.col("t"), "trapped").otherwise("outside").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, s AS (SELECT m.*, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), n AS (SELECT a.id, min(abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x)) AS d FROM s a JOIN voxels b ON b.scan = a.scan AND b.phase = 3 AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 2 GROUP BY 1) SELECT s.scan, CASE WHEN size < 4 THEN 'void' WHEN d IS NULL THEN 'separation' WHEN s.y IN (0, 15) OR s.x IN (0, 9) THEN 'surface' ELSE 'body' END AS class, count(*) AS n FROM s LEFT JOIN n USING (id) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, {_STAR}, s AS (SELECT m.*, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), rest AS (SELECT * FROM s WHERE size >= 6), deep AS (SELECT a.id FROM rest a, star, rest b WHERE {_SAME} GROUP BY 1 HAVING count(*) = 7), core AS (SELECT a.scan, a.z, a.y, a.x FROM voxels a, star, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7) SELECT s.scan, CASE WHEN size < 6 THEN 'void' WHEN deep.id IS NOT NULL THEN 'separation' WHEN core.z IS NOT NULL THEN 'body' ELSE 'surface' END AS class, count(*) AS n FROM s LEFT JOIN deep ON deep.id = s.id LEFT JOIN core ON core.scan = s.scan AND core.z = s.z AND core.y = s.y AND core.x = s.x WHERE size >= 2 GROUP BY 1, 2")
 def crack_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps by size, then by distance to the solid, then by depth under the skin."""
+    """Gaps by size, then by width, then by depth under the skin; thresholds fit the small grid."""
     own = voxels(spark, d)
-    gaps = grid.labelled(own.where("phase = 1"), SHAPE, 6)
-    ball = [o for o in ((z, y, x) for z in range(-2, 3) for y in range(-2, 3) for x in range(-2, 3)) if 0 < sum(map(abs, o)) <= 2]
-    near = grid.shifted(own.where("phase = 3"), ball).select(*KEY).distinct().withColumn("near", F.lit(True))
-    skin = F.col("y").isin(0, SHAPE[1] - 1) | F.col("x").isin(0, SHAPE[2] - 1)
-    kind = F.when(F.col("size") < 4, "void").when(F.col("near").isNull(), "separation").when(skin, "surface").otherwise("body")
-    return gaps.join(near, KEY, "left").groupBy("scan", kind.alias("class")).agg(F.count("*").alias("n"))
+    got = grid.crack_split(own.where("phase = 1"), own, SHAPE, void_below=6, min_body=2, half_width=1, skin=1)
+    return got.groupBy("scan", "class").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {VOXELS}, v AS (SELECT scan, z, y, x FROM voxels WHERE phase = 3), r AS (SELECT *, lag(x) OVER (PARTITION BY scan, z, y ORDER BY x) AS b FROM v) SELECT scan, round(count(*) / sum((b IS NULL OR b <> x - 1)::INTEGER), 6) AS mil FROM r GROUP BY 1")
@@ -202,8 +198,8 @@ def multi_otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return stats.multi_otsu(h, ["scan"])
 
 
-_DIRS = [o for o in grid.offsets(26, forward=True)]
-_FERET = ", ".join(f"max((z * {a}.0 + y * {b}.0 + x * {e}.0)::DOUBLE / sqrt({a * a + b * b + e * e}.0::DOUBLE)) - min((z * {a}.0 + y * {b}.0 + x * {e}.0)::DOUBLE / sqrt({a * a + b * b + e * e}.0::DOUBLE)) + 1" for a, b, e in _DIRS)
+_DIRS = grid.half_sphere(13)
+_FERET = ", ".join(f"max(z * {a!r}::DOUBLE + y * {b!r}::DOUBLE + x * {e!r}::DOUBLE) - min(z * {a!r}::DOUBLE + y * {b!r}::DOUBLE + x * {e!r}::DOUBLE) + 1" for a, b, e in _DIRS)
 
 
 @query(f"WITH {VOXELS}, f AS (SELECT scan, label, [{_FERET}] AS s FROM voxels WHERE label > 0 GROUP BY 1, 2) SELECT scan, label, round(list_avg(s), 6) AS feret_mean, round(list_min(s), 6) AS feret_min FROM f")
@@ -303,15 +299,22 @@ def split_instances(spark: SparkSession, d: str) -> DataFrame:
     return bricks.instances(voxels(spark, d).where("phase = 3").select(*KEY), 8, 8, 0.4).groupBy("scan", "owner", "label").agg(F.count("*").alias("n"))
 
 
-@query()
-def throat_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Lens, filling, connection and neck of the gaps between touching bodies, a box each."""
+def _pair_boxes(spark: SparkSession, d: str, margin: int) -> DataFrame:
+    """Voxels of the boxes round touching bodies, with radii and centres; what is air counts as crack."""
     own = voxels(spark, d)
     pairs = grid.contact_pairs(own, "label", F.lit(True), 4).select("scan", F.col("lo").alias("bead_a"), F.col("hi").alias("bead_b"))
-    box = own.where("label > 0").groupBy("scan", F.col("label").alias("bead")).agg(*[f(a).alias(f"{a}{k}") for a in "zyx" for k, f in ((0, F.min), (1, F.max))])
-    a, b = (box.withColumnsRenamed({"bead": f"bead_{s}", **{f"{x}{k}": f"{s}{x}{k}" for x in "zyx" for k in (0, 1)}}) for s in "ab")
-    both = pairs.join(a, ["scan", "bead_a"]).join(b, ["scan", "bead_b"]).select("scan", "bead_a", "bead_b", *[(F.least(f"a{x}0", f"b{x}0") - 1).alias(f"{x}0") for x in "zyx"], *[(F.greatest(f"a{x}1", f"b{x}1") + 1).alias(f"{x}1") for x in "zyx"])
-    return bricks.throats(bricks.pair_boxes(own.select(*KEY, "label", "phase"), both, 8))
+    body = own.where("label > 0").groupBy("scan", F.col("label").alias("bead")).agg((g.equivalent_diameter(F.count("*")) / 2).alias("r"), *[f(x).alias(f"{x}{k}") for x in "zyx" for k, f in ((0, F.min), (1, F.max))], *[F.avg(x).alias(f"c_{x}") for x in "zyx"])
+    a, b = (body.withColumnsRenamed({"bead": f"bead_{s}", "r": f"r_{s}", **{f"c_{x}": f"c{s}_{x}" for x in "zyx"}, **{f"{x}{k}": f"{s}{x}{k}" for x in "zyx" for k in (0, 1)}}) for s in "ab")
+    both = pairs.join(a, ["scan", "bead_a"]).join(b, ["scan", "bead_b"])
+    box = [f(f"a{x}{k}", f"b{x}{k}") + (-margin if k == 0 else margin) for x in "zyx" for k, f in ((0, F.least), (1, F.greatest))]
+    both = both.select("scan", "bead_a", "bead_b", "r_a", "r_b", *[f"c{s}_{x}" for s in "ab" for x in "zyx"], *[c.alias(n) for c, n in zip(box, [f"{x}{k}" for x in "zyx" for k in (0, 1)], strict=True)])
+    return bricks.pair_boxes(own.select(*KEY, "grey", "label", "phase", (F.col("phase") == 1).alias("crack")), both, 8)
+
+
+@query()
+def throat_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Lens, filling, connection and neck of the gaps between touching bodies, a box each; the least lens fits the small grid."""
+    return bricks.throats(_pair_boxes(spark, d, 6), least=4)
 
 
 @query()
@@ -426,27 +429,10 @@ def surface_areas(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def face_covers(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the facing shells of touching bodies is solid, on a grid three times as fine, and the class that follows."""
-    import pandas as pd
-
-    own = voxels(spark, d)
-    pairs = grid.contact_pairs(own, "label", F.lit(True), 4).select("scan", F.col("lo").alias("bead_a"), F.col("hi").alias("bead_b"))
-    box = own.where("label > 0").groupBy("scan", F.col("label").alias("bead")).agg(*[f(a).alias(f"{a}{k}") for a in "zyx" for k, f in ((0, F.min), (1, F.max))])
-    a, b = (box.withColumnsRenamed({"bead": f"bead_{s}", **{f"{x}{k}": f"{s}{x}{k}" for x in "zyx" for k in (0, 1)}}) for s in "ab")
-    both = pairs.join(a, ["scan", "bead_a"]).join(b, ["scan", "bead_b"]).select("scan", "bead_a", "bead_b", *[(F.least(f"a{x}0", f"b{x}0") - 1).alias(f"{x}0") for x in "zyx"], *[(F.greatest(f"a{x}1", f"b{x}1") + 1).alias(f"{x}1") for x in "zyx"])
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        at = part[["z", "y", "x"]].to_numpy()
-        low = at.min(axis=0)
-        grey, lab = np.zeros(at.max(axis=0) - low + 1), np.zeros(at.max(axis=0) - low + 1, int)
-        grey[tuple((at - low).T)], lab[tuple((at - low).T)] = part.grey, part.label
-        got = bricks.face_cover(grey, lab == part.bead_a.iloc[0], lab == part.bead_b.iloc[0], 25_000.0)
-        return pd.DataFrame([(part.scan.iloc[0], part.bead_a.iloc[0], part.bead_b.iloc[0], *got.values())], columns=["scan", "bead_a", "bead_b", "cover_a", "cover_b"])
-
-    boxes = bricks.pair_boxes(own.select(*KEY, "grey", "label"), both, 8)
-    cover = boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, cover_a double, cover_b double")
-    some = lambda n: F.when(~F.isnan(n), F.col(n))
-    return cover.select("scan", "bead_a", "bead_b", r6(some("cover_a")).alias("cover_a"), r6(some("cover_b")).alias("cover_b"), c.face_class(some("cover_a"), some("cover_b")).alias("face_class"))
+    """How much of both faces of a throat is covered, on a grid three times as fine, and the class that follows."""
+    got = bricks.faces(_pair_boxes(spark, d, 4), 25_000.0, least=20, least_shell=5)
+    a, b = (F.when(~F.isnan(n), F.col(n)) for n in ("cover_a", "cover_b"))
+    return got.select("scan", "bead_a", "bead_b", r6(F.col("gap_sub_vox")).alias("gap_sub_vox"), r6(a).alias("cover_a"), r6(b).alias("cover_b"), c.face_class(a, b).alias("face_class"), c.bare_bead(a, b, F.col("bead_a"), F.col("bead_b")).alias("bare_bead"))
 
 
 @query(f"WITH {VOXELS}, p(p) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) SELECT scan, p, round(CASE p WHEN 0.05 THEN quantile_cont(grey, 0.05) WHEN 0.5 THEN quantile_cont(grey, 0.5) ELSE quantile_cont(grey, 0.95) END, 3) AS grey FROM voxels, p GROUP BY 1, 2")

@@ -35,7 +35,8 @@ def bond_failure_census(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("specimen", F.when(F.col("__all") == 1, "all").otherwise(F.col("specimen"))).drop("__all")
 
 
-_FACE = "CASE WHEN cover_a IS NULL OR cover_b IS NULL THEN 'unmeasured' WHEN least(cover_a, cover_b) >= 0.8::DOUBLE THEN 'cohesive' WHEN least(cover_a, cover_b) <= 0.2::DOUBLE AND greatest(cover_a, cover_b) >= 0.8::DOUBLE THEN 'adhesive' WHEN greatest(cover_a, cover_b) <= 0.2::DOUBLE THEN 'stripped' ELSE 'mixed' END"
+_FACE = "CASE WHEN cover_a IS NULL OR cover_b IS NULL THEN 'unmeasured' WHEN least(cover_a, cover_b) >= 0.5::DOUBLE THEN 'cohesive' WHEN greatest(cover_a, cover_b) >= 0.5::DOUBLE AND least(cover_a, cover_b) < 0.2::DOUBLE THEN 'adhesive' WHEN greatest(cover_a, cover_b) < 0.2::DOUBLE THEN 'stripped' ELSE 'mixed' END"
+_Q = "CASE WHEN q_crack <= 0.15::DOUBLE THEN 'adhesive' WHEN q_crack >= 0.3::DOUBLE THEN 'cohesive' ELSE 'mixed' END"
 
 
 @query(f"WITH {THROATS}, k AS (SELECT specimen, {_FACE} AS face_class FROM throats), d AS (SELECT DISTINCT specimen FROM throats), v(face_class) AS (VALUES ('cohesive'), ('adhesive'), ('stripped'), ('mixed'), ('unmeasured')) SELECT d.specimen, v.face_class, count(k.specimen) AS n FROM d CROSS JOIN v LEFT JOIN k ON k.specimen = d.specimen AND k.face_class = v.face_class GROUP BY 1, 2")
@@ -44,12 +45,20 @@ def face_class_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.value_counts(own, "face_class", c.FACE_CLASSES, ["specimen"])
 
 
-@query(f"WITH {THROATS}, k AS (SELECT specimen, CASE WHEN NOT connected THEN 'detached' WHEN coalesce(crack_frac, 0) <= 0 THEN 'none' WHEN q_crack IS NULL THEN 'mixed' WHEN q_crack >= 0.35::DOUBLE THEN 'cohesive' WHEN q_crack <= 0.15::DOUBLE THEN 'adhesive' ELSE 'mixed' END AS q_class FROM throats), d AS (SELECT DISTINCT specimen FROM throats), v(q_class) AS (VALUES ('none'), ('detached'), ('cohesive'), ('adhesive'), ('mixed')) SELECT d.specimen, v.q_class, count(k.specimen) AS n FROM d CROSS JOIN v LEFT JOIN k ON k.specimen = d.specimen AND k.q_class = v.q_class GROUP BY 1, 2")
+@query(f"WITH {THROATS}, k AS (SELECT specimen, CASE WHEN crack_vox < 200 THEN 'intact' ELSE {_Q} END AS q_class FROM throats), d AS (SELECT DISTINCT specimen FROM throats), v(q_class) AS (VALUES ('intact'), ('adhesive'), ('cohesive'), ('mixed')) SELECT d.specimen, v.q_class, count(k.specimen) AS n FROM d CROSS JOIN v LEFT JOIN k ON k.specimen = d.specimen AND k.q_class = v.q_class GROUP BY 1, 2")
 def q_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    own = throats(spark, d).withColumn("q_class", c.q_class(F.col("connected"), F.col("crack_frac"), F.col("q_crack")))
+    own = throats(spark, d).withColumn("q_class", c.q_class(F.col("crack_vox"), F.col("q_crack")))
     return stats.value_counts(own, "q_class", c.Q_CLASSES, ["specimen"])
 
 
+@query(f"WITH {THROATS}, k AS (SELECT specimen, l_orderkey, l_linenumber, bead_a, bead_b, crack_frac, CASE WHEN NOT connected THEN 'detached' WHEN crack_vox < 200 THEN NULL ELSE {_Q} END AS q_class FROM throats) SELECT specimen, q_class, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY specimen, q_class ORDER BY crack_frac DESC, l_orderkey, l_linenumber, bead_a, bead_b) AS rank FROM k WHERE q_class IS NOT NULL")
+def rank_in_class(spark: SparkSession, d: str) -> DataFrame:
+    """Single throats by class, those with the most crack first; uncracked ones have no class."""
+    own = throats(spark, d).withColumn("q_class", c.q_class(F.col("crack_vox"), F.col("q_crack"), F.col("connected"))).where("q_class is not null")
+    w = Window.partitionBy("specimen", "q_class").orderBy(F.desc("crack_frac"), "l_orderkey", "l_linenumber", "bead_a", "bead_b")
+    return own.select("specimen", "q_class", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank"))
+
+
 @query(f"WITH {THROATS}, t(threshold) AS (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) SELECT specimen, threshold, CASE WHEN least(cover_a, cover_b) >= threshold THEN 'cohesive' ELSE 'adhesive' END AS mode, count(*) AS n FROM throats, t GROUP BY 1, 2, 3")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Every throat at every threshold: the grid is an array in the row, not a join."""
@@ -57,10 +66,10 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("specimen", "threshold", c.mode_at(F.col("cover_a"), F.col("cover_b"), F.col("threshold")).alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {THROATS} SELECT l_orderkey, l_linenumber, CASE WHEN cover_a < cover_b THEN bead_a ELSE bead_b END AS bare_bead, round(abs(cover_a - cover_b) / greatest(cover_a + cover_b, 1e-9), 6) AS asymmetry FROM throats WHERE {_FACE} = 'adhesive'")
+@query(f"WITH {THROATS} SELECT l_orderkey, l_linenumber, CASE WHEN cover_a <= cover_b THEN bead_a ELSE bead_b END AS bare_bead, round(abs(cover_a - cover_b) / greatest(cover_a + cover_b, 1e-9), 6) AS asymmetry FROM throats WHERE {_FACE} = 'adhesive'")
 def bare_beads(spark: SparkSession, d: str) -> DataFrame:
     a = [F.col(n) for n in ("cover_a", "cover_b", "bead_a", "bead_b")]
-    own = throats(spark, d).withColumn("bare_bead", c.bare_bead(*a)).where("bare_bead is not null")
+    own = throats(spark, d).withColumn("bare_bead", c.bare_bead(*a)).where(c.face_class(*a[:2]) == "adhesive")
     return own.select("l_orderkey", "l_linenumber", "bare_bead", r6(c.asymmetry(*a[:2])).alias("asymmetry"))
 
 
@@ -246,7 +255,7 @@ def psd_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").agg(F.count("*").alias("n"), F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
-@query(f"WITH {GRAINS}, p AS (SELECT a.id AS a, b.id AS b, degrees(acos(least(abs(b.z - a.z) / greatest(sqrt((b.z - a.z) * (b.z - a.z) + (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)), 1e-12), 1.0))) AS dip FROM grains a JOIN grains b ON a.label = b.label AND b.id = a.id + 10) SELECT a, b, round(dip, 4) AS dip, CASE WHEN dip < 20 THEN 'horizontal' WHEN dip > 70 THEN 'vertical' ELSE 'inclined' END AS dip_class, CASE WHEN dip < 30 THEN 'horizontal' WHEN dip > 60 THEN 'vertical' ELSE 'inclined' END AS dip_class_30 FROM p")
+@query(f"WITH {GRAINS}, p AS (SELECT a.id AS a, b.id AS b, degrees(acos(least(abs(b.z - a.z) / greatest(sqrt((b.z - a.z) * (b.z - a.z) + (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)), 1e-12), 1.0))) AS dip FROM grains a JOIN grains b ON a.label = b.label AND b.id = a.id + 10) SELECT a, b, round(dip, 4) AS dip, CASE WHEN dip >= 70 THEN 'vertical' WHEN dip >= 20 THEN 'diagonal' ELSE 'horizontal' END AS dip_class, CASE WHEN dip >= 60 THEN 'vertical' WHEN dip >= 30 THEN 'diagonal' ELSE 'horizontal' END AS dip_class_30 FROM p")
 def dip_classes(spark: SparkSession, d: str) -> DataFrame:
     a, b = grains(spark, d).select("id", "z", "y", "x", "label"), grains(spark, d).select((F.col("id") - 10).alias("id"), F.col("z").alias("z2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "label")
     dip = g.branch_dip(F.col("z2") - F.col("z"), F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
@@ -254,18 +263,19 @@ def dip_classes(spark: SparkSession, d: str) -> DataFrame:
     return own.select(F.col("id").alias("a"), (F.col("id") + 10).alias("b"), F.round("dip", 4).alias("dip"), c.dip_class(F.col("dip")).alias("dip_class"), c.dip_class(F.col("dip"), 30, 60).alias("dip_class_30"))
 
 
-@query("SELECT CASE WHEN p_size < 5 THEN 'NOISE' WHEN pl >= 0.6 AND gs >= 0.3 AND is_ >= 0.3 THEN 'DELAMINATION' WHEN pl >= 0.6 AND is_ >= 0.6 THEN 'ICE-FRACTURE' WHEN pl >= 0.6 THEN 'CRACK' ELSE 'CAVITY' END AS damage_class, count(*) AS n FROM (SELECT p_size, (p_partkey % 10) / 10.0 AS pl, (p_partkey % 7) / 10.0 AS gs, (p_partkey % 9) / 10.0 AS is_ FROM part) GROUP BY 1")
+@query("WITH k AS (SELECT p_size * 10 AS n, (p_partkey % 10) / 10.0 AS pl, (p_partkey % 4)::DOUBLE AS th, (p_partkey % 7) / 10.0 AS gs, (p_partkey % 9) / 10.0 AS ice, p_partkey % 3 = 0 AS perc, p_retailprice AS len FROM part), c AS (SELECT *, CASE WHEN n < 50 THEN 'NOISE' WHEN pl >= 0.6 AND th <= 2 THEN 'CRACK' WHEN gs >= 0.55 THEN 'DELAMINATION' WHEN ice >= 0.55 THEN 'ICE-FRACTURE' ELSE 'CAVITY' END AS damage_class FROM k) SELECT damage_class, damage_class = 'CRACK' AND perc AND len / 2000.0 >= 0.5 AS fully_developed, count(*) AS n FROM c GROUP BY 1, 2")
 def damage_classes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    of = c.damage_class(F.col("p_size") * 10, k % 10 / 10.0, k % 7 / 10.0, k % 9 / 10.0)
-    return table(spark, d, "part").groupBy(of.alias("damage_class")).agg(F.count("*").alias("n"))
+    own = table(spark, d, "part").withColumn("damage_class", c.damage_class(F.col("p_size") * 10, k % 10 / 10.0, (k % 4).cast("double"), k % 7 / 10.0, k % 9 / 10.0))
+    full = c.fully_developed(F.col("damage_class"), k % 3 == 0, F.col("p_retailprice"), F.lit(2000.0))
+    return own.groupBy("damage_class", full.alias("fully_developed")).agg(F.count("*").alias("n"))
 
 
-@query("WITH z AS (SELECT l_quantity AS ice0, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity * l_discount * 10 END AS ice1, l_orderkey % 50 AS zone, l_partkey % 40 AS air, l_suppkey % 30 AS contact FROM lineitem) SELECT CASE WHEN coalesce(ice1, 0) <= 0 THEN 'BROKEN' WHEN ice1 / greatest(ice0, 1) < 0.5 THEN 'WEAKENED' ELSE 'SURVIVING' END AS state, CASE WHEN zone <= 0 THEN 'unknown' WHEN contact / zone >= 0.3 THEN 'crush' WHEN air / zone >= 0.5 THEN 'delamination' WHEN ice0 / zone >= 0.5 THEN 'ice' ELSE 'mixed' END AS mode, count(*) AS n FROM z GROUP BY 1, 2")
+@query("WITH z AS (SELECT l_quantity AS ice0, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity * l_discount * 10 END AS ice1, (l_partkey % 40)::DOUBLE AS air, l_quantity AS ice, (l_suppkey % 300)::DOUBLE AS contact FROM lineitem) SELECT CASE WHEN coalesce(ice1, 0) = 0 THEN 'BROKEN' WHEN ice1 < 0.5::DOUBLE * ice0 THEN 'WEAKENED' ELSE 'SURVIVING' END AS state, CASE WHEN air + ice + contact < 20 THEN 'UNCLEAR' WHEN (contact > 0 AND air + ice < 20) OR contact / (air + ice + contact) >= 0.8::DOUBLE THEN 'CRUSHED' WHEN air / (air + ice) >= 0.7::DOUBLE THEN 'DELAMINATION' WHEN air / (air + ice) <= 0.3::DOUBLE THEN 'COHESIVE' ELSE 'MIXED' END AS mode, count(*) AS n FROM z GROUP BY 1, 2")
 def failure_modes(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     after = F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") * F.col("l_discount") * 10)
-    mode = c.volume_mode(F.col("l_partkey") % 40, F.col("l_quantity"), F.col("l_suppkey") % 30, F.col("l_orderkey") % 50)
+    mode = c.volume_mode((F.col("l_partkey") % 40).cast("double"), F.col("l_quantity"), (F.col("l_suppkey") % 300).cast("double"))
     return li.groupBy(c.bond_state(F.col("l_quantity"), after).alias("state"), mode.alias("mode")).agg(F.count("*").alias("n"))
 
 

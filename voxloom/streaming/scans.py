@@ -20,7 +20,7 @@ def object_stream(spark: SparkSession, path: str, schema: str, files_per_trigger
 
 def running_census(throats: DataFrame) -> DataFrame:
     """(specimen, scan, n, cohesive, gap_mean): kept up to date; map-side sums, so state is one row per specimen and scan."""
-    mode = c.mode_at(F.col("cover_a"), F.col("cover_b"), c.COVER_HIGH)
+    mode = c.mode_at(F.col("cover_a"), F.col("cover_b"), c.MODE_HIGH)
     return throats.groupBy("specimen", "scan").agg(F.count("*").alias("n"), F.count_if(mode == "cohesive").alias("cohesive"), F.avg("gap_vox").alias("gap_mean"))
 
 
