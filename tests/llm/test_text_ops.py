@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.common import WORD, rows, table
+from voxloom.llm import ngram_join
 from voxloom.llm import queries as q
 from voxloom.llm.classifier import isotonic, score_documents
 from voxloom.llm.mixing import mix_sources, plan_mix
@@ -24,6 +25,15 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_word_hashes_dont_depend_on_pieces(monkeypatch):
+    texts = [b"", b"  ", b"A bc\tDEF " * 50, "x é\n".encode() * 33, b"one" * 40, b"tail "]
+    whole = ngram_join.word_hashes(texts)
+    monkeypatch.setattr(ngram_join, "HASH_BYTES", 16)
+    parts = ngram_join.word_hashes(texts)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist() == [len(t.split()) for t in texts]
+    assert len(set(whole[0].tolist())) == len({w for t in texts for w in t.lower().split()})
+
+
 def linked(docs):
     """Component by position in docs, by all pairs that share a shingle."""
     sets, where, top = [shingles(t) for _, t in docs], defaultdict(list), list(range(len(docs)))

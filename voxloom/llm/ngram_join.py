@@ -19,6 +19,7 @@ as many comparisons as it has members, and no link between components is lost.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from voxloom.operators.components import components
 from voxloom.scratch import Scratch
 
-#: Bytes of text hashed at once, and n-grams in a block. Both bound a task's memory.
-CHUNK_BYTES, BLOCK_GRAMS = 4 << 20, 1 << 20
+#: Bytes of text in a block, and of those that are hashed at once. Both bound a task's memory.
+CHUNK_BYTES, HASH_BYTES = 4 << 20, 1 << 20
 #: Fragments whose partial overlaps are counted apart when a pair is verified.
 SEGMENTS = 8
 HUB_ROUNDS = 2
@@ -54,30 +55,53 @@ _FOLD[ord("A") : ord("Z") + 1] += np.uint64(32)
 _BYTE = _mix(_FOLD)
 _P = 0xD6E8FEB86659FD93
 _P_INV = pow(_P, -1, 1 << 64)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        x = np.full(max(n, CHUNK_BYTES), np.uint64(base))
+        x = np.full(max(n, HASH_BYTES + (1 << 18)), np.uint64(base))
         x[0] = 1
         _powers[name] = np.multiply.accumulate(x)
     return _powers[name][:n]
 
 
+def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(number, text) in lists of about ``HASH_BYTES``; longer texts are cut at white space."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while True:
+            stop = len(text)
+            if stop - at > HASH_BYTES and (gap := _GAP.search(text, at + HASH_BYTES)):
+                stop = gap.start()
+            held.append((k, text[at:stop] if at or stop < len(text) else text))
+            size += stop - at + 1
+            at = stop
+            if size >= HASH_BYTES:
+                yield held
+                held, size = [], 0
+            if at >= len(text):
+                break
+    if held:
+        yield held
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z folded, and each text's number of words; words are runs of other than ASCII white space."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power("p", _P, len(data)), dtype=np.uint64)))
-        words = _mix((summed[end] - summed[start]) * _power("i", _P_INV, len(data))[start] + (end - start).astype(np.uint64) * _M2)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return words, np.diff(np.searchsorted(start, bounds), prepend=0)
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for part in _pieces(texts):
+        data = np.frombuffer(b" ".join([*(t for _, t in part), b""]), np.uint8)
+        inside = np.concatenate(([False], ~_SPACE[data], [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power("p", _P, len(data)), dtype=np.uint64)))
+            found.append(_mix((summed[end] - summed[start]) * _power("i", _P_INV, len(data))[start] + (end - start).astype(np.uint64) * _M2))
+        bounds = np.cumsum([len(t) + 1 for _, t in part])
+        np.add.at(counts, [k for k, _ in part], np.diff(np.searchsorted(start, bounds), prepend=0))
+    return np.concatenate(found), counts
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
