@@ -26,7 +26,7 @@ def test_correlation_and_delimited(spark, tmp_path):
 
 
 def test_nested_records_reports_archives(spark, tmp_path):
-    cube = lambda t, d: {"z_frac": 0.5, "phi_ice": 0.4, "tau_z": t, "Deff": [d], "tau": [t], "ok": True, "error": None}
+    cube = lambda t, d: {"z_frac": 0.5, "phi_ice": 0.4, "tau_z": t, "Deff": [-1.0, 0.0, d], "tau": [0.0, 0.0, t], "ok": True, "error": None}
     (tmp_path / "c.json").write_text(json.dumps({"tag": "A", "cube_vox": 8, "cubes": [cube(1.5, 0.2), cube(0.5, 0.2), cube(2.5, 0.1)]}, indent=1))
     r = tables.accepted_cubes(tables.read_cubes(spark, f"file://{tmp_path}/c.json")).first()
     assert (r["n_cubes"], r["n_ok"], r["tau"], r["tau_sd"]) == (3, 2, 2.0, 0.5)

@@ -40,9 +40,9 @@ def read_cubes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CUBES).option("multiLine", True).json(path)
 
 
-def accepted_cubes(cubes: DataFrame) -> DataFrame:
-    """(tag, n_cubes, n_ok, tau, tau_sd): mean and population deviation over axial tau of accepted cubes: finite, at least 1, with a positive diffusivity."""
-    good = F.filter("cubes", lambda c: c["tau_z"].isNotNull() & ~F.isnan(c["tau_z"]) & (c["tau_z"] >= 1) & (c["tau_z"] < float("inf")) & (F.coalesce(F.get(c["Deff"], F.lit(0)), F.lit(1.0)) > 0))
+def accepted_cubes(cubes: DataFrame, axis: int = 2) -> DataFrame:
+    """(tag, n_cubes, n_ok, tau, tau_sd): mean and population deviation over axial tau of accepted cubes: finite, at least 1, with a positive diffusivity along ``axis``."""
+    good = F.filter("cubes", lambda c: c["tau_z"].isNotNull() & ~F.isnan(c["tau_z"]) & (c["tau_z"] >= 1) & (c["tau_z"] < float("inf")) & (F.coalesce(F.get(c["Deff"], F.lit(axis)), F.lit(1.0)) > 0))
     tau = F.transform(good, lambda c: c["tau_z"])
     flat = cubes.select("tag", F.size("cubes").alias("n_cubes"), tau.alias("t"))
     mean = F.try_divide(F.aggregate("t", F.lit(0.0), lambda a, x: a + x), F.size("t"))
