@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import bricks, field, graph, grid, series, spatial, stats
+from voxloom.operators import bricks, field, graph, grid, inference, series, spatial, stats
 from voxloom.schema import ingest
 
 
@@ -307,3 +307,17 @@ def test_delaunay(spark):
     df = spark.createDataFrame([(0, k, *map(float, a), *map(float, h @ a)) for k, a in enumerate(p)], "label int, id long, z double, y double, x double, uz double, uy double, ux double")
     got = field.tetra_gradients(df, "label").collect()
     assert len(got) > 100 and all(np.allclose([r[f"h{k}"] for k in range(9)], h.ravel(), atol=1e-6) for r in got)
+
+
+def test_clustering_sweep(spark):
+    """Broken points that lie in a plane stand out against draws from a cloud; points broken at random don't."""
+    draw = np.random.default_rng(10)
+    cloud = draw.random((200, 3)) * 10
+    sheet = np.column_stack([np.full(30, 5.0) + draw.normal(0, 0.02, 30), draw.random(30) * 3, draw.random(30) * 3])
+    p = np.vstack([cloud, sheet])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(p)], "id long, z double, y double, x double")
+    r = inference.clustering_sweep(df, df.where("id >= 200"), 0.5, (1.0,), 40, 3).first()
+    assert r["biggest"] >= 20 and r["p_biggest"] == 0 and r["rms_r"] < 0.1 and r["frac_in"] > 0.6
+    r = inference.clustering_sweep(df, df.where("id < 30"), 0.5, (1.0,), 40, 3).first()
+    assert r["p_biggest"] > 0.05
+    assert r["clusters"] == 0 or r["rms_r"] > 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import field, graph, spatial, stats
+from voxloom.operators import field, graph, inference, spatial, stats
 from voxloom.operators.components import components
 from voxloom.plans.registry import query
 from voxloom.plans.standins import EDGES, GRAINS, edges, grains, table
@@ -254,18 +254,11 @@ def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def clustering_null(spark: SparkSession, d: str, replicas: int = 100, eps: float = 0.12) -> DataFrame:
-    """Largest cluster of broken points against as many drawn at random: all replicas in one keyed DBSCAN."""
-    scratch = Scratch(spark, "null")
-    own = scratch.put(grains(spark, d), "points")
-    broke = own.where("label = 0")
-    draws = scratch.put(stats.resampled(own, broke.count(), replicas, "id", 20).unionByName(broke.withColumn("replica", F.lit(-1))).withColumn("pid", (F.col("replica") + 1) * F.lit(1 << 32) + F.col("id")), "draws")
-    got = graph.dbscan(draws, eps, 3, keys=["replica"], id_col="pid", least=3)
-    top = got.where("cluster <> -1").groupBy("replica", "cluster").agg(F.count("*").alias("n")).groupBy("replica").agg(F.max("n").alias("biggest"), F.count("*").alias("clusters"))
-    every = spark.range(-1, replicas).select(F.col("id").cast("int").alias("replica")).join(top, "replica", "left").fillna(0)
-    seen = every.where("replica = -1").select(F.col("biggest").alias("seen"))
-    null = every.where("replica >= 0").crossJoin(F.broadcast(seen))
-    return stats.tail_p(null, F.col("seen"), "biggest", ["seen"], floored=True).select("seen", r6(F.col("p")).alias("p"))
+def clustering_null(spark: SparkSession, d: str, draws: int = 50) -> DataFrame:
+    """Clusters of broken points against as many drawn at random, at two neighbourhood sizes: all draws in one keyed DBSCAN each."""
+    own = Scratch(spark, "null").put(grains(spark, d), "points")
+    got = inference.clustering_sweep(own, own.where("label = 0"), 0.05, (1.0, 1.5), draws, 20)
+    return got.select(*[r6(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes])
 
 
 @query()
