@@ -11,15 +11,18 @@ from voxloom.scratch import Scratch
 def components(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is a node of the same component, equal for all of it.
 
-    Each round maps every node to the least of itself and its neighbours and contracts the edges by that map.
-    Stars vanish in two or three rounds, paths in about log(length). Minima are combined map-side, so a hub with
+    Each round maps every node to that of itself and its neighbours which is least in an order by hash, new in each
+    round, and contracts the edges by that map. Stars vanish in two or three rounds; a path, in whatever order its ids
+    are, loses a share of its nodes in each, so rounds grow with the log of its length. Minima are combined map-side, so a hub with
     a third of all edges is one row per task. No edges: an empty result. Self loops and repeats are ignored.
     """
     live = scratch.put(edges.select("a", "b").where("a <> b").distinct(), f"{tag}-e0")
     maps, k = [], 0
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{tag}-m{k}")
+        ranked = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(ranked("b")).alias("b"))
+        step = scratch.put(least.select("node", F.least("b", ranked("node"))["n"].alias("root")), f"{tag}-m{k}")
         maps.append(step)
         to_a, to_b = step.toDF("a", "ra"), step.toDF("b", "rb")
         k += 1
