@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators.series import running_total
+
 #: Shape of the voxel grid made from lineitem, and the grey levels between its phases.
 SHAPE = (16, 16, 10)
 AIR_ICE, ICE_GRAIN = 25_000.0, 45_000.0
@@ -53,6 +55,30 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOXELS = "voxels AS (SELECT *, CASE WHEN phase = 3 THEN ((z // 4) * 100 + (y // 4) * 10 + x // 5 + 1)::INTEGER ELSE 0 END AS label FROM (SELECT *, CASE WHEN grey < 25000 THEN 1 WHEN grey < 45000 THEN 2 ELSE 3 END AS phase FROM (SELECT (l_linenumber % 2)::INTEGER AS scan, (l_orderkey % 16)::INTEGER AS z, (l_partkey % 16)::INTEGER AS y, (l_suppkey % 10)::INTEGER AS x, arg_min(l_extendedprice, (l_orderkey * 8 + l_linenumber, l_extendedprice)) AS grey FROM lineitem GROUP BY 1, 2, 3, 4)))"
 
 
+#: Edge of the blocks that label the bodies of ``whole_voxels``.
+BLOCK = 8
+
+
+def whole_voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(scan, z, y, x, grey, phase, label) with a voxel for each row of lineitem, in the rows' order, and the edge of its two cubes, which
+    grows with the number of rows; the last slices may be cut short."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_extendedprice").alias("tie"), F.col("l_extendedprice").alias("grey"))
+    n, edge = li.count(), 1
+    while 2 * edge**3 < n:
+        edge += 1
+    k = F.col("n") - 1
+    at = F.floor(k / 2)
+    axes = [F.floor(at / edge**2), F.floor(at / edge) % edge, at % edge]
+    vox = running_total(li, "l_orderkey", "tie", F.lit(1), "n").select((k % 2).cast("int").alias("scan"), *[v.cast("int").alias(a) for v, a in zip(axes, "zyx", strict=True)], "grey")
+    wide = -(-edge // BLOCK)
+    block = ((F.floor(F.col("z") / BLOCK) * wide + F.floor(F.col("y") / BLOCK)) * wide + F.floor(F.col("x") / BLOCK) + 1).cast("int")
+    vox = vox.withColumn("phase", F.when(F.col("grey") < AIR_ICE, 1).when(F.col("grey") < ICE_GRAIN, 2).otherwise(3))
+    return vox.withColumn("label", F.when(F.col("phase") == 3, block).otherwise(0)), edge
+
+
+WHOLE = "size AS (SELECT min(e) AS edge FROM range(1, 5000) t(e) WHERE 2 * e * e * e >= (SELECT count(*) FROM lineitem)), placed AS (SELECT k % 2 AS scan, k // 2 AS pos, grey FROM (SELECT l_extendedprice AS grey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS k FROM lineitem)), whole AS (SELECT *, CASE WHEN phase = 3 THEN (((z // 8) * ((edge + 7) // 8) + y // 8) * ((edge + 7) // 8) + x // 8 + 1)::INTEGER ELSE 0 END AS label FROM (SELECT scan::INTEGER AS scan, (pos // (edge * edge))::INTEGER AS z, (pos // edge % edge)::INTEGER AS y, (pos % edge)::INTEGER AS x, edge, grey, CASE WHEN grey < 25000 THEN 1 WHEN grey < 45000 THEN 2 ELSE 3 END AS phase FROM placed, size))"
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scan, a, b, thick): two networks over the same kinds of nodes."""
     li = table(spark, sf_dir, "lineitem")
