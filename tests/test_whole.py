@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from voxloom.operators import bricks, grid
 from voxloom.plans import whole
@@ -37,3 +38,33 @@ def test_distances_of_the_whole_grid(spark, sf_dir):
     assert len(got) == (vox.phase != 1).sum()
     for r in got.itertuples():
         assert abs(r.d - np.sqrt(((air - (r.z, r.y, r.x)) ** 2).sum(1).min())) < 1e-5
+
+
+def test_zones_between_all_pairs(spark):
+    """All touching pairs, grown by the reach, without the two bodies, with the voxels in contact: as the arrays of the reference give them."""
+    draw = np.random.default_rng(11)
+    labels = np.zeros((14, 12, 12), int)
+    labels[1:5, 2:6, 2:6], labels[5:9, 3:8, 2:7], labels[1:6, 6:10, 3:8], labels[10:13, 1:4, 8:11], labels[11:13, 4:7, 8:11] = 1, 2, 3, 4, 5
+    phase = np.where(labels > 0, 3, draw.integers(1, 3, labels.shape))
+    z, y, x = np.indices(labels.shape).reshape(3, -1)
+    vox = spark.createDataFrame([(0, *map(int, r)) for r in zip(z, y, x, labels.ravel(), phase.ravel(), strict=True)], "scan int, z int, y int, x int, label int, phase int")
+    cross = np.zeros((3, 3, 3), bool)
+    cross[1, 1], cross[1, :, 1], cross[:, 1, 1] = True, True, True
+
+    def wide(m, times):
+        for _ in range(times):
+            m = bricks.morph(m, cross, True)
+        return m
+
+    pairs = grid.contact_pairs(vox, "label", F.lit(True), 1)
+    for reach in (1, 5):
+        want = {}
+        for lo in range(1, 6):
+            for hi in range(lo + 1, 6):
+                a, b = labels == lo, labels == hi
+                contact = int((a & wide(b, 1)).sum())
+                if contact:
+                    zone = wide(a, reach) & wide(b, reach) & ~a & ~b
+                    want[lo, hi] = (int(zone.sum()), int((zone & (phase == 1)).sum()), int((zone & (phase == 2)).sum()), contact)
+        got = grid.contact_zones(vox, "label", pairs, F.col("phase") == 1, F.col("phase") == 2, reach).collect()
+        assert {(r["lo"], r["hi"]): (r["zone"], r["air"], r["ice"], r["contact"]) for r in got} == want and len(want) >= 4

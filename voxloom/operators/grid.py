@@ -53,6 +53,29 @@ def contact_pairs(vox: DataFrame, label: str, ice: Column, least: int) -> DataFr
     return near.groupBy("scan", lo, hi).agg(F.count("*").alias("faces"), F.sum(F.col("a_ice") * F.col("b_ice")).alias("ice_faces")).where(F.col("faces") >= least)
 
 
+def contact_zones(vox: DataFrame, label: str, pairs: DataFrame, air: Column, ice: Column, reach: int = 5) -> DataFrame:
+    """(scan, lo, hi, zone, air, ice, contact) for every pair (scan, lo, hi): voxels outside of both bodies that both reach in ``reach`` face steps,
+    how many of them are air and ice, and the voxels of lo that touch hi.
+
+    Bodies grow from their surface, a step a round; a voxel holds the labels that reach it, so sums are made per pair before
+    ``pairs`` is joined.
+    """
+    own = vox.select(*KEY, F.col(label).alias("label"), air.cast("int").alias("air"), ice.cast("int").alias("ice"))
+    body = own.where("label > 0").select(*KEY, "label")
+    inner = shifted(body, offsets(6), ["label"]).groupBy(*KEY, "label").agg(F.count("*").alias("n")).where("n = 6").drop("n")
+    grown = body.join(inner, [*KEY, "label"], "left_anti")
+    for _ in range(reach):
+        grown = shifted(grown, [(0, 0, 0), *offsets(6)], ["label"]).select(*KEY, "label").distinct()
+    held = grown.groupBy(*KEY).agg(F.sort_array(F.collect_set("label")).alias("by")).where(F.size("by") > 1)
+    lo = held.join(own, [*KEY]).select("scan", "label", "air", "ice", "by", F.explode("by").alias("lo"))
+    both = lo.select("scan", "label", "air", "ice", "lo", F.explode("by").alias("hi")).where("lo < hi and label <> lo and label <> hi")
+    zones = both.groupBy("scan", "lo", "hi").agg(F.count("*").alias("zone"), F.sum("air").alias("air"), F.sum("ice").alias("ice"))
+    beside = shifted(body.withColumnRenamed("label", "hi"), offsets(6), ["hi"]).select(*KEY, "hi").distinct()
+    touch = body.withColumnRenamed("label", "lo").join(beside, [*KEY]).where("lo < hi").groupBy("scan", "lo", "hi").agg(F.count("*").alias("contact"))
+    got = pairs.select("scan", "lo", "hi").join(zones, ["scan", "lo", "hi"], "left").join(touch, ["scan", "lo", "hi"], "left")
+    return got.na.fill(0, ["zone", "air", "ice", "contact"])
+
+
 def max_filter(vox: DataFrame, value: str, radius: int, out: str, function=F.max) -> DataFrame:
     """``vox`` with the largest value in the cube of edge 2 radius + 1; ``F.min`` gives the least.
 
