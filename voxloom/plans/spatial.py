@@ -254,15 +254,15 @@ def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def clustering_null(spark: SparkSession, d: str, draws: int = 50) -> DataFrame:
-    """Clusters of broken points against as many drawn at random, at two neighbourhood sizes: all draws in one keyed DBSCAN each."""
+def clustering_null(spark: SparkSession, d: str, draws: int = inference.DRAWS) -> DataFrame:
+    """Clusters of broken points against as many drawn at random, over the whole sweep of neighbourhood sizes: all draws in one keyed DBSCAN each."""
     own = Scratch(spark, "null").put(grains(spark, d), "points")
-    got = inference.clustering_sweep(own, own.where("label = 0"), 0.05, (1.0, 1.5), draws, 20)
+    got = inference.clustering_sweep(own, own.where("label = 0"), 0.05, inference.SWEEP, draws, 20)
     return got.select(*[r6(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes])
 
 
 @query()
-def stratified_null(spark: SparkSession, d: str, replicas: int = 50) -> DataFrame:
+def stratified_null(spark: SparkSession, d: str, replicas: int = 60) -> DataFrame:
     """Mean spread of draws that keep the number of broken points per height band."""
     own = grains(spark, d).withColumn("band", F.floor(F.col("z") * 10).cast("int"))
     want = own.where("label = 0").groupBy("band").agg(F.count("*").alias("want"))
