@@ -87,17 +87,20 @@ def spine(points: DataFrame, axes_of: DataFrame, bins: int) -> DataFrame:
 def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, dist): least sum of ``w`` over undirected edges (a, b, w) from any source; unreachable nodes are left out.
 
-    Each round relaxes from nodes that got nearer only, so the work follows the front.
+    Each round relaxes from nodes that got nearer only, so the work follows the front. A front that is left after ``max_rounds``
+    is an error.
     """
     scratch = Scratch(nodes.sparkSession, "paths")
     both = scratch.put(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
     known = scratch.put(sources.select("id", F.lit(0.0).alias("dist")).distinct(), "d0")
     front = known
-    for k in range(max_rounds):
+    for k in range(max_rounds + 1):
         step = front.join(both.withColumnRenamed("a", "id"), "id").groupBy(F.col("b").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         front = scratch.put(step.join(known, "id", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("id", F.col("new").alias("dist")), f"f{k}")
         if front.isEmpty():
             break
+        if k == max_rounds:
+            raise RuntimeError(f"nodes still get nearer after {max_rounds} rounds")
         known = scratch.put(known.unionByName(front).groupBy("id").agg(F.min("dist").alias("dist")), f"d{k + 1}")
         scratch.drop(f"d{k}", f"f{k - 1}")
     return known

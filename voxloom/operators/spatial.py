@@ -55,7 +55,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys: Seque
     """(keys, a, b, d, rank): for each point of ``left`` its k nearest of ``right``, ties to the smaller id.
 
     Search starts within ``cell`` and the radius doubles for points that found fewer than k, until all have k or the radius has
-    passed the extent of the points. A point is done once k lie within the radius, for all nearer ones do too.
+    passed the extent of the points; the last of ``rounds`` takes the extent at once. A point is done once k lie within the radius,
+    for all nearer ones do too.
     """
     scratch = Scratch(left.sparkSession, "knn")
     by = Window.partitionBy(*keys, "a").orderBy("d", "b")
@@ -63,7 +64,9 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys: Seque
     reach = sum((extent[a] or 0.0) ** 2 for a in AXES) ** 0.5
     todo, radius, parts = left, cell, []
     for step in range(rounds):
-        last = radius >= reach
+        last = radius >= reach or step == rounds - 1
+        if last:
+            radius = max(radius, reach * (1 + 1e-9))
         near = radius_join(todo, right, radius, keys, id_col)
         if skip_self:
             near = near.where("a <> b")
@@ -106,13 +109,16 @@ def injective_match(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int
     """One-to-one matching of ``edges`` (keys, a, b, d), the globally shortest first, ties by (a, b).
 
     Each round takes all edges that are the best of both their ends, which is what taking single edges in order comes to,
-    and drops what touches them. The number of rounds is that of the longest chain of ever shorter edges.
+    and drops what touches them. The number of rounds is that of the longest chain of ever shorter edges; more than ``max_rounds``
+    of them is an error.
     """
     scratch = Scratch(edges.sparkSession, "match")
     live, parts = scratch.put(edges.select(*keys, "a", "b", "d"), "e0"), []
-    for k in range(max_rounds):
+    for k in range(max_rounds + 1):
         if live.isEmpty():
             break
+        if k == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds of matching")
         best_a = live.groupBy(*keys, "a").agg(F.min(F.struct("d", "a", "b")).alias("e"))
         best_b = live.groupBy(*keys, "b").agg(F.min(F.struct("d", "a", "b")).alias("e"))
         won = best_a.select(*keys, "e.a", "e.b", "e.d").join(best_b.select(*keys, "e.a", "e.b"), [*keys, "a", "b"])
