@@ -68,3 +68,25 @@ def test_zones_between_all_pairs(spark):
                     want[lo, hi] = (int(zone.sum()), int((zone & (phase == 1)).sum()), int((zone & (phase == 2)).sum()), contact)
         got = grid.contact_zones(vox, "label", pairs, F.col("phase") == 1, F.col("phase") == 2, reach).collect()
         assert {(r["lo"], r["hi"]): (r["zone"], r["air"], r["ice"], r["contact"]) for r in got} == want and len(want) >= 4
+
+
+def test_cubes_follow_the_specimen(spark):
+    """Heights and centre come from each scan, and a cube needs more than 98 %: held against arrays, on a specimen that lies off the middle."""
+    draw = np.random.default_rng(12)
+    z, y, x = np.indices((30, 26, 24))
+    body = ((y - 14) ** 2 + (x - 11) ** 2 <= 81) & (z >= 4) & (z < 28)
+    body[16:20, 12:16, 9:12] = False
+    phase = np.where(body, draw.integers(1, 4, body.shape), 0)
+    vox = spark.createDataFrame([(0, *map(int, p), int(phase[tuple(p)])) for p in np.argwhere(body)], "scan int, z int, y int, x int, phase int")
+    own, c, want = phase[4:28], 10, {}
+    nz = own.shape[0]
+    ys, xs = np.nonzero(own[nz // 2])
+    cy, cx = int(ys.mean()), int(xs.mean())
+    for k, at in enumerate(np.linspace(0.28 * nz, 0.72 * nz, 3).astype(int)):
+        sub = own[at - c // 2 : at + c // 2, cy - c // 2 : cy + c // 2, cx - c // 2 : cx + c // 2]
+        if sub.shape == (c, c, c) and (sub > 0).mean() > 0.98:
+            want[k] = (at + 4, int((sub > 0).sum()), (sub == 2).sum() / (sub > 0).sum())
+    got = {r["k"]: (r["z"], r["n"], r["phi"]) for r in grid.cubes(vox, F.col("phase") == 2, (26, 24), c).collect()}
+    assert set(got) == set(want) and 0 < len(want) < 3
+    for k in want:
+        assert got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-9

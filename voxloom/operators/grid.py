@@ -255,6 +255,34 @@ def crack_split(gaps: DataFrame, envelope: DataFrame, shape: tuple[int, int, int
     return comps.join(deep, [*KEY], "left").join(core, [*KEY], "left").select(*KEY, kind.alias("class"))
 
 
+def cubes(vox: DataFrame, phase: Column, shape: tuple[int, int], edge: int, many: int = 3, inside: float = 0.98) -> DataFrame:
+    """(scan, k, z, edge, n, phi): cubes at ``many`` heights (two or more) from 0.28 to 0.72 of each specimen, round the centroid of its middle slice, of which
+    more than ``inside`` is specimen; phi is the share of the phase in it.
+
+    ``vox`` has the specimen's voxels alone, ``shape`` the extents in y and x. Slices with a quarter of the fullest one or less are cut off at the
+    ends. Edges are even and at most the height less 2; cubes that leave the grid are left out.
+    """
+    per = vox.groupBy("scan", "z").agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.avg("x").alias("x"))
+    full = per.join(per.groupBy("scan").agg(F.max("n").alias("most")), "scan").where("n > 0.25 * most")
+    ends = full.groupBy("scan").agg(F.min("z").alias("low"), (F.max("z") - F.min("z") + 1).alias("nz"))
+    mid = ends.join(per.select("scan", "z", "y", "x"), "scan").where("z = low + floor(nz / 2)")
+    half = F.floor(F.least(F.lit(edge), F.col("nz") - 2) / 2).cast("int")
+    top = F.col("nz") * 0.72
+    rise = (top - F.col("nz") * 0.28) / (many - 1)
+    k = F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("k")
+    at = mid.select("scan", "low", "nz", half.alias("h"), F.floor("y").cast("int").alias("cy"), F.floor("x").cast("int").alias("cx"), k)
+    at = at.withColumn("cz", F.floor(F.when(F.col("k") == many - 1, top).otherwise(F.col("nz") * 0.28 + F.col("k") * rise)).cast("int"))
+    held = (F.col("cz") >= F.col("h")) & (F.col("cz") + F.col("h") <= F.col("nz")) & (F.col("h") > 0)
+    for c, n in zip(("cy", "cx"), shape, strict=True):
+        held = held & (F.col(c) >= F.col("h")) & (F.col(c) + F.col("h") <= n)
+    at = at.where(held).withColumn("cz", F.col("cz") + F.col("low"))
+    both = vox.withColumn("__p", phase.cast("int")).join(at, "scan")
+    for a in AXES:
+        both = both.where((F.col(a) >= F.col(f"c{a}") - F.col("h")) & (F.col(a) < F.col(f"c{a}") + F.col("h")))
+    got = both.groupBy("scan", "k", F.col("cz").alias("z"), (F.col("h") * 2).alias("edge")).agg(F.count("*").alias("n"), F.avg("__p").alias("phi"))
+    return got.where(F.col("n") > inside * F.col("edge") * F.col("edge") * F.col("edge"))
+
+
 def framed(vox: DataFrame, shifts: DataFrame) -> DataFrame:
     """Voxels in the common frame: each scan moved by its whole offsets (scan, dz, dy, dx)."""
     return vox.join(shifts, "scan").select("scan", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES], *[c for c in vox.columns if c not in KEY])

@@ -73,3 +73,10 @@ def whole_distance_map(spark: SparkSession, d: str) -> DataFrame:
     """Exact distances from solid to air over the whole scans."""
     vox = placed(spark, d)[0].withColumn("m", F.col("phase") != 1)
     return bricks.distance_transform(vox, "m").select(*KEY, r6(F.col("d")).alias("d"))
+
+
+@query()
+def whole_cubes(spark: SparkSession, d: str) -> DataFrame:
+    """Cubes at three heights of each scan, placed by its extents, and their share of ice."""
+    vox, edge = placed(spark, d)
+    return grid.cubes(vox, F.col("phase") == 2, (edge, edge), 16).withColumn("phi", r6(F.col("phi")))
