@@ -2,60 +2,87 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this setting Spark deletes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where that is unset (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset a temporary one is made, but only for a local master: elsewhere executors
+    wouldn't see it, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="voxloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/voxloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results that were returned lazily read them, so call it when these are written."""
+    _delete(spark, _own_dir(spark))
+
+
+@contextmanager
+def _shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Parquet tables of one operator call. Writing one cuts lineage: later stages reread files instead of recomputing."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """df, written and reread. The shuffle files of the write go with it: nothing reads them again."""
+        with _shuffles_end_with_query(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later result reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
+            _delete(self.spark, f"{self.path}/{name}")
 
     def keep_only(self, *names: str) -> None:
         """Delete all tables but these."""
-        jvm = self.spark._jvm
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         store = top.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         self.drop(*[n for n in (s.getPath().getName() for s in store.listStatus(top)) if n not in names])
 
-    def free_shuffles(self) -> None:
-        """Have Spark delete the shuffle files of plans that are done and no longer referenced.
-
-        Spark's cleaner only acts when the driver's JVM collects its garbage, by default after half an hour.
-        """
-        for _ in range(2):  # the first collection lets go of the plans, the second of what they held
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
 
 def is_small(df: DataFrame, rows: int) -> bool:
     """True if df has at most that many rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """What the optimizer takes df to hold, from the sizes of its files; None where it doesn't know. Rows aren't read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else None
