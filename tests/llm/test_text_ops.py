@@ -82,6 +82,36 @@ def test_ngram_join_group_of_near_copies(spark):
     assert order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got]) == order(linked(docs))
 
 
+def test_ngram_join_deals_frequent_ngrams(spark, monkeypatch):
+    """Lists far above the bound on a part, and several blocks in the last round: templates with own endings, mixtures of few passages, small texts."""
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 5)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 1)
+    draw = np.random.default_rng(5)
+    passages = [[f"p{k}w{j}" for j in range(30)] for k in range(4)]
+    docs = [(None, " ".join(passages[0])), (None, " ".join(passages[0] + passages[1]))]
+    for i in range(160):
+        a, b = draw.choice(4, 2, replace=False)
+        docs.append((i, " ".join(passages[a] + passages[b] + [f"own{i}x{j}" for j in range(int(draw.integers(0, 12)))])))
+    docs += [(i, f"the same six words begin it {i}") for i in range(200, 240)] + [(i, f"{i} five words of one text") for i in range(240, 260)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_jaccard_components(frame.withColumn("t", F.xxhash64("text")), tag_col="t").collect()
+    assert order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got]) == order(linked(docs))
+    assert len({r["component_id"] for r in got}) < 100
+    by = defaultdict(list)
+    for r in got:
+        by[r["component_id"]].append(r)
+    assert all(sum(r["chosen"] for r in rs) == 1 and [r["doc_id"] for r in rs if r["chosen"]] == [i] for i, rs in by.items())
+
+
+def test_fragments_follow_the_input():
+    for size, parts in ((0, 8), (1 << 30, 8), (1 << 40, 200), (1 << 46, 2000)):
+        bits, own = ngram_join.fragments_for(size, parts)
+        assert own >= parts and 1 << bits >= own and (size >> bits <= 2 * ngram_join.FRAGMENT_BYTES or bits == 20)
+    x = np.array([3, 70_000, 2**32 - 1])
+    assert ngram_join._wide(ngram_join._narrow(x), 3).tolist() == x.tolist()
+
+
 def test_mix(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = q.op2_mix_sources(spark, sf_dir).toPandas()

@@ -13,8 +13,12 @@ fragment is handled apart:
 
 Candidates are found in rounds: first each list of nodes is compared with one hub, that whose n-grams are the most
 frequent (the text that others were made from has the most in common with all), then with one by hash. Linked nodes
-become components, and then only nodes of different components are compared, each with each. So a group of thousands of near copies costs
-as many comparisons as it has members, and no link between components is lost.
+become components, and then only nodes of different components are compared, so a group of thousands of near copies costs
+as many comparisons as it has members, and no link between components is lost. For that last round a list is dealt into
+classes of like size: two classes meet only if their sizes and what they have left after the n-gram allow a link.
+
+Fragments and the partitions that hold them follow the size of the input. A frequent n-gram's list is dealt by node into parts
+of bounded length (``_dealt``), and the last round compares blocks of a list, so no n-gram is one task's work.
 """
 
 from __future__ import annotations
@@ -29,10 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import components
-from voxloom.scratch import Scratch
-
-#: Bytes of text in a block, and of those that are hashed at once. Both bound a task's memory.
-CHUNK_BYTES, HASH_BYTES = 4 << 20, 1 << 20
+from voxloom.scratch import Scratch, plan_bytes
+
+#: Bytes of text in a block, at least and at most, and of those that are hashed at once. They bound a task's memory.
+CHUNK_BYTES, MAX_CHUNK_BYTES, HASH_BYTES = 4 << 20, 64 << 20, 1 << 20
+#: Bytes of n-grams in a fragment and in a partition of fragments that are aimed at, and bits of a fragment's number.
+FRAGMENT_BYTES, PARTITION_BYTES, FRAGMENT_BITS = 16 << 20, 64 << 20, (8, 20)
+#: Bytes of text to a byte of compressed files, for the estimate of an input's size.
+EXPANSION = 4
+#: Rows of one key in a part, keys that may have more than one part at most (their table is broadcast), and nodes in a block of the last round.
+PART_ROWS, MAX_HEAVY, BLOCK_NODES = 4096, 50_000, 1024
+#: Ratio of sizes within a class of the last round.
+CLASS_RATIO = 1.25
 #: Fragments whose partial overlaps are counted apart when a pair is verified.
 SEGMENTS = 8
 HUB_ROUNDS = 2
@@ -126,22 +138,23 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(sets) if sets else words[:0]), np.array([len(s) for s in sets], np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Values of the first column and texts of the second, in lists of about ``chunk`` bytes."""
     ids, texts, size = [], [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(doc)
             texts.append(text or b"")
             size += len(texts[-1]) + 1
-            if size >= CHUNK_BYTES:
+            if size >= chunk:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-_BLOCK = pa.schema([("frag", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("grams", pa.binary()), ("gaps", pa.binary()), ("df", pa.binary())])
-_BLOCK_DDL = "frag long, block long, ids array<long>, sizes array<long>, grams binary, gaps binary, df binary"
+_BLOCK = pa.schema([("frag", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("grams", pa.binary()), ("gaps", pa.binary()), ("df", pa.binary())])
+_BLOCK_DDL = "frag long, block long, ids array<long>, tags array<long>, sizes array<long>, grams binary, gaps binary, df binary"
 
 
 def _block_rows(columns: dict[str, list]) -> pa.RecordBatch:
@@ -162,63 +175,66 @@ def _unpacked(raw: bytes, width: int, top: int) -> np.ndarray:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32).tobytes()
+    """Whole numbers below 2**32 in as many bytes each as the largest needs."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
 
 
 def _postings(width: int, bits: int):
     """Map kernel: documents to one packed block per fragment; a fragment is what the top ``bits`` of hashes say."""
     frags, size, down = 1 << bits, 8 - bits // 8, np.uint64(64 - bits)
+    chunk = min(MAX_CHUNK_BYTES, max(CHUNK_BYTES, frags * 448))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
-        for ids, texts in _blocks(batches):
+        for keys, texts in _blocks(batches, chunk):
             grams, n = shingle_sets(texts, width)
             frag = grams >> down
             order = np.argsort(frag.astype(np.uint32), kind="stable")
-            doc = np.repeat(np.arange(len(ids)), n)[order]
+            doc = np.repeat(np.arange(len(keys)), n)[order]
             grams, cut = grams[order], np.searchsorted(frag[order], np.arange(frags + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cut)).tolist()
             parts = [slice(cut[f], cut[f + 1]) for f in some]
             yield _block_rows({"frag": some, "block": [seq] * len(some), "grams": [_packed(grams[p], size) for p in parts], "gaps": [_narrow(np.diff(doc[p], prepend=0)) for p in parts]})
-            yield _block_rows({"frag": [hash(seq) % frags], "block": [seq], "ids": [ids], "sizes": [n.tolist()]})
+            yield _block_rows({"frag": [hash(seq) % frags], "block": [seq], "ids": [[k["id"] for k in keys]], "tags": [[k["tag"] for k in keys]], "sizes": [n.tolist()]})
             seq += 1
 
     return run
 
 
 def _shared(table: pa.Table, size: int) -> pa.Table:
-    """Fragment kernel: keep the postings of n-grams that two documents or more have, with their frequency (65,535 at most, which keeps its order one)."""
+    """Fragment kernel: keep the postings of n-grams that two documents or more have, with their frequency."""
     blocks, raw, gaps = table["block"].to_pylist(), table["grams"].to_pylist(), table["gaps"].to_pylist()
     heads = [k for k, g in enumerate(raw) if g is None]
     rows = [k for k, g in enumerate(raw) if g is not None]
     frag = table["frag"][0].as_py()
-    out: dict[str, list] = {"frag": [], "block": [], "grams": [], "gaps": [], "df": [], "ids": [], "sizes": []}
+    out: dict[str, list] = {f.name: [] for f in _BLOCK}
 
     def add(**row) -> None:
         for k, v in out.items():
             v.append(row.get(k))
 
     for k in heads:
-        add(frag=frag, block=blocks[k], ids=table["ids"][k].as_py(), sizes=table["sizes"][k].as_py())
+        add(frag=frag, block=blocks[k], ids=table["ids"][k].as_py(), tags=table["tags"][k].as_py(), sizes=table["sizes"][k].as_py())
     if rows:
         parts = [_unpacked(raw[k], size, 0) for k in rows]
         _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        df, at = np.minimum(count, 65_535).astype(np.uint16)[back], 0
+        df, at = np.minimum(count, 0xFFFFFFFF).astype(np.uint32)[back], 0
         for k, part in zip(rows, parts, strict=True):
             own = df[at : at + len(part)]
             at += len(part)
             if (keep := own > 1).any():
                 doc = np.cumsum(_wide(gaps[k], len(part)))[keep]
-                add(frag=frag, block=blocks[k], grams=_packed(part[keep], size), gaps=_narrow(np.diff(doc, prepend=0)), df=own[keep].tobytes())
+                add(frag=frag, block=blocks[k], grams=_packed(part[keep], size), gaps=_narrow(np.diff(doc, prepend=0)), df=_narrow(own[keep]))
     return pa.Table.from_batches([_block_rows(out)], schema=_BLOCK)
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("weight", pa.int64()), ("own", pa.int64()), ("prefix", pa.list_(pa.int64())), ("segments", pa.list_(pa.list_(pa.int64())))])
-_DOC_DDL = "doc_id long, n long, node long, weight long, own long, prefix array<long>, segments array<array<long>>"
+_DOC = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("weight", pa.int64()), ("own", pa.int64()), ("prefix", pa.list_(pa.int64())), ("segments", pa.list_(pa.list_(pa.int64())))])
+_DOC_DDL = "doc_id long, tag long, n long, node long, weight long, own long, prefix array<long>, segments array<array<long>>"
 
 
 def _ordered(percent: int, bits: int):
@@ -226,14 +242,14 @@ def _ordered(percent: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         head = next(k for k, ids in enumerate(table["ids"].to_pylist()) if ids is not None)
-        ids, n, block = table["ids"][head].as_py(), np.array(table["sizes"][head].as_py()), table["block"][0].as_py()
+        ids, tags, n, block = table["ids"][head].as_py(), table["tags"][head].as_py(), np.array(table["sizes"][head].as_py()), table["block"][0].as_py()
         rows = [k for k, g in enumerate(table["grams"].to_pylist()) if g is not None]
-        grams, doc, df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        grams, doc, df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if rows:
             parts = [_unpacked(table["grams"][k].as_py(), 8 - bits // 8, table["frag"][k].as_py() << (64 - bits)) for k in rows]
             grams = np.concatenate(parts)
             doc = np.concatenate([np.cumsum(_wide(table["gaps"][k].as_py(), len(p))) for k, p in zip(rows, parts, strict=True)])
-            df = np.concatenate([np.frombuffer(table["df"][k].as_py(), np.uint16) for k in rows])
+            df = np.concatenate([_wide(table["df"][k].as_py(), len(p)) for k, p in zip(rows, parts, strict=True)])
         order = np.lexsort((grams, df, doc))
         grams, doc = grams[order], doc[order]
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -241,7 +257,7 @@ def _ordered(percent: int, bits: int):
         own = n - shared
         first = n - (percent * n + 99) // 100 + 1
         live = (own < first) & (n > 0)
-        summed = np.concatenate(([0], np.cumsum(df[order].astype(np.int64))))
+        summed = np.concatenate(([0], np.cumsum(df[order])))
         weight = ((summed[cut[1:]] - summed[cut[:-1]] + own) << 10) // np.maximum(n, 1)
         nodes, prefix, segments = [None] * len(ids), [None] * len(ids), [None] * len(ids)
         for k in np.flatnonzero(live).tolist():
@@ -252,20 +268,32 @@ def _ordered(percent: int, bits: int):
                 nodes[k] = int(_mix(np.array([_mix(x).sum(dtype=np.uint64) + _mix(x ^ _M2).sum(dtype=np.uint64) * _M3 + _mix(np.array([salt]))[0]])).view(np.int64)[0])
             seg = x >> np.uint64(61)
             segments[k] = [np.sort(x[seg == s]).view(np.int64) for s in range(SEGMENTS)]
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(weight, pa.int64()), pa.array(own, pa.int64()), pa.array(prefix, _DOC.field(5).type), pa.array(segments, _DOC.field(6).type)], schema=_DOC)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((ids, tags, n, nodes, weight, own, prefix, segments), _DOC, strict=True)], schema=_DOC)
 
     return run
 
 
-def shared_ngrams(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def fragments_for(size: int, partitions: int) -> tuple[int, int]:
+    """(bits of a fragment's number, partitions of fragments) for so many bytes of n-grams."""
+    low, high = FRAGMENT_BITS
+    parts = max(partitions, min(1 << high - 2, -(-size // PARTITION_BYTES)))
+    return min(high, max(low, (size // FRAGMENT_BYTES).bit_length(), partitions.bit_length() + 1)), parts
+
+
+def shared_ngrams(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tag_col: str | None = None) -> DataFrame:
     """Steps 1 to 3: a row per document, with (node, prefix, segments) only where a link is possible."""
-    spark = docs.sparkSession
-    #: At least twice as many fragments as partitions, and 256, so that a byte of each hash needn't be sent.
-    bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col).cast("binary")
+    size = plan_bytes(docs)
+    if size is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    else:
+        size *= EXPANSION
+    bits, parts = fragments_for(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tag = (F.lit(None) if tag_col is None else F.col(tag_col)).cast("long")
+    texts = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), tag.alias("tag")).alias("key"), text.alias("text"))
     blocks = texts.mapInArrow(_postings(width, bits), _BLOCK_DDL)
-    kept = blocks.groupBy("frag").applyInArrow(lambda t: _shared(t, 8 - bits // 8), _BLOCK_DDL)
-    return kept.groupBy("block").applyInArrow(_ordered(percent, bits), _DOC_DDL)
+    kept = blocks.repartition(parts, "frag").groupBy("frag").applyInArrow(lambda t: _shared(t, 8 - bits // 8), _BLOCK_DDL)
+    return kept.repartition(parts, "block").groupBy("block").applyInArrow(_ordered(percent, bits), _DOC_DDL)
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -277,12 +305,57 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold_percent: int = 75) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_shingles, component_id, n_links).
+def _dealt(df: DataFrame, key: str, by: list[str], counts: DataFrame) -> DataFrame:
+    """``df`` with (parts, part): keys with many rows are dealt into parts by a hash of the columns ``by``; every other key is one part.
+
+    ``counts`` has (key, m). The table of keys with several parts is broadcast: the bound on a part's rows rises with the
+    table, so that it never has more than ``MAX_HEAVY`` rows.
+    """
+    total = counts.agg(F.sum("m")).first()[0] or 0
+    most = max(PART_ROWS, -(-total // MAX_HEAVY))
+    heavy = counts.where(F.col("m") > most).select(key, F.ceil(F.col("m") / most).cast("int").alias("parts"))
+    marked = df.join(F.broadcast(heavy), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return marked.withColumn("part", F.pmod(F.xxhash64(*by, F.lit("part")), F.col("parts")).cast("int"))
+
+
+def _to_all_parts(df: DataFrame) -> DataFrame:
+    """Rows of ``df`` (with parts) once for each part of their key."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _block_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Last round: pairs of nodes of one list and different components, block by block.
+
+    A list's nodes are dealt into classes by size and by whether they are of the list's largest component. Classes meet if
+    the smallest size and the largest rest in them allow a link, and hold more than one component between them. What meets
+    are blocks of ``BLOCK_NODES`` nodes, each pair of blocks under its own key.
+    """
+    sizes = open_lists.groupBy("gram", "comp").agg(F.count("*").alias("m"), F.first("parts").alias("parts"))
+    major = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.first("parts").alias("parts"))
+    size_class = F.floor(F.log("n") / F.log(F.lit(CLASS_RATIO))).cast("int") * 2 + (F.col("comp") == F.col("major")).cast("int")
+    nodes = open_lists.join(_to_all_parts(major), ["gram", "part"]).withColumn("k", size_class)
+    classes = nodes.groupBy("gram", "k").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.first("parts").alias("parts"))
+    x, y = (classes.select("gram", *[F.col(c).alias(f"{s}{c}") for c in ("k", "n", "rest", "c0", "c1", "blocks")]) for s in "xy")
+    allowed = (100 + percent) * F.least("xrest", "yrest") >= percent * (F.col("xn") + F.col("yn"))
+    meet = x.join(y, "gram").where((F.col("xk") <= F.col("yk")) & allowed & (F.least("xc0", "yc0") != F.greatest("xc1", "yc1")))
+    blocks = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"{s}blocks") - 1)).alias(f"{s}b")
+    meet = meet.select("gram", "xk", "yk", "xblocks", "yblocks", blocks("x")).select("*", blocks("y")).where((F.col("xk") < F.col("yk")) | (F.col("xb") <= F.col("yb")))
+    of = nodes.drop("parts").join(_to_all_parts(classes.select("gram", "k", "blocks", "parts")), ["gram", "k", "part"]).withColumn("b", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    key = ["gram", "xk", "yk", "xb", "yb"]
+    side = lambda s: meet.select(*key).join(of.select("gram", F.col("k").alias(f"{s}k"), F.col("b").alias(f"{s}b"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("rest").alias(f"r{s}"), F.col("comp").alias(f"c{s}")), ["gram", f"{s}k", f"{s}b"])
+    return side("x").join(side("y"), key)
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold_percent: int = 75, tag_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id, n_verified), and with ``tag_col`` also (tag, chosen).
 
     Two rows link when ``100 * |A & B| >= threshold_percent * |A | B|`` for their sets of ``width``-word shingles;
-    component_id is the smallest id reachable by links. n_links counts the verified links of the row's set: a
-    lower bound, as pairs inside a component that is already connected aren't compared.
+    component_id is the smallest id reachable by links. n_verified counts the links of the row's set that were verified; pairs
+    inside a component that is already connected aren't compared, so it isn't the number of all its links.
+
+    ``tag_col`` is a whole number that tells rows with one id (or none) apart, such as a hash of the text. chosen is true for
+    rows that link with nothing, and of each component for the row with the least id, null last, and the least tag among
+    those; rows that repeat both are all chosen or none.
 
     Null or blank texts have an empty set and stay alone. Texts below ``width`` words have one shingle of all their
     words. Rows with equal sets share a node, so repeats cost one row each. A repeated id is as many rows; a null
@@ -290,14 +363,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Sets hold 64-bit hashes: two different shingles of one pair are taken for one with a chance near 2**-64.
     ``docs`` has to give the same rows per partition when a lost task is run again, as a file scan does.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
-    rows = scratch.put(shared_ngrams(docs, id_col, text_col, width, threshold_percent), "rows")
-    scratch.free_shuffles()
+    scratch = Scratch(docs.sparkSession, "ngram")
+    rows = scratch.put(shared_ngrams(docs, id_col, text_col, width, threshold_percent, tag_col), "rows")
     live = rows.where("node is not null")
-    nodes = scratch.put(live.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments")), "nodes")
-    listed = nodes.select("node", "n", "weight", "own", F.posexplode("prefix").alias("at", "gram")).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))
-    lists = scratch.put(listed.join(listed.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram").select("gram", "node", "n", "weight", "rest"), "lists")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))).alias("best")
+    nodes = scratch.put(live.groupBy("node").agg(F.min("doc_id").alias("least"), best, F.count("*").alias("m"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments")), "nodes")
+    listed = nodes.select("node", "n", "weight", "own", F.posexplode("prefix").alias("at", "gram")).withColumn("rest", F.col("n") - F.col("own") - F.col("at")).drop("own", "at")
+    counts = scratch.put(listed.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    lists = scratch.put(_dealt(listed, "gram", ["node"], counts).join(_to_all_parts(_dealt(counts, "gram", ["gram"], counts).select("gram", "parts")), ["gram", "part"]), "lists")
     segments = nodes.select("node", F.posexplode("segments").alias("frag", "grams")).where(F.size("grams") > 0)
     #: In the order of n-grams nothing before the first common one is common, so what follows it has to be enough.
     fits = (100 + threshold_percent) * F.least("rx", "ry") >= threshold_percent * (F.col("nx") + F.col("ny"))
@@ -306,20 +379,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     roots: DataFrame | None = None
     tried: DataFrame | None = None
     for turn in range(HUB_ROUNDS + 1):
-        named = lists.withColumn("comp", F.col("node")) if roots is None else lists.join(roots.toDF("node", "root"), "node", "left").select("gram", "node", "n", "weight", "rest", F.coalesce("root", "node").alias("comp"))
-        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("gram")
-        open_lists = scratch.put(named.join(mixed, "gram"), f"open{turn}")
+        named = lists.withColumn("comp", F.col("node")) if roots is None else lists.join(roots.toDF("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("parts").alias("parts")).where("c0 <> c1").select("gram", "parts")
+        open_lists = scratch.put(named.join(_to_all_parts(mixed), ["gram", "part"], "left_semi"), f"open{turn}")
         if open_lists.isEmpty():
             break
         if turn < HUB_ROUNDS:
             first = F.col("weight") if not turn else F.lit(0)
-            hubs = open_lists.groupBy("gram").agg(F.max(F.struct(first, F.xxhash64("node", F.lit(turn)), "node", "n", "rest", "comp")).alias("hub"))
-            pairs = open_lists.join(hubs, "gram").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.rest").alias("rx"), F.col("hub.comp").alias("cx"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy"))
+            hubs = open_lists.groupBy("gram").agg(F.max(F.struct(first, F.xxhash64("node", F.lit(turn)), "node", "n", "rest", "comp")).alias("hub"), F.first("parts").alias("parts"))
+            pairs = open_lists.join(_to_all_parts(hubs), ["gram", "part"]).select(*[F.col(f"hub.{c}").alias(f"{a}x" if a else "x") for c, a in (("node", ""), ("n", "n"), ("rest", "r"), ("comp", "c"))], F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy"))
         else:
-            sizes = open_lists.groupBy("gram", "comp").agg(F.count("*").alias("m"))
-            major = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"))
-            minor = open_lists.join(major, "gram").where("comp <> major").select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("comp").alias("cx"))
-            pairs = minor.join(open_lists.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy")), "gram")
+            pairs = _block_pairs(open_lists, threshold_percent)
         pairs = pairs.where((F.col("cx") != F.col("cy")) & fits)
         low = F.col("x") < F.col("y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
@@ -336,14 +406,20 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = named.join(least, "root").join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left").select("node", "component", "links")
+    named = nodes.select("node", "least", "best", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"), F.min("best").alias("best"))
+    of_node = named.drop("best").join(least, "root").join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left").select("node", "m", "component", "best", "links")
     of_node = scratch.put(of_node, "components")
     scratch.keep_only("rows", "components")
-    return rows.select("doc_id", "n", "node").join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
-    )
+
+    extra = lambda chosen: [F.col("tag"), chosen.alias("chosen")] if tag_col is not None else []
+    alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_verified"), *extra(F.lit(True)))
+    copies = of_node.select("node", "m")
+    own = _dealt(rows.where("node is not null").select("doc_id", "tag", "n", "node"), "node", ["doc_id", "tag"], copies).drop("parts")
+    named = own.join(_to_all_parts(_dealt(of_node, "node", ["node"], copies).drop("part")), ["node", "part"])
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.id")) & F.col("tag").eqNullSafe(F.col("best.tag"))
+    linked = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_verified"), *extra(is_best))
+    return alone.unionByName(linked)
 
 
 def ngram_oracle() -> str:
