@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow.fs as fs
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tests.llm.common import rows, table
@@ -129,17 +130,46 @@ def test_chat_parts(spark):
     turns = spark.createDataFrame(data, f"conv_id long, turn long, role string, parts {part}, formatted string")
     out = {r["conv_id"]: r for r in chat.format_chats(turns).collect()}
     one = out[1]
-    assert one["formatted"] == "<|turn|>user<|body|>look<|image|><|audio|><|end|><|turn|>assistant<|body|>see &lt;|image|> &amp; &amp;lt; 😀<|document|><|end|>"
+    assert one["formatted"] == "<|turn|>user<|body|>look<|part:image|><|part:audio|><|end|><|turn|>assistant<|body|>see &lt;|image|> &amp; &amp;lt; 😀<|part:document|><|end|>"
     assert [(a["index"], a["type"], a["ref"], a["tokens"]) for a in one["attachments"]] == [(0, "image", "i.png", 1024), (1, "audio", "a.wav", 25), (2, "document", "d.pdf", 1536)]
     assert one["placeholder_tokens"] == 2585
     (s,) = one["loss_spans"]
-    assert one["formatted"][s["start"] : s["start"] + s["length"]] == "see &lt;|image|> &amp; &amp;lt; 😀<|document|>"
+    assert one["formatted"][s["start"] : s["start"] + s["length"]] == "see &lt;|image|> &amp; &amp;lt; 😀<|part:document|>"
     assert out[2]["formatted"] == "<|turn|><|body|><|end|><|turn|>assistant<|body|><|end|>" and out[None]["formatted"].startswith("<|turn|>a&lt;b")
     read = chat.format_chats(turns).select(chat.read_turns(chat.F.col("formatted")).alias("t"), "conv_id").where("conv_id is null").first()
-    assert [tuple(t) for t in read["t"]] == [("a<b", "")]
+    assert [tuple(t) for t in read["t"]] == [("a<b", "", [])]
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+_WORDS = st.sampled_from(["turn", "body", "end", "part:image", "text", "image", "a|>b", "<|part:image|>", "<|turn|>", "|>", "", "&bar;", "&lt;|end|>", "<", "|", "&amp;", "user<|body|>x", "part", "é😀"])
+_PARTS = st.lists(st.tuples(st.one_of(st.just("text"), _WORDS), st.lists(_WORDS, max_size=3).map("".join)), max_size=5)
+
+
+@settings(max_examples=4, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(_WORDS, _PARTS), min_size=1, max_size=4), min_size=40, max_size=40))
+def test_no_part_forms_a_turn(spark, talks):
+    """Whatever types, roles and texts are, the reader gives back the turns and their typed parts, neighbouring texts as one."""
+    part = "array<struct<type: string, text: string, ref: string, units: bigint>>"
+    data = [(i, k, role, [(t, x, f"{i}-{k}-{j}", 1) for j, (t, x) in enumerate(parts)]) for i, turns in enumerate(talks) for k, (role, parts) in enumerate(turns)]
+    out = chat.format_chats(spark.createDataFrame(data, f"conv_id long, turn long, role string, parts {part}"))
+    got = {r["conv_id"]: r for r in out.select("conv_id", "attachments", chat.read_turns(chat.F.col("formatted")).alias("turns")).select("*", chat.media_parts(chat.F.col("turns")).alias("media")).collect()}
+    for i, turns in enumerate(talks):
+        want, refs = [], []
+        for k, (role, parts) in enumerate(turns):
+            merged = []
+            for j, (t, x) in enumerate(parts):
+                if t != "text":
+                    merged.append((t, None))
+                    refs.append((k, t, f"{i}-{k}-{j}"))
+                elif x and merged and merged[-1][0] == "text":
+                    merged[-1] = ("text", merged[-1][1] + x)
+                elif x:
+                    merged.append(("text", x))
+            want.append((role, "".join(x for t, x in merged if t == "text"), merged))
+        assert [(t["role"], t["text"], [tuple(p) for p in t["parts"]]) for t in got[i]["turns"]] == want
+        assert [(m["turn"], m["type"], a["ref"]) for m, a in zip(got[i]["media"], got[i]["attachments"], strict=True)] == refs
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(0, 40), max_size=20))
 def test_plan_fills_every_place_once(counts):
@@ -178,7 +208,7 @@ def test_packing(spark, sf_dir, where):
     from tokenizers import Tokenizer
 
     docs = table(spark) if where == "edge" else spark.read.parquet(f"{sf_dir}/documents.parquet")
-    own = Tokenizer.from_file(f"{q.TOKENIZERS}/byte_bpe_50k.json")
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
     for r in docs.collect():
         ids = own.encode(r["text"] or "", add_special_tokens=False).ids + [2]

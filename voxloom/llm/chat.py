@@ -3,7 +3,8 @@
 A visitor flattens the parts of every turn in order: text is escaped, an image, audio or document part becomes a
 placeholder and an attachment record with the tokens it expands to. Turns are marked by control strings, all of which
 begin with ``<|``; as ``<`` and ``&`` never stand in escaped text, no text can hold or form one, and escaping is undone
-exactly.
+exactly. Placeholders are ``<|part:TYPE|>``: a name of their own, in which ``|`` is escaped as well, so no type can form a
+control string, and a reader tells a placeholder from a text that looks like one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .columns import let, prefix_sums
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+PART, PART_END = "<|part:", "|>"
 #: Tokens that one unit of a part expands to: an image's tile, a second of audio, a page of a document.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
 
@@ -35,7 +37,8 @@ def text_part(text: Column) -> Column:
 
 def _visit(part: Column) -> Column:
     kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.replace(escape(kind), F.lit("|"), F.lit("")), F.lit("|>")))
+    placeholder = F.concat(F.lit(PART), F.replace(escape(kind), F.lit("|"), F.lit("&bar;")), F.lit(PART_END))
+    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder)
 
 
 def format_chats(turns: DataFrame, unit_tokens: Mapping[str, int] | None = None) -> DataFrame:
@@ -74,11 +77,30 @@ def format_chats(turns: DataFrame, unit_tokens: Mapping[str, int] | None = None)
     return out.withColumn("placeholder_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
+def read_parts(body: Column) -> Column:
+    """Array of (type, text) from what stands between a turn's body mark and its end: texts, neighbouring ones as one and empty ones left out, and
+    the other parts, whose text is null."""
+
+    def of(pieces: Column) -> Column:
+        said = lambda x: F.struct(F.lit("text").alias("type"), unescape(x).alias("text"))
+        kind = lambda x: F.struct(unescape(F.replace(x, F.lit("&bar;"), F.lit("|"))).alias("type"), F.lit(None).cast("string").alias("text"))
+        after = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: let(F.split(p, r"\|>", 2), lambda q: F.array(kind(q[0]), said(q[1]))))
+        return F.filter(F.concat(F.array(said(pieces[0])), F.flatten(after)), lambda p: F.coalesce(p["text"], F.lit("-")) != "")
+
+    return let(F.split(body, r"<\|part:", -1), of)
+
+
 def read_turns(formatted: Column) -> Column:
-    """Array of (role, text) from a formatted conversation of text parts; placeholders stay as they are."""
+    """Array of (role, text, parts) from a formatted conversation; text is all texts of the turn, parts are those of ``read_parts``."""
     chunks = F.slice(F.split(formatted, r"<\|turn\|>", -1), F.lit(2), F.size(F.split(formatted, r"<\|turn\|>", -1)))
     pieces = F.transform(chunks, lambda c: F.split(F.substring(c, F.lit(1), F.length(c) - len(END)), r"<\|body\|>", 2))
-    return F.transform(pieces, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
+    typed = F.transform(pieces, lambda p: F.struct(unescape(p[0]).alias("role"), read_parts(p[1]).alias("parts")))
+    return F.transform(typed, lambda t: F.struct(t["role"].alias("role"), F.array_join(F.transform(F.filter(t["parts"], lambda p: p["type"] == "text"), lambda p: p["text"]), "").alias("text"), t["parts"].alias("parts")))
+
+
+def media_parts(turns: Column) -> Column:
+    """(turn, type) of the parts of ``read_turns`` that aren't text, in order: the kth belongs to the kth attachment."""
+    return F.flatten(F.transform(turns, lambda t, i: F.transform(F.filter(t["parts"], lambda p: p["type"] != "text"), lambda p: F.struct(i.alias("turn"), p["type"].alias("type")))))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(columns: Sequence[str]) -> Column:
+    """Columns of any names in one struct, so that none can clash with a column that is added."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in columns])
+
+
+def unpacked(name: str, columns: Sequence[str]) -> list[Column]:
+    """The columns of ``packed``."""
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of text are in the class ``[chars]``: a count of matches, several times as fast as translate."""
     return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")

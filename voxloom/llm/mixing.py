@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from voxloom.scratch import Scratch, is_small
 
+from .columns import packed, unpacked
+
 #: Sources up to which their table is broadcast; it is counted first. Beyond, rows are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -46,8 +48,8 @@ def source_rates(sized: DataFrame, weights: Sequence[float], share: float, cap:
 
 
 def bernoulli(id_col: Column, seed: int, chance: Column) -> Column:
-    """True with the given chance, by a hash of seed and id."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    """True with the given chance, by a hash of seed and id, a string."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), id_col)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return u < chance
 
 
@@ -55,37 +57,44 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """Every row of ``docs`` with its (size, source_size, target, copies) in the struct column ``out``, beside ``keep`` (default: all columns).
 
     copies is floor(rate) plus one with the chance of rate's fraction, so at most ``cap`` rounded up. Null texts have
-    size 0; null sources are one source. Rows that repeat an id get the same draw; reruns agree, as draws are hashes
-    of seed and id. An empty table gives an empty result. A column of ``docs`` named as ``out`` is replaced.
+    size 0; null sources are one source. Draws are hashes of seed and id, or of seed and text where there is no id, so reruns
+    agree, and rows that repeat an id, or a text without an id, get the same draw. An empty table gives an empty result. A column
+    of ``docs`` named as ``out`` is replaced; others may have any names. The table of sources is put in order in one task:
+    up to some millions of sources.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
+    sized = docs.select(source.alias("source"), word_count(text).alias("size"))
     rates = scratch.put(source_rates(sized, weights, share, cap), "rates")
-    rates = rates.select(F.struct("source", "source_size", "target", "rate").alias("__rate"))
-    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != out]
-    wide = docs.select(*columns, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"))
-    joined = wide.join(F.broadcast(rates) if is_small(rates, BROADCAST_SOURCES) else rates, F.col("__source").eqNullSafe(F.col("__rate.source")))
-    whole = F.floor("__rate.rate")
-    copies = whole + bernoulli(F.col("__id"), seed, F.col("__rate.rate") - whole).cast("long")
-    mix = F.struct(F.col("__size").alias("size"), F.col("__rate.source_size").alias("source_size"), F.col("__rate.target").alias("target"), copies.alias("copies"))
-    return joined.select(*columns, mix.alias(out))
+    rates = rates.select(F.struct("source", "source_size", "target", "rate").alias("rate"))
+    columns = [c for c in (docs.columns if keep is None else keep) if c != out]
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    wide = docs.select(packed(columns).alias("row") if columns else F.lit(None).alias("row"), key.alias("key"), source.alias("source"), word_count(text).alias("size"))
+    joined = wide.join(F.broadcast(rates) if is_small(rates, BROADCAST_SOURCES) else rates, F.col("source").eqNullSafe(F.col("rate.source")))
+    whole = F.floor("rate.rate")
+    copies = whole + bernoulli(F.col("key"), seed, F.col("rate.rate") - whole).cast("long")
+    mix = F.struct("size", F.col("rate.source_size").alias("source_size"), F.col("rate.target").alias("target"), copies.alias("copies"))
+    return joined.select(*unpacked("row", columns), mix.alias(out))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs``, with its columns, as many times as ``plan_mix`` says (0 times or more)."""
-    plan = plan_mix(docs, out="__mix", **options)
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix.copies")))
-    return plan.where("__mix.copies > 0").select("*", times.alias("__copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "mix"
+    while name in docs.columns:
+        name += "_"
+    plan = plan_mix(docs, out=name, **options).where(F.col(f"{name}.copies") > 0)
+    copies = plan.select(packed(docs.columns).alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{name}.copies"))).alias("copy"))
+    return copies.select(*unpacked("row", docs.columns))
 
 
 def mix_oracle() -> str:
     return r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS key FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS most FROM sums),
 levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER w, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0::DOUBLE)) AS level
   FROM named WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 final AS (SELECT level FROM levels WHERE weight * level <= most ORDER BY most / weight, source NULLS LAST LIMIT 1),
 rates AS (SELECT source, source_size, least(most, weight * final.level) AS target, CASE WHEN source_size > 0 THEN least(most, weight * final.level) / source_size ELSE 0 END AS rate FROM levels, final)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('7:' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source"""

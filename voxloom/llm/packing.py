@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from voxloom.scratch import Scratch
 
+from .columns import packed, unpacked
+
 #: (length, first rank, pieces, pieces to a sequence, first sequence, offset of the first piece)
 Placement = tuple[int, int, int, int, int, int]
 
@@ -145,8 +147,10 @@ def byte_bpe_encoder(tokenizer_json: str, ranks_file: str | None = None, pattern
             if not any(s in text for s in special):
                 try:
                     return fast.encode_ordinary(text)
+                except (KeyboardInterrupt, SystemExit, MemoryError, GeneratorExit):
+                    raise
                 except BaseException as e:  # a Rust panic isn't an Exception
-                    if isinstance(e, KeyboardInterrupt | SystemExit):
+                    if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                         raise
             return own.encode(text, add_special_tokens=False).ids
 
@@ -156,16 +160,16 @@ def byte_bpe_encoder(tokenizer_json: str, ranks_file: str | None = None, pattern
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (with doc_id, piece, start, length, ids_crc32) with sequence_id and offset beside all its columns."""
+    """``pieces`` (with doc_id, piece, start, length, ids_crc32) with sequence_id and offset beside its columns; columns of these two names are replaced, others may have any."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [c for c in pieces.columns if c not in ("__bucket", "sequence_id", "offset")]
-    marked = scratch.put(pieces.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int").alias("__bucket")), "pieces")
-    counts = marked.groupBy("length", "__bucket").agg(F.count("*").alias("__rows"))
-    counts = scratch.put(counts, "counts")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    order = ["doc_id", "piece", "ids_crc32"]
+    marked = scratch.put(pieces.select(packed(names).alias("row"), "length", *order, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("bucket")), "pieces")
+    counts = scratch.put(marked.groupBy("length", "bucket").agg(F.count("*").alias("m")), "counts")
     #: At most one row per length.
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__rows").alias("n")).collect()}
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("m").alias("n")).collect()}
     plan = sorted(plan_packing(total, capacity))
     table = spark.sparkContext.broadcast(np.array(plan, np.int64).reshape(-1, 6))
 
@@ -177,12 +181,12 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         k = r - row[:, 1]
         return pd.DataFrame({"sequence_id": row[:, 4] + k // row[:, 3], "offset": row[:, 5] + k % row[:, 3] * n})
 
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = marked.withColumn("__rank", F.row_number().over(own)).join(offsets, ["length", "__bucket"])
-    placed = ranked.withColumn("__at", place("length", (F.col("__before") + F.col("__rank") - 1).cast("long")))
-    return placed.select(*[F.col(f"`{c}`") for c in names], "__at.sequence_id", "__at.offset")
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("length", "bucket").orderBy(*order)
+    ranked = marked.withColumn("rank", F.row_number().over(own)).join(offsets, ["length", "bucket"])
+    placed = ranked.select("row", place("length", (F.col("before") + F.col("rank") - 1).cast("long")).alias("at"))
+    return placed.select(*unpacked("row", names), "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[int]]]], id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:

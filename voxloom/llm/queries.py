@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ from .sharding import assign_shards
 from .topk import exact_top_k, top_k_oracle
 from .warc import warc_oracle, warc_round_trip
 
-#: Where the vocabulary files of the public tokenizers lie.
-TOKENIZERS = "/opt/tokenizers"
 #: The split pattern of the byte-level vocabulary: a fixed value.
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -84,9 +83,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
 
 
-def public_byte_bpe(folder: str = TOKENIZERS):
-    """The 50k byte-level tokenizer of the public vocabulary files."""
-    return byte_bpe_encoder(f"{folder}/byte_bpe_50k.json", f"{folder}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
+def public_byte_bpe(path: Callable[[str], str] = public_tokenizers.path):
+    """The 50k byte-level tokenizer of the public vocabulary files; ``path`` gives a file's place by its name."""
+    return byte_bpe_encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

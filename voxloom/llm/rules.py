@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxloom.scratch import Scratch
 
-from .columns import SPACES, count_chars, let, words_of
+from .columns import SPACES, count_chars, let, packed, unpacked, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -69,9 +69,10 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, s) per row; s is a struct of ratios."""
-    flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in base_counts(F.col(text_col)).items()])
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, s[, row]) per row; s is a struct of ratios, row one of all columns."""
+    own = [packed(docs.columns).alias("row")] if whole else []
+    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *own, *[c.alias(n) for n, c in base_counts(F.col(f"`{text_col}`")).items()])
     flat = flat.select("*", F.col("words.n").cast("long").alias("n_words"), F.col("lines.dup").cast("long").alias("n_dup_lines"), F.col("words.repeat").alias("n_repeat_words"))
     per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
     ratios = {
@@ -88,7 +89,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "dup_lines": per("n_dup_lines", "lines.n"),
         "line_words": per("n_words", "lines.n"),
     }
-    return flat.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.struct(*[c.alias(n) for n, c in ratios.items()]).alias("s"))
+    return flat.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.struct(*[c.alias(n) for n, c in ratios.items()]).alias("s"), *(["row"] if whole else []))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -108,14 +109,17 @@ def _bin(value: Column, cuts: Sequence[float]) -> Column:
 def learn_decision_list(train: DataFrame, names: Sequence[str], max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION) -> list[Rule]:
     """Rules that cover rows with ``reject`` = 1, in order. ``train`` has doc_id, reject (0 or 1) and the struct s of statistics.
 
-    Every labelled row counts. What comes to the driver is a histogram of at most statistics x (bins + 1) cells for each
+    Every labelled row counts. What comes to the driver is a histogram of at most statistics x 2 (bins + 1) cells for each
     condition. No rows, or rows of one class only, give an empty list.
     """
     scratch = Scratch(train.sparkSession, "rules")
     marks = [k / BINS for k in range(BINS + 1)]
-    found = train.agg(*[F.percentile_approx(f"s.{n}", marks, 10_000).alias(n) for n in names]).first()
-    #: Halfway between neighbouring quantiles: a threshold keeps its distance to the rows on both sides.
-    steps = {n: sorted(set(found[n] or [])) for n in names}
+    rejected = F.col("reject") == 1
+    quantiles = lambda n, of, tag: F.percentile_approx(F.when(of, F.col(f"s.{n}")), marks, 10_000).alias(f"{tag}{n}")
+    found = train.agg(*[quantiles(n, of, tag) for n in names for of, tag in ((F.lit(True), "a"), (rejected, "r"))]).first()
+    #: Quantiles of all rows and of the rejected ones, so that a rare kind of these has thresholds too. A threshold is halfway
+    #: between neighbours: it keeps its distance to the rows on both sides.
+    steps = {n: sorted({*(found[f"a{n}"] or []), *(found[f"r{n}"] or [])}) for n in names}
     cuts = {n: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for n, v in steps.items()}
     places = [_bin(F.col(f"s.{n}"), cuts[n]) for n in names]
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 0
@@ -176,6 +180,18 @@ def verdict(rules: Sequence[Rule], statistic: Callable[[str], Column]) -> Column
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep_label: int, whole: bool) -> DataFrame:
+    """``document_statistics`` with base_failed and kept."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.put(document_statistics(docs, id_col, text_col, whole), "stats")
+    names = stats.schema["s"].dataType.names
+    marked = labels.where(F.col("quality").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    train = stats.drop("row").join(marked, "doc_id").where(~failed).select("doc_id", "s", (F.col("quality") != keep_label).cast("int").alias("reject"))
+    rules = learn_decision_list(scratch.put(train, "train"), names)
+    return stats.select("*", failed.alias("base_failed"), (~failed & verdict(rules, lambda f: F.col(f"s.{f}"))).alias("kept"))
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1) -> DataFrame:
     """A row per row of ``docs``: its counts, base_failed and kept (false if base_failed, or if a learned rule rejects it).
 
@@ -184,11 +200,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Other columns are ignored. An empty table gives an empty result; without labels only base_failed decides.
     Words and windows are compared by 64-bit hashes.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.put(document_statistics(docs, id_col, text_col), "stats")
-    names = stats.schema["s"].dataType.names
-    marked = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    train = stats.join(marked, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "s", (F.col("quality") != keep_label).cast("int").alias("reject"))
-    rules = learn_decision_list(scratch.put(train, "train"), names)
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules, lambda f: F.col(f"s.{f}"))).alias("kept"))
+    return _judged(docs, labels, id_col, text_col, keep_label, False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with their columns. Each row is judged by its own text: rows that share an id, or have none,
+    stay or go one by one."""
+    return _judged(docs, labels, id_col, text_col, keep_label, True).where("kept").select(*unpacked("row", docs.columns))

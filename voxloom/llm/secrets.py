@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxloom.scratch import Scratch
 
-from .columns import let, prefix_sums
+from .columns import let, packed, prefix_sums
 
 #: Base kinds in the order of the contract, then the kinds that linking adds.
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
@@ -23,7 +23,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts.
 WEAK_ID = r"""(?<![A-Za-z0-9_])(?i:access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9A-Z+/]*[a-z])(?=[0-9a-z+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])"
 WEAK_ENDPOINT = r"""(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""
 #: Code points between complementary parts at most.
 SCOPE = 200
@@ -57,7 +57,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
-    flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     base = F.concat(_spans(text, ASSIGN, 0, group=2, least=6), _spans(text, ACCESS, 1, least=20), _spans(text, HEX, 2))
     weak = F.concat(_spans(text, WEAK_ID, 3), _spans(text, WEAK_SECRET, 4), _spans(text, WEAK_ENDPOINT, 5))
     found = scratch.put(flat.select("doc_id", F.xxhash64(text).alias("text_key"), base.alias("base"), weak.alias("weak")), "found")
@@ -99,7 +99,8 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with the secrets in its texts replaced by their kinds; rows, other columns and null texts stay."""
     spans = find_secrets(docs, id_col, text_col, scope).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    own = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = own.join(spans.select(F.struct("doc_id", "text_key").alias("__k"), F.col("spans").alias("__spans")), F.col(id_col).cast("long").eqNullSafe(F.col("__k.doc_id")) & (F.col("__key") == F.col("__k.text_key")), "left")
-    clean = F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(f"`{text_col}`")
+    own = docs.select(packed(docs.columns).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("key"))
+    joined = own.join(spans.select(F.struct("doc_id", "text_key", "spans").alias("found")), F.col("id").eqNullSafe(F.col("found.doc_id")) & (F.col("key") == F.col("found.text_key")), "left")
+    clean = F.when(F.col("found").isNotNull(), redacted(F.col("text"), F.col("found.spans"))).otherwise(F.col("text"))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

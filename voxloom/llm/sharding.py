@@ -58,7 +58,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", shards: int = 24) -> None:
-    """Write the rows of ``docs`` as Parquet, one folder per shard; several tasks write into each."""
+    """Write the rows of ``docs`` as Parquet, one folder per shard; several tasks write into each. A column named shard is replaced by the shard."""
 
     @F.pandas_udf("int")
     def jump(key: pd.Series) -> pd.Series:
