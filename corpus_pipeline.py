@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing.
 
 ``STAGES`` lists (name, function) in order. Each function takes (spark, docs, sf_dir) and works on all rows that the
-stage before it kept; all but the last return the columns of ``documents``.
+stage before it kept; all but the last return the columns of ``documents``. Decisions are made row by row: rows that share an
+id, or have none, stay or go by what they hold. Columns beyond those of ``documents`` stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,41 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.columns import packed, unpacked
 from voxloom.llm.mixing import mix_sources
 from voxloom.llm.ngram_join import ngram_jaccard_components
 from voxloom.llm.packing import pack_documents
 from voxloom.llm.queries import public_byte_bpe
-from voxloom.llm.rules import quality_verdicts
+from voxloom.llm.rules import kept_documents
 from voxloom.llm.secrets import redact_secrets
 from voxloom.scratch import Scratch
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; null ids match null ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a learned rule go; the rest is unchanged. A repeated id goes if one of its rows does."""
-    verdicts = quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = Scratch(spark, "rejected").put(verdicts.where(~F.col("kept")).select("doc_id"), "ids")
-    return docs.join(bad.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Rows whose text fails the base rules or a learned rule go; the rest is unchanged."""
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles the row with the smallest doc_id stays, once; documents without words stay.
-
-    Rows that repeat both id and text are one document; a row without an id stays unless its text repeats another's."""
-    found = ngram_jaccard_components(docs)
-    ids = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id")
-    kept = _chosen(docs, ids).withColumn("__key", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    """Of each group linked by shingles one row stays: that with the smallest doc_id, null last, and of those the one with
+    the least hash of its text; of rows that repeat both any one. Rows without words stay."""
+    scratch = Scratch(spark, "copies")
+    found = ngram_jaccard_components(docs.select("doc_id", "text", F.xxhash64("text").alias("tag")), tag_col="tag")
+    key = [F.col("doc_id").alias("id"), "tag"]
+    #: Keys that go, and keys that several rows of which one stays have.
+    gone = found.where("not chosen").select(*key).distinct()
+    again = found.where("chosen and n_shingles > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select("id", "tag")
+    gone, again = scratch.put(gone, "gone"), scratch.put(again, "again")
+    own = docs.select(packed(docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_tag"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag"))
+    if again.isEmpty():
+        return own.join(gone, same, "left_anti").select(*unpacked("row", docs.columns))
+    one = own.join(again, same, "left_semi").groupBy("own_id", "own_tag").agg(F.first("row").alias("row")).select("row")
+    return own.join(gone.unionByName(again), same, "left_anti").select("row").unionByName(one).select(*unpacked("row", docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts become their kinds; n_chars follows the text."""
-    clean = redact_secrets(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return redact_secrets(docs).select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
