@@ -17,7 +17,7 @@ from voxloom.llm import chat
 from voxloom.llm import queries as q
 from voxloom.llm.packing import cut, pack_documents, plan_packing
 from voxloom.llm.topk import SortedLists, exact_top_k
-from voxloom.llm.warc import base32_sha1, decode_record, encode_record, read_archives, records_in_range, warc_round_trip, write_archives
+from voxloom.llm.warc import base32_sha1, decode_record, encode_record, nested, read_archives, records_in_range, warc_round_trip, write_archives
 
 
 def test_warc_matches_pages(spark, sf_dir):
@@ -64,11 +64,30 @@ def test_reader_passes_false_magic(tmp_path):
     total = sum(map(len, parts))
     with fs.LocalFileSystem().open_input_file(str(path)) as f:
         for split in (1, 7, 100, total):
-            found = [decode_record(r) for at in range(0, total, split) for r in records_in_range(f, total, at, min(total, at + split))]
+            found = [decode_record(r) for at in range(0, total, split) for _, _, r in records_in_range(f, total, at, min(total, at + split))]
             assert [r["page_id"] for r in found] == [1, 2]
     assert found[0]["payload"] == fake * 3 and found[1]["refers_to"] == 1 and found[1]["record_type"] == "revisit"
 
 
+@pytest.mark.parametrize("level", [0, 9])
+def test_members_inside_of_others(spark, tmp_path, level):
+    """Archives in a payload, and archives in these: whatever the split, the records are those of reading from the start."""
+    page = lambda i, x, lvl=9: encode_record(i, f"u{i}", x, None, False, base32_sha1(x), lvl)
+    deep = page(70, b"deep" * 30) + page(71, page(72, b"deeper"), 0)
+    inner = page(60, b"x" * 50) + page(61, deep, 0) + page(62, b"tail")
+    whole = page(1, b"first") + page(2, inner + b"\x1f\x8b\x08" + inner, level) + b"junk" + page(3, b"", level) + page(4, inner, level)
+    (tmp_path / "x.warc.gz").write_bytes(whole)
+    archives = spark.createDataFrame([(f"{tmp_path}/x.warc.gz", len(whole))], "path string, bytes long")
+    for split in (29, 100, 333, 1000, len(whole)):
+        got = read_archives(archives, f"file://{tmp_path}", split_bytes=split).collect()
+        assert sorted(r["page_id"] for r in got) == [1, 2, 3, 4], split
+    with fs.LocalFileSystem().open_input_file(f"{tmp_path}/x.warc.gz") as f:
+        for split in (1, len(whole)):
+            found = [x for at in range(0, len(whole), split) for x in records_in_range(f, len(whole), at, min(len(whole), at + split))]
+            out = nested(np.array([x[0] for x in found]), np.array([x[1] for x in found]))
+            assert [decode_record(x[2])["page_id"] for x, n in zip(found, out, strict=True) if not n] == [1, 2, 3, 4]
+
+
 def brute_top(vectors, k):
     whole = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in vectors.items()}
     out = []

@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 The features approximate a Gaussian kernel, so a linear fit on them separates along curved borders. Every partition sums
-its normal equations; sums are of fixed size, whatever the rows, and are added in the order of partitions. Scores of rows
-kept aside from the fit are calibrated by pooling adjacent violators over a bounded number of bins.
+its normal equations; a sum is of fixed size, whatever the rows, there are at most ``MAX_SUMS`` of them, and they are added in two levels, in
+the order of partitions. Scores of rows kept aside from the fit are calibrated by pooling adjacent violators over a bounded number of bins.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .ngram_join import _SPACE, _blocks, word_hashes
 
 #: Fourier features, the ridge's weight to a row, the seed of the features, and score bins of the calibration.
 FEATURES, RIDGE, SEED, BINS = 256, 1e-3, 11, 512
+#: Partitions of training rows that give a sum at most, and sums that are added by one task.
+MAX_SUMS, ADDED = 4096, 64
 STATISTICS = ("log_words", "word_length", "word_spread", "upper", "digits", "marks", "symbols", "pipes", "stops", "wide", "distinct", "pairs", "top", "dup_lines", "line_words")
 
 _CLASSES = np.zeros((256, 7), np.int64)
@@ -85,7 +87,7 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit_ridge(train: DataFrame, phi: FourierFeatures, ridge: float = RIDGE) -> np.ndarray:
-    """Weights from rows (s, y): each partition gives one matrix, in rows; rows of a number are summed in one place."""
+    """Weights from rows (s, y): each partition gives one matrix, in rows; rows of a number are added by ``ADDED``, then these sums."""
     size = len(phi.b) + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +104,14 @@ def fit_ridge(train: DataFrame, phi: FourierFeatures, ridge: float = RIDGE) -> n
     def add(table: pa.Table) -> pa.Table:
         order = np.argsort(table["part"].to_numpy(), kind="stable")
         v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)[order]
-        return pa.table({"i": pa.array([table["i"][0].as_py()], pa.int32()), "v": pa.array([v.sum(axis=0)], pa.list_(pa.float64()))})
-
-    parts = train.select("s", F.col("y").cast("double").alias("y")).mapInArrow(sums, "i int, part int, v array<double>")
-    got = {r["i"]: r["v"] for r in parts.groupBy("i").applyInArrow(add, "i int, v array<double>").collect()}
+        first = lambda c: pa.array([table[c][0].as_py()], pa.int32())
+        return pa.table({"i": first("i"), "part": first("level"), "level": first("level"), "v": pa.array([v.sum(axis=0)], pa.list_(pa.float64()))})
+
+    ddl = "i int, part int, level int, v array<double>"
+    rows = train.select("s", F.col("y").cast("double").alias("y")).coalesce(MAX_SUMS)
+    parts = rows.mapInArrow(sums, "i int, part int, v array<double>").withColumn("level", F.floor(F.col("part") / ADDED).cast("int"))
+    parts = parts.groupBy("i", "level").applyInArrow(add, ddl)
+    got = {r["i"]: r["v"] for r in parts.groupBy("i").applyInArrow(add, ddl).collect()}
     if not got:
         return np.zeros(size)
     whole = np.array([got[i] for i in range(size)])

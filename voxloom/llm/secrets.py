@@ -51,7 +51,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Places are code points, ends exclusive. Spans of different base kinds may overlap; linked spans don't overlap a base
     span. A weak identifier is reported if a secret lies within ``scope``, a weak secret if an identifier or an
-    endpoint does, an endpoint if both do. text_key is a hash of the text: rows that repeat id and text get equal
+    endpoint that it isn't part of does, an endpoint if both do. text_key is a hash of the text: rows that repeat id and text get equal
     results. Null texts count as empty and have no spans; null ids are kept. Other columns are ignored.
     An empty table gives an empty result.
     """
@@ -70,7 +70,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     swept = parts.select("*", *[F.max(F.when(c, F.col("end"))).over(ahead).alias(f"end_{n}") for n, c in is_a.items()], *[F.min(F.when(c, F.col("start"))).over(back).alias(f"start_{n}") for n, c in is_a.items()])
     near = lambda n: F.coalesce(F.col("start") - F.col(f"end_{n}") <= scope, F.lit(False)) | F.coalesce(F.col(f"start_{n}") - F.col("end") <= scope, F.lit(False))
     over_base = F.coalesce(F.col("end_base") > F.col("start"), F.lit(False)) | F.coalesce(F.col("start_base") < F.col("end"), F.lit(False))
-    linked = F.when(F.col("kind") == 3, near("secret")).when(F.col("kind") == 4, near("id") | near("endpoint")).when(F.col("kind") == 5, near("id") & near("secret")).otherwise(False)
+    inside = F.coalesce(F.col("end_endpoint") > F.col("start"), F.lit(False))
+    linked = F.when(F.col("kind") == 3, near("secret")).when(F.col("kind") == 4, near("id") | (near("endpoint") & ~inside)).when(F.col("kind") == 5, near("id") & near("secret")).otherwise(False)
     added = swept.where(linked & ~over_base).groupBy(*key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     added = added.select(F.struct(*key).alias("k"), "added")
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key")), "left")

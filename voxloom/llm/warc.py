@@ -2,7 +2,9 @@
 
 Archives have one gzip member per record. A reading task gets a byte range, looks for gzip magic in it, takes a place
 for a member if it can be decoded whole and begins with a WARC version line, and reads the records that start inside,
-the last one past the end. Files are opened through ``pyarrow.fs`` by the URI of the shared folder.
+the last one past the end. A payload can itself hold such members, stored as they are. A task can't tell them from the
+archive's own, so all are read, and those that begin inside of another are taken out by their places: the result is that of
+reading each archive from its start, whatever the splits. Files are opened through ``pyarrow.fs`` by the URI of the shared folder.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.scratch import Scratch, shared_dir
@@ -80,11 +83,12 @@ def decode_record(raw: bytes) -> dict | None:
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, url, payload, sha1, first): first is the least id of the equal payloads, or null where it's too short to be revisited."""
+    """(page_id, url, payload, sha1, first): first is the least id of equal payloads of several rows, or null where there is one row or it's too short to be revisited."""
     flat = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     flat = flat.select("*", F.sha1("payload").alias("sha1"))
-    least = flat.select("page_id", "sha1", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("__rows"))
-    return flat.join(least, "sha1", "left")
+    least = flat.select("page_id", "sha1", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("m"))
+    #: Only payloads that repeat are joined, so that this side stays small.
+    return flat.join(least.where("m > 1").drop("m"), "sha1", "left")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 1) -> DataFrame:
@@ -103,12 +107,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         done, out, path, size, records = [], None, "", 0, 0
         for batch in batches:
             cols = batch.to_pydict()
-            for page, url, payload, sha1, first, found in zip(*(cols[c] for c in ("page_id", "url", "payload", "sha1", "first", "__rows")), strict=True):
+            for page, url, payload, sha1, first in zip(*(cols[c] for c in ("page_id", "url", "payload", "sha1", "first")), strict=True):
                 if out is None:
                     path = f"{base}/{stem}-{len(done):04d}.warc.gz"
                     out, size, records = store.open_output_stream(path, compression=None), 0, 0
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                raw = encode_record(page, url, payload, first, bool(found) and page != first, digest, level)
+                raw = encode_record(page, url, payload, first, first is not None and page != first, digest, level)
                 out.write(raw)
                 size += len(raw)
                 records += 1
@@ -122,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "bytes": [x[1] for x in done], "records": [x[2] for x in done]}, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
     rows = with_revisits(pages, id_col, url_col, payload_col, min_bytes)
-    return rows.select("page_id", "url", "payload", "sha1", "first", "__rows").mapInArrow(run, "path string, bytes long, records long")
+    return rows.select("page_id", "url", "payload", "sha1", "first").mapInArrow(run, "path string, bytes long, records long")
 
 
 class _Window:
@@ -156,19 +160,27 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     return (whole, place - len(unpack.unused_data)) if whole.startswith(b"WARC/") else None
 
 
-def records_in_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
-    """The records whose members start in [start, end)."""
+def records_in_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(place, end, record) of every member that starts in [start, end), also of those inside of others."""
     window, at = _Window(file, size), start
     while at < end:
         if window.get(at, 3) == MAGIC and (found := _member(window, at)):
-            yield found[0]
-            at = found[1]
-            continue
+            yield at, found[1], found[0]
         chunk = window.get(at + 1, min(READ_BYTES, end - at + 1))
         k = chunk.find(MAGIC)
         at = at + 1 + k if k >= 0 else at + max(1, len(chunk) - 1)
 
 
+def nested(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of members in the order of their places, those that reading from the start doesn't meet: each begins before the end of the last that was met."""
+    out, open_until = np.zeros(len(starts), bool), 0
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        out[k] = a < open_until
+        if a >= open_until:
+            open_until = b
+    return out
+
+
 _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
@@ -176,31 +188,45 @@ def read_archives(archives: DataFrame, scheme_of: str, split_bytes: int = SPLIT_
     """The records of archives (path, bytes): (page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]).
 
     ``scheme_of`` is a URI in the store that holds them. Splits of all archives are dealt to tasks evenly. A revisit
-    has its payload's length and digest from its headers. Members that aren't records are passed over.
+    has its payload's length and digest from its headers. Members that aren't records are passed over. What was read is
+    written once, as the members to leave out are known when all of an archive's are: per archive, from two numbers a member.
     """
-    names = [f.name for f in _RECORD if payloads or f.name != "payload"]
+    spark = archives.sparkSession
+    names = ["path", "place", "end", *[f.name for f in _RECORD if payloads or f.name != "payload"]]
+    schema = pa.schema([("path", pa.string()), ("place", pa.int64()), ("end", pa.int64()), *[_RECORD.field(n) for n in names[3:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(scheme_of)
-        schema = pa.schema([_RECORD.field(n) for n in names])
         rows, held = [], 0
         for batch in batches:
             for path, start, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(path) as file:
-                    for raw in records_in_range(file, size, start, end):
+                    for place, stop, raw in records_in_range(file, size, start, end):
                         if record := decode_record(raw):
-                            rows.append({n: record[n] for n in names})
+                            rows.append({n: record[n] for n in names[3:]} | {"path": path, "place": place, "end": stop})
                             held += len(raw) if payloads else 200
                         if held >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    def inside(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        return table.select(["path", "place"]).filter(pa.array(nested(table["place"].to_numpy(), table["end"].to_numpy())))
+
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = archives.where("bytes > 0").select("path", starts.alias("start"), "bytes").select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"), "bytes")
-    parts = int(splits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ddl = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
-    return splits.repartition(parts).mapInArrow(run, ddl)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ddl = "path string, place long, end long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
+    scratch = Scratch(spark, "records")
+    found = scratch.put(splits.repartition(parts).mapInArrow(run, ddl), "found")
+    #: Only archives in which members overlap are walked.
+    by = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    places = found.select("path", "place", "end")
+    mixed = places.withColumn("before", F.max("end").over(by)).where("before > place").select("path").distinct()
+    extra = scratch.put(places.join(mixed, "path", "left_semi").groupBy("path").applyInArrow(inside, "path string, place long"), "inside")
+    own = found if extra.isEmpty() else found.join(extra, ["path", "place"], "left_anti")
+    return own.select(*names[3:])
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, payloads: bool = False) -> DataFrame:
