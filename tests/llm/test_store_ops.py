@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as fs
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -16,7 +17,7 @@ from tests.llm.common import rows, table
 from voxloom.llm import chat
 from voxloom.llm import queries as q
 from voxloom.llm.packing import cut, pack_documents, plan_packing
-from voxloom.llm.topk import SortedLists, exact_top_k
+from voxloom.llm.topk import Best, SortedLists, exact_top_k, search_group
 from voxloom.llm.warc import base32_sha1, decode_record, encode_record, nested, read_archives, records_in_range, warc_round_trip, write_archives
 
 
@@ -109,7 +110,7 @@ def test_top_k_edges(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, rank int")
     clean = {i: v for i, v, _ in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     for rows in (8192, 2):
-        got = exact_top_k(df, df.where("vec_id % 50 = 0"), k=3, block_rows=rows, block_queries=1).collect()
+        got = exact_top_k(df, df.where("vec_id % 50 = 0"), k=3, group_rows=2 * rows, block_rows=rows).collect()
         assert sorted(tuple(r) for r in got) == brute_top(clean, 3)
     assert exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
@@ -117,11 +118,31 @@ def test_top_k_edges(spark):
 def test_threshold_stops_early():
     draw = np.random.default_rng(0)
     rows = np.floor(256 * draw.normal(size=(4000, 3)))
-    block = SortedLists(np.arange(4000), rows)
+    block, ids = SortedLists(np.arange(4000), rows), np.arange(4000)
     for query in rows[:20]:
-        ids, scores, seen = block.best(query, -1, 5, block.bounds(query[None])[:, 0])
-        want = np.lexsort((np.arange(4000), -(rows @ query)))[:5]
-        assert ids.tolist() == want.tolist() and seen < 4000
+        best = Best(1, 5, rows.dtype)
+        seen = block.search(query[None], np.array([-1]), best)
+        assert best.ids[0].tolist() == np.lexsort((ids, -(rows @ query)))[:5].tolist() and seen < 4000
+        #: A block that can't beat the kth score isn't read.
+        far = SortedLists(ids + 4000, rows - 1e4 * np.sign(query))
+        assert far.search(query[None], np.array([-1]), best) == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 5), st.sampled_from([3, 50, 1000]), st.sampled_from([3.0, 2.0**27]))
+def test_search_group(seed, dims, n, width):
+    """Blocks of one group, ties and sums that doubles can't hold, against all products."""
+    draw = np.random.default_rng(seed)
+    rows = np.floor(draw.normal(size=(n, dims)) * width)
+    table = pa.table({"vec_id": pa.array(draw.permutation(n)), "embedding": pa.array(list(rows), pa.list_(pa.float64()))})
+    queries = table.slice(0, 9)
+    got = pa.Table.from_batches(list(search_group(table, iter([queries.slice(0, 4), queries.slice(4)]), 3, 1, 200))).to_pydict()
+    ids, whole = table["vec_id"].to_numpy(), rows.astype(np.int64)
+    want = []
+    for k in range(len(queries)):
+        scores = [(-int(s), int(i)) for s, i in zip(whole @ whole[k], ids, strict=True) if i != ids[k]]
+        want += [(int(ids[k]), i, -s) for s, i in sorted(scores)[:3]]
+    assert sorted(zip(got["query_id"], got["vec_id"], got["score"], strict=True)) == sorted(want)
 
 
 def test_chat(spark, sf_dir):

@@ -1,22 +1,33 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are dealt into blocks, and so are the queries; each pair of blocks is one task's work. A block keeps, for every
-dimension, its vectors in the order of that component. For a query the lists are read from the end that its component's
-sign favours. Objects seen in any list are scored; no unseen one can score above the sum of the query's products with the
-values the lists have come to, so reading stops when the kth score is above that bound.
+Vectors are dealt into groups, one task's work each, and shuffled once. A group cuts its vectors into blocks and sorts, for every
+dimension, a block's vectors by that component; lists are built once. Queries lie in a table in the shared folder, and every
+group streams it in batches, so queries aren't shuffled and none is held longer than its batch. For a query the lists are
+read from the end that its component's sign favours. Objects seen in any list are scored; no unseen one can score above
+the sum of the query's products with the values the lists have come to, so reading stops when the kth score is above that
+bound. The kth score goes from block to block of a group: a block whose bound can't beat it isn't read at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
-#: Depths at which the bound is held against the kth score.
-FIRST_DEPTH, DEPTH_STEP = 16, 4
+from voxloom.scratch import Scratch
+
+#: Vectors of a group and of a block, queries of a batch, and scores held at once.
+GROUP_ROWS, BLOCK_ROWS, BATCH_QUERIES, HELD_SCORES = 131_072, 8192, 2048, 1 << 23
+#: Depths at which the bound is held against the kth score; beyond a share of the block all of it is scored at once.
+FIRST_DEPTH, DEPTH_STEP, SHARE = 16, 4, 0.5
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Stands for no score and no id; below and above all others.
+_NONE, _NO_ID = 1 - 2**63, 2**63 - 1
 
 
 def _unique(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,99 +38,147 @@ def _unique(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], rows[first]
 
 
+class Best:
+    """The k best of each query of a batch, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int, dtype: np.dtype) -> None:
+        self.scores, self.ids = np.full((queries, k), _NONE, dtype), np.full((queries, k), _NO_ID, np.int64)
+
+    @property
+    def kth(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def take(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        k = self.scores.shape[1]
+        fit = scores >= self.scores[query, -1]
+        scores, ids = scores[fit], ids[fit]
+        if len(scores) > 4 * k:
+            enough = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, ids = scores[enough], ids[enough]
+        scores, ids = np.concatenate((self.scores[query], scores)), np.concatenate((self.ids[query], ids))
+        order = np.lexsort((ids, -scores))[:k]
+        self.scores[query], self.ids[query] = scores[order], ids[order]
+
+
 class SortedLists:
     """A block of vectors with its lists."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows, self.n = ids, rows, len(ids)
-        self.lists = np.argsort(rows, axis=0, kind="stable") if rows.shape[1] else np.zeros((self.n, 0), int)
-        self.values = np.take_along_axis(rows, self.lists, axis=0)
-        self.depths = []
-        d = FIRST_DEPTH
-        while d < self.n:
+        self.lists = np.argsort(rows, axis=0, kind="stable").astype(np.int32) if rows.shape[1] else np.zeros((self.n, 0), np.int32)
+        self.depths, d = [0], FIRST_DEPTH
+        while d * max(1, rows.shape[1]) <= SHARE * self.n:
             self.depths.append(d)
             d *= DEPTH_STEP
-        self.depths.append(self.n)
+        at = lambda d: np.take_along_axis(rows, self.lists[d][None], axis=0)[0]
+        self.tops = np.array([at(self.n - max(d, 1)) for d in self.depths])
+        self.lows = np.array([at(max(d, 1) - 1) for d in self.depths])
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """By depth and query: what an object in none of the lists' first rows can score at most."""
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        return np.stack([self.values[self.n - d] @ up.T + self.values[d - 1] @ down.T for d in self.depths])
-
-    def best(self, query: np.ndarray, own: int, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best, ties to the smaller id, and the number of objects scored."""
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        scores, seen = np.zeros(self.n, query.dtype), np.zeros(self.n, bool)
-        done, step = 0, 0
-        while True:
-            d = self.depths[step]
-            new = np.zeros(self.n, bool)
-            if d == self.n:
-                new[:] = True
-            else:
-                new[self.lists[self.n - d : self.n - done, up].ravel()] = True
-                new[self.lists[done:d, down].ravel()] = True
-            rows = np.flatnonzero(new & ~seen)
-            scores[rows] = self.rows[rows] @ query if 2 * len(rows) < self.n else (self.rows @ query)[rows]
-            seen[rows] = True
-            held = np.flatnonzero(seen & (self.ids != own))
-            if d == self.n:
-                break
-            if len(held) >= k:
-                kth = np.partition(scores[held], len(held) - k)[len(held) - k]
-                if kth > bound[step]:
-                    break
-                #: The kth score can only rise, so reading can't stop before the bound is below it.
-                step = max(step + 1, int(np.argmax(bound < kth)) if (bound < kth).any() else len(self.depths) - 1)
-            else:
-                step += 1
-            done = d
-        if len(held) > k:
-            held = held[scores[held] >= np.partition(scores[held], len(held) - k)[len(held) - k]]
-        held = held[np.lexsort((self.ids[held], -scores[held]))][:k]
-        return self.ids[held], scores[held], int(seen.sum())
-
-
-def _matrix(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = table["vec_id"].to_numpy()
-    flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = np.floor(flat * scale).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-    return _unique(ids, rows)
-
-
-def search_blocks(left: pa.Table, right: pa.Table, k: int, scale: int) -> pa.Table:
-    """Kernel of one pair of blocks: the k best vectors of ``left`` for each query of ``right``."""
-    if not len(left) or not len(right):
-        return _OUT.empty_table()
-    ids, rows = _matrix(left, scale)
-    own, queries = _matrix(right, scale)
-    if float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1]) >= 2.0**53:
-        rows, queries = rows.astype(np.int64), queries.astype(np.int64)  # sums that doubles can't hold
-    block = SortedLists(ids, rows)
-    bounds = block.bounds(queries)
-    found = [block.best(q, o, k, bounds[:, j])[:2] for j, (q, o) in enumerate(zip(queries, own.tolist(), strict=True))]
-    return pa.table([np.repeat(own, [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64)], schema=_OUT)
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+        """By depth and query: what an object in none of the lists' first rows can score at most; at depth 0, what any can."""
+        return self.tops @ np.maximum(queries, 0).T + self.lows @ np.minimum(queries, 0).T
+
+    def search(self, queries: np.ndarray, own: np.ndarray, best: Best) -> int:
+        """Put this block's vectors into ``best``; the result is the number of objects scored."""
+        bounds, scored = self.bounds(queries), 0
+        #: An unseen object's score is at most the bound; strictly below the kth score it can't tie either.
+        live = np.flatnonzero(bounds[0] >= best.kth)
+        for depth, bound in zip(self.depths[1:], bounds[1:], strict=True):
+            left = []
+            for q in live.tolist():
+                query = queries[q]
+                up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+                rows = np.unique(np.concatenate((self.lists[self.n - depth :, up].ravel(), self.lists[:depth, down].ravel())))
+                rows = rows[self.ids[rows] != own[q]]
+                rows = rows[~np.isin(self.ids[rows], best.ids[q])]
+                scored += len(rows)
+                best.take(q, self.rows[rows] @ query, self.ids[rows])
+                if bound[q] >= best.kth[q]:
+                    left.append(q)
+            live = np.array(left, np.int64)
+        step = max(1, HELD_SCORES // max(1, self.n))
+        for at in range(0, len(live), step):
+            part = live[at : at + step]
+            scores = self.rows @ queries[part].T
+            for j, q in enumerate(part.tolist()):
+                fit = np.flatnonzero(scores[:, j] >= best.kth[q])
+                fit = fit[(self.ids[fit] != own[q]) & ~np.isin(self.ids[fit], best.ids[q])]
+                best.take(q, scores[fit, j], self.ids[fit])
+            scored += self.n * len(part)
+        return scored
+
+
+def _matrix(ids: pa.ChunkedArray, vectors: pa.ChunkedArray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    found = ids.to_numpy()
+    return _unique(found, np.floor(flat * scale).reshape(len(found), -1) if len(found) else np.zeros((0, 0)))
+
+
+def _batches(folder: str, dims: int) -> Iterator[pa.Table]:
+    """The queries of so many dimensions, from the files of their table."""
+    store, base = fs.FileSystem.from_uri(folder)
+    for info in sorted(store.get_file_info(fs.FileSelector(base, recursive=True)), key=lambda i: i.path):
+        if info.is_file and info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(BATCH_QUERIES, columns=["vec_id", "dim", "embedding"]):
+                    table = pa.Table.from_batches([batch])
+                    if len(table := table.filter(pa.array(table["dim"].to_numpy() == dims))):
+                        yield table
+
+
+def search_group(vectors: pa.Table, queries: Iterator[pa.Table], k: int, scale: int, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Kernel of one group: the k best of its vectors for every query, a batch of queries at a time."""
+    ids, rows = _matrix(vectors["vec_id"], vectors["embedding"], scale)
+    blocks, whole = [SortedLists(ids[at : at + block_rows], rows[at : at + block_rows]) for at in range(0, len(ids), block_rows)], None
+    top = float(np.abs(rows).max(initial=0))
+    for batch in queries:
+        own, asked = _matrix(batch["vec_id"], batch["embedding"], 1)
+        exact = top * float(np.abs(asked).max(initial=0)) * max(1, rows.shape[1]) < 2.0**53
+        if not exact and whole is None:  # sums that doubles can't hold
+            whole = [SortedLists(ids[at : at + block_rows], rows[at : at + block_rows].astype(np.int64)) for at in range(0, len(ids), block_rows)]
+        asked = asked if exact else asked.astype(np.int64)
+        best = Best(len(own), k, asked.dtype)
+        for block in blocks if exact else whole:
+            block.search(asked, own, best)
+        found = best.ids != _NO_ID
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.sum(axis=1))), pa.array(best.ids[found]), pa.array(best.scores[found].astype(np.int64))], schema=_OUT)
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k best rows of ``vectors`` with another id.
 
     Components become floor(scale * x); the score is their inner product, ties go to the smaller id. Vectors that are
     null or hold null or non-finite components, and rows without an id, take no part. Rows that repeat an id count once,
     with the vector that is least in lexicographic order. Vectors are only compared with vectors of the same length.
-    A query gets fewer rows where there are fewer others; an empty table gives an empty result.
+    A query gets fewer rows where there are fewer others; an empty table gives an empty result. Queries are read from
+    ``spark.checkpoint.dir`` through ``pyarrow.fs``. Vectors are shuffled once, whatever the number of queries.
     """
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     fit = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     )
-    rows, asked = fit(vectors), fit(queries)
-    n_rows, n_asked = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // block_queries))
-    block = lambda df, n: df.withColumn("dim", F.size("embedding")).withColumn("__own", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    every = lambda df, n: df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    left = every(block(rows, n_rows), n_asked).select("dim", F.col("__own").alias("rb"), F.col("__other").alias("qb"), "vec_id", "embedding")
-    right = every(block(asked, n_asked), n_rows).select("dim", F.col("__other").alias("rb"), F.col("__own").alias("qb"), "vec_id", "embedding")
-    key = ["dim", "rb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: search_blocks(a, b, k, scale), "query_id long, vec_id long, score long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, least: int) -> DataFrame:
+        """Groups of group_rows at most, on the whole; for small tables as many as there are tasks, of ``least`` rows or more."""
+        n = df.count()
+        groups = max(-(-n // group_rows), min(tasks, n // least), 1)
+        return df.select("*", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part")).groupBy("dim", "part")
+
+    def clean(table: pa.Table) -> pa.Table:
+        ids, rows = _matrix(table["vec_id"], table["embedding"], scale)
+        return pa.table([pa.array(ids), pa.array(np.full(len(ids), rows.shape[1]), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], names=["vec_id", "dim", "embedding"])
+
+    scratch.put(dealt(fit(queries), 4096).applyInArrow(clean, "vec_id long, dim int, embedding array<double>"), "queries")
+    folder = f"{scratch.path}/queries"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        dims = len(table["embedding"][0])
+        yield from search_group(table.select(["vec_id", "embedding"]), _batches(folder, dims), k, scale, block_rows)
+
+    found = dealt(fit(vectors), 1024).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
