@@ -132,6 +132,8 @@ def search_group(vectors: pa.Table, queries: Iterator[pa.Table], k: int, scale:
     blocks, whole = [SortedLists(ids[at : at + block_rows], rows[at : at + block_rows]) for at in range(0, len(ids), block_rows)], None
     top = float(np.abs(rows).max(initial=0))
     for batch in queries:
+        if not len(batch):
+            continue
         own, asked = _matrix(batch["vec_id"], batch["embedding"], 1)
         exact = top * float(np.abs(asked).max(initial=0)) * max(1, rows.shape[1]) < 2.0**53
         if not exact and whole is None:  # sums that doubles can't hold
