@@ -323,7 +323,7 @@ def _to_all_parts(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
-def _block_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(scratch: Scratch, open_lists: DataFrame, percent: int) -> DataFrame:
     """Last round: pairs of nodes of one list and different components, block by block.
 
     A list's nodes are dealt into classes by size and by whether they are of the list's largest component. Classes meet if
@@ -333,14 +333,17 @@ def _block_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     sizes = open_lists.groupBy("gram", "comp").agg(F.count("*").alias("m"), F.first("parts").alias("parts"))
     major = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.first("parts").alias("parts"))
     size_class = F.floor(F.log("n") / F.log(F.lit(CLASS_RATIO))).cast("int") * 2 + (F.col("comp") == F.col("major")).cast("int")
-    nodes = open_lists.join(_to_all_parts(major), ["gram", "part"]).withColumn("k", size_class)
+    nodes = scratch.put(open_lists.join(_to_all_parts(major), ["gram", "part"]).withColumn("k", size_class).drop("weight", "major"), "classed")
     classes = nodes.groupBy("gram", "k").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.first("parts").alias("parts"))
+    classes = scratch.put(classes, "classes")
     x, y = (classes.select("gram", *[F.col(c).alias(f"{s}{c}") for c in ("k", "n", "rest", "c0", "c1", "blocks")]) for s in "xy")
     allowed = (100 + percent) * F.least("xrest", "yrest") >= percent * (F.col("xn") + F.col("yn"))
     meet = x.join(y, "gram").where((F.col("xk") <= F.col("yk")) & allowed & (F.least("xc0", "yc0") != F.greatest("xc1", "yc1")))
     blocks = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"{s}blocks") - 1)).alias(f"{s}b")
     meet = meet.select("gram", "xk", "yk", "xblocks", "yblocks", blocks("x")).select("*", blocks("y")).where((F.col("xk") < F.col("yk")) | (F.col("xb") <= F.col("yb")))
+    meet = scratch.put(meet, "meet")
     of = nodes.drop("parts").join(_to_all_parts(classes.select("gram", "k", "blocks", "parts")), ["gram", "k", "part"]).withColumn("b", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    of = scratch.put(of.drop("part", "blocks"), "blocks")
     key = ["gram", "xk", "yk", "xb", "yb"]
     side = lambda s: meet.select(*key).join(of.select("gram", F.col("k").alias(f"{s}k"), F.col("b").alias(f"{s}b"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("rest").alias(f"r{s}"), F.col("comp").alias(f"c{s}")), ["gram", f"{s}k", f"{s}b"])
     return side("x").join(side("y"), key)
@@ -378,10 +381,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     edges = None
     roots: DataFrame | None = None
     tried: DataFrame | None = None
+    open_lists = lists.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
-        named = lists.withColumn("comp", F.col("node")) if roots is None else lists.join(roots.toDF("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("parts").alias("parts")).where("c0 <> c1").select("gram", "parts")
-        open_lists = scratch.put(named.join(_to_all_parts(mixed), ["gram", "part"], "left_semi"), f"open{turn}")
+        if roots is not None:
+            named = scratch.put(lists.join(roots.toDF("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), f"named{turn}")
+            mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("parts").alias("parts")).where("c0 <> c1").select("gram", "parts")
+            open_lists = scratch.put(named.join(_to_all_parts(mixed), ["gram", "part"], "left_semi"), f"open{turn}")
+            scratch.drop(f"named{turn}")
         if open_lists.isEmpty():
             break
         if turn < HUB_ROUNDS:
@@ -389,7 +395,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             hubs = open_lists.groupBy("gram").agg(F.max(F.struct(first, F.xxhash64("node", F.lit(turn)), "node", "n", "rest", "comp")).alias("hub"), F.first("parts").alias("parts"))
             pairs = open_lists.join(_to_all_parts(hubs), ["gram", "part"]).select(*[F.col(f"hub.{c}").alias(f"{a}x" if a else "x") for c, a in (("node", ""), ("n", "n"), ("rest", "r"), ("comp", "c"))], F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("comp").alias("cy"))
         else:
-            pairs = _block_pairs(open_lists, threshold_percent)
+            pairs = _block_pairs(scratch, open_lists, threshold_percent)
         pairs = pairs.where((F.col("cx") != F.col("cy")) & fits)
         low = F.col("x") < F.col("y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
