@@ -5,21 +5,21 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.operators import bricks, grid
-from voxloom.plans import whole
-from voxloom.plans.standins import whole_voxels
+from voxloom.plans import grids
+from voxloom.plans.standins import voxels
 
 LARGE = "/root/testdata/sf0.1"
 
 
 def test_every_row_is_a_voxel(spark, sf_dir):
     rows = duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/lineitem.parquet'").fetchall()[0][0]
-    vox, edge = whole_voxels(spark, sf_dir)
+    vox, edge = voxels(spark, sf_dir)
     assert rows > 5120 and vox.count() == rows == vox.select("scan", "z", "y", "x").distinct().count()
     assert 2 * (edge - 1) ** 3 < rows <= 2 * edge**3
 
 
 def test_components_cross_bricks(spark):
-    got = whole.whole_components(spark, LARGE).where("scan = 0").toPandas()
+    got = grids.voxel_components(spark, LARGE).where("scan = 0").toPandas()
     at = tuple(got[list("zyx")].to_numpy().T)
     assert got.z.max() >= grid.BRICK
     mask = np.zeros(got[list("zyx")].max().to_numpy() + 1, bool)
@@ -32,9 +32,9 @@ def test_components_cross_bricks(spark):
 
 
 def test_distances_of_the_whole_grid(spark, sf_dir):
-    vox = whole_voxels(spark, sf_dir)[0].where("scan = 1").toPandas()
+    vox = voxels(spark, sf_dir)[0].where("scan = 1").toPandas()
     air = vox[vox.phase == 1][list("zyx")].to_numpy()
-    got = whole.whole_distance_map(spark, sf_dir).where("scan = 1").toPandas()
+    got = grids.distance_map(spark, sf_dir).where("scan = 1").toPandas()
     assert len(got) == (vox.phase != 1).sum()
     for r in got.itertuples():
         assert abs(r.d - np.sqrt(((air - (r.z, r.y, r.x)) ** 2).sum(1).min())) < 1e-5

@@ -23,11 +23,13 @@ _ALL = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o)]
 
 
 def envelope_1d(f: np.ndarray) -> np.ndarray:
-    """min over j of f[j] + (i - j)^2 along the first axis, for all lines at once."""
+    """min over j of f[j] + (i - j)^2 along the first axis, for all lines at once; ends when no larger shift can lower a value."""
     n = len(f)
-    out = f.copy()
+    out, low = f.copy(), float(f.min(initial=np.inf))
     for shift in range(1, n):
         step = float(shift * shift)
+        if low + step >= out.max():
+            break
         np.minimum(out[shift:], f[:-shift] + step, out=out[shift:])
         np.minimum(out[:-shift], f[shift:] + step, out=out[:-shift])
     return out
@@ -229,29 +231,50 @@ def instances(mask: DataFrame, slab: int, halo: int, h: float) -> DataFrame:
     return spread.groupBy("scan", "slab").applyInPandas(one, "scan int, z int, y int, x int, owner int, label long")
 
 
+def _beside(cells: list[tuple[int, int, int]], most: int) -> dict[int, int]:
+    """For each cell's bit, the bits of the cells at most ``most`` face steps and one step along each axis away."""
+    return {1 << i: sum(1 << j for j, b in enumerate(cells) if i != j and max(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 and sum(abs(x - y) for x, y in zip(a, b, strict=True)) <= most) for i, a in enumerate(cells)}
+
+
+_NEAR, _FACES = _beside(_ALL, 3), _beside(_ALL, 1)
+_SHELL18 = sum(1 << i for i, o in enumerate(_ALL) if sum(map(abs, o)) <= 2)
+_SHELL6 = sum(1 << i for i, o in enumerate(_ALL) if sum(map(abs, o)) == 1)
+
+
+def _grown(start: int, inside: int, near: dict[int, int]) -> int:
+    """The bits of ``inside`` that are connected to ``start``."""
+    got, front = start, start
+    while front:
+        bit = front & -front
+        front ^= bit
+        new = near[bit] & inside & ~got
+        got |= new
+        front |= new
+    return got
+
+
+def simple_point(bits: int) -> bool:
+    """Whether a voxel with these 26 neighbours (bits in raster order) can go without changing the topology: they are one
+    component, and of the background's 18 neighbours exactly one component touches the voxel's faces."""
+    if not bits or _grown(bits & -bits, bits, _NEAR) != bits:
+        return False
+    back = _SHELL18 & ~bits
+    faces = back & _SHELL6
+    return bool(faces) and not faces & ~_grown(faces & -faces, back, _FACES)
+
+
 def thinned(mask: np.ndarray) -> np.ndarray:
     """Skeleton by removing simple border voxels direction by direction; ends are kept."""
     m = np.pad(mask, 1).astype(bool)
-    eighteen = [o for o in _ALL if sum(map(abs, o)) <= 2]
-
-    def simple(cube: np.ndarray) -> bool:
-        own = cube.copy()
-        own[1, 1, 1] = False
-        if label(own, 26).max() != 1:
-            return False
-        back = np.zeros((3, 3, 3), bool)
-        for o in eighteen:
-            back[o[0] + 1, o[1] + 1, o[2] + 1] = not cube[o[0] + 1, o[1] + 1, o[2] + 1]
-        parts = label(back)
-        return len({parts[o[0] + 1, o[1] + 1, o[2] + 1] for o in _SIX} - {0}) == 1
-
+    weights = np.array([1 << i for i in range(26)], np.int64)
+    places = tuple(np.array([o[k] for o in _ALL]) for k in range(3))
     changed = True
     while changed:
         changed = False
         for o in _SIX:
             for z, y, x in np.argwhere(m & ~np.roll(m, tuple(-d for d in o), (0, 1, 2))):
-                cube = m[z - 1 : z + 2, y - 1 : y + 2, x - 1 : x + 2]
-                if m[z, y, x] and cube.sum() > 2 and simple(cube):
+                bits = int(m[places[0] + z, places[1] + y, places[2] + x] @ weights)
+                if bits & (bits - 1) and simple_point(bits):
                     m[z, y, x] = False
                     changed = True
     return m[1:-1, 1:-1, 1:-1]
@@ -281,6 +304,26 @@ def surface_area(values: np.ndarray, level: float) -> float:
     return total
 
 
+def surface_areas(solid: DataFrame, edge: int = 64) -> DataFrame:
+    """(scan, area): surface of the voxels (scan, z, y, x), half way to what isn't one of them.
+
+    Cells between eight voxel centres are dealt to bricks of ``edge`` cells with one more layer of voxels; a group is one brick,
+    and areas add up. Bricks without voxels have no surface.
+    """
+    spread = solid.select("scan", *AXES)
+    for a in AXES:
+        first, last = F.floor((F.col(a) - 1) / edge).cast("int"), F.floor(F.col(a) / edge).cast("int")
+        spread = spread.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(first, last))))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros((edge + 1,) * 3)
+        first = part.iloc[0]
+        v[tuple((part[a] - first[f"b{a}"] * edge).to_numpy() for a in AXES)] = 1.0
+        return pd.DataFrame([(int(first.scan), surface_area(v, 0.5))], columns=["scan", "area"])
+
+    return spread.groupBy("scan", *[f"b{a}" for a in AXES]).applyInPandas(one, "scan int, area double").groupBy("scan").agg(F.sum("area").alias("area"))
+
+
 #: Footprint of a throat in bead radii, and voxels that a lens, a fine lens and a shell need: fixed values.
 FOOT, LEAST_LENS, LEAST_FINE, LEAST_SHELL = 0.40, 50, 200, 50
 SHELL = (1.0, 3.0)
@@ -457,12 +500,15 @@ def geodesic(open_: np.ndarray, cost: np.ndarray | None = None) -> np.ndarray:
     return dist
 
 
-def diffusion_tortuosity(phase: np.ndarray, tol: float = 1e-6, rounds: int = 5000) -> tuple[float, float]:
-    """(D_eff, tau = phi / D_eff) along z: steady diffusion through the phase between two faces, by conjugate gradients."""
+def diffusion_tortuosity(phase: np.ndarray, tol: float = 1e-6, rounds: int = 5000) -> tuple[float, float, float]:
+    """(D_eff, tau = phi / D_eff, residual) along z: steady diffusion through the phase between two faces, by conjugate gradients.
+
+    The residual is that of the flow, as a share of its start. If it is still above ``tol`` after ``rounds``, the others are NaN.
+    """
     n = phase.shape[0]
     phi = float(phase.mean())
     if not phase[0].any() or not phase[-1].any():
-        return 0.0, float("inf")
+        return 0.0, float("inf"), 0.0
 
     def flow(u: np.ndarray, ends: tuple[float, float]) -> np.ndarray:
         out = np.zeros_like(u)
@@ -480,6 +526,7 @@ def diffusion_tortuosity(phase: np.ndarray, tol: float = 1e-6, rounds: int = 500
     u = np.zeros(phase.shape)
     r = -flow(u, (1.0, 0.0))
     p, rr = r.copy(), float((r * r).sum())
+    start = rr or 1.0
     stop = tol * tol * rr
     for _ in range(rounds):
         if rr <= stop:
@@ -490,20 +537,24 @@ def diffusion_tortuosity(phase: np.ndarray, tol: float = 1e-6, rounds: int = 500
         r -= alpha * ap
         new = float((r * r).sum())
         p, rr = r + new / rr * p, new
+    residual = (rr / start) ** 0.5
+    if rr > stop:
+        return float("nan"), float("nan"), residual
     flux = float((2 * (1.0 - u[0])[phase[0]]).sum()) / phase[0].size
     d_eff = flux * n
-    return d_eff, phi / d_eff if d_eff > 1e-9 else float("inf")
+    return d_eff, phi / d_eff if d_eff > 1e-9 else float("inf"), residual
 
 
-def homogenised(phase: np.ndarray, lame: dict[int, tuple[float, float]], tol: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Effective 6 x 6 stiffness of a periodic cell by the basic fixed-point scheme in Fourier space; lame maps a phase to (lambda, mu)."""
+def homogenised(phase: np.ndarray, lame: dict[int, tuple[float, float]], tol: float = 1e-4, rounds: int = 2000) -> tuple[np.ndarray, float]:
+    """(stiffness, residual): effective 6 x 6 stiffness of a periodic cell by the basic fixed-point scheme in Fourier space; lame maps a phase to
+    (lambda, mu). The residual is the largest divergence of stress over the columns; columns that are above ``tol`` after ``rounds`` are NaN."""
     lam, mu = (np.vectorize(lambda k, i=i: lame[int(k)][i])(phase).astype(float) for i in (0, 1))
     l0, m0 = (lam.min() + lam.max()) / 2, (mu.min() + mu.max()) / 2
     xi = np.stack(np.meshgrid(*[np.fft.fftfreq(n) for n in phase.shape], indexing="ij"))
     norm = (xi * xi).sum(axis=0)
     norm[0, 0, 0] = 1.0
     voigt = [(0, 0), (1, 1), (2, 2), (1, 2), (0, 2), (0, 1)]
-    c = np.zeros((6, 6))
+    c, worst = np.zeros((6, 6)), 0.0
     for col, (i, j) in enumerate(voigt):
         mean = np.zeros((3, 3))
         mean[i, j] = mean[j, i] = 1.0 if i == j else 0.5
@@ -521,8 +572,9 @@ def homogenised(phase: np.ndarray, lame: dict[int, tuple[float, float]], tol: fl
             step[:, :, 0, 0, 0] = 0.0
             eps = eps - np.fft.ifftn(step, axes=(2, 3, 4)).real
         sig = lam * np.einsum("iixyz->xyz", eps) * np.eye(3)[:, :, None, None, None] + 2 * mu * eps
-        c[:, col] = [float(sig[a, b].mean()) for a, b in voigt]
-    return c
+        worst = max(worst, float(div))
+        c[:, col] = [float(sig[a, b].mean()) if div < tol else float("nan") for a, b in voigt]
+    return c, worst
 
 
 def per_scan(vox: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]], value: str, columns: dict[str, str]) -> DataFrame:

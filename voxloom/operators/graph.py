@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import components
 from voxloom.operators.spatial import AXES, neighbour_count, radius_join, radius_pairs
+from voxloom.operators.stats import exact_percentiles, principal_axis
 from voxloom.scratch import Scratch
 
 
@@ -66,8 +67,8 @@ def network_diff(before: DataFrame, after: DataFrame, mapping: DataFrame) -> Dat
 def vacancies(points: DataFrame, radius: float, share: float, link: float, least: int) -> DataFrame:
     """(id, n, comp): the points with the fewest neighbours (at most the ``share`` quantile of counts), linked within ``link``; comp -1 for small groups."""
     counts = Scratch(points.sparkSession, "vacancies").put(neighbour_count(points, radius), "counts")
-    limit = counts.agg(F.expr(f"percentile(n, {share})").alias("limit"))
-    low = points.join(counts.join(F.broadcast(limit)).where("n <= limit").select("id", "n"), "id")
+    limit = exact_percentiles(counts, "n", [share]).select(F.col("n").alias("limit"))
+    low = points.join(counts.crossJoin(F.broadcast(limit)).where("n <= limit").select("id", "n"), "id")
     return low.select("id", "n").join(labelled_components(low, radius_pairs(low, link), least).select("id", "comp"), "id")
 
 
@@ -77,11 +78,26 @@ def spine(points: DataFrame, axes_of: DataFrame, bins: int) -> DataFrame:
     ``points`` has (comp, z, y, x), ``axes_of`` (comp, cz, cy, cx, az, ay, ax): centre and unit axis.
     """
     along = points.join(axes_of, "comp").withColumn("t", sum(((F.col(a) - F.col(f"c{a}")) * F.col(f"a{a}") for a in AXES[1:]), (F.col("z") - F.col("cz")) * F.col("az")))
+    return _binned(along, F.lit(bins)).select("comp", "bin", F.col("m").alias("n"), *AXES)
+
+
+def crack_paths(points: DataFrame, most_bins: int = 16, least: int = 5) -> DataFrame:
+    """(comp, n, length, bin, m, z, y, x): spine of each cluster (comp, z, y, x) along its own principal axis, in a bin for every four points, two or
+    more and ``most_bins`` at most; length is the extent along the axis. Clusters below ``least`` points are left out."""
+    axes = principal_axis(points, ["comp"]).where(F.col("n") >= least)
+    axes = axes.withColumn("bins", F.least(F.lit(most_bins), F.greatest(F.lit(2), F.floor(F.col("n") / 4))).cast("int"))
+    along = points.join(axes, "comp").withColumn("t", sum(((F.col(a) - F.col(f"c{a}")) * F.col(f"a{a}") for a in AXES[1:]), (F.col("z") - F.col("cz")) * F.col("az")))
+    return _binned(along, F.col("bins"), ["n"]).select("comp", "n", "length", "bin", "m", *AXES)
+
+
+def _binned(along: DataFrame, bins: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """(comp, keep, length, bin, m, z, y, x): means of points in equal bins of t; a point on an edge is in both bins."""
     ends = along.groupBy("comp").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     placed = along.join(ends, "comp").withColumn("w", (F.col("t1") - F.col("t0")) / bins).withColumn("f", F.when(F.col("w") > 0, (F.col("t") - F.col("t0")) / F.col("w")).otherwise(F.lit(0.0)))
-    low = F.least(F.floor("f"), F.lit(bins - 1))
+    low = F.least(F.floor("f"), bins - 1)
     own = F.when((F.col("f") == F.floor("f")) & (F.col("f") > 0) & (F.col("f") < bins), F.array(low - 1, low)).otherwise(F.array(low))
-    return placed.withColumn("bin", F.explode(own)).groupBy("comp", "bin").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in AXES])
+    got = placed.withColumn("bin", F.explode(own)).groupBy("comp", *keep, (F.col("t1") - F.col("t0")).alias("length"), "bin")
+    return got.agg(F.count("*").alias("m"), *[F.avg(a).alias(a) for a in AXES])
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:

@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_of(df: DataFrame, order: str, buckets: int = 64) -> Column:
+    """Range of ``order`` that a row is in, by approximate quantiles of the whole table, so that no key or table has to be put in order by one task.
+    Rows with one value are in one range; missing ones are in the first."""
+    edges = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))))
+    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
+
+
 def running_total(df: DataFrame, order: str, tie: str, value: Column, out: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
     """``df`` with the running sum of ``value`` in the order of (order, tie), within keys.
 
-    One window over a whole table would be one task. Rows are put into ranges of ``order`` by approximate quantiles, summed per range,
-    and only ranges are windowed: each task numbers one range and adds what comes before.
+    One window over a whole table, or a frequent key, would be one task. Rows are put into ranges of ``order``, summed per range,
+    and only ranges are windowed: each task numbers one range of a key and adds what comes before.
     """
-    cuts = df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 1 / (8 * buckets)) if not keys else []
-    edges = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
-    marked = df.withColumn("__bucket", bucket).withColumn("__value", value)
+    marked = df.withColumn("__bucket", bucket_of(df, order, buckets)).withColumn("__value", value)
     sums = marked.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__sum"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
@@ -25,21 +29,28 @@ def running_total(df: DataFrame, order: str, tie: str, value: Column, out: str,
     return marked.withColumn("__run", F.sum("__value").over(own)).join(offsets, [*keys, "__bucket"]).withColumn(out, F.col("__before") + F.col("__run")).drop("__bucket", "__value", "__run", "__before")
 
 
-def interpolate(queries: DataFrame, knots: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+def interpolate(queries: DataFrame, knots: DataFrame, x: str, y: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
     """``queries`` with ``y`` interpolated linearly between the bracketing knots, clamped at the ends; of knots with one x the largest y counts.
 
-    A sort-merge sweep: knots and queries in one order, with the last knot before and the first after each query.
+    A sort-merge sweep: knots and queries in one order, with the last knot before and the first after each query. Ranges of x are
+    swept apart, and take the nearest knots of the ranges beside them from one row per range.
     """
     have = knots.groupBy(*keys, x).agg(F.max(y).alias("__y"))
-    both = queries.withColumn("__q", F.lit(True)).unionByName(have.withColumn("__q", F.lit(False)), allowMissingColumns=True)
-    knot = F.when(~F.col("__q"), F.struct(F.col(x).alias("x"), F.col("__y").alias("y")))
-    ahead = Window.partitionBy(*keys).orderBy(F.col(x), F.col("__q")).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(F.desc(x), F.col("__q")).rowsBetween(Window.unboundedPreceding, 0)
+    bucket = bucket_of(have, x, buckets)
+    both = queries.withColumn("__q", F.lit(True)).unionByName(have.withColumn("__q", F.lit(False)), allowMissingColumns=True).withColumn("__bucket", bucket)
+    knot = F.when(~F.col("__q"), F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")))
+    ends = have.select(*keys, bucket.alias("__bucket"), F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")).alias("k")).groupBy(*keys, "__bucket").agg(F.min("k").alias("__low"), F.max("k").alias("__high"))
+    every = both.select(*keys, "__bucket").distinct().join(ends, [*keys, "__bucket"], "left")
+    order = Window.partitionBy(*keys).orderBy("__bucket")
+    beside = every.select(*keys, "__bucket", F.max("__high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    ahead = Window.partitionBy(*keys, "__bucket").orderBy(F.col(x), F.col("__q")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "__bucket").orderBy(F.desc(x), F.col("__q")).rowsBetween(Window.unboundedPreceding, 0)
     swept = both.withColumn("__a", F.last(knot, ignorenulls=True).over(ahead)).withColumn("__b", F.last(knot, ignorenulls=True).over(back)).where("__q")
+    swept = swept.join(beside, [*keys, "__bucket"]).withColumn("__a", F.coalesce("__a", "__before")).withColumn("__b", F.coalesce("__b", "__after"))
     width = F.col("__b.x") - F.col("__a.x")
     line = F.col("__a.y") + (F.col("__b.y") - F.col("__a.y")) * ((F.col(x) - F.col("__a.x")) / width)
     value = F.when(F.col("__a").isNull(), F.col("__b.y")).when(F.col("__b").isNull() | (width == 0), F.col("__a.y")).otherwise(line)
-    return swept.withColumn(y, value).drop("__q", "__y", "__a", "__b")
+    return swept.withColumn(y, value).drop("__q", "__y", "__a", "__b", "__bucket", "__before", "__after")
 
 
 def runs(df: DataFrame, at: str, good: Column, keys: Sequence[str]) -> DataFrame:
@@ -130,11 +141,16 @@ def find_peaks(df: DataFrame, at: str, value: str, keys: Sequence[str], height:
     return df.select(*keys, at, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(one, ddl)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, tie: str, keys: Sequence[str] = (), out: str = "p_bh") -> DataFrame:
-    """Adjusted p values: the least of p n / rank from each rank on, at most 1; missing p stay missing and don't count."""
-    have = F.col(p).isNotNull()
-    n = F.count(F.when(have, 1)).over(Window.partitionBy(*keys))
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(p), tie)))
-    scaled = F.when(have, F.col(p) * n / F.col("__rank"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("__s", scaled).withColumn(out, F.when(have, F.least(F.min("__s").over(down), F.lit(1.0)))).drop("__rank", "__s")
+def benjamini_hochberg(df: DataFrame, p: str, tie: str, keys: Sequence[str] = (), out: str = "p_bh", buckets: int = 64) -> DataFrame:
+    """Adjusted p values: the least of p n / rank from each rank on, at most 1; missing p stay missing and don't count. By ranges of p, as ``running_total``."""
+    have = df.where(F.col(p).isNotNull())
+    ranked = running_total(have, p, tie, F.lit(1), "__rank", keys, buckets).withColumn("__bucket", bucket_of(have, p, buckets))
+    n = have.groupBy(*keys).agg(F.count("*").alias("__n"))
+    scaled = (ranked.join(n, list(keys)) if keys else ranked.crossJoin(F.broadcast(n))).withColumn("__s", F.col(p) * F.col("__n") / F.col("__rank"))
+    least = scaled.groupBy(*keys, "__bucket").agg(F.min("__s").alias("__m"))
+    later = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
+    least = least.select(*keys, "__bucket", F.min("__m").over(later).alias("__later"))
+    down = Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    done = scaled.withColumn("__s", F.min("__s").over(down)).join(least, [*keys, "__bucket"])
+    done = done.withColumn(out, F.least("__s", "__later", F.lit(1.0))).select(*df.columns, out)
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +79,32 @@ def slope_through_origin(x: str, y: str) -> Column:
     return F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))
 
 
+def contrast(df: DataFrame, value: str, phase: str, low: int, high: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, snr, cnr) of two phases: the high phase's mean over its deviation, and the gap between both means over the root of their
+    mean variance. Deviations are those of the population."""
+    of = lambda f, k: f(F.when(F.col(phase) == k, F.col(value)))
+    a, b, va, vb = of(F.avg, low), of(F.avg, high), of(F.var_pop, low), of(F.var_pop, high)
+    return df.groupBy(*keys).agg(F.try_divide(b, F.sqrt(vb)).alias("snr"), F.try_divide(F.abs(b - a), F.sqrt((va + vb) / 2)).alias("cnr"))
+
+
+def principal_axis(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, cz, cy, cx, az, ay, ax): centre and unit vector of largest variance, its first non-zero component positive.
+
+    The axis is the longest column of (S - l2 I)(S - l3 I), which takes out the other two principal directions.
+    """
+    c = covariance(df, keys)
+    names = [("szz", "szy", "szx"), ("szy", "syy", "syx"), ("szx", "syx", "sxx")]
+    l1, l2, l3 = eigenvalues3(*(F.col(n) for n in ("szz", "syy", "sxx", "szy", "szx", "syx")))
+    c = c.withColumns({"l2": l2, "l3": l3})
+    m = lambda i, j, x: F.col(names[i][j]) - (F.col(x) if i == j else F.lit(0.0))
+    product = [[sum((m(i, k, "l2") * m(k, j, "l3") for k in (1, 2)), m(i, 0, "l2") * m(0, j, "l3")) for j in range(3)] for i in range(3)]
+    columns = [F.struct((product[0][j] * product[0][j] + product[1][j] * product[1][j] + product[2][j] * product[2][j]).alias("m"), *[product[i][j].alias(a) for i, a in enumerate("zyx")]) for j in range(3)]
+    c = c.withColumn("v", F.greatest(*columns))
+    first = F.when(F.abs(F.col("v.z")) > 1e-12 * F.sqrt("v.m"), F.col("v.z")).when(F.abs(F.col("v.y")) > 1e-12 * F.sqrt("v.m"), F.col("v.y")).otherwise(F.col("v.x"))
+    scale = F.when(first < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) / F.sqrt("v.m")
+    return c.select(*keys, "n", "cz", "cy", "cx", *[F.when(F.col("v.m") > 0, F.col(f"v.{a}") * scale).otherwise(F.lit(float(a == "z"))).alias(f"a{a}") for a in "zyx"])
+
+
 def weighted_moments(df: DataFrame, value: str, weight: str, keys: Sequence[str]) -> DataFrame:
     """(keys, mean, ra, rq, rt, rsk, rku): two passes, both by partial sums."""
     mean = df.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
@@ -129,18 +155,36 @@ def replicas(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def _drawn(points: DataFrame, want: DataFrame, keys: Sequence[str], n: int, id_col: str, seed: int) -> DataFrame:
+    """The ``want`` points of each key with the least hashes in each of n replicas.
+
+    Hashes are even, so of a key's m points those below a threshold somewhat above want / m hold all that are wanted: only they are
+    put in order. Where they are too few after all, the key's replica is done over with all of its points, so results are exact.
+    """
+    marked = replicas(points, n).withColumn("__h", F.xxhash64(F.lit(seed), "replica", id_col))
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("__m")) if keys else points.agg(F.count("*").alias("__m"))
+    need = sizes.join(want, list(keys)) if keys else sizes.crossJoin(want)
+    share = (F.col("want") + 6 * F.sqrt(F.col("want").cast("double")) + 16) / F.greatest(F.col("__m"), F.lit(1))
+    need = need.withColumn("__top", F.when(share >= 1, F.lit(float(2**63))).otherwise((share * 2.0 - 1.0) * float(2**63))).drop("__m")
+    both = marked.join(need, list(keys)) if keys else marked.crossJoin(F.broadcast(need))
+    by = Window.partitionBy("replica", *keys).orderBy("__h", id_col)
+    few = both.where(F.col("__h") < F.col("__top"))
+    counts = few.groupBy("replica", *keys).agg(F.count("*").alias("__k"))
+    wanted = (points.sparkSession.range(n).select(F.col("id").cast("int").alias("replica")).crossJoin(need)).join(counts, ["replica", *keys], "left")
+    short = wanted.where((F.coalesce("__k", F.lit(0)) < F.col("want")) & (F.col("__top") < float(2**63))).select("replica", *keys)
+    again = both.join(short, ["replica", *keys], "left_semi")
+    pool = few.join(short, ["replica", *keys], "left_anti").unionByName(again)
+    return pool.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= F.col("want")).drop("__r", "__h", "__top", "want")
+
+
 def resampled(points: DataFrame, size: int, n: int, id_col: str, seed: int) -> DataFrame:
     """n samples of ``size`` without replacement: in each replica the points with the least hashes of (seed, replica, id)."""
-    by = Window.partitionBy("replica").orderBy("__h", id_col)
-    marked = replicas(points, n).withColumn("__h", F.xxhash64(F.lit(seed), "replica", id_col))
-    return marked.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= size).drop("__r", "__h")
+    return _drawn(points, points.sparkSession.range(1).select(F.lit(size).alias("want")), [], n, id_col, seed)
 
 
 def stratified(points: DataFrame, wanted: DataFrame, band: str, n: int, id_col: str, seed: int) -> DataFrame:
     """n samples with as many points per band as ``wanted`` (band, want), or all where a band has fewer."""
-    by = Window.partitionBy("replica", band).orderBy("__h", id_col)
-    marked = replicas(points, n).withColumn("__h", F.xxhash64(F.lit(seed), "replica", id_col)).withColumn("__r", F.row_number().over(by))
-    return marked.join(wanted, band).where(F.col("__r") <= F.col("want")).drop("__r", "__h", "want")
+    return _drawn(points, wanted.select(band, "want"), [band], n, id_col, seed)
 
 
 def tail_p(null: DataFrame, observed: Column | float, value: str, keys: Sequence[str] = (), floored: bool = False) -> DataFrame:
@@ -150,6 +194,35 @@ def tail_p(null: DataFrame, observed: Column | float, value: str, keys: Sequence
     return null.groupBy(*keys).agg(p.alias("p"))
 
 
+def joint_tail_p(null: DataFrame, observed: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, p): share of draws at or above what was observed in all of ``values`` at once, and at least 1 / (draws + 1): no
+    less can be claimed. ``observed`` has (keys, values), one row a key; keys without draws have p 1."""
+    seen = observed.select(*keys, *[F.col(v).alias(f"__{v}") for v in values])
+    both = seen.join(null.select(*keys, *values, F.lit(1).alias("__draw")), list(keys), "left") if keys else seen.join(null.select(*values, F.lit(1).alias("__draw")), how="left")
+    hit = F.lit(True)
+    for v in values:
+        hit = hit & (F.col(v) >= F.col(f"__{v}"))
+    n, hits = F.count("__draw"), F.count_if(hit)
+    p = F.when(n == 0, F.lit(1.0)).otherwise(F.greatest(hits / n, 1 / (n + 1)))
+    return both.groupBy(*keys).agg(p.alias("p"))
+
+
+def flags_against_chance(tests: DataFrame, hit: Column, level: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, tests, hits, expected): how many tests were flagged, and how many would be by chance at that level."""
+    return tests.groupBy(*keys).agg(F.count("*").alias("tests"), F.count_if(hit).alias("hits"), (F.lit(float(level)) * F.count("*")).alias("expected"))
+
+
+def exact_summary(df: DataFrame, columns: Mapping[str, tuple[str, float]], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, names): one exact percentile of a column under each name, by ``exact_percentiles``; NULL where a key has no values."""
+    out = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    for value in dict.fromkeys(v for v, _ in columns.values()):
+        named = {name: p for name, (v, p) in columns.items() if v == value}
+        got = exact_percentiles(df, value, sorted(set(named.values())), keys)
+        wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col(value))).alias(name) for name, p in named.items()])
+        out = out.join(wide, list(keys), "left") if keys else out.crossJoin(F.broadcast(wide))
+    return out
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose keys it hasn't."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)

@@ -10,14 +10,26 @@ from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
 from voxloom.operators import bricks, grid, stats
 from voxloom.plans.registry import query
-from voxloom.plans.standins import AIR_ICE, ICE_GRAIN, SHAPE, VOXELS, table, voxels
+from voxloom.plans.standins import AIR_ICE, ICE_GRAIN, VOXELS, table
+from voxloom.plans.standins import voxels as placed
 
 r6 = lambda x, n=6: F.round(x, n)
 KEY = ["scan", "z", "y", "x"]
 _OFF6 = "off(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0))"
 _SAME = "b.scan = a.scan AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx"
 _CUBE = "cube AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-1, 2) a(p), range(-1, 2) b(q), range(-1, 2) c(r))"
-_ID = "((scan::BIGINT * 16 + z) * 16 + y) * 10 + x"
+_ID = "((scan::BIGINT * edge + z) * edge + y) * edge + x"
+_DEPTH = "(SELECT max(z) + 1 FROM voxels)"
+
+
+def voxels(spark: SparkSession, d: str) -> DataFrame:
+    return placed(spark, d)[0]
+
+
+def sized(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The voxels and the shape of their scans: slices, rows, columns."""
+    vox, edge = placed(spark, d)
+    return vox, (vox.agg(F.max("z")).first()[0] + 1, edge, edge)
 
 
 @query(f"WITH {VOXELS} SELECT scan, phase, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY scan), 6) AS fraction FROM voxels GROUP BY 1, 2")
@@ -44,12 +56,13 @@ def slice_profile(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("scan").agg(r6(F.min("eps")).alias("eps_min"), r6(F.max("eps")).alias("eps_max"), F.sum("area").alias("voxels"), (F.max("y1") - F.min("y0") + 1).alias("height"))
 
 
-@query(f"WITH {VOXELS} SELECT scan, floor(sqrt((y - 7.5) * (y - 7.5) + (x - 4.5) * (x - 4.5)) / 2)::INTEGER AS ring, CASE WHEN count(*) < 60 THEN 0 ELSE round(avg((phase = 1)::INTEGER), 6) END AS eps FROM voxels GROUP BY 1, 2")
+@query(f"WITH {VOXELS} SELECT scan, floor(sqrt((y - (edge - 1) / 2.0::DOUBLE) * (y - (edge - 1) / 2.0::DOUBLE) + (x - (edge - 1) / 2.0::DOUBLE) * (x - (edge - 1) / 2.0::DOUBLE)) / 2)::INTEGER AS ring, CASE WHEN count(*) < 60 THEN 0 ELSE round(avg((phase = 1)::INTEGER), 6) END AS eps FROM voxels GROUP BY 1, 2")
 def radial_profile(spark: SparkSession, d: str) -> DataFrame:
     """Porosity by distance from the axis; rings with few voxels are 0."""
-    dy, dx = F.col("y") - 7.5, F.col("x") - 4.5
+    own, (_, _, edge) = sized(spark, d)
+    dy, dx = (F.col(a) - (edge - 1) / 2.0 for a in "yx")
     ring = F.floor(F.sqrt(dy * dy + dx * dx) / 2).cast("int").alias("ring")
-    return voxels(spark, d).groupBy("scan", ring).agg(F.when(F.count("*") < 60, F.lit(0.0)).otherwise(r6(F.avg((F.col("phase") == 1).cast("int")))).alias("eps"))
+    return own.groupBy("scan", ring).agg(F.when(F.count("*") < 60, F.lit(0.0)).otherwise(r6(F.avg((F.col("phase") == 1).cast("int")))).alias("eps"))
 
 
 @query(f"WITH {VOXELS}, {_OFF6}, f AS (SELECT a.scan, sum(((a.phase = 1) <> (b.phase = 1))::INTEGER)::BIGINT AS faces FROM voxels a, off, voxels b WHERE {_SAME} GROUP BY 1) SELECT scan, faces, n AS interior FROM f JOIN (SELECT scan, count(*) AS n FROM voxels GROUP BY 1) USING (scan)")
@@ -110,55 +123,50 @@ def dilation(spark: SparkSession, d: str) -> DataFrame:
     return grid.dilated(voxels(spark, d).where("phase = 1"))
 
 
-@query(f"WITH {VOXELS}, {_STAR}, a AS (SELECT DISTINCT scan, z + dz AS z, y + dy AS y, x + dx AS x FROM voxels, star WHERE label = 112), b AS (SELECT DISTINCT scan, z + dz AS z, y + dy AS y, x + dx AS x FROM voxels, star WHERE label = 122) SELECT v.scan, count(*) AS zone, count(*) FILTER (WHERE phase = 1) AS air, count(*) FILTER (WHERE phase = 2) AS ice FROM voxels v JOIN a USING (scan, z, y, x) JOIN b USING (scan, z, y, x) GROUP BY 1")
-def zone_volumes(spark: SparkSession, d: str) -> DataFrame:
-    """What lies where two grown bodies overlap."""
-    own = voxels(spark, d)
-    a, b = (grid.dilated(own.where(f"label = {k}")) for k in (112, 122))
-    return own.join(a, KEY, "left_semi").join(b, KEY, "left_semi").groupBy("scan").agg(F.count("*").alias("zone"), F.count_if(F.col("phase") == 1).alias("air"), F.count_if(F.col("phase") == 2).alias("ice"))
-
-
 def _tree(mask: str, connectivity: int) -> str:
     """Recursive SQL: (scan, z, y, x, id, comp) over the voxels of a mask."""
     off = [o for o in grid.offsets(connectivity)]
     moves = ", ".join(str(o) for o in off)
-    return f"m AS (SELECT scan, z, y, x, {_ID} AS id FROM voxels WHERE {mask}), off(dz, dy, dx) AS (VALUES {moves}), e AS (SELECT a.id AS a, b.id AS b FROM m a, off, m b WHERE {_SAME}), reach AS (SELECT id, id AS seen FROM m UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.seen), comp AS (SELECT id, min(seen) AS comp FROM reach GROUP BY 1)"
+    return f"m AS (SELECT scan, z, y, x, edge, {_ID} AS id FROM voxels WHERE {mask}), off(dz, dy, dx) AS (VALUES {moves}), e AS (SELECT a.id AS a, b.id AS b FROM m a, off, m b WHERE {_SAME}), reach AS (SELECT id, id AS seen FROM m UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.seen), comp AS (SELECT id, min(seen) AS comp FROM reach GROUP BY 1)"
 
 
 @query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)} SELECT m.scan, m.z, m.y, m.x, comp, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)")
 def voxel_components(spark: SparkSession, d: str) -> DataFrame:
     """Face-connected components; the smallest linear index names each."""
-    return grid.labelled(voxels(spark, d).where("phase = 1"), SHAPE, 6).select(*KEY, "comp", "size")
+    own, edge = placed(spark, d)
+    return grid.labelled(own.where("phase = 1"), (edge,) * 3, 6).select(*KEY, "comp", "size")
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('grey < 12000', 26)}, s AS (SELECT m.*, comp, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), r AS (SELECT scan, comp, row_number() OVER (PARTITION BY scan ORDER BY comp) AS label FROM (SELECT DISTINCT scan, comp FROM s WHERE size >= 3)) SELECT s.scan, z, y, x, coalesce(label, 0) AS label FROM s LEFT JOIN r ON r.scan = s.scan AND r.comp = s.comp")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('grey < 8000', 26)}, s AS (SELECT m.*, comp, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), r AS (SELECT scan, comp, row_number() OVER (PARTITION BY scan ORDER BY comp) AS label FROM (SELECT DISTINCT scan, comp FROM s WHERE size >= 3)) SELECT s.scan, z, y, x, coalesce(label, 0) AS label FROM s LEFT JOIN r ON r.scan = s.scan AND r.comp = s.comp")
 def component_filter(spark: SparkSession, d: str) -> DataFrame:
     """26-connected components of three voxels or more, numbered anew."""
-    comps = grid.labelled(voxels(spark, d).where("grey < 12000"), SHAPE, 26, 3)
+    own, edge = placed(spark, d)
+    comps = grid.labelled(own.where("grey < 8000"), (edge,) * 3, 26, 3)
     return grid.relabelled(comps).select(*KEY, F.col("label").cast("long").alias("label"))
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, k AS (SELECT m.scan, comp, count(*) AS size, bool_or(z = 0) AS low, bool_or(z = 15) AS high FROM m JOIN comp USING (id) GROUP BY 1, 2) SELECT scan, bool_or(low AND high) AS percolates, sum(CASE WHEN low AND high THEN size ELSE 0 END)::BIGINT AS spanning, round(max(size) / sum(size), 6) AS largest_share FROM k GROUP BY 1")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, k AS (SELECT m.scan, comp, count(*) AS size, bool_or(z = 0) AS low, bool_or(z = {_DEPTH} - 1) AS high FROM m JOIN comp USING (id) GROUP BY 1, 2) SELECT scan, bool_or(low AND high) AS percolates, sum(CASE WHEN low AND high THEN size ELSE 0 END)::BIGINT AS spanning, round(max(size) / sum(size), 6) AS largest_share FROM k GROUP BY 1")
 def percolation(spark: SparkSession, d: str) -> DataFrame:
-    comps = grid.labelled(voxels(spark, d).where("phase = 1"), SHAPE, 6)
-    return grid.percolation(comps, SHAPE[0]).select("scan", "percolates", "spanning", r6(F.col("largest_share")).alias("largest_share"))
+    own, shape = sized(spark, d)
+    comps = grid.labelled(own.where("phase = 1"), shape, 6)
+    return grid.percolation(comps, shape[0]).select("scan", "percolates", "spanning", r6(F.col("largest_share")).alias("largest_share"))
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, t AS (SELECT comp, bool_or(z IN (0, 15) OR y IN (0, 15) OR x IN (0, 9)) AS edge FROM m JOIN comp USING (id) GROUP BY 1) SELECT m.scan, CASE WHEN edge THEN 'outside' ELSE 'trapped' END AS kind, count(*) AS n FROM m JOIN comp USING (id) JOIN t USING (comp) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, t AS (SELECT comp, bool_or(z IN (0, {_DEPTH} - 1) OR y IN (0, edge - 1) OR x IN (0, edge - 1)) AS at_border FROM m JOIN comp USING (id) GROUP BY 1) SELECT m.scan, CASE WHEN at_border THEN 'outside' ELSE 'trapped' END AS kind, count(*) AS n FROM m JOIN comp USING (id) JOIN t USING (comp) GROUP BY 1, 2")
 def trapped_air(spark: SparkSession, d: str) -> DataFrame:
     """Air that reaches the border of the volume, and air that doesn't: what is filled in is trapped."""
-    own = voxels(spark, d)
+    own, shape = sized(spark, d)
     solid = own.where("phase <> 1").select(*KEY)
-    trapped = grid.filled(solid, own, SHAPE).join(own.where("phase = 1").select(*KEY), KEY, "left_semi").withColumn("t", F.lit(True))
+    trapped = grid.filled(solid, own, shape).join(own.where("phase = 1").select(*KEY), KEY, "left_semi").withColumn("t", F.lit(True))
     air = own.where("phase = 1").join(trapped, KEY, "left")
     return air.groupBy("scan", F.when(F.col("t"), "trapped").otherwise("outside").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, {_STAR}, s AS (SELECT m.*, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), rest AS (SELECT * FROM s WHERE size >= 6), deep AS (SELECT a.id FROM rest a, star, rest b WHERE {_SAME} GROUP BY 1 HAVING count(*) = 7), core AS (SELECT a.scan, a.z, a.y, a.x FROM voxels a, star, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7) SELECT s.scan, CASE WHEN size < 6 THEN 'void' WHEN deep.id IS NOT NULL THEN 'separation' WHEN core.z IS NOT NULL THEN 'body' ELSE 'surface' END AS class, count(*) AS n FROM s LEFT JOIN deep ON deep.id = s.id LEFT JOIN core ON core.scan = s.scan AND core.z = s.z AND core.y = s.y AND core.x = s.x WHERE size >= 2 GROUP BY 1, 2")
 def crack_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps by size, then by width, then by depth under the skin; thresholds fit the small grid."""
-    own = voxels(spark, d)
-    got = grid.crack_split(own.where("phase = 1"), own, SHAPE, void_below=6, min_body=2, half_width=1, skin=1)
+    """Gaps by size, then by width, then by depth under the skin; thresholds fit the small gaps of the stand-in."""
+    own, edge = placed(spark, d)
+    got = grid.crack_split(own.where("phase = 1"), own, (edge,) * 3, void_below=6, min_body=2, half_width=1, skin=1)
     return got.groupBy("scan", "class").agg(F.count("*").alias("n"))
 
 
@@ -172,9 +180,10 @@ def two_point(spark: SparkSession, d: str) -> DataFrame:
     return grid.two_point(voxels(spark, d), F.col("phase") == 1, "z", [0, 1, 2, 4]).select("scan", "lag", r6(F.col("s2")).alias("s2"))
 
 
-@query(f"WITH {VOXELS} SELECT scan, (z // 3)::INTEGER AS z, (y // 3)::INTEGER AS y, (x // 3)::INTEGER AS x, count(*) AS n FROM voxels WHERE phase = 3 AND z < 15 AND y < 15 AND x < 9 GROUP BY 1, 2, 3, 4 HAVING count(*) * 2 > 27")
+@query(f"WITH {VOXELS} SELECT scan, (z // 3)::INTEGER AS z, (y // 3)::INTEGER AS y, (x // 3)::INTEGER AS x, count(*) AS n FROM voxels WHERE phase = 3 AND z < {_DEPTH} // 3 * 3 AND y < edge // 3 * 3 AND x < edge // 3 * 3 GROUP BY 1, 2, 3, 4 HAVING count(*) * 2 > 27")
 def majority_bin(spark: SparkSession, d: str) -> DataFrame:
-    return grid.majority(voxels(spark, d).where("phase = 3"), 3, SHAPE)
+    own, shape = sized(spark, d)
+    return grid.majority(own.where("phase = 3"), 3, shape)
 
 
 @query(f"WITH {VOXELS}, n AS (SELECT scan, (z // 2)::INTEGER AS z, (y // 2)::INTEGER AS y, (x // 2)::INTEGER AS x, phase, count(*) AS n FROM voxels GROUP BY 1, 2, 3, 4, 5) SELECT scan, z, y, x, arg_max(phase, (n, -phase)) AS code FROM n GROUP BY 1, 2, 3, 4")
@@ -224,22 +233,18 @@ def common_frame(spark: SparkSession, d: str) -> DataFrame:
     return grid.framed(voxels(spark, d).where("phase = 2").select(*KEY, "phase"), shifts)
 
 
-@query(f"WITH {VOXELS}, p AS (SELECT scan, i, j, 2.5::DOUBLE + i / 7.0::DOUBLE AS pz, 3.25::DOUBLE + j / 9.0::DOUBLE AS py, 1.5::DOUBLE + i / 11.0::DOUBLE AS px FROM (VALUES (0), (1)) s(scan), range(20) a(i), range(20) b(j)), q AS (SELECT *, floor(pz)::INTEGER AS z, floor(py)::INTEGER AS y, floor(px)::INTEGER AS x FROM p), k AS (SELECT a AS dz, b AS dy, c AS dx FROM range(2) t(a), range(2) u(b), range(2) w(c)) SELECT q.scan, i, j, round(sum((CASE WHEN dz = 1 THEN pz - q.z ELSE 1 - (pz - q.z) END) * (CASE WHEN dy = 1 THEN py - q.y ELSE 1 - (py - q.y) END) * (CASE WHEN dx = 1 THEN px - q.x ELSE 1 - (px - q.x) END) * grey), 3) AS value FROM q, k, voxels v WHERE v.scan = q.scan AND v.z = q.z + dz AND v.y = q.y + dy AND v.x = q.x + dx GROUP BY 1, 2, 3 HAVING count(*) = 8")
+@query(f"WITH {VOXELS}, g AS (SELECT scan, i, unnest(range(edge)) AS j FROM (SELECT scan, edge, unnest(range(edge)) AS i FROM (SELECT DISTINCT scan, edge FROM voxels))), p AS (SELECT scan, i, j, 0.5::DOUBLE + i * 0.8::DOUBLE AS pz, 0.25::DOUBLE + j * 0.9::DOUBLE AS py, 0.75::DOUBLE + i * 0.5::DOUBLE + j * 0.3::DOUBLE AS px FROM g), q AS (SELECT *, floor(pz)::INTEGER AS z, floor(py)::INTEGER AS y, floor(px)::INTEGER AS x FROM p), k AS (SELECT a AS dz, b AS dy, c AS dx FROM range(2) t(a), range(2) u(b), range(2) w(c)) SELECT q.scan, i, j, round(sum((CASE WHEN dz = 1 THEN pz - q.z ELSE 1 - (pz - q.z) END) * (CASE WHEN dy = 1 THEN py - q.y ELSE 1 - (py - q.y) END) * (CASE WHEN dx = 1 THEN px - q.x ELSE 1 - (px - q.x) END) * grey), 3) AS value FROM q, k, voxels v WHERE v.scan = q.scan AND v.z = q.z + dz AND v.y = q.y + dy AND v.x = q.x + dx GROUP BY 1, 2, 3 HAVING count(*) = 8")
 def oblique_slice(spark: SparkSession, d: str) -> DataFrame:
-    """A plane through the volume, by trilinear interpolation."""
-    points = spark.range(800).select((F.col("id") % 2).cast("int").alias("scan"), (F.floor(F.col("id") / 2) % 20).alias("i"), F.floor(F.col("id") / 40).alias("j"))
-    plane = points.select("*", (2.5 + F.col("i") / 7.0).alias("pz"), (3.25 + F.col("j") / 9.0).alias("py"), (1.5 + F.col("i") / 11.0).alias("px"))
-    return grid.oblique(voxels(spark, d), "grey", plane).select("scan", "i", "j", F.round("value", 3).alias("value"))
-
+    """A leaning plane through each volume, as wide as its slices, by trilinear interpolation."""
+    own, edge = placed(spark, d)
+    n = F.col("id")
+    points = spark.range(2 * edge * edge).select((n % 2).cast("int").alias("scan"), (F.floor(n / 2) % edge).alias("i"), F.floor(n / (2 * edge)).alias("j"))
+    i, j = F.col("i"), F.col("j")
+    plane = points.select("*", (0.5 + i * 0.8).alias("pz"), (0.25 + j * 0.9).alias("py"), (0.75 + i * 0.5 + j * 0.3).alias("px"))
+    return grid.oblique(own, "grey", plane).select("scan", "i", "j", F.round("value", 3).alias("value"))
 
-@query(f"WITH {VOXELS}, c(k, z0) AS (VALUES (0, 2), (1, 6), (2, 10)) SELECT scan, k, count(*) AS n, round(avg((phase = 2)::INTEGER), 6) AS phi FROM voxels, c WHERE z BETWEEN z0 AND z0 + 3 AND y BETWEEN 6 AND 9 AND x BETWEEN 3 AND 6 GROUP BY 1, 2 HAVING count(*) >= 0.9 * 64")
-def cube_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Cubes at three heights that lie inside almost whole."""
-    inside = voxels(spark, d).where("y between 6 and 9 and x between 3 and 6 and z between 2 and 13")
-    return inside.withColumn("k", F.floor((F.col("z") - 2) / 4).cast("int")).groupBy("scan", "k").agg(F.count("*").alias("n"), r6(F.avg((F.col("phase") == 2).cast("int"))).alias("phi")).where("n >= 0.9 * 64")
 
-
-@query(f"WITH {VOXELS}, f AS (SELECT scan, z, y, x FROM voxels WHERE label = 0), g AS (SELECT f.*, b.label, row_number() OVER (PARTITION BY f.scan, f.z, f.y, f.x ORDER BY (f.z - b.z) * (f.z - b.z) + (f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x), b.label) AS k FROM f JOIN voxels b ON b.scan = f.scan AND b.label > 0 AND abs(f.z - b.z) <= 2 AND abs(f.y - b.y) <= 2 AND abs(f.x - b.x) <= 2) SELECT scan, z, y, x, label FROM g WHERE k = 1")
+@query(f"WITH {VOXELS}, f AS (SELECT scan, z, y, x FROM voxels WHERE label = 0), o AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-2, 3) a(p), range(-2, 3) b(q), range(-2, 3) c(r)), g AS (SELECT a.*, b.label, row_number() OVER (PARTITION BY a.scan, a.z, a.y, a.x ORDER BY dz * dz + dy * dy + dx * dx, b.label) AS k FROM f a, o, voxels b WHERE {_SAME} AND b.label > 0) SELECT scan, z, y, x, label FROM g WHERE k = 1")
 def label_territory(spark: SparkSession, d: str) -> DataFrame:
     """The nearest body of each free voxel, within two voxels."""
     own = voxels(spark, d)
@@ -250,19 +255,20 @@ def label_territory(spark: SparkSession, d: str) -> DataFrame:
     return own.where("label = 0").select(*KEY).join(best, KEY)
 
 
-@query(f"WITH {VOXELS}, c AS (SELECT label, CASE WHEN count(*) >= 60 THEN 'large' ELSE 'small' END AS class FROM voxels WHERE scan = 0 AND label > 0 GROUP BY 1) SELECT scan, coalesce(class, 'none') AS class, count(*) AS n FROM voxels LEFT JOIN c USING (label) GROUP BY 1, 2")
+@query(f"WITH {VOXELS}, c AS (SELECT label, CASE WHEN count(*) >= 290 THEN 'large' ELSE 'small' END AS class FROM voxels WHERE scan = 0 AND label > 0 GROUP BY 1) SELECT scan, coalesce(class, 'none') AS class, count(*) AS n FROM voxels LEFT JOIN c USING (label) GROUP BY 1, 2")
 def class_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Classes of labels painted back on the voxels."""
     own = voxels(spark, d)
-    k = own.where("scan = 0 and label > 0").groupBy("label").agg(F.when(F.count("*") >= 60, "large").otherwise("small").alias("class"))
+    k = own.where("scan = 0 and label > 0").groupBy("label").agg(F.when(F.count("*") >= 290, "large").otherwise("small").alias("class"))
     return own.join(k, "label", "left").groupBy("scan", F.coalesce("class", F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {VOXELS}, s AS (SELECT (y - 7.5) * (y - 7.5) + (x - 4.5) * (x - 4.5) AS r2, * FROM voxels), b AS (SELECT scan, floor((degrees(atan2(y - 7.5, x - 4.5)) + 180) / 30)::INTEGER AS sector, min(sqrt(r2)) FILTER (WHERE phase = 3) AS r FROM s GROUP BY 1, 2) SELECT scan, round(median(r), 6) AS bore FROM b GROUP BY 1")
+@query(f"WITH {VOXELS}, s AS (SELECT dy * dy + dx * dx AS r2, * FROM (SELECT y - (edge - 1) / 2.0::DOUBLE AS dy, x - (edge - 1) / 2.0::DOUBLE AS dx, * FROM voxels)), b AS (SELECT scan, floor((degrees(atan2(dy, dx)) + 180) / 30)::INTEGER AS sector, min(sqrt(r2)) FILTER (WHERE phase = 3) AS r FROM s GROUP BY 1, 2) SELECT scan, round(median(r), 6) AS bore FROM b GROUP BY 1")
 def bore_radius(spark: SparkSession, d: str) -> DataFrame:
     """Radius of the bore: the median over sectors of the nearest solid to the axis."""
-    dy, dx = F.col("y") - 7.5, F.col("x") - 4.5
-    own = voxels(spark, d).select("scan", "phase", F.floor((F.degrees(F.atan2(dy, dx)) + 180) / 30).cast("int").alias("sector"), F.sqrt(dy * dy + dx * dx).alias("r"))
+    own, edge = placed(spark, d)
+    dy, dx = (F.col(a) - (edge - 1) / 2.0 for a in "yx")
+    own = own.select("scan", "phase", F.floor((F.degrees(F.atan2(dy, dx)) + 180) / 30).cast("int").alias("sector"), F.sqrt(dy * dy + dx * dx).alias("r"))
     per = own.groupBy("scan", "sector").agg(F.min(F.when(F.col("phase") == 3, F.col("r"))).alias("r"))
     return per.groupBy("scan").agg(r6(F.percentile("r", F.lit(0.5))).alias("bore"))
 
@@ -313,8 +319,8 @@ def _pair_boxes(spark: SparkSession, d: str, margin: int) -> DataFrame:
 
 @query()
 def throat_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Lens, filling, connection and neck of the gaps between touching bodies, a box each; the least lens fits the small grid."""
-    return bricks.throats(_pair_boxes(spark, d, 6), least=4)
+    """Lens, filling, connection and neck of the gaps between touching bodies, a box each."""
+    return bricks.throats(_pair_boxes(spark, d, 6))
 
 
 @query()
@@ -334,10 +340,11 @@ def diffusion_tortuosity(spark: SparkSession, d: str) -> DataFrame:
     """Effective diffusivity and tortuosity of the solid along z."""
 
     def kernel(v: np.ndarray) -> dict[str, float]:
-        d_eff, tau = bricks.diffusion_tortuosity(v > 1)
-        return {"d_eff": round(d_eff, 6), "tau": round(tau, 6)}
+        d_eff, tau, residual = bricks.diffusion_tortuosity(v > 1)
+        return {"d_eff": round(d_eff, 6), "tau": round(tau, 6), "converged": residual <= 1e-6}
 
-    return bricks.per_scan(voxels(spark, d), kernel, "phase", {"d_eff": "double", "tau": "double"})
+    got = bricks.per_scan(voxels(spark, d), kernel, "phase", {"d_eff": "double", "tau": "double", "converged": "boolean"})
+    return got.select("scan", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("d_eff", "tau")], "converged")
 
 
 @query()
@@ -345,14 +352,14 @@ def elastic_moduli(spark: SparkSession, d: str) -> DataFrame:
     """Moduli of the homogenised stiffness, by a Fourier solver on a reduced map."""
 
     def kernel(v: np.ndarray) -> dict[str, float]:
-        m = bricks.homogenised(v, {1: (0.1, 0.1), 2: (1.0, 0.7), 3: (2.0, 1.5)}, 1e-3, 100)
+        m, _ = bricks.homogenised(v, {1: (0.1, 0.1), 2: (1.0, 0.7), 3: (2.0, 1.5)})
         return {f"c{i}{j}": round(float(m[i, j]), 5) for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2), (3, 3), (4, 4), (5, 5))}
 
     keys = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2), (3, 3), (4, 4), (5, 5)]
     reduced = grid.mode_blocks(voxels(spark, d), "phase", 2)
     c6 = bricks.per_scan(reduced, kernel, "code", {f"c{i}{j}": "double" for i, j in keys})
     full = [[F.col(f"c{min(i, j)}{max(i, j)}") if (min(i, j), max(i, j)) in keys else F.lit(0.0) for j in range(6)] for i in range(6)]
-    return c6.select("scan", *[F.round(v, 5).alias(k) for k, v in g.isotropic_moduli(full).items()])
+    return c6.select("scan", *[F.when(~F.isnan(v), F.round(v, 5)).alias(k) for k, v in g.isotropic_moduli(full).items()])
 
 
 @query()
@@ -369,10 +376,11 @@ def skeleton_segments(spark: SparkSession, d: str) -> DataFrame:
         z, y, x = np.nonzero(bricks.thinned(m))
         return pd.DataFrame({"scan": part.scan.iloc[0], "z": z, "y": y, "x": x})
 
-    skel = voxels(spark, d).where("phase = 2").select(*KEY).groupBy("scan").applyInPandas(thin, "scan int, z int, y int, x int")
+    own, edge = placed(spark, d)
+    skel = own.where("phase = 2").select(*KEY).groupBy("scan").applyInPandas(thin, "scan int, z int, y int, x int")
     from voxloom.scratch import Scratch
 
-    skel = Scratch(spark, "skeleton").put(skel.withColumn("id", grid.voxel_id(SHAPE)), "voxels")
+    skel = Scratch(spark, "skeleton").put(skel.withColumn("id", grid.voxel_id((edge,) * 3)), "voxels")
     links = grid.adjacent(skel, 26, ["id"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     n = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     marked = skel.join(n, "id", "left").select("id", ((F.coalesce("n", F.lit(0)) != 2)).alias("is_node"))
@@ -397,40 +405,38 @@ def height_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return interpolate(ask, knots, "h", "top", ["scan"]).select("scan", "h", F.round(F.col("top") / 7, 4).alias("top"))
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 2', 6)}, k AS (SELECT m.scan, comp, count(*) AS size, sqrt(avg((y - 7.5) * (y - 7.5) + (x - 4.5) * (x - 4.5))) AS radius, max(z) - min(z) + 1 AS height FROM m JOIN comp USING (id) GROUP BY 1, 2), t AS (SELECT DISTINCT comp FROM m JOIN comp USING (id) JOIN voxels g ON g.scan = m.scan AND g.phase = 3 AND abs(g.z - m.z) + abs(g.y - m.y) + abs(g.x - m.x) = 1) SELECT k.scan, CASE WHEN t.comp IS NULL THEN 'no body' WHEN radius > 6.5 AND height <= 2 THEN 'wall' WHEN size < 3 THEN 'fragment' ELSE 'kept' END AS verdict, count(*) AS n, sum(size)::BIGINT AS voxels FROM k LEFT JOIN t USING (comp) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 2', 6)}, {_STAR}, k AS (SELECT m.scan, comp, count(*) AS size, sqrt(avg((y - (edge - 1) / 2.0::DOUBLE) * (y - (edge - 1) / 2.0::DOUBLE) + (x - (edge - 1) / 2.0::DOUBLE) * (x - (edge - 1) / 2.0::DOUBLE))) AS radius, max(z) - min(z) + 1 AS height, any_value(edge) AS edge FROM m JOIN comp USING (id) GROUP BY 1, 2), t AS (SELECT DISTINCT comp FROM comp JOIN m a USING (id), star, voxels b WHERE {_SAME} AND b.phase = 3) SELECT k.scan, CASE WHEN t.comp IS NULL THEN 'no body' WHEN radius > 0.45::DOUBLE * edge AND height <= 2 THEN 'wall' WHEN size < 3 THEN 'fragment' ELSE 'kept' END AS verdict, count(*) AS n, sum(size)::BIGINT AS voxels FROM k LEFT JOIN t USING (comp) GROUP BY 1, 2")
 def fragment_rules(spark: SparkSession, d: str) -> DataFrame:
     """Components that touch no body, lie flat at the wall, or are tiny are dropped; the rest is kept."""
-    own = voxels(spark, d)
-    comps = grid.labelled(own.where("phase = 2"), SHAPE, 6)
-    dy, dx = F.col("y") - 7.5, F.col("x") - 4.5
+    own, edge = placed(spark, d)
+    comps = grid.labelled(own.where("phase = 2"), (edge,) * 3, 6)
+    dy, dx = (F.col(a) - (edge - 1) / 2.0 for a in "yx")
     k = comps.groupBy("scan", "comp").agg(F.count("*").alias("size"), F.sqrt(F.avg(dy * dy + dx * dx)).alias("radius"), (F.max("z") - F.min("z") + 1).alias("height"))
     beside = grid.shifted(own.where("phase = 3"), grid.offsets(6)).select(*KEY).distinct()
     touch = comps.join(beside, KEY, "left_semi").select("scan", "comp").distinct().withColumn("t", F.lit(True))
-    verdict = F.when(F.col("t").isNull(), "no body").when((F.col("radius") > 6.5) & (F.col("height") <= 2), "wall").when(F.col("size") < 3, "fragment").otherwise("kept")
+    verdict = F.when(F.col("t").isNull(), "no body").when((F.col("radius") > 0.45 * edge) & (F.col("height") <= 2), "wall").when(F.col("size") < 3, "fragment").otherwise("kept")
     return k.join(touch, ["scan", "comp"], "left").groupBy("scan", verdict.alias("verdict")).agg(F.count("*").alias("n"), F.sum("size").alias("voxels"))
 
 
-@query(f"WITH {VOXELS} SELECT scan, phase, count(*) AS n FROM voxels WHERE (y - (7.5 + 0.05::DOUBLE * z)) * (y - (7.5 + 0.05::DOUBLE * z)) + (x - (4.5 - 0.02::DOUBLE * z)) * (x - (4.5 - 0.02::DOUBLE * z)) <= 16 GROUP BY 1, 2")
+@query(f"WITH {VOXELS}, t AS (SELECT *, y - ((edge - 1) / 2.0::DOUBLE + 0.05::DOUBLE * z) AS dy, x - ((edge - 1) / 2.0::DOUBLE - 0.02::DOUBLE * z) AS dx FROM voxels) SELECT scan, phase, count(*) AS n FROM t WHERE dy * dy + dx * dx <= edge * edge / 16.0::DOUBLE GROUP BY 1, 2")
 def tilted_cylinder(spark: SparkSession, d: str) -> DataFrame:
-    """Voxels inside a cylinder whose axis leans: arithmetic that is pushed to the scan's rows."""
-    dy, dx = F.col("y") - (7.5 + 0.05 * F.col("z")), F.col("x") - (4.5 - 0.02 * F.col("z"))
-    return voxels(spark, d).where(dy * dy + dx * dx <= 16).groupBy("scan", "phase").agg(F.count("*").alias("n"))
+    """Voxels inside a cylinder whose axis leans: arithmetic on the scan's rows."""
+    own, edge = placed(spark, d)
+    dy, dx = F.col("y") - ((edge - 1) / 2.0 + 0.05 * F.col("z")), F.col("x") - ((edge - 1) / 2.0 - 0.02 * F.col("z"))
+    return own.where(dy * dy + dx * dx <= edge * edge / 16.0).groupBy("scan", "phase").agg(F.count("*").alias("n"))
 
 
 @query()
 def surface_areas(spark: SparkSession, d: str) -> DataFrame:
-    """Area of the solid's surface by marching tetrahedra."""
-
-    def kernel(v: np.ndarray) -> dict[str, float]:
-        return {"area": round(bricks.surface_area(np.pad((v > 1).astype(float), 1), 0.5), 4)}
-
-    return bricks.per_scan(voxels(spark, d), kernel, "phase", {"area": "double"})
+    """Area of the solid's surface by marching tetrahedra, brick by brick: what lies outside of the data is air."""
+    got = bricks.surface_areas(voxels(spark, d).where("phase > 1"))
+    return got.select("scan", F.round("area", 4).alias("area"))
 
 
 @query()
 def face_covers(spark: SparkSession, d: str) -> DataFrame:
     """How much of both faces of a throat is covered, on a grid three times as fine, and the class that follows."""
-    got = bricks.faces(_pair_boxes(spark, d, 4), 25_000.0, least=20, least_shell=5)
+    got = bricks.faces(_pair_boxes(spark, d, 4), 25_000.0)
     a, b = (F.when(~F.isnan(n), F.col(n)) for n in ("cover_a", "cover_b"))
     return got.select("scan", "bead_a", "bead_b", r6(F.col("gap_sub_vox")).alias("gap_sub_vox"), r6(a).alias("cover_a"), r6(b).alias("cover_b"), c.face_class(a, b).alias("face_class"), c.bare_bead(a, b, F.col("bead_a"), F.col("bead_b")).alias("bare_bead"))
 

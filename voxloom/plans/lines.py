@@ -103,8 +103,8 @@ def layer_relative(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey % 100 AS key, l_partkey AS id, round(sum(l_quantity) OVER (PARTITION BY l_orderkey % 100 ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING), 4) AS run FROM lineitem")
 def running_sum(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(F.col("l_orderkey") % 100).orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("key"), F.col("l_partkey").alias("id"), F.round(F.sum("l_quantity").over(w), 4).alias("run"))
+    own = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("key"), F.col("l_partkey").alias("id"), "l_extendedprice", F.struct("l_partkey", "l_suppkey", "l_quantity").alias("tie"), F.col("l_quantity").alias("v"))
+    return s.running_total(own, "l_extendedprice", "tie", F.col("v"), "run", ["key"]).select("key", "id", F.round("run", 4).alias("run"))
 
 
 @query("WITH o AS (SELECT o_custkey % 50 AS specimen, o_orderkey AS scan, o_totalprice AS v FROM orders) SELECT specimen, scan, lead(scan) OVER w AS next_scan, round(lead(v) OVER w - v, 4) AS step FROM o WINDOW w AS (PARTITION BY specimen ORDER BY scan)")

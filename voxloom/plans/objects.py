@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
 from voxloom.operators import stats
+from voxloom.operators.series import running_total
 from voxloom.plans.registry import query
 from voxloom.plans.standins import GRAINS, THROATS, edges, grains, table, throats
 
@@ -31,8 +32,11 @@ def bond_failure_census(spark: SparkSession, d: str) -> DataFrame:
     own = sound_throats(spark, d).where(c.answerable(F.col("dsum_min"), F.col("crack_vox")))
     low = F.least("cover_a", "cover_b")
     marks = [f for t in c.SWEEP for f in (F.count_if(low >= t).alias(f"coh_{str(t)[2:]}0"), F.count_if(low < t).alias(f"adh_{str(t)[2:]}0"))]
-    out = own.rollup("specimen").agg(F.grouping("specimen").alias("__all"), F.count("*").alias("answerable"), r6(F.percentile("gap_vox", F.lit(0.5))).alias("gap_med"), r6(F.percentile(F.greatest("cover_a", "cover_b"), F.lit(0.5))).alias("share_med"), *marks)
-    return out.withColumn("specimen", F.when(F.col("__all") == 1, "all").otherwise(F.col("specimen"))).drop("__all")
+    #: Each throat under its specimen and under all, so that both come from the same passes.
+    own = own.select(F.explode(F.array("specimen", F.lit("all"))).alias("specimen"), "gap_vox", F.greatest("cover_a", "cover_b").alias("share"), "cover_a", "cover_b")
+    counts = own.groupBy("specimen").agg(F.count("*").alias("answerable"), *marks)
+    medians = stats.exact_summary(own, {"gap_med": ("gap_vox", 0.5), "share_med": ("share", 0.5)}, ["specimen"])
+    return counts.join(medians, "specimen").select("specimen", "answerable", r6(F.col("gap_med")).alias("gap_med"), r6(F.col("share_med")).alias("share_med"), *[m for m in counts.columns[2:]])
 
 
 _FACE = "CASE WHEN cover_a IS NULL OR cover_b IS NULL THEN 'unmeasured' WHEN least(cover_a, cover_b) >= 0.5::DOUBLE THEN 'cohesive' WHEN greatest(cover_a, cover_b) >= 0.5::DOUBLE AND least(cover_a, cover_b) < 0.2::DOUBLE THEN 'adhesive' WHEN greatest(cover_a, cover_b) < 0.2::DOUBLE THEN 'stripped' ELSE 'mixed' END"
@@ -55,8 +59,8 @@ def q_class_counts(spark: SparkSession, d: str) -> DataFrame:
 def rank_in_class(spark: SparkSession, d: str) -> DataFrame:
     """Single throats by class, those with the most crack first; uncracked ones have no class."""
     own = throats(spark, d).withColumn("q_class", c.q_class(F.col("crack_vox"), F.col("q_crack"), F.col("connected"))).where("q_class is not null")
-    w = Window.partitionBy("specimen", "q_class").orderBy(F.desc("crack_frac"), "l_orderkey", "l_linenumber", "bead_a", "bead_b")
-    return own.select("specimen", "q_class", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank"))
+    own = own.select("specimen", "q_class", "l_orderkey", "l_linenumber", (-F.col("crack_frac")).alias("order"), F.struct("l_orderkey", "l_linenumber", "bead_a", "bead_b").alias("tie"))
+    return running_total(own, "order", "tie", F.lit(1), "rank", ["specimen", "q_class"]).select("specimen", "q_class", "l_orderkey", "l_linenumber", "rank")
 
 
 @query(f"WITH {THROATS}, t(threshold) AS (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) SELECT specimen, threshold, CASE WHEN least(cover_a, cover_b) >= threshold THEN 'cohesive' ELSE 'adhesive' END AS mode, count(*) AS n FROM throats, t GROUP BY 1, 2, 3")
@@ -94,7 +98,10 @@ def failure_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {THROATS} SELECT specimen, scan, count(*) AS n, round(quantile_cont(gap_vox, 0.5), 6) AS gap_med, round(quantile_cont(gap_vox, 0.9), 6) AS gap_p90, round(avg(gap_vox), 6) AS gap_mean, round(stddev_pop(gap_vox), 6) AS gap_sd, round(quantile_cont(q_crack, 0.5), 6) AS q_med FROM throats GROUP BY 1, 2")
 def throat_geometry_stats(spark: SparkSession, d: str) -> DataFrame:
-    return throats(spark, d).groupBy("specimen", "scan").agg(F.count("*").alias("n"), r6(F.percentile("gap_vox", F.lit(0.5))).alias("gap_med"), r6(F.percentile("gap_vox", F.lit(0.9))).alias("gap_p90"), r6(F.avg("gap_vox")).alias("gap_mean"), r6(F.stddev_pop("gap_vox")).alias("gap_sd"), r6(F.percentile("q_crack", F.lit(0.5))).alias("q_med"))
+    own, key = throats(spark, d), ["specimen", "scan"]
+    some = own.groupBy(*key).agg(F.count("*").alias("n"), r6(F.avg("gap_vox")).alias("gap_mean"), r6(F.stddev_pop("gap_vox")).alias("gap_sd"))
+    ranks = stats.exact_summary(own, {"gap_med": ("gap_vox", 0.5), "gap_p90": ("gap_vox", 0.9), "q_med": ("q_crack", 0.5)}, key)
+    return some.join(ranks.select(*key, *[r6(F.col(n)).alias(n) for n in ("gap_med", "gap_p90", "q_med")]), key)
 
 
 @query(f"WITH {THROATS}, b AS (SELECT specimen, bead_a AS bead FROM throats WHERE connected UNION ALL SELECT specimen, bead_b FROM throats WHERE connected), g AS (SELECT specimen, count(DISTINCT bead) AS grains FROM (SELECT specimen, bead_a AS bead FROM throats UNION ALL SELECT specimen, bead_b FROM throats) GROUP BY 1) SELECT g.specimen, grains, (SELECT count(*) FROM b WHERE b.specimen = g.specimen) // 2 AS bonded, round((SELECT count(*) FROM b WHERE b.specimen = g.specimen)::DOUBLE / grains, 6) AS z_bar FROM g")
@@ -171,8 +178,8 @@ def psd_rms(spark: SparkSession, d: str) -> DataFrame:
     """RMS of the relative difference of sizes at 5 to 95 percent against the distribution by number."""
     at = [float(k) for k in range(5, 96)]
     mine = stats.percentiles_q3(size_curve(spark, d), "d", at)
-    named = table(spark, d, "part").agg(F.percentile("p_retailprice", F.array(*[F.lit(a / 100) for a in at])).alias("ds"))
-    other = named.select(F.posexplode("ds").alias("k", "d0")).select((F.col("k") + 5.0).alias("q3"), "d0")
+    named = stats.exact_percentiles(table(spark, d, "part"), "p_retailprice", [a / 100 for a in at])
+    other = named.select(F.round(F.col("p") * 100).alias("q3"), F.col("p_retailprice").alias("d0"))
     off = (F.col("d") - F.col("d0")) / F.col("d0")
     return mine.join(other, "q3").agg(F.round(F.sqrt(F.avg(off * off)), 4).alias("rms"))
 
@@ -189,11 +196,11 @@ def psd_kernel_density(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("x").agg(r6(100 * F.sum(w * F.exp(-0.5 * u * u)) / F.first("sw") / (F.first("h") * F.sqrt(2 * F.pi()))).alias("density"))
 
 
-@query("SELECT s_nationkey AS scan, round(sum(s_acctbal * w) / sum(w), 6) AS mean, round(sum(w * abs(s_acctbal - m)) / sum(w), 4) AS ra, round(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)), 4) AS rq, round(max(s_acctbal) - min(s_acctbal), 4) AS rt FROM (SELECT *, sum(s_acctbal * w) OVER (PARTITION BY s_nationkey) / sum(w) OVER (PARTITION BY s_nationkey) AS m FROM (SELECT *, (s_suppkey % 7 + 1)::DOUBLE AS w FROM supplier)) GROUP BY 1")
+@query("SELECT s_nationkey AS scan, round(sum(s_acctbal * w) / sum(w), 6) AS mean, round(sum(w * abs(s_acctbal - m)) / sum(w), 4) AS ra, round(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)), 4) AS rq, round(max(s_acctbal) - min(s_acctbal), 4) AS rt, round((sum(w * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) / nullif(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) ** 3, 0), 4) AS rsk, round((sum(w * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) / nullif((sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) ** 2, 0), 4) AS rku FROM (SELECT *, sum(s_acctbal * w) OVER (PARTITION BY s_nationkey) / sum(w) OVER (PARTITION BY s_nationkey) AS m FROM (SELECT *, (s_suppkey % 7 + 1)::DOUBLE AS w FROM supplier)) GROUP BY 1")
 def roughness_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Area-weighted mean, Ra, Rq and Rt."""
+    """Area-weighted mean, Ra, Rq, Rt, skewness and kurtosis."""
     own = table(spark, d, "supplier").select(F.col("s_nationkey").alias("scan"), F.col("s_acctbal").alias("h"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("w"))
-    return stats.weighted_moments(own, "h", "w", ["scan"]).select("scan", r6(F.col("mean")).alias("mean"), F.round("ra", 4).alias("ra"), F.round("rq", 4).alias("rq"), F.round("rt", 4).alias("rt"))
+    return stats.weighted_moments(own, "h", "w", ["scan"]).select("scan", r6(F.col("mean")).alias("mean"), F.round("ra", 4).alias("ra"), *[F.round(k, 4).alias(k) for k in ("rq", "rt", "rsk", "rku")])
 
 
 @query("WITH s AS (SELECT n_nationkey AS stage, n_regionkey AS specimen, 0.3 + 0.01 * n_nationkey AS eps, 2.0 + 0.1 * n_nationkey AS sv, 1.0 + 0.05 * n_nationkey AS tau FROM nation), k AS (SELECT specimen, stage, eps * eps * eps / (5.0 * (sv * 1000) * (sv * 1000)) AS k_sv, eps * eps * eps / ((1 - eps) * (1 - eps) * tau * tau * 5.0 * sv * sv) AS k_tau, 0.25 * eps * eps * eps / (180.0 * (1 - eps) * (1 - eps)) AS k_d FROM s) SELECT specimen, stage, round(k_sv * 1e9, 6) AS k_sv, round(k_tau, 6) AS k_tau, round(k_d, 6) AS k_d, round((k_sv - lag(k_sv) OVER w) * 1e9, 6) AS step FROM k WINDOW w AS (PARTITION BY specimen ORDER BY stage)")
@@ -226,7 +233,7 @@ def slope_fits(spark: SparkSession, d: str) -> DataFrame:
 def volume_gate(spark: SparkSession, d: str) -> DataFrame:
     """Bodies within a band about the median of the gated ones; one row is broadcast."""
     part = table(spark, d, "part")
-    m = part.where("p_size >= 10").agg(F.percentile("p_retailprice", F.lit(0.5)).alias("v"))
+    m = stats.exact_summary(part.where("p_size >= 10"), {"v": ("p_retailprice", 0.5)})
     return part.crossJoin(F.broadcast(m)).where("p_retailprice between 0.9 * v and 1.05 * v").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("voxels"))
 
 
@@ -310,11 +317,11 @@ def grey_landmarks(spark: SparkSession, d: str) -> DataFrame:
     return one.select(r6(gain).alias("gain"), F.round(F.col("pore0") - gain * F.col("pore1"), 4).alias("offset_"), F.when(F.abs(gain - 1) <= 0.10, "skip").otherwise("map").alias("verdict"))
 
 
-@query("SELECT l_orderkey, l_linenumber, greatest(0, least(65535, (l_extendedprice * 0.9 - 5000)))::INTEGER AS grey FROM (SELECT *, 1 FROM lineitem) WHERE floor(greatest(0, least(65535, l_extendedprice * 0.9 - 5000))) = greatest(0, least(65535, l_extendedprice * 0.9 - 5000))")
+@query("SELECT l_orderkey, l_linenumber, floor(greatest(0, least(65535, l_extendedprice * 0.9::DOUBLE - 5000)))::INTEGER AS grey FROM lineitem")
 def clipped_grey(spark: SparkSession, d: str) -> DataFrame:
-    """Linear map, clipped to 16 bits; those that come out whole."""
+    """Linear map, clipped to 16 bits and cut to whole numbers."""
     v = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.col("l_extendedprice") * 0.9 - 5000))
-    return table(spark, d, "lineitem").withColumn("v", v).where(F.floor("v") == F.col("v")).select("l_orderkey", "l_linenumber", F.col("v").cast("int").alias("grey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor(v).cast("int").alias("grey"))
 
 
 @query("WITH a AS (SELECT l_orderkey AS id, l_partkey % 6 AS true_label, CASE WHEN l_tax > 0.04 THEN l_partkey % 6 ELSE l_suppkey % 6 END AS raw FROM lineitem), c AS (SELECT true_label, raw, count(*) AS n FROM a GROUP BY 1, 2), p AS (SELECT raw, max(n) / sum(n) AS purity, sum(n) AS n FROM c WHERE raw > 0 GROUP BY 1) SELECT round((SELECT sum(n) FROM c WHERE true_label > 0 AND raw > 0) / (SELECT sum(n) FROM c WHERE true_label > 0), 6) AS coverage, round((SELECT 2 * sum(n) FROM c WHERE true_label > 0 AND raw > 0) / ((SELECT sum(n) FROM c WHERE true_label > 0) + (SELECT sum(n) FROM c WHERE raw > 0)), 6) AS dice, round(avg(purity), 6) AS purity FROM p")
@@ -328,10 +335,10 @@ def coverage_scores(spark: SparkSession, d: str) -> DataFrame:
     return whole.crossJoin(F.broadcast(pure))
 
 
-@query("WITH t AS (SELECT vec_id AS tag, list_transform(embedding[1:6], lambda x: 1 + 2 * x::DOUBLE) AS tau FROM embeddings) SELECT tag, len(list_filter(tau, lambda x: x >= 1)) AS n_ok, round(list_avg(list_filter(tau, lambda x: x >= 1)), 6) AS tau_mean, round(list_stddev_pop(list_filter(tau, lambda x: x >= 1)), 6) AS tau_sd FROM t")
+@query("WITH t AS (SELECT vec_id AS tag, list_transform(embedding, lambda x: 1 + 2 * x::DOUBLE) AS tau FROM embeddings) SELECT tag, len(list_filter(tau, lambda x: x >= 1)) AS n_ok, round(list_avg(list_filter(tau, lambda x: x >= 1)), 6) AS tau_mean, round(list_stddev_pop(list_filter(tau, lambda x: x >= 1)), 6) AS tau_sd FROM t")
 def accepted_tau(spark: SparkSession, d: str) -> DataFrame:
     """Mean and population deviation of accepted cubes, inside the nested row; counts always."""
-    tau = F.transform(F.slice("embedding", 1, 6), lambda x: 1 + 2 * x.cast("double"))
+    tau = F.transform("embedding", lambda x: 1 + 2 * x.cast("double"))
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("tag"), F.filter(tau, lambda x: (x >= 1) & ~F.isnan(x)).alias("ok"))
     total = lambda f: F.aggregate("ok", F.lit(0.0), f)
     own = own.withColumn("m", F.try_divide(total(lambda a, x: a + x), F.size("ok")))
@@ -346,14 +353,15 @@ def first_last(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy((F.col("o_custkey") % 9).alias("specimen")).agg(F.count("*").alias("n"), r6(a).alias("first_value"), r6(b).alias("last_value"), F.round(b - a, 4).alias("change"))
 
 
-@query(f"WITH {THROATS}, t AS (SELECT specimen, count(*) AS throats, round(median(gap_vox), 6) AS gap_med FROM throats GROUP BY 1), o AS (SELECT 'S' || (o_orderkey % 9) AS specimen, count(*) AS orders, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1), k AS (SELECT 'S' || (c_custkey % 9) AS specimen, string_agg(c_mktsegment, ' / ' ORDER BY c_custkey) AS segments FROM customer GROUP BY 1) SELECT t.specimen, throats, gap_med, orders, price, segments FROM t LEFT JOIN o USING (specimen) LEFT JOIN k USING (specimen)")
+@query(f"WITH {THROATS}, t AS (SELECT specimen, count(*) AS throats, round(median(gap_vox), 6) AS gap_med FROM throats GROUP BY 1), o AS (SELECT 'S' || (o_orderkey % 9) AS specimen, count(*) AS orders, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1), k AS (SELECT 'S' || (c_custkey % 9) AS specimen, string_agg(DISTINCT c_mktsegment, ' / ' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY 1) SELECT t.specimen, throats, gap_med, orders, price, segments FROM t LEFT JOIN o USING (specimen) LEFT JOIN k USING (specimen)")
 def specimen_summary(spark: SparkSession, d: str) -> DataFrame:
     """One wide row per specimen from three relations."""
-    t = throats(spark, d).groupBy("specimen").agg(F.count("*").alias("throats"), r6(F.percentile("gap_vox", F.lit(0.5))).alias("gap_med"))
+    own = throats(spark, d)
+    t = own.groupBy("specimen").agg(F.count("*").alias("throats")).join(stats.exact_summary(own, {"gap_med": ("gap_vox", 0.5)}, ["specimen"]).withColumn("gap_med", r6(F.col("gap_med"))), "specimen")
     s = lambda k: F.concat(F.lit("S"), (F.col(k) % 9).cast("string")).alias("specimen")
     o = table(spark, d, "orders").groupBy(s("o_orderkey")).agg(F.count("*").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("price"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))), lambda x: x["c_mktsegment"])
-    k = table(spark, d, "customer").groupBy(s("c_custkey")).agg(F.array_join(parts, " / ").alias("segments"))
+    #: Distinct names, of which there are few: a list of all rows would be one value of unbounded size.
+    k = table(spark, d, "customer").groupBy(s("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), " / ").alias("segments"))
     return t.join(o, "specimen", "left").join(k, "specimen", "left")
 
 
@@ -447,4 +455,59 @@ def column_geometry(spark: SparkSession, d: str) -> DataFrame:
     m = own.agg(F.avg("y").alias("my"), F.avg("x").alias("mx"), F.min("z").alias("lo"), F.max("z").alias("hi"))
     dy, dx = F.col("y") - F.col("my"), F.col("x") - F.col("mx")
     mid = F.col("z").between(F.col("lo") + 0.2 * (F.col("hi") - F.col("lo")), F.col("lo") + 0.8 * (F.col("hi") - F.col("lo")))
-    return own.crossJoin(F.broadcast(m)).agg(r6(F.first("hi") - F.first("lo")).alias("height"), r6(F.percentile(F.when(mid, F.sqrt(dy * dy + dx * dx)), F.lit(0.98))).alias("radius"), F.count_if(mid).alias("inside"))
+    near = own.crossJoin(F.broadcast(m)).select("lo", "hi", mid.alias("mid"), F.when(mid, F.sqrt(dy * dy + dx * dx)).alias("r"))
+    some = near.agg(r6(F.first("hi") - F.first("lo")).alias("height"), F.count_if("mid").alias("inside"))
+    return some.crossJoin(F.broadcast(stats.exact_summary(near, {"radius": ("r", 0.98)}).withColumn("radius", r6(F.col("radius")))))
+
+
+_LONG = "s_acctbal >= 200 AND s_suppkey % 50 >= 5"
+
+
+@query(f"SELECT s_nationkey AS scan, count(*) AS n, count(*) FILTER (WHERE {_LONG}) AS kept FROM supplier GROUP BY 1 HAVING count(*) FILTER (WHERE {_LONG}) >= 5")
+def edge_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that are long and thick enough; scans left with fewer than five are skipped."""
+    long = (F.col("s_acctbal") >= 200) & (F.col("s_suppkey") % 50 >= 5)
+    return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("scan")).agg(F.count("*").alias("n"), F.count_if(long).alias("kept")).where("kept >= 5")
+
+
+@query(f"WITH {THROATS}, s AS (SELECT *, CASE WHEN cover_a >= 0.5::DOUBLE THEN 3 ELSE 1 END AS phase FROM throats) SELECT specimen, scan, round(avg(gap_vox) FILTER (WHERE phase = 3) / nullif(stddev_pop(gap_vox) FILTER (WHERE phase = 3), 0), 6) AS snr, round(abs(avg(gap_vox) FILTER (WHERE phase = 3) - avg(gap_vox) FILTER (WHERE phase = 1)) / nullif(sqrt((var_pop(gap_vox) FILTER (WHERE phase = 3) + var_pop(gap_vox) FILTER (WHERE phase = 1)) / 2), 0), 6) AS cnr FROM s GROUP BY 1, 2")
+def phase_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Signal to noise of a phase, and contrast to noise of two."""
+    own = throats(spark, d).withColumn("phase", F.when(F.col("cover_a") >= 0.5, 3).otherwise(1))
+    return stats.contrast(own, "gap_vox", "phase", 1, 3, ["specimen", "scan"]).select("specimen", "scan", r6(F.col("snr")).alias("snr"), r6(F.col("cnr")).alias("cnr"))
+
+
+@query("SELECT cluster, n, rank FROM (SELECT p_brand AS cluster, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS rank FROM part GROUP BY 1) WHERE rank <= 6")
+def first_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The first six clusters of a report, the largest first."""
+    n = table(spark, d, "part").groupBy(F.col("p_brand").alias("cluster")).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "cluster").limit(6).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")))
+
+
+@query("SELECT p_partkey AS id, p_retailprice AS volume FROM part ORDER BY p_retailprice DESC, p_partkey")
+def by_volume(spark: SparkSession, d: str) -> DataFrame:
+    """Rows for output, the largest first, ties by id: a sort by ranges."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("volume")).orderBy(F.desc("volume"), "id")
+
+
+@query(f"WITH {THROATS} SELECT end_, count(*) AS n, count(DISTINCT bead) AS beads FROM (SELECT 'a' AS end_, bead_a AS bead FROM throats UNION ALL SELECT 'b', bead_b FROM throats) GROUP BY 1")
+def endpoint_union(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends of all pairs as one relation."""
+    own = throats(spark, d)
+    ends = own.select(F.lit("a").alias("end_"), F.col("bead_a").alias("bead")).unionByName(own.select(F.lit("b").alias("end_"), F.col("bead_b").alias("bead")))
+    return ends.groupBy("end_").agg(F.count("*").alias("n"), F.count_distinct("bead").alias("beads"))
+
+
+@query(f"WITH {THROATS} SELECT specimen, count(*) AS tests, count(*) FILTER (WHERE q_crack <= 0.05::DOUBLE) AS hits, round(0.05::DOUBLE * count(*), 6) AS expected FROM throats WHERE q_crack IS NOT NULL GROUP BY 1")
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tests flagged at a level against those expected by chance."""
+    own = throats(spark, d).where("q_crack is not null")
+    return stats.flags_against_chance(own, F.col("q_crack") <= 0.05, 0.05, ["specimen"]).withColumn("expected", r6(F.col("expected")))
+
+
+@query("WITH n AS (SELECT l_suppkey % 20 AS test, l_quantity AS v, l_discount AS w FROM lineitem), o AS (SELECT test, 40.0 + test / 10.0 AS v0, 0.05 + test / 500.0 AS w0 FROM (SELECT DISTINCT test FROM n)) SELECT test, round(greatest(avg((v >= v0 AND w >= w0)::INTEGER), 1.0::DOUBLE / (count(*) + 1)), 6) AS p FROM n JOIN o USING (test) GROUP BY 1")
+def joint_p(spark: SparkSession, d: str) -> DataFrame:
+    """Share of draws at or beyond the observed in two values at once, no less than the draws resolve."""
+    n = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("test"), F.col("l_quantity").alias("v"), F.col("l_discount").alias("w"))
+    seen = n.select("test").distinct().select("test", (40.0 + F.col("test") / 10.0).alias("v"), (0.05 + F.col("test") / 500.0).alias("w"))
+    return stats.joint_tail_p(n, seen, ["v", "w"], ["test"]).withColumn("p", r6(F.col("p")))

@@ -79,15 +79,18 @@ def injective_match(spark: SparkSession, d: str) -> DataFrame:
     return spatial.injective_match(spatial.candidate_edges(a, b, 0.0999999999, 6)).select("a", "b", r6(F.col("d")).alias("d"))
 
 
-_CHAIN = ", ".join(f"m{k} AS (SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS r FROM grains a JOIN grains b ON a.label = {k} AND b.label = {k + 1} AND {_D2} < 0.3::DOUBLE * 0.3::DOUBLE) WHERE r = 1)" for k in (0, 1))
+_STEPS = range(9)
+_CHAIN = ", ".join(f"m{k} AS (SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS r FROM grains a JOIN grains b ON a.label = {k} AND b.label = {k + 1} AND {_D2} < 0.3::DOUBLE * 0.3::DOUBLE) WHERE r = 1)" for k in _STEPS)
+_LINKS = " ".join(f"JOIN m{k} ON m{k - 1}.b = m{k}.a" for k in _STEPS[1:]) + " " + " ".join(f"JOIN grains p{k} ON p{k}.id = m{k}.a" for k in _STEPS)
+_SUMS = ", ".join(f"round({' + '.join(f'p{k}.u{a}' for k in _STEPS)}, 6) AS u{a}" for a in "zyx")
 
 
-@query(f"WITH {GRAINS}, {_CHAIN} SELECT m0.a AS id, round(p.uz + q.uz, 6) AS uz, round(p.uy + q.uy, 6) AS uy, round(p.ux + q.ux, 6) AS ux FROM m0 JOIN m1 ON m0.b = m1.a JOIN grains p ON p.id = m0.a JOIN grains q ON q.id = m0.b")
+@query(f"WITH {GRAINS}, {_CHAIN} SELECT m0.a AS id, {_SUMS} FROM m0 {_LINKS}")
 def chain_displacement(spark: SparkSession, d: str) -> DataFrame:
-    """Displacements composed over two transitions; whoever loses its match is gone."""
-    at = [grains(spark, d).where(f"label = {k}") for k in range(3)]
-    matches = [spatial.nearest_match(at[k], at[k + 1], 0.3) for k in (0, 1)]
-    return spatial.chain(matches, [a.select("id", "uz", "uy", "ux") for a in at[:2]]).select("id", *[r6(F.col(f"u{a}")).alias(f"u{a}") for a in "zyx"])
+    """Displacements composed over all nine transitions; whoever loses its match is gone."""
+    at = [grains(spark, d).where(f"label = {k}") for k in range(10)]
+    matches = [spatial.nearest_match(at[k], at[k + 1], 0.3) for k in _STEPS]
+    return spatial.chain(matches, [a.select("id", "uz", "uy", "ux") for a in at[:9]]).select("id", *[r6(F.col(f"u{a}")).alias(f"u{a}") for a in "zyx"])
 
 
 _KNN = f"knn AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS rank FROM grains a JOIN grains b ON a.id <> b.id) WHERE rank <= 12)"
@@ -226,6 +229,13 @@ def crack_spine(spark: SparkSession, d: str) -> DataFrame:
     return got.select("comp", F.col("bin").cast("int").alias("bin"), "n", *[r6(F.col(a)).alias(a) for a in "zyx"])
 
 
+@query()
+def crack_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Spine of each cluster along its own principal axis; tests hold it against a singular value decomposition."""
+    got = graph.crack_paths(grains(spark, d).select(F.col("label").alias("comp"), "z", "y", "x"))
+    return got.select("comp", "n", r6(F.col("length")).alias("length"), F.col("bin").cast("int").alias("bin"), "m", *[r6(F.col(a)).alias(a) for a in "zyx"])
+
+
 @query(f"WITH RECURSIVE {GRAINS}, p AS (SELECT a.id AS a, b.id AS b FROM grains a JOIN grains b ON a.id < b.id AND {_D2} <= 0.06::DOUBLE * 0.06::DOUBLE), {_tree('p', 'grains')}, blobs AS (SELECT comp AS id, count(*) AS size, sum(z) / count(*) AS z, sum(y) / count(*) AS y, sum(x) / count(*) AS x FROM comp JOIN grains USING (id) GROUP BY 1 HAVING count(*) >= 2) SELECT a.id AS a, b.id AS b, round(sqrt({_D2}), 5) AS d FROM blobs a JOIN blobs b ON a.id < b.id AND {_D2} <= 0.2::DOUBLE * 0.2::DOUBLE")
 def blob_graph(spark: SparkSession, d: str) -> DataFrame:
     """Components of two points or more, and which of their centres lie near one another."""

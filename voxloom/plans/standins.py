@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.series import running_total
+from voxloom.scratch import Scratch
 
-#: Shape of the voxel grid made from lineitem, and the grey levels between its phases.
-SHAPE = (16, 16, 10)
+#: Grey levels between the phases of the voxels made from lineitem, and edge of the blocks that label their bodies.
 AIR_ICE, ICE_GRAIN = 25_000.0, 45_000.0
+BLOCK = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,25 +44,9 @@ def throats(spark: SparkSession, sf_dir: str) -> DataFrame:
 THROATS = "throats AS (SELECT 'S' || (l_orderkey % 9) AS specimen, l_linenumber % 2 + 1 AS scan, l_partkey AS bead_a, l_suppkey + 1000000 AS bead_b, l_quantity / 3.0::DOUBLE AS gap_vox, l_quantity / 4.0::DOUBLE AS dsum_min, l_extendedprice / 100.0::DOUBLE AS crack_vox, l_discount * 10.0::DOUBLE AS crack_frac, l_tax * 12.5::DOUBLE AS cover_a, l_discount * 10.0::DOUBLE AS cover_b, CASE WHEN l_returnflag <> 'N' THEN l_tax * 6.0::DOUBLE END AS q_crack, l_linestatus = 'O' AS connected, l_orderkey, l_linenumber FROM lineitem)"
 
 
-def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan, z, y, x, grey, phase, label): lineitem keyed into a grid, one row a cell; grains are labelled by blocks."""
-    li = table(spark, sf_dir, "lineitem")
-    cell = li.groupBy((F.col("l_linenumber") % 2).cast("int").alias("scan"), (F.col("l_orderkey") % SHAPE[0]).cast("int").alias("z"), (F.col("l_partkey") % SHAPE[1]).cast("int").alias("y"), (F.col("l_suppkey") % SHAPE[2]).cast("int").alias("x")).agg(F.min(F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "l_extendedprice"))["l_extendedprice"].alias("grey"))
-    phase = F.when(F.col("grey") < AIR_ICE, 1).when(F.col("grey") < ICE_GRAIN, 2).otherwise(3)
-    block = (F.floor(F.col("z") / 4) * 100 + F.floor(F.col("y") / 4) * 10 + F.floor(F.col("x") / 5) + 1).cast("int")
-    return cell.withColumn("phase", phase).withColumn("label", F.when(F.col("phase") == 3, block).otherwise(0))
-
-
-VOXELS = "voxels AS (SELECT *, CASE WHEN phase = 3 THEN ((z // 4) * 100 + (y // 4) * 10 + x // 5 + 1)::INTEGER ELSE 0 END AS label FROM (SELECT *, CASE WHEN grey < 25000 THEN 1 WHEN grey < 45000 THEN 2 ELSE 3 END AS phase FROM (SELECT (l_linenumber % 2)::INTEGER AS scan, (l_orderkey % 16)::INTEGER AS z, (l_partkey % 16)::INTEGER AS y, (l_suppkey % 10)::INTEGER AS x, arg_min(l_extendedprice, (l_orderkey * 8 + l_linenumber, l_extendedprice)) AS grey FROM lineitem GROUP BY 1, 2, 3, 4)))"
-
-
-#: Edge of the blocks that label the bodies of ``whole_voxels``.
-BLOCK = 8
-
-
-def whole_voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(scan, z, y, x, grey, phase, label) with a voxel for each row of lineitem, in the rows' order, and the edge of its two cubes, which
-    grows with the number of rows; the last slices may be cut short."""
+    grows with the number of rows; the last slices may be cut short. Grains are labelled by blocks. Written once: operators read it several times."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_extendedprice").alias("tie"), F.col("l_extendedprice").alias("grey"))
     n, edge = li.count(), 1
     while 2 * edge**3 < n:
@@ -73,10 +58,11 @@ def whole_voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     wide = -(-edge // BLOCK)
     block = ((F.floor(F.col("z") / BLOCK) * wide + F.floor(F.col("y") / BLOCK)) * wide + F.floor(F.col("x") / BLOCK) + 1).cast("int")
     vox = vox.withColumn("phase", F.when(F.col("grey") < AIR_ICE, 1).when(F.col("grey") < ICE_GRAIN, 2).otherwise(3))
-    return vox.withColumn("label", F.when(F.col("phase") == 3, block).otherwise(0)), edge
+    vox = vox.withColumn("label", F.when(F.col("phase") == 3, block).otherwise(0))
+    return Scratch(spark, "voxels").put(vox, "voxels"), edge
 
 
-WHOLE = "size AS (SELECT min(e) AS edge FROM range(1, 5000) t(e) WHERE 2 * e * e * e >= (SELECT count(*) FROM lineitem)), placed AS (SELECT k % 2 AS scan, k // 2 AS pos, grey FROM (SELECT l_extendedprice AS grey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS k FROM lineitem)), whole AS (SELECT *, CASE WHEN phase = 3 THEN (((z // 8) * ((edge + 7) // 8) + y // 8) * ((edge + 7) // 8) + x // 8 + 1)::INTEGER ELSE 0 END AS label FROM (SELECT scan::INTEGER AS scan, (pos // (edge * edge))::INTEGER AS z, (pos // edge % edge)::INTEGER AS y, (pos % edge)::INTEGER AS x, edge, grey, CASE WHEN grey < 25000 THEN 1 WHEN grey < 45000 THEN 2 ELSE 3 END AS phase FROM placed, size))"
+VOXELS = "size AS (SELECT min(e) AS edge FROM range(1, 5000) t(e) WHERE 2 * e * e * e >= (SELECT count(*) FROM lineitem)), placed AS (SELECT k % 2 AS scan, k // 2 AS pos, grey FROM (SELECT l_extendedprice AS grey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS k FROM lineitem)), voxels AS MATERIALIZED (SELECT *, CASE WHEN phase = 3 THEN (((z // 8) * ((edge + 7) // 8) + y // 8) * ((edge + 7) // 8) + x // 8 + 1)::INTEGER ELSE 0 END AS label FROM (SELECT scan::INTEGER AS scan, (pos // (edge * edge))::INTEGER AS z, (pos // edge % edge)::INTEGER AS y, (pos % edge)::INTEGER AS x, edge, grey, CASE WHEN grey < 25000 THEN 1 WHEN grey < 45000 THEN 2 ELSE 3 END AS phase FROM placed, size))"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,82 +1,27 @@
-"""Voxel operators over a grid that has a voxel for every row of lineitem, so that it grows with the table and bricks have faces to cross.
-
-The queries of ``grids`` run on a grid of at most 5,120 voxels, as their SQL does.
-"""
+"""Queries between and inside bodies over the whole grid: zones of all touching pairs, cubes placed by each scan's extents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import bricks, grid, stats
-from voxloom.plans.grids import _CUBE, _OFF6, _SAME, KEY, r6
+from voxloom.operators import grid
+from voxloom.plans.grids import _OFF6, _SAME, r6
 from voxloom.plans.registry import query
-from voxloom.plans.standins import WHOLE, whole_voxels
-from voxloom.scratch import Scratch
-
-
-def placed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """The voxels, written once: operators read them several times."""
-    vox, edge = whole_voxels(spark, d)
-    return Scratch(spark, "whole").put(vox, "voxels"), edge
-
-
-@query(f"WITH {WHOLE} SELECT scan, phase, count(*) AS n, max(z) + 1 AS depth FROM whole GROUP BY 1, 2")
-def whole_phases(spark: SparkSession, d: str) -> DataFrame:
-    """Voxels of each phase; they sum to the rows of the table."""
-    return whole_voxels(spark, d)[0].groupBy("scan", "phase").agg(F.count("*").alias("n"), (F.max("z") + 1).alias("depth"))
-
-
-@query(f"WITH {WHOLE}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(max(b.grey), 4) AS top FROM whole a, cube, whole b WHERE {_SAME} GROUP BY 1, 2, 3, 4")
-def whole_max_filter(spark: SparkSession, d: str) -> DataFrame:
-    return grid.max_filter(placed(spark, d)[0], "grey", 1, "top").select(*KEY, F.round("top", 4).alias("top"))
-
-
-@query(f"WITH {WHOLE}, {_OFF6}, l AS (SELECT *, (grey < 70000)::INTEGER AS ice FROM whole WHERE label > 0) SELECT a.scan, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi, count(*) AS faces, sum(a.ice * b.ice)::BIGINT AS ice_faces FROM l a, off, l b WHERE {_SAME} AND a.label <> b.label GROUP BY 1, 2, 3 HAVING count(*) >= 2")
-def whole_contacts(spark: SparkSession, d: str) -> DataFrame:
-    return grid.contact_pairs(placed(spark, d)[0], "label", F.col("grey") < 70_000, 2)
-
-
-@query(f"WITH {WHOLE} SELECT scan, unnest([0.05, 0.5, 0.95])::DOUBLE AS p, round(unnest(quantile_cont(grey, [0.05, 0.5, 0.95])), 3) AS grey FROM whole GROUP BY scan")
-def whole_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return stats.exact_percentiles(placed(spark, d)[0], "grey", [0.05, 0.5, 0.95], ["scan"]).select("scan", "p", F.round("grey", 3).alias("grey"))
+from voxloom.plans.standins import VOXELS, voxels
 
+_GROWN = "ball AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-5, 6) a(p), range(-5, 6) b(q), range(-5, 6) c(r) WHERE abs(p) + abs(q) + abs(r) <= 5), grown AS (SELECT DISTINCT scan, z + dz AS z, y + dy AS y, x + dx AS x, label FROM voxels, ball WHERE label > 0)"
 
-_GROWN = "ball AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-5, 6) a(p), range(-5, 6) b(q), range(-5, 6) c(r) WHERE abs(p) + abs(q) + abs(r) <= 5), grown AS (SELECT DISTINCT scan, z + dz AS z, y + dy AS y, x + dx AS x, label FROM whole, ball WHERE label > 0)"
 
-
-@query(f"WITH {WHOLE}, {_OFF6}, {_GROWN}, f AS (SELECT a.scan, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx, a.label AS la, b.label AS lb FROM whole a, off, whole b WHERE {_SAME} AND a.label > 0 AND b.label > 0 AND a.label <> b.label), t AS (SELECT scan, least(la, lb) AS lo, greatest(la, lb) AS hi, count(DISTINCT CASE WHEN la < lb THEN (az, ay, ax) ELSE (bz, by_, bx) END) AS contact FROM f GROUP BY 1, 2, 3), g AS (SELECT v.scan, a.label AS lo, b.label AS hi, count(*) AS zone, count(*) FILTER (WHERE v.phase = 1) AS air, count(*) FILTER (WHERE v.phase = 2) AS ice FROM whole v JOIN grown a USING (scan, z, y, x) JOIN grown b USING (scan, z, y, x) WHERE a.label < b.label AND v.label <> a.label AND v.label <> b.label GROUP BY 1, 2, 3) SELECT scan, lo, hi, coalesce(zone, 0) AS zone, coalesce(air, 0) AS air, coalesce(ice, 0) AS ice, contact FROM t LEFT JOIN g USING (scan, lo, hi)")
+@query(f"WITH {VOXELS}, {_OFF6}, {_GROWN}, f AS (SELECT a.scan, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx, a.label AS la, b.label AS lb FROM voxels a, off, voxels b WHERE {_SAME} AND a.label > 0 AND b.label > 0 AND a.label <> b.label), t AS (SELECT scan, least(la, lb) AS lo, greatest(la, lb) AS hi, count(DISTINCT CASE WHEN la < lb THEN (az, ay, ax) ELSE (bz, by_, bx) END) AS contact FROM f GROUP BY 1, 2, 3), g AS (SELECT v.scan, a.label AS lo, b.label AS hi, count(*) AS zone, count(*) FILTER (WHERE v.phase = 1) AS air, count(*) FILTER (WHERE v.phase = 2) AS ice FROM voxels v JOIN grown a USING (scan, z, y, x) JOIN grown b USING (scan, z, y, x) WHERE a.label < b.label AND v.label <> a.label AND v.label <> b.label GROUP BY 1, 2, 3) SELECT scan, lo, hi, coalesce(zone, 0) AS zone, coalesce(air, 0) AS air, coalesce(ice, 0) AS ice, contact FROM t LEFT JOIN g USING (scan, lo, hi)")
 def contact_zones(spark: SparkSession, d: str) -> DataFrame:
     """Zones between all touching bodies, grown by five voxels."""
-    vox = placed(spark, d)[0]
+    vox = voxels(spark, d)[0]
     return grid.contact_zones(vox, "label", grid.contact_pairs(vox, "label", F.lit(True), 1), F.col("phase") == 1, F.col("phase") == 2)
 
 
-@query()
-def whole_components(spark: SparkSession, d: str) -> DataFrame:
-    """Face-connected air across bricks; tests hold it against one array of the whole scan."""
-    vox, edge = placed(spark, d)
-    return grid.labelled(vox.where("phase = 1"), (edge,) * 3, 6).select(*KEY, "comp", "size")
-
-
-@query()
-def whole_percolation(spark: SparkSession, d: str) -> DataFrame:
-    """Whether air spans the height: ends are the first slice and the last that has voxels."""
-    vox, edge = placed(spark, d)
-    depth = vox.agg(F.max("z")).first()[0] + 1
-    got = grid.percolation(grid.labelled(vox.where("phase = 1"), (edge,) * 3, 6), depth)
-    return got.select("scan", "percolates", "spanning", r6(F.col("largest_share")).alias("largest_share"))
-
-
-@query()
-def whole_distance_map(spark: SparkSession, d: str) -> DataFrame:
-    """Exact distances from solid to air over the whole scans."""
-    vox = placed(spark, d)[0].withColumn("m", F.col("phase") != 1)
-    return bricks.distance_transform(vox, "m").select(*KEY, r6(F.col("d")).alias("d"))
-
-
 @query()
 def whole_cubes(spark: SparkSession, d: str) -> DataFrame:
     """Cubes at three heights of each scan, placed by its extents, and their share of ice."""
-    vox, edge = placed(spark, d)
+    vox, edge = voxels(spark, d)
     return grid.cubes(vox, F.col("phase") == 2, (edge, edge), 16).withColumn("phi", r6(F.col("phi")))
