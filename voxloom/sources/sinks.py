@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
 from collections.abc import Callable, Sequence
+from xml.sax.saxutils import escape
 
 import numpy as np
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +46,14 @@ def latex_table(df: DataFrame, header: Sequence[str], cells: Sequence[Column], o
     return "\n".join([f"\\begin{{tabular}}{{{'l' * len(header)}}}", "\\toprule", " & ".join(header) + " \\\\", "\\midrule", *rows, "\\bottomrule", "\\end{tabular}"]) + "\n"
 
 
-def report_line(widths: Sequence[int], cells: Sequence[Column], decimals: int = 3) -> Column:
-    """Right-aligned fixed-width columns."""
-    text = [F.format_string(f"%.{decimals}f", c.cast("double")) if d else c.cast("string") for c, d in zip(cells, [decimals] * len(cells), strict=True)]
+def report_line(widths: Sequence[int], cells: Sequence[Column], decimals: int | Sequence[int] = 3) -> Column:
+    """Right-aligned fixed-width columns; ``decimals`` are one number for all or one for each, and 0 leaves a cell as it is."""
+    each = [decimals] * len(cells) if isinstance(decimals, int) else decimals
+    text = [F.format_string(f"%.{d}f", c.cast("double")) if d else c.cast("string") for c, d in zip(cells, each, strict=True)]
     return F.concat(*[F.lpad(F.coalesce(t, F.lit("-")), w, " ") for t, w in zip(text, widths, strict=True)])
 
 
-def write_report(df: DataFrame, path: str, widths: Sequence[int], cells: Sequence[Column], decimals: int = 3) -> None:
+def write_report(df: DataFrame, path: str, widths: Sequence[int], cells: Sequence[Column], decimals: int | Sequence[int] = 3) -> None:
     df.select(report_line(widths, cells, decimals).alias("value")).write.mode("overwrite").text(path)
 
 
@@ -58,6 +63,52 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
+#: Rows that a sheet holds: fixed value of the format.
+SHEET_ROWS = 1_048_576
+
+
+def _cell(at: str, value: object) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return f'<c r="{at}" t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, int | float):
+        return f'<c r="{at}"><v>{value!r}</v></c>'
+    return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+
+def _letters(k: int) -> str:
+    out = ""
+    while k >= 0:
+        out, k = chr(65 + k % 26) + out, k // 26 - 1
+    return out
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook of one sheet for each relation, with a header row. For published tables: rows come to the driver, sheet by sheet, and more than a
+    sheet holds are an error."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    head, out = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(len(sheets)))
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k + 1}" r:id="r{k + 1}"/>' for k, n in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{k + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{k + 1}.xml"/>' for k in range(len(sheets)))
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for k, df in enumerate(sheets.values()):
+            rows = df.limit(SHEET_ROWS).collect()
+            if len(rows) >= SHEET_ROWS:
+                raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows beside its header")
+            lines = (f'<row r="{i + 1}">{"".join(_cell(f"{_letters(j)}{i + 1}", v) for j, v in enumerate(r))}</row>' for i, r in enumerate([df.columns, *rows]))
+            z.writestr(f"xl/worksheets/sheet{k + 1}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    store, base = fs.FileSystem.from_uri(path)
+    store.create_dir(base.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(base) as f:
+        f.write(out.getvalue())
+
+
 def stl_bytes(triangles: np.ndarray) -> bytes:
     """Binary STL of (n, 3, 3) triangles with their normals."""
     t = np.asarray(triangles, "<f4").reshape(-1, 3, 3)
@@ -95,7 +146,6 @@ def face_triangles(vox: DataFrame) -> DataFrame:
 def write_stl(triangles: DataFrame, folder: str) -> DataFrame:
     """One binary STL per scan: (scan, path, triangles). A group is one reduced mesh."""
     import pandas as pd
-    import pyarrow.fs as fs
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         store, base = fs.FileSystem.from_uri(folder)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Mapping, Sequence
+import re
+import zipfile
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +124,83 @@ def read_npz(spark: SparkSession, path: str, arrays: Mapping[str, str]) -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, ddl)
 
 
+def _file_per_group(df: DataFrame, folder: str, key: str, suffix: str, encode: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """(path, rows): a file for each key. A group is one file."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        path = f"{base}/{part[key].iloc[0]}.{suffix}"
+        with store.open_output_stream(path) as out:
+            out.write(encode(part))
+        return pd.DataFrame([(path, len(part))], columns=["path", "rows"])
+
+    return df.groupBy(key).applyInPandas(one, "path string, rows long")
+
+
+def write_npz(df: DataFrame, folder: str, key: str, arrays: Mapping[str, str]) -> DataFrame:
+    """(path, rows): an archive of arrays for each key, as ``read_npz`` takes them; written when it is read."""
+
+    def encode(part: pd.DataFrame) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{n: np.stack(part[n].to_numpy()) if k.startswith("array") else part[n].to_numpy() for n, k in arrays.items()})
+        return out.getvalue()
+
+    return _file_per_group(df, folder, key, "npz", encode)
+
+
+def write_size_classes(df: DataFrame, folder: str, key: str) -> DataFrame:
+    """(path, rows): an instrument file in UTF-16 for each key, from (key, mn, mx, p3); written when it is read."""
+    line = lambda r: f"{float(r.mn)!r}\t{float(r.mx)!r}\t{float(r.p3)!r}"
+    return _file_per_group(df, folder, key, "xle", lambda part: "\n".join(["Size class", "mn\tmx\tp3", *map(line, part.sort_values("mx").itertuples()), ""]).encode("utf-16"))
+
+
+def workbook_rows(content: bytes, sheet: str) -> list[list]:
+    """Rows of cells of a sheet, as text, numbers, truth values or None."""
+    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = {s.get("name"): s.get(rel) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", space)}
+        if sheet not in names:
+            raise KeyError(f"no sheet {sheet!r}; there are {', '.join(map(str, names))}")
+        target = next(r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if r.get("Id") == names[sheet])
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", space)) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", space)]
+        rows = []
+        for row in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iterfind("m:sheetData/m:row", space):
+            cells: list = []
+            for k, c in enumerate(row.iterfind("m:c", space)):
+                at = 0
+                for x in re.match("[A-Z]*", c.get("r", "")).group():
+                    at = at * 26 + ord(x) - 64
+                cells += [None] * ((at or k + 1) - 1 - len(cells))
+                value, kind = c.findtext("m:v", None, space), c.get("t")
+                if kind == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iterfind(".//m:t", space))
+                elif value is not None:
+                    value = shared[int(value)] if kind == "s" else value == "1" if kind == "b" else value if kind == "str" else float(value)
+                cells.append(value)
+            rows.append(cells)
+    return rows
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str, schema: str) -> DataFrame:
+    """A sheet with a header row, by the names and types of ``schema``; other columns are passed over, missing cells are NULL. A workbook is one task's work."""
+    kinds = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for content in part.content:
+                head, *rows = workbook_rows(bytes(content), sheet)
+                at = {n: head.index(n) for n in kinds if n in head}
+                text = lambda v: str(int(v)) if isinstance(v, float) and v.is_integer() else None if v is None else str(v)
+                yield pd.DataFrame({n: [text(r[at[n]]) if n in at and at[n] < len(r) else None for r in rows] for n in kinds}, dtype=object)
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, ", ".join(f"`{n}` string" for n in kinds))
+    return ingest(raw.select(*[F.col(f"`{n}`").cast(k).alias(n) for n, k in kinds.items()]))
+
+
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     """The first path that exists, in whatever store it is."""
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()

@@ -6,6 +6,7 @@ filters on z and scan leave pages unread.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -113,6 +114,94 @@ def read_slices(spark: SparkSession, path: str, pattern: str = r"(\d+)\.tiff?$",
     return files.select("z", "content").mapInPandas(run, "scan int, z int, ny int, nx int, payload array<double>")
 
 
+def paged(vox: DataFrame, value: str, ny: int, nx: int) -> DataFrame:
+    """(scan, z, ny, nx, payload): voxels as whole slices; places without a voxel are 0. A group is one slice."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(ny * nx - 1))).alias("at")
+    cells = vox.select("scan", "z", (F.col("y") * nx + F.col("x")).alias("at"), F.col(value).cast("double").alias("v"))
+    full = vox.select("scan", "z").distinct().select("scan", "z", at).join(cells, ["scan", "z", "at"], "left")
+    rows = full.groupBy("scan", "z").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("v", F.lit(0.0)).alias("v")))).alias("c"))
+    return rows.select("scan", "z", F.lit(ny).alias("ny"), F.lit(nx).alias("nx"), F.transform("c", lambda x: x["v"]).alias("payload"))
+
+
+def _put(uri: str, data: bytes) -> None:
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(data)
+
+
+def write_tiff(pages: DataFrame, folder: str) -> DataFrame:
+    """(scan, uri, pages): a multi-page file of 16-bit slices for each scan. A file is written from its start, so a scan is one task's work."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("z")
+        uri = f"{folder}/scan{int(part.scan.iloc[0]):04d}.tif"
+        _put(uri, tiff_encode(np.stack([np.asarray(p).reshape(ny, nx) for p, ny, nx in zip(part.payload, part.ny, part.nx, strict=True)]).astype(np.uint16)))
+        return pd.DataFrame([(int(part.scan.iloc[0]), uri, len(part))], columns=["scan", "uri", "pages"])
+
+    return pages.groupBy("scan").applyInPandas(one, "scan int, uri string, pages int")
+
+
+def write_slices(pages: DataFrame, folder: str) -> int:
+    """A one-page file of 16 bits for every slice, in a folder for each scan; the number of files. A task that runs twice writes the same files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for r in part.itertuples():
+                _put(f"{folder}/{r.scan:04d}/slice_{r.z:06d}.tif", tiff_encode(np.asarray(r.payload).reshape(1, r.ny, r.nx).astype(np.uint16)))
+            yield pd.DataFrame({"files": [len(part)]})
+
+    return pages.mapInPandas(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+def write_zarr(vox: DataFrame, value: str, shape: tuple[int, int, int], folder: str, chunk: int = 64) -> int:
+    """Voxels (z, y, x) as a chunked array store of doubles (format 2, zlib); the number of chunks. A group is one chunk; what has no voxel is 0."""
+    _put(f"{folder}/.zarray", json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": [chunk] * 3, "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": 0, "order": "C", "filters": None}).encode())
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros((chunk,) * 3)
+        v[tuple((part[a] % chunk).to_numpy() for a in ("z", "y", "x"))] = part.v
+        at = [int(part[a].iloc[0]) // chunk for a in ("z", "y", "x")]
+        _put(f"{folder}/{'.'.join(map(str, at))}", zlib.compress(v.tobytes(), 1))
+        return pd.DataFrame({"n": [1]})
+
+    own = vox.select("z", "y", "x", F.col(value).cast("double").alias("v"), *[F.floor(F.col(a) / chunk).alias(f"b{a}") for a in ("z", "y", "x")])
+    return own.groupBy("bz", "by", "bx").applyInPandas(one, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_zarr(spark: SparkSession, folder: str, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
+    """(axes, value double): the cells of a chunked array store of format 2, plain, zlib or gzip. The driver reads the header, a task one chunk at a
+    time; chunks that don't exist hold the fill value. Ids that were stored as floats come back by ``rint``."""
+    store, base = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{base}/.zarray") as f:
+        head = json.loads(f.read())
+    shape, chunks, kind, sep = head["shape"], head["chunks"], np.dtype(head["dtype"]), head.get("dimension_separator", ".")
+    packer = (head["compressor"] or {}).get("id")
+    if head["zarr_format"] != 2 or packer not in (None, "zlib", "gzip") or head.get("filters"):
+        raise ValueError(f"{folder}: format {head['zarr_format']} with {packer} isn't read")
+    grid = spark.range(1).select(F.lit(0).alias("one"))
+    for k, (n, c) in enumerate(zip(shape, chunks, strict=True)):
+        grid = grid.withColumn(f"c{k}", F.explode(F.sequence(F.lit(0), F.lit(-(-n // c) - 1))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
+        for part in batches:
+            for at in part.itertuples(index=False):
+                path = f"{root}/{sep.join(map(str, at))}"
+                if files.get_file_info(path).type == fs.FileType.NotFound:
+                    v = np.full(chunks, head["fill_value"] or 0, kind)
+                else:
+                    with files.open_input_file(path) as f:
+                        raw = f.read()
+                    raw = raw if packer is None else zlib.decompress(raw, 47)
+                    v = np.frombuffer(raw, kind).reshape(chunks, order=head["order"])
+                v = v[tuple(slice(0, min(c, n - i * c)) for i, c, n in zip(at, chunks, shape, strict=True))]
+                out = {a: x.ravel() + i * c for a, x, i, c in zip(axes, np.indices(v.shape), at, chunks, strict=True)}
+                yield pd.DataFrame(out | {"value": v.ravel().astype(float)})
+
+    return grid.select(*[f"c{k}" for k in range(len(shape))]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, ", ".join(f"{a} int" for a in axes) + ", value double")
+
+
 def sparse(pages: DataFrame) -> DataFrame:
     """(scan, z, y, x, grey): one row a voxel, JVM-side."""
     flat = pages.select("scan", "z", "nx", F.posexplode("payload").alias("i", "grey"))
