@@ -180,9 +180,8 @@ def verdict(rules: Sequence[Rule], statistic: Callable[[str], Column]) -> Column
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep_label: int, whole: bool) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep_label: int, whole: bool, scratch: Scratch) -> DataFrame:
     """``document_statistics`` with base_failed and kept."""
-    scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.put(document_statistics(docs, id_col, text_col, whole), "stats")
     names = stats.schema["s"].dataType.names
     marked = labels.where(F.col("quality").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -200,10 +199,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Other columns are ignored. An empty table gives an empty result; without labels only base_failed decides.
     Words and windows are compared by 64-bit hashes.
     """
-    return _judged(docs, labels, id_col, text_col, keep_label, False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return _judged(docs, labels, id_col, text_col, keep_label, False, Scratch(docs.sparkSession, "quality")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with their columns. Each row is judged by its own text: rows that share an id, or have none,
-    stay or go one by one."""
-    return _judged(docs, labels, id_col, text_col, keep_label, True).where("kept").select(*unpacked("row", docs.columns))
+    stay or go one by one. Rows are written with their statistics once; ``scratch`` names where, for a caller that deletes them when the result is written."""
+    return _judged(docs, labels, id_col, text_col, keep_label, True, scratch or Scratch(docs.sparkSession, "quality")).where("kept").select(*unpacked("row", docs.columns))
