@@ -12,7 +12,13 @@ def bucket_of(df: DataFrame, order: str, buckets: int = 64) -> Column:
     """Range of ``order`` that a row is in, by approximate quantiles of the whole table, so that no key or table has to be put in order by one task.
     Rows with one value are in one range; missing ones are in the first."""
     edges = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))))
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
+
+    def place(low: int, high: int) -> Column:
+        """How many of the edges before ``high`` are below the value, if ``low`` are: a search by halves."""
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col(order) > F.lit(float(edges[mid])), place(mid + 1, high)).otherwise(place(low, mid))
+
+    return place(0, len(edges))
 
 
 def running_total(df: DataFrame, order: str, tie: str, value: Column, out: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
@@ -39,8 +45,9 @@ def interpolate(queries: DataFrame, knots: DataFrame, x: str, y: str, keys: Sequ
     bucket = bucket_of(have, x, buckets)
     both = queries.withColumn("__q", F.lit(True)).unionByName(have.withColumn("__q", F.lit(False)), allowMissingColumns=True).withColumn("__bucket", bucket)
     knot = F.when(~F.col("__q"), F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")))
-    ends = have.select(*keys, bucket.alias("__bucket"), F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")).alias("k")).groupBy(*keys, "__bucket").agg(F.min("k").alias("__low"), F.max("k").alias("__high"))
-    every = both.select(*keys, "__bucket").distinct().join(ends, [*keys, "__bucket"], "left")
+    ends = have.select(*keys, bucket.alias("__bucket"), F.struct(F.col(x).cast("double").alias("x"), F.col("__y").alias("y")).alias("__k")).groupBy(*keys, "__bucket").agg(F.min("__k").alias("__low"), F.max("__k").alias("__high"))
+    domain = queries.select(*keys).distinct() if keys else queries.sparkSession.range(1).select()
+    every = domain.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets)))).join(ends, [*keys, "__bucket"], "left")
     order = Window.partitionBy(*keys).orderBy("__bucket")
     beside = every.select(*keys, "__bucket", F.max("__high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
     ahead = Window.partitionBy(*keys, "__bucket").orderBy(F.col(x), F.col("__q")).rowsBetween(Window.unboundedPreceding, 0)
