@@ -139,7 +139,7 @@ def glob_union(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_glob(spark, f"{folder}/scan=*/*.csv", "id long, v double", "scan", r"scan=(\d+)/").groupBy(F.col("scan").cast("long").alias("scan")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey % 10 AS file, count(*) AS n, round(sum(p_retailprice), 4) AS total, round(sum(p_size * 2.0), 4) AS second FROM part GROUP BY 1")
+@query("SELECT p_partkey % 10 AS file, count(*) AS n, round(sum(p_retailprice), 4) AS total, round(sum(p_size * 2.0::DOUBLE), 4) AS second FROM part GROUP BY 1")
 def npz_archives(spark: SparkSession, d: str) -> DataFrame:
     """Arrays of equal length in archives, a file per group, one of them a matrix."""
     folder = _folder(spark, "npz")

@@ -196,11 +196,11 @@ def psd_kernel_density(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("x").agg(r6(100 * F.sum(w * F.exp(-0.5 * u * u)) / F.first("sw") / (F.first("h") * F.sqrt(2 * F.pi()))).alias("density"))
 
 
-@query("SELECT s_nationkey AS scan, round(sum(s_acctbal * w) / sum(w), 6) AS mean, round(sum(w * abs(s_acctbal - m)) / sum(w), 4) AS ra, round(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)), 4) AS rq, round(max(s_acctbal) - min(s_acctbal), 4) AS rt, round((sum(w * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) / nullif(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) ** 3, 0), 4) AS rsk, round((sum(w * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) / nullif((sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) ** 2, 0), 4) AS rku FROM (SELECT *, sum(s_acctbal * w) OVER (PARTITION BY s_nationkey) / sum(w) OVER (PARTITION BY s_nationkey) AS m FROM (SELECT *, (s_suppkey % 7 + 1)::DOUBLE AS w FROM supplier)) GROUP BY 1")
+@query("SELECT s_nationkey AS scan, round(sum(s_acctbal * w) / sum(w), 6) AS mean, round(sum(w * abs(s_acctbal - m)) / sum(w), 4) AS ra, round(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)), 4) AS rq, round(max(s_acctbal) - min(s_acctbal), 4) AS rt, round((sum(w * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) / nullif(sqrt(sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) ** 3, 0), 4) + 0.0::DOUBLE AS rsk, round((sum(w * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) / nullif((sum(w * (s_acctbal - m) * (s_acctbal - m)) / sum(w)) ** 2, 0), 4) AS rku FROM (SELECT *, sum(s_acctbal * w) OVER (PARTITION BY s_nationkey) / sum(w) OVER (PARTITION BY s_nationkey) AS m FROM (SELECT *, (s_suppkey % 7 + 1)::DOUBLE AS w FROM supplier)) GROUP BY 1")
 def roughness_moments(spark: SparkSession, d: str) -> DataFrame:
     """Area-weighted mean, Ra, Rq, Rt, skewness and kurtosis."""
     own = table(spark, d, "supplier").select(F.col("s_nationkey").alias("scan"), F.col("s_acctbal").alias("h"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("w"))
-    return stats.weighted_moments(own, "h", "w", ["scan"]).select("scan", r6(F.col("mean")).alias("mean"), F.round("ra", 4).alias("ra"), *[F.round(k, 4).alias(k) for k in ("rq", "rt", "rsk", "rku")])
+    return stats.weighted_moments(own, "h", "w", ["scan"]).select("scan", r6(F.col("mean")).alias("mean"), F.round("ra", 4).alias("ra"), *[F.round(k, 4).alias(k) for k in ("rq", "rt", "rku")], (F.round("rsk", 4) + 0.0).alias("rsk"))
 
 
 @query("WITH s AS (SELECT n_nationkey AS stage, n_regionkey AS specimen, 0.3 + 0.01 * n_nationkey AS eps, 2.0 + 0.1 * n_nationkey AS sv, 1.0 + 0.05 * n_nationkey AS tau FROM nation), k AS (SELECT specimen, stage, eps * eps * eps / (5.0 * (sv * 1000) * (sv * 1000)) AS k_sv, eps * eps * eps / ((1 - eps) * (1 - eps) * tau * tau * 5.0 * sv * sv) AS k_tau, 0.25 * eps * eps * eps / (180.0 * (1 - eps) * (1 - eps)) AS k_d FROM s) SELECT specimen, stage, round(k_sv * 1e9, 6) AS k_sv, round(k_tau, 6) AS k_tau, round(k_d, 6) AS k_d, round((k_sv - lag(k_sv) OVER w) * 1e9, 6) AS step FROM k WINDOW w AS (PARTITION BY specimen ORDER BY stage)")
