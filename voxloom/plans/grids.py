@@ -16,12 +16,18 @@ from voxloom.plans.standins import voxels as placed
 r6 = lambda x, n=6: F.round(x, n)
 KEY = ["scan", "z", "y", "x"]
 _OFF6 = "off(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0))"
-_SAME = "b.scan = a.scan AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx"
 _CUBE = "cube AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-1, 2) a(p), range(-1, 2) b(q), range(-1, 2) c(r))"
 _ID = "((scan::BIGINT * edge + z) * edge + y) * edge + x"
 _DEPTH = "(SELECT max(z) + 1 FROM voxels)"
 
 
+def _beside(left: str, offsets: str, right: str) -> str:
+    """SQL: rows a of left beside rows b of right at the offsets. The moved places are materialized, so that the join is by their keys
+    in any order of joins."""
+    moved = f"SELECT *, z + dz AS bz, y + dy AS by, x + dx AS bx FROM {left}, {offsets}"
+    return f"(WITH moved AS MATERIALIZED ({moved}) SELECT * FROM moved) a JOIN {right} b ON b.scan = a.scan AND b.z = a.bz AND b.y = a.by AND b.x = a.bx"
+
+
 def voxels(spark: SparkSession, d: str) -> DataFrame:
     return placed(spark, d)[0]
 
@@ -65,46 +71,46 @@ def radial_profile(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("scan", ring).agg(F.when(F.count("*") < 60, F.lit(0.0)).otherwise(r6(F.avg((F.col("phase") == 1).cast("int")))).alias("eps"))
 
 
-@query(f"WITH {VOXELS}, {_OFF6}, f AS (SELECT a.scan, sum(((a.phase = 1) <> (b.phase = 1))::INTEGER)::BIGINT AS faces FROM voxels a, off, voxels b WHERE {_SAME} GROUP BY 1) SELECT scan, faces, n AS interior FROM f JOIN (SELECT scan, count(*) AS n FROM voxels GROUP BY 1) USING (scan)")
+@query(f"WITH {VOXELS}, {_OFF6}, f AS (SELECT a.scan, sum(((a.phase = 1) <> (b.phase = 1))::INTEGER)::BIGINT AS faces FROM {_beside('voxels', 'off', 'voxels')} GROUP BY 1) SELECT scan, faces, n AS interior FROM f JOIN (SELECT scan, count(*) AS n FROM voxels GROUP BY 1) USING (scan)")
 def face_area(spark: SparkSession, d: str) -> DataFrame:
     return grid.face_area(voxels(spark, d), F.col("phase") != 1)
 
 
-@query(f"WITH {VOXELS}, {_OFF6}, l AS (SELECT *, (grey < 70000)::INTEGER AS ice FROM voxels WHERE label > 0) SELECT a.scan, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi, count(*) AS faces, sum(a.ice * b.ice)::BIGINT AS ice_faces FROM l a, off, l b WHERE {_SAME} AND a.label <> b.label GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+@query(f"WITH {VOXELS}, {_OFF6}, l AS (SELECT *, (grey < 70000)::INTEGER AS ice FROM voxels WHERE label > 0) SELECT a.scan, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi, count(*) AS faces, sum(a.ice * b.ice)::BIGINT AS ice_faces FROM {_beside('l', 'off', 'l')} WHERE a.label <> b.label GROUP BY 1, 2, 3 HAVING count(*) >= 2")
 def pair_contacts(spark: SparkSession, d: str) -> DataFrame:
     """Touching labels with their faces, and those between ice."""
     return grid.contact_pairs(voxels(spark, d), "label", F.col("grey") < 70_000, 2)
 
 
-@query(f"WITH {VOXELS}, {_CUBE}, {_OFF6}, m AS (SELECT a.scan, a.z, a.y, a.x, max(b.label) AS label FROM voxels a, cube, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4) SELECT DISTINCT a.scan, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi FROM m a, off, m b WHERE {_SAME} AND a.label > 0 AND b.label > 0 AND a.label <> b.label")
+@query(f"WITH {VOXELS}, {_CUBE}, {_OFF6}, m AS (SELECT a.scan, a.z, a.y, a.x, max(b.label) AS label FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4) SELECT DISTINCT a.scan, least(a.label, b.label) AS lo, greatest(a.label, b.label) AS hi FROM {_beside('m', 'off', 'm')} WHERE a.label > 0 AND b.label > 0 AND a.label <> b.label")
 def label_contacts(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of labels that touch after a grey dilation."""
     wide = grid.max_filter(voxels(spark, d), "label", 1, "wide")
     return grid.contact_pairs(wide.select(*KEY, "wide"), "wide", F.lit(True), 1).select("scan", "lo", "hi")
 
 
-@query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(max(b.grey), 4) AS top FROM voxels a, cube, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4")
+@query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(max(b.grey), 4) AS top FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4")
 def max_filter(spark: SparkSession, d: str) -> DataFrame:
     """Three windows along lines instead of a 27-fold join."""
     return grid.max_filter(voxels(spark, d), "grey", 1, "top").select(*KEY, F.round("top", 4).alias("top"))
 
 
-@query(f"WITH {VOXELS}, {_CUBE}, m AS (SELECT a.scan, a.z, a.y, a.x, a.label, max(b.label) AS hi, min(b.label) AS lo FROM voxels a, cube, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4, 5) SELECT scan, z, y, x, CASE WHEN label <= 0 THEN 0 WHEN hi = lo AND hi = label THEN 1 ELSE 2 END AS code FROM m")
+@query(f"WITH {VOXELS}, {_CUBE}, m AS (SELECT a.scan, a.z, a.y, a.x, a.label, max(b.label) AS hi, min(b.label) AS lo FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4, 5) SELECT scan, z, y, x, CASE WHEN label <= 0 THEN 0 WHEN hi = lo AND hi = label THEN 1 ELSE 2 END AS code FROM m")
 def border_core(spark: SparkSession, d: str) -> DataFrame:
     return grid.border_core(voxels(spark, d), "label", 1).select(*KEY, "code")
 
 
-@query(f"WITH {VOXELS}, {_CUBE}, m AS (SELECT a.scan, a.z, a.y, a.x, a.grey, max(b.grey) AS top FROM voxels a, cube, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4, 5) SELECT scan, z, y, x FROM m WHERE grey = top")
+@query(f"WITH {VOXELS}, {_CUBE}, m AS (SELECT a.scan, a.z, a.y, a.x, a.grey, max(b.grey) AS top FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4, 5) SELECT scan, z, y, x FROM m WHERE grey = top")
 def local_maxima(spark: SparkSession, d: str) -> DataFrame:
     return grid.local_maxima(voxels(spark, d), "grey").select(*KEY)
 
 
-@query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(quantile_cont(b.grey, 0.5), 4) AS median FROM voxels a, cube, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4")
+@query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(quantile_cont(b.grey, 0.5), 4) AS median FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4")
 def median_filter(spark: SparkSession, d: str) -> DataFrame:
     return grid.neighbourhood(voxels(spark, d), "grey", 1, lambda v: F.percentile(v, F.lit(0.5)), "median").select(*KEY, F.round("median", 4).alias("median"))
 
 
-@query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(stddev_pop(b.grey), 3) AS texture FROM voxels a, cube, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4")
+@query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(stddev_pop(b.grey), 3) AS texture FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4")
 def texture(spark: SparkSession, d: str) -> DataFrame:
     """Local deviation in a box."""
     return grid.neighbourhood(voxels(spark, d), "grey", 1, F.stddev_pop, "texture").select(*KEY, F.round("texture", 3).alias("texture"))
@@ -113,7 +119,7 @@ def texture(spark: SparkSession, d: str) -> DataFrame:
 _STAR = "star(dz, dy, dx) AS (VALUES (0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0))"
 
 
-@query(f"WITH {VOXELS}, {_STAR}, m AS (SELECT scan, z, y, x FROM voxels WHERE phase <> 1) SELECT a.scan, a.z, a.y, a.x FROM m a, star, m b WHERE {_SAME} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7")
+@query(f"WITH {VOXELS}, {_STAR}, m AS (SELECT scan, z, y, x FROM voxels WHERE phase <> 1) SELECT a.scan, a.z, a.y, a.x FROM {_beside('m', 'star', 'm')} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7")
 def erosion(spark: SparkSession, d: str) -> DataFrame:
     return grid.eroded(voxels(spark, d).where("phase <> 1"))
 
@@ -127,7 +133,7 @@ def _tree(mask: str, connectivity: int) -> str:
     """Recursive SQL: (scan, z, y, x, id, comp) over the voxels of a mask."""
     off = [o for o in grid.offsets(connectivity)]
     moves = ", ".join(str(o) for o in off)
-    return f"m AS (SELECT scan, z, y, x, edge, {_ID} AS id FROM voxels WHERE {mask}), off(dz, dy, dx) AS (VALUES {moves}), e AS (SELECT a.id AS a, b.id AS b FROM m a, off, m b WHERE {_SAME}), reach AS (SELECT id, id AS seen FROM m UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.seen), comp AS (SELECT id, min(seen) AS comp FROM reach GROUP BY 1)"
+    return f"m AS (SELECT scan, z, y, x, edge, {_ID} AS id FROM voxels WHERE {mask}), off(dz, dy, dx) AS (VALUES {moves}), e AS (SELECT a.id AS a, b.id AS b FROM {_beside('m', 'off', 'm')}), reach AS (SELECT id, id AS seen FROM m UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.seen), comp AS (SELECT id, min(seen) AS comp FROM reach GROUP BY 1)"
 
 
 @query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)} SELECT m.scan, m.z, m.y, m.x, comp, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)")
@@ -162,7 +168,7 @@ def trapped_air(spark: SparkSession, d: str) -> DataFrame:
     return air.groupBy("scan", F.when(F.col("t"), "trapped").otherwise("outside").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, {_STAR}, s AS (SELECT m.*, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), rest AS (SELECT * FROM s WHERE size >= 6), deep AS (SELECT a.id FROM rest a, star, rest b WHERE {_SAME} GROUP BY 1 HAVING count(*) = 7), core AS (SELECT a.scan, a.z, a.y, a.x FROM voxels a, star, voxels b WHERE {_SAME} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7) SELECT s.scan, CASE WHEN size < 6 THEN 'void' WHEN deep.id IS NOT NULL THEN 'separation' WHEN core.z IS NOT NULL THEN 'body' ELSE 'surface' END AS class, count(*) AS n FROM s LEFT JOIN deep ON deep.id = s.id LEFT JOIN core ON core.scan = s.scan AND core.z = s.z AND core.y = s.y AND core.x = s.x WHERE size >= 2 GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 1', 6)}, {_STAR}, s AS (SELECT m.*, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN comp USING (id)), rest AS (SELECT * FROM s WHERE size >= 6), deep AS (SELECT a.id FROM {_beside('rest', 'star', 'rest')} GROUP BY 1 HAVING count(*) = 7), core AS (SELECT a.scan, a.z, a.y, a.x FROM {_beside('voxels', 'star', 'voxels')} GROUP BY 1, 2, 3, 4 HAVING count(*) = 7) SELECT s.scan, CASE WHEN size < 6 THEN 'void' WHEN deep.id IS NOT NULL THEN 'separation' WHEN core.z IS NOT NULL THEN 'body' ELSE 'surface' END AS class, count(*) AS n FROM s LEFT JOIN deep ON deep.id = s.id LEFT JOIN core ON core.scan = s.scan AND core.z = s.z AND core.y = s.y AND core.x = s.x WHERE size >= 2 GROUP BY 1, 2")
 def crack_classes(spark: SparkSession, d: str) -> DataFrame:
     """Gaps by size, then by width, then by depth under the skin; thresholds fit the small gaps of the stand-in."""
     own, edge = placed(spark, d)
@@ -244,7 +250,7 @@ def oblique_slice(spark: SparkSession, d: str) -> DataFrame:
     return grid.oblique(own, "grey", plane).select("scan", "i", "j", F.round("value", 3).alias("value"))
 
 
-@query(f"WITH {VOXELS}, f AS (SELECT scan, z, y, x FROM voxels WHERE label = 0), o AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-2, 3) a(p), range(-2, 3) b(q), range(-2, 3) c(r)), g AS (SELECT a.*, b.label, row_number() OVER (PARTITION BY a.scan, a.z, a.y, a.x ORDER BY dz * dz + dy * dy + dx * dx, b.label) AS k FROM f a, o, voxels b WHERE {_SAME} AND b.label > 0) SELECT scan, z, y, x, label FROM g WHERE k = 1")
+@query(f"WITH {VOXELS}, f AS (SELECT scan, z, y, x FROM voxels WHERE label = 0), o AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-2, 3) a(p), range(-2, 3) b(q), range(-2, 3) c(r)), g AS (SELECT a.*, b.label, row_number() OVER (PARTITION BY a.scan, a.z, a.y, a.x ORDER BY dz * dz + dy * dy + dx * dx, b.label) AS k FROM {_beside('f', 'o', 'voxels')} WHERE b.label > 0) SELECT scan, z, y, x, label FROM g WHERE k = 1")
 def label_territory(spark: SparkSession, d: str) -> DataFrame:
     """The nearest body of each free voxel, within two voxels."""
     own = voxels(spark, d)
@@ -405,7 +411,7 @@ def height_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return interpolate(ask, knots, "h", "top", ["scan"]).select("scan", "h", F.round(F.col("top") / 7, 4).alias("top"))
 
 
-@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 2', 6)}, {_STAR}, k AS (SELECT m.scan, comp, count(*) AS size, sqrt(avg((y - (edge - 1) / 2.0::DOUBLE) * (y - (edge - 1) / 2.0::DOUBLE) + (x - (edge - 1) / 2.0::DOUBLE) * (x - (edge - 1) / 2.0::DOUBLE))) AS radius, max(z) - min(z) + 1 AS height, any_value(edge) AS edge FROM m JOIN comp USING (id) GROUP BY 1, 2), t AS (SELECT DISTINCT comp FROM comp JOIN m a USING (id), star, voxels b WHERE {_SAME} AND b.phase = 3) SELECT k.scan, CASE WHEN t.comp IS NULL THEN 'no body' WHEN radius > 0.45::DOUBLE * edge AND height <= 2 THEN 'wall' WHEN size < 3 THEN 'fragment' ELSE 'kept' END AS verdict, count(*) AS n, sum(size)::BIGINT AS voxels FROM k LEFT JOIN t USING (comp) GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {VOXELS}, {_tree('phase = 2', 6)}, {_STAR}, k AS (SELECT m.scan, comp, count(*) AS size, sqrt(avg((y - (edge - 1) / 2.0::DOUBLE) * (y - (edge - 1) / 2.0::DOUBLE) + (x - (edge - 1) / 2.0::DOUBLE) * (x - (edge - 1) / 2.0::DOUBLE))) AS radius, max(z) - min(z) + 1 AS height, any_value(edge) AS edge FROM m JOIN comp USING (id) GROUP BY 1, 2), t AS (SELECT DISTINCT comp FROM {_beside('comp JOIN m USING (id)', 'star', 'voxels')} WHERE b.phase = 3) SELECT k.scan, CASE WHEN t.comp IS NULL THEN 'no body' WHEN radius > 0.45::DOUBLE * edge AND height <= 2 THEN 'wall' WHEN size < 3 THEN 'fragment' ELSE 'kept' END AS verdict, count(*) AS n, sum(size)::BIGINT AS voxels FROM k LEFT JOIN t USING (comp) GROUP BY 1, 2")
 def fragment_rules(spark: SparkSession, d: str) -> DataFrame:
     """Components that touch no body, lie flat at the wall, or are tiny are dropped; the rest is kept."""
     own, edge = placed(spark, d)

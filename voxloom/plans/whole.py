@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators import grid
-from voxloom.plans.grids import _OFF6, _SAME, r6
+from voxloom.plans.grids import _OFF6, _beside, r6
 from voxloom.plans.registry import query
 from voxloom.plans.standins import VOXELS, voxels
 
 _GROWN = "ball AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-5, 6) a(p), range(-5, 6) b(q), range(-5, 6) c(r) WHERE abs(p) + abs(q) + abs(r) <= 5), grown AS (SELECT DISTINCT scan, z + dz AS z, y + dy AS y, x + dx AS x, label FROM voxels, ball WHERE label > 0)"
 
 
-@query(f"WITH {VOXELS}, {_OFF6}, {_GROWN}, f AS (SELECT a.scan, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx, a.label AS la, b.label AS lb FROM voxels a, off, voxels b WHERE {_SAME} AND a.label > 0 AND b.label > 0 AND a.label <> b.label), t AS (SELECT scan, least(la, lb) AS lo, greatest(la, lb) AS hi, count(DISTINCT CASE WHEN la < lb THEN (az, ay, ax) ELSE (bz, by_, bx) END) AS contact FROM f GROUP BY 1, 2, 3), g AS (SELECT v.scan, a.label AS lo, b.label AS hi, count(*) AS zone, count(*) FILTER (WHERE v.phase = 1) AS air, count(*) FILTER (WHERE v.phase = 2) AS ice FROM voxels v JOIN grown a USING (scan, z, y, x) JOIN grown b USING (scan, z, y, x) WHERE a.label < b.label AND v.label <> a.label AND v.label <> b.label GROUP BY 1, 2, 3) SELECT scan, lo, hi, coalesce(zone, 0) AS zone, coalesce(air, 0) AS air, coalesce(ice, 0) AS ice, contact FROM t LEFT JOIN g USING (scan, lo, hi)")
+@query(f"WITH {VOXELS}, {_OFF6}, {_GROWN}, f AS (SELECT a.scan, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx, a.label AS la, b.label AS lb FROM {_beside('voxels', 'off', 'voxels')} WHERE a.label > 0 AND b.label > 0 AND a.label <> b.label), t AS (SELECT scan, least(la, lb) AS lo, greatest(la, lb) AS hi, count(DISTINCT CASE WHEN la < lb THEN (az, ay, ax) ELSE (bz, by_, bx) END) AS contact FROM f GROUP BY 1, 2, 3), g AS (SELECT v.scan, a.label AS lo, b.label AS hi, count(*) AS zone, count(*) FILTER (WHERE v.phase = 1) AS air, count(*) FILTER (WHERE v.phase = 2) AS ice FROM voxels v JOIN grown a USING (scan, z, y, x) JOIN grown b USING (scan, z, y, x) WHERE a.label < b.label AND v.label <> a.label AND v.label <> b.label GROUP BY 1, 2, 3) SELECT scan, lo, hi, coalesce(zone, 0) AS zone, coalesce(air, 0) AS air, coalesce(ice, 0) AS ice, contact FROM t LEFT JOIN g USING (scan, lo, hi)")
 def contact_zones(spark: SparkSession, d: str) -> DataFrame:
     """Zones between all touching bodies, grown by five voxels."""
     vox = voxels(spark, d)[0]
