@@ -293,7 +293,11 @@ def distance_map(spark: SparkSession, d: str) -> DataFrame:
     return bricks.distance_transform(voxels(spark, d).withColumn("m", F.col("phase") != 1), "m").select(*KEY, r6(F.col("d")).alias("d"))
 
 
-@query()
+_SHUT = f"ext AS (SELECT scan, z, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM voxels GROUP BY 1, 2), disc AS (SELECT 0 AS dz, p AS dy, q AS dx FROM range(-2, 3) a(p), range(-2, 3) b(q) WHERE p * p + q * q <= 4), four(dz, dy, dx) AS (VALUES (0, -1, 0), (0, 0, -1), (0, 0, 1), (0, 1, 0)), grown AS MATERIALIZED (SELECT DISTINCT scan, z, y + dy AS y, x + dx AS x FROM voxels, disc WHERE phase = 3), shut AS MATERIALIZED (SELECT a.scan, a.z, a.y, a.x FROM {_beside('grown', 'disc', 'grown')} GROUP BY 1, 2, 3, 4 HAVING count(*) = (SELECT count(*) FROM disc))"
+_FLOOD = f"wide AS (SELECT scan, z, y, unnest(range(x0 - 1, x1 + 2)) AS x FROM (SELECT *, unnest(range(y0 - 1, y1 + 2)) AS y FROM ext)), free AS MATERIALIZED (SELECT scan, z, y, x FROM wide ANTI JOIN shut USING (scan, z, y, x)), e AS MATERIALIZED (SELECT a.scan, a.z, a.y, a.x, b.y AS v, b.x AS u FROM {_beside('free', 'four', 'free')}), outer_ AS (SELECT scan, z, y0 - 1 AS y, x0 - 1 AS x FROM ext UNION SELECT e.scan, e.z, v, u FROM outer_ JOIN e USING (scan, z, y, x)), solid AS MATERIALIZED (SELECT scan, z, y, x FROM wide ANTI JOIN outer_ USING (scan, z, y, x))"
+
+
+@query(f"WITH RECURSIVE {VOXELS}, {_SHUT}, {_FLOOD}, skin AS (SELECT DISTINCT scan, z, y + dy AS y, x + dx AS x FROM solid, (SELECT * FROM four UNION ALL SELECT 0, 0, 0)) SELECT scan, z::INTEGER AS z, y::INTEGER AS y, x::INTEGER AS x FROM skin JOIN ext USING (scan, z) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")
 def closed_envelope(spark: SparkSession, d: str) -> DataFrame:
     """Per-slice closing by distance of the solid."""
     return bricks.envelope(voxels(spark, d).withColumn("m", F.col("phase") == 3), "m", 2.0, 1.0)

@@ -73,7 +73,12 @@ def local_peaks(spark: SparkSession, d: str) -> DataFrame:
     return s.peaks(series(spark, d), "pos", "value", ["key"], 30).select("key", "pos", r6(F.col("value")).alias("value"))
 
 
-@query()
+#: A plateau counts at its middle; peaks are taken from the highest down if none that was taken is near.
+_FOUND = "h AS (SELECT b::INTEGER AS bin, count(v.bin) AS n FROM range(128) r(b) LEFT JOIN (SELECT least(floor((l_extendedprice - 900) / ((105000.0::DOUBLE - 900) / 128)), 127)::INTEGER AS bin FROM lineitem WHERE l_extendedprice BETWEEN 900 AND 105000) v ON v.bin = b GROUP BY 1), run AS (SELECT min(bin) AS b0, max(bin) AS b1, any_value(n) AS n FROM (SELECT *, sum(fresh) OVER (ORDER BY bin) AS run FROM (SELECT *, (n IS DISTINCT FROM lag(n) OVER (ORDER BY bin))::INTEGER AS fresh FROM h)) GROUP BY run), ranked AS (SELECT (b0 + b1) // 2 AS p, n, row_number() OVER (ORDER BY n DESC, b0 + b1 DESC) AS k FROM (SELECT *, lag(n) OVER (ORDER BY b0) AS before, lead(n) OVER (ORDER BY b0) AS after FROM run) WHERE n > before AND n > after AND n >= 10), pick AS (SELECT 0::BIGINT AS k, []::INTEGER[] AS kept UNION ALL SELECT r.k, CASE WHEN list_min(list_transform(kept, lambda o: abs(o - r.p))) < 4 THEN kept ELSE list_append(kept, r.p) END FROM pick JOIN ranked r ON r.k = pick.k + 1), taken AS (SELECT unnest(kept) AS p FROM (SELECT kept FROM pick ORDER BY k DESC LIMIT 1))"
+_BOUND = "bound AS (SELECT p, a.n, max(h.bin) FILTER (WHERE h.bin < p AND h.n > a.n) AS l, min(h.bin) FILTER (WHERE h.bin > p AND h.n > a.n) AS r FROM ranked a JOIN taken USING (p), h GROUP BY 1, 2), base AS (SELECT p, bound.n, greatest(min(h.n) FILTER (WHERE bin <= p), min(h.n) FILTER (WHERE bin >= p)) AS base FROM bound, h WHERE bin > coalesce(l, -1) AND bin < coalesce(r, 128) GROUP BY 1, 2)"
+
+
+@query(f"WITH RECURSIVE {_FOUND}, {_BOUND} SELECT 0 AS scan, p::INTEGER AS bin, n::DOUBLE AS n, (n - base)::DOUBLE AS prominence FROM base WHERE n - base >= 5")
 def prominent_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Peaks of a grey histogram, thinned by distance and prominence."""
     h = stats.histogram(table(spark, d, "lineitem"), F.col("l_extendedprice"), 900.0, 105_000.0, 128, []).withColumn("scan", F.lit(0))

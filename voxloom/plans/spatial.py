@@ -138,7 +138,16 @@ def knn_gradient_strain(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", "n", F.round(e[0], 5).alias("ezz"), F.round(g.volumetric(e), 5).alias("vol"), F.round(g.equivalent_strain(e), 5).alias("eq"))
 
 
-@query()
+def _polar() -> str:
+    """Recursive SQL: (id, k, r0 .. r8), the iteration R <- (R + R^-T) / 2 from I + H, whose limit is the polar decomposition's rotation."""
+    cof = [f"(r{(i + 1) % 3 * 3 + (j + 1) % 3} * r{(i + 2) % 3 * 3 + (j + 2) % 3} - r{(i + 1) % 3 * 3 + (j + 2) % 3} * r{(i + 2) % 3 * 3 + (j + 1) % 3})" for i in range(3) for j in range(3)]
+    det = " + ".join(f"r{j} * {cof[j]}" for j in range(3))
+    first = ", ".join(f"h{k} + {int(k % 4 == 0)} AS r{k}" for k in range(9))
+    step = ", ".join(f"(r{k} + {cof[k]} / dr) / 2 AS r{k}" for k in range(9))
+    return f"polar AS (SELECT id, 0 AS k, {first} FROM h UNION ALL SELECT id, k + 1, {step} FROM (SELECT *, {det} AS dr FROM polar WHERE k < 16)), stretch AS (SELECT id, {det} AS dr FROM polar WHERE k = 0)"
+
+
+@query(f"WITH RECURSIVE {GRAINS}, {_KNN}, {_LOCAL}, {_E}, {_polar()} SELECT id, round(degrees(acos(least(greatest((r0 + r4 + r8 - 1) / 2, -1), 1))), 4) AS angle, round(dr - 1, 5) AS vol FROM polar JOIN stretch USING (id) WHERE k = 16")
 def rotation_angles(spark: SparkSession, d: str) -> DataFrame:
     """Rotation of the polar decomposition and volume change, in Arrow batches."""
     return field.rotations(local_strain(spark, d)).select("id", F.round("angle", 4).alias("angle"), F.round("vol", 5).alias("vol"))
