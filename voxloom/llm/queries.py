@@ -1,10 +1,9 @@
-"""The queries op1 to op10 over the synthetic tables, and DuckDB SQL for those that SQL can express."""
+"""The queries op1 to op13 over the synthetic tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,10 @@ from . import chat
 from .classifier import score_documents
 from .mixing import mix_oracle, plan_mix
 from .ngram_join import ngram_jaccard_components, ngram_oracle
+from .filters import audit_filters, audit_oracle, text_failures
 from .packing import byte_bpe_encoder, pack_documents
+from .pieces import decode_ids, encode_texts
+from .repair import audit_conversations, damage, repair_oracle
 from .rules import quality_verdicts
 from .secrets import describe, find_secrets
 from .sharding import assign_shards
@@ -83,7 +85,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), describe(F.col("spans")).alias("spans"))
 
 
-def public_byte_bpe(path: Callable[[str], str] = public_tokenizers.path):
+def public_path(name: str) -> str:
+    """The place of a public vocabulary file. The package that knows it is imported only where a file is wanted."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def public_byte_bpe(path: Callable[[str], str] = public_path):
     """The 50k byte-level tokenizer of the public vocabulary files; ``path`` gives a file's place by its name."""
     return byte_bpe_encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), BYTE_BPE_PATTERN)
 
@@ -92,6 +101,27 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_byte_bpe(), capacity=1024, end_id=2)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, path: Callable[[str], str] = public_path) -> DataFrame:
+    model = path("piece_bpe_32k.model")
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), model, spans=False, pack=True)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return decode_ids(encoded, model).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), sha(F.col("ids")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), "span_bytes")
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = audit_conversations(damage(turns)).select(F.struct("*").alias("found"))
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("found.conv_id")), "left")
+    counts = [F.coalesce(F.col(f"found.{c}"), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("found.audit", F.lit("")).alias("audit"), F.coalesce("found.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures = text_failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return audit_filters(failures, "ABCDE", marks=("good", "toxic")).select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", F.col("good").alias("good_lost"), F.col("toxic").alias("toxic_lost"), "shapley")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_mix_sources": op2_mix_sources,
@@ -103,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_format_chats": op8_format_chats,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_repair_conversations": op12_repair_conversations,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,4 +144,6 @@ ORACLES: dict[str, str] = {
     "op3_warc": warc_oracle(),
     "op6_exact_top_k": top_k_oracle(),
     "op8_format_chats": chat.chat_oracle(),
+    "op12_repair_conversations": repair_oracle(),
+    "op13_filter_audit": audit_oracle(),
 }
