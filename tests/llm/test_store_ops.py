@@ -17,6 +17,7 @@ from tests.llm.common import rows, table
 from voxloom.llm import chat
 from voxloom.llm import queries as q
 from voxloom.llm.packing import cut, pack_documents, plan_packing
+from voxloom.llm import topk
 from voxloom.llm.topk import Best, SortedLists, exact_top_k, search_group
 from voxloom.llm.warc import base32_sha1, decode_record, encode_record, nested, read_archives, records_in_range, warc_round_trip, write_archives
 
@@ -115,17 +116,72 @@ def test_top_k_edges(spark):
     assert exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def counted(rows, queries, block_rows=8192):
+    """Rows of lists read, objects scored, and how many there are; results are held against all products."""
+    ids, read, scored = np.arange(len(rows)), 0, 0
+    blocks = [SortedLists(ids[at : at + block_rows], rows[at : at + block_rows]) for at in range(0, len(rows), block_rows)]
+    best = Best(len(queries), 5, rows.dtype)
+    for q, query in enumerate(queries):
+        for block in blocks:
+            r, s = block.search(query, -1, best, q)
+            read, scored = read + r, scored + s
+        assert best.ids[q].tolist() == np.lexsort((ids, -(rows @ query)))[:5].tolist()
+    return read, scored, len(rows) * len(queries)
+
+
 def test_threshold_stops_early():
     draw = np.random.default_rng(0)
     rows = np.floor(256 * draw.normal(size=(4000, 3)))
-    block, ids = SortedLists(np.arange(4000), rows), np.arange(4000)
-    for query in rows[:20]:
-        best = Best(1, 5, rows.dtype)
-        seen = block.search(query[None], np.array([-1]), best)
-        assert best.ids[0].tolist() == np.lexsort((ids, -(rows @ query)))[:5].tolist() and seen < 4000
-        #: A block that can't beat the kth score isn't read.
-        far = SortedLists(ids + 4000, rows - 1e4 * np.sign(query))
-        assert far.search(query[None], np.array([-1]), best) == 0
+    read, scored, every = counted(rows, rows[:20])
+    assert 0 < read and scored < every
+    #: A block that can't beat the kth score isn't read.
+    best, query = Best(1, 5, rows.dtype), rows[0]
+    assert SortedLists(np.arange(4000), rows).search(query, -1, best, 0) > (0, 0)
+    far = SortedLists(np.arange(4000) + 4000, rows - 1e4 * np.sign(query))
+    assert far.search(query, -1, best, 0) == (0, 0)
+
+
+def test_lists_in_many_dimensions():
+    """64 dimensions: in clusters along few of them the bound stops most of the work; without clusters all is seen, but lists aren't read out."""
+    draw = np.random.default_rng(1)
+    centres = np.zeros((64, 64))
+    for c in centres:
+        c[draw.choice(64, 3, replace=False)] = 1
+    tight = np.floor(256 * centres[draw.integers(0, 64, 9000)] * (1 + 0.05 * draw.normal(size=(9000, 64))))
+    read, scored, every = counted(tight, tight[:30], 3000)
+    assert scored < 0.1 * every and read < 0.02 * every * 64
+    even = np.floor(256 * draw.normal(size=(3000, 64)))
+    read, scored, every = counted(even, even[:10])
+    assert scored <= every and read < 0.5 * every * 64
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_lists_are_read(spark, sf):
+    data = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").select("embedding").collect()
+    rows = np.floor(256 * np.array([r[0] for r in data], float))
+    read, scored, every = counted(rows, rows[::50])
+    assert read >= len(rows[::50]) * 64 * 16 and scored <= every
+
+
+def test_first_groups_bound_the_others(spark, sf_dir, monkeypatch):
+    """Many groups: some are searched first, and the others pass on no more than what reaches the kth score of those."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = df.where("vec_id % 50 = 0")
+    want = sorted(map(tuple, exact_top_k(df, asked).collect()))
+    monkeypatch.setattr(topk, "FEW_GROUPS", 2)
+    assert sorted(map(tuple, exact_top_k(df, asked, group_rows=20).collect())) == want
+    monkeypatch.setattr(topk, "GROUP_BYTES", 8 * 64 * 30)
+    assert sorted(map(tuple, exact_top_k(df, asked).collect())) == want
+
+
+def test_scores_beyond_64_bits(spark):
+    data = [(0, [1e300, 1.0]), (3, [2e17, 1.0]), (50, [1.0, 2.0]), (51, [3.0, -2e16])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        exact_top_k(df, df.where("vec_id = 0")).collect()
+    small = df.where("vec_id > 0")
+    got = [tuple(r) for r in exact_top_k(small, small.where("vec_id = 50"), scale=1).collect()]
+    assert got == [(50, 1, 3, 2 * 10**17 + 2), (50, 2, 51, 3 - 4 * 10**16)]
 
 
 @settings(max_examples=40, deadline=None)
@@ -135,7 +191,7 @@ def test_search_group(seed, dims, n, width):
     draw = np.random.default_rng(seed)
     rows = np.floor(draw.normal(size=(n, dims)) * width)
     table = pa.table({"vec_id": pa.array(draw.permutation(n)), "embedding": pa.array(list(rows), pa.list_(pa.float64()))})
-    queries = table.slice(0, 9)
+    queries = table.slice(0, 9).append_column("kth", pa.nulls(min(9, n), pa.int64()))
     got = pa.Table.from_batches(list(search_group(table, iter([queries.slice(0, 4), queries.slice(4)]), 3, 1, 200))).to_pydict()
     ids, whole = table["vec_id"].to_numpy(), rows.astype(np.int64)
     want = []
@@ -160,6 +216,16 @@ def test_chat(spark, sf_dir):
         assert (got[i]["loss_chars"], got[i]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_nothing_but_text_is_learned(spark):
+    """Media between the texts of an assistant: the mask holds the texts alone."""
+    part = "array<struct<type: string, text: string, ref: string, units: bigint>>"
+    said = [("text", "a<", None, 0), ("image", None, "i.png", 1), ("text", "b", None, 0), (None, "c", None, 0), ("audio", None, "x", 1)]
+    turns = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "assistant", said[1:2])], f"conv_id long, turn long, role string, parts {part}")
+    out = chat.format_chats(turns).select("*", chat.loss_text(chat.F.col("formatted"), chat.F.col("loss_spans")).alias("loss")).first()
+    assert [out["formatted"][s["start"] : s["start"] + s["length"]] for s in out["loss_spans"]] == ["a&lt;", "b", "c"]
+    assert out["loss"] == "a<bc" and out["loss_spans"][0]["start"] > out["formatted"].index("assistant")
+
+
 def test_chat_parts(spark):
     part = "array<struct<type: string, text: string, ref: string, units: bigint>>"
     data = [
@@ -174,7 +240,7 @@ def test_chat_parts(spark):
     assert [(a["index"], a["type"], a["ref"], a["tokens"]) for a in one["attachments"]] == [(0, "image", "i.png", 1024), (1, "audio", "a.wav", 25), (2, "document", "d.pdf", 1536)]
     assert one["placeholder_tokens"] == 2585
     (s,) = one["loss_spans"]
-    assert one["formatted"][s["start"] : s["start"] + s["length"]] == "see &lt;|image|> &amp; &amp;lt; 😀<|part:document|>"
+    assert one["formatted"][s["start"] : s["start"] + s["length"]] == "see &lt;|image|> &amp; &amp;lt; 😀"
     assert out[2]["formatted"] == "<|turn|><|body|><|end|><|turn|>assistant<|body|><|end|>" and out[None]["formatted"].startswith("<|turn|>a&lt;b")
     read = chat.format_chats(turns).select(chat.read_turns(chat.F.col("formatted")).alias("t"), "conv_id").where("conv_id is null").first()
     assert [tuple(t) for t in read["t"]] == [("a<b", "", [])]

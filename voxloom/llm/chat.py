@@ -35,8 +35,12 @@ def text_part(text: Column) -> Column:
     return F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("units"))
 
 
+def _kind(part: Column) -> Column:
+    return F.coalesce(part["type"], F.lit("text"))
+
+
 def _visit(part: Column) -> Column:
-    kind = F.coalesce(part["type"], F.lit("text"))
+    kind = _kind(part)
     placeholder = F.concat(F.lit(PART), F.replace(escape(kind), F.lit("|"), F.lit("&bar;")), F.lit(PART_END))
     return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder)
 
@@ -46,8 +50,8 @@ def format_chats(turns: DataFrame, unit_tokens: Mapping[str, int] | None = None)
 
     ``turns`` has conv_id, turn, role and parts, an array of structs (type, text, ref, units). Turns are put in the
     order of turn, then role, then parts, so ties and repeats have one order. Null roles and texts count as empty, a
-    null array of parts as none, a null type as text. loss_spans are (start, length) in code points of what assistant
-    turns say in ``formatted``; attachments are (index, type, ref, tokens) in order of their placeholders. A null
+    null array of parts as none, a null type as text. loss_spans are (start, length) in code points of each text part of an assistant
+    turn in ``formatted``: placeholders lie between spans, never within; attachments are (index, type, ref, tokens) in order of their placeholders. A null
     conv_id is one conversation. An empty table gives an empty result; other columns are ignored.
     A conversation is one value of its text columns, so a task has to hold its longest one.
     """
@@ -60,17 +64,19 @@ def format_chats(turns: DataFrame, unit_tokens: Mapping[str, int] | None = None)
     visited = whole.select(
         "conv_id",
         "ts",
-        F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("head"), F.array_join(F.transform(t["parts"], _visit), "").alias("body"))).alias("vs"),
+        F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("head"), F.transform(t["parts"], lambda p: F.struct((_kind(p) == "text").alias("said"), _visit(p).alias("body"))).alias("parts"))).alias("vs"),
     )
-    sized = visited.select("conv_id", "ts", "vs", F.transform("vs", lambda v: F.struct((v["role"] == "assistant").alias("loss"), F.length(v["head"]).alias("head"), F.length(v["body"]).alias("body"))).alias("ls"))
-    turn_chars = F.transform("ls", lambda x: (x["head"] + x["body"] + len(END)).cast("long"))
-    placed = let(prefix_sums(turn_chars), lambda before: F.transform("ls", lambda x, i: F.struct(x["loss"].alias("loss"), (F.get(before, i) + x["head"]).cast("long").alias("start"), x["body"].cast("long").alias("length"))))
+    #: What follows one another in a turn: its head, its parts, its end.
+    run = lambda length, loss: F.struct(length.cast("long").alias("length"), loss.alias("loss"))
+    of_turn = lambda v: F.concat(F.array(run(F.length(v["head"]), F.lit(False))), F.transform(v["parts"], lambda p: run(F.length(p["body"]), p["said"] & (v["role"] == "assistant"))), F.array(run(F.lit(len(END)), F.lit(False))))
+    sized = visited.select("conv_id", "ts", "vs", F.flatten(F.transform("vs", of_turn)).alias("ls"))
+    placed = let(prefix_sums(F.transform("ls", lambda x: x["length"])), lambda before: F.transform("ls", lambda x, i: F.struct(x["loss"].alias("loss"), F.get(before, i).alias("start"), x["length"].alias("length"))))
     spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
-    media = F.filter(F.flatten(F.transform("ts", lambda t: t["parts"])), lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
+    media = F.filter(F.flatten(F.transform("ts", lambda t: t["parts"])), lambda p: _kind(p) != "text")
     attachments = F.transform(media, lambda p, i: F.struct(i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), (F.coalesce(tokens[p["type"]], F.lit(1)) * F.coalesce(p["units"], F.lit(1))).cast("long").alias("tokens")))
     out = sized.select(
         "conv_id",
-        F.array_join(F.transform("vs", lambda v: F.concat(v["head"], v["body"], F.lit(END))), "").alias("formatted"),
+        F.array_join(F.transform("vs", lambda v: F.concat(v["head"], F.array_join(F.transform(v["parts"], lambda p: p["body"]), ""), F.lit(END))), "").alias("formatted"),
         spans.alias("loss_spans"),
         attachments.alias("attachments"),
     )

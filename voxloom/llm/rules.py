@@ -180,15 +180,13 @@ def verdict(rules: Sequence[Rule], statistic: Callable[[str], Column]) -> Column
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep_label: int, whole: bool, scratch: Scratch) -> DataFrame:
-    """``document_statistics`` with base_failed and kept."""
-    stats = scratch.put(document_statistics(docs, id_col, text_col, whole), "stats")
-    names = stats.schema["s"].dataType.names
+def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep_label: int) -> tuple[DataFrame, list[Rule]]:
+    """``document_statistics``, written, and the rules that the labelled rows teach."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.put(document_statistics(docs, id_col, text_col), "stats")
     marked = labels.where(F.col("quality").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    train = stats.drop("row").join(marked, "doc_id").where(~failed).select("doc_id", "s", (F.col("quality") != keep_label).cast("int").alias("reject"))
-    rules = learn_decision_list(scratch.put(train, "train"), names)
-    return stats.select("*", failed.alias("base_failed"), (~failed & verdict(rules, lambda f: F.col(f"s.{f}"))).alias("kept"))
+    train = stats.join(marked, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "s", (F.col("quality") != keep_label).cast("int").alias("reject"))
+    return stats, learn_decision_list(scratch.put(train, "train"), stats.schema["s"].dataType.names)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1) -> DataFrame:
@@ -199,10 +197,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Other columns are ignored. An empty table gives an empty result; without labels only base_failed decides.
     Words and windows are compared by 64-bit hashes.
     """
-    return _judged(docs, labels, id_col, text_col, keep_label, False, Scratch(docs.sparkSession, "quality")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    stats, rules = _learned(docs, labels, id_col, text_col, keep_label)
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    kept = ~failed & verdict(rules, lambda f: F.col(f"s.{f}"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1, scratch: Scratch | None = None) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_label: int = 1) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with their columns. Each row is judged by its own text: rows that share an id, or have none,
-    stay or go one by one. Rows are written with their statistics once; ``scratch`` names where, for a caller that deletes them when the result is written."""
-    return _judged(docs, labels, id_col, text_col, keep_label, True, scratch or Scratch(docs.sparkSession, "quality")).where("kept").select(*unpacked("row", docs.columns))
+    stay or go one by one. Statistics are computed twice, to learn from and to judge by, so that no text is copied or shuffled."""
+    _, rules = _learned(docs, labels, id_col, text_col, keep_label)
+    stays = lambda x: ~base_failed(x["n_words"], x["n_repeat_words"]) & verdict(rules, lambda f: x["s"][f])
+    #: A filter on an array of one row: a condition would be computed in the scan once for every use of a statistic.
+    judged = document_statistics(docs, id_col, text_col, True).select(F.explode(F.filter(F.array(F.struct("n_words", "n_repeat_words", "s", "row")), stays)).alias("x"))
+    return judged.select("x.row").select(*unpacked("row", docs.columns))

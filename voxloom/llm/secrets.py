@@ -2,8 +2,8 @@
 
 Strong candidates (assignments, access identifiers, long hex runs) are always reported. Weak ones, an assigned user or
 client name, a bare key-like string, a URL, are parts of a credential only beside their complements: an interval join within
-each document looks for identifiers, secrets and endpoints whose spans lie no further apart than a scope. The join is a
-sweep: parts in the order of their starts, with the furthest end before and the nearest start after of each class.
+each document looks for identifiers, secrets and endpoints that are apart from the candidate, and no further than a scope. The join is
+a sweep over the parts' starts and ends: what has ended where a part starts lies before it, what starts where it has ended lies behind.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Places are code points, ends exclusive. Spans of different base kinds may overlap; linked spans don't overlap a base
     span. A weak identifier is reported if a secret lies within ``scope``, a weak secret if an identifier or an
-    endpoint that it isn't part of does, an endpoint if both do. text_key is a hash of the text: rows that repeat id and text get equal
+    endpoint does, an endpoint if both do. What shares a character with a candidate doesn't count for it, so no part is its own
+    complement, and a secret inside of one address is linked to another. text_key is a hash of the text: rows that repeat id and text get equal
     results. Null texts count as empty and have no spans; null ids are kept. Other columns are ignored.
     An empty table gives an empty result.
     """
@@ -65,14 +66,25 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["doc_id", "text_key"]
     parts = found.where(F.size("weak") > 0).dropDuplicates(key).select(*key, F.explode(F.concat("base", "weak")).alias("s")).select(*key, "s.start", "s.kind", "s.end")
     is_a = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4), "endpoint": F.col("kind") == 5, "base": F.col("kind") < 3}
-    ahead = Window.partitionBy(*key).orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    swept = parts.select("*", *[F.max(F.when(c, F.col("end"))).over(ahead).alias(f"end_{n}") for n, c in is_a.items()], *[F.min(F.when(c, F.col("start"))).over(back).alias(f"start_{n}") for n, c in is_a.items()])
-    near = lambda n: F.coalesce(F.col("start") - F.col(f"end_{n}") <= scope, F.lit(False)) | F.coalesce(F.col(f"start_{n}") - F.col("end") <= scope, F.lit(False))
-    over_base = F.coalesce(F.col("end_base") > F.col("start"), F.lit(False)) | F.coalesce(F.col("start_base") < F.col("end"), F.lit(False))
-    inside = F.coalesce(F.col("end_endpoint") > F.col("start"), F.lit(False))
-    linked = F.when(F.col("kind") == 3, near("secret")).when(F.col("kind") == 4, near("id") | (near("endpoint") & ~inside)).when(F.col("kind") == 5, near("id") & near("secret")).otherwise(False)
-    added = swept.where(linked & ~over_base).groupBy(*key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    #: A start and an end of each part; at one place ends come first, so that parts which touch are apart.
+    event = lambda place, opens: F.struct(place.alias("place"), F.lit(opens).alias("opens"))
+    events = parts.withColumn("e", F.explode(F.array(event(F.col("start"), 1), event(F.col("end"), 0)))).select("*", "e.place", "e.opens")
+    ahead = Window.partitionBy(*key).orderBy("place", "opens").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*key).orderBy(F.desc("place"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, -1)
+    names = ("id", "secret", "endpoint")
+    seen = [F.max(F.when((F.col("opens") == 0) & is_a[n], F.col("place"))).over(ahead).alias(f"end_{n}") for n in names]
+    seen += [F.min(F.when((F.col("opens") == 1) & is_a[n], F.col("place"))).over(back).alias(f"start_{n}") for n in names]
+    seen += [F.count(F.when((F.col("opens") == opens) & is_a["base"], True)).over(ahead).alias(f"base_{opens}") for opens in (0, 1)]
+    at_start, at_end = F.col("opens") == 1, F.col("opens") == 0
+    swept = events.select("*", *seen).where(F.col("kind") >= 3).groupBy(*key, "start", "kind", "end").agg(
+        *[F.coalesce(F.max(F.when(at_start, F.col("start") - F.col(f"end_{n}") <= scope)), F.lit(False)).alias(f"before_{n}") for n in names],
+        *[F.coalesce(F.max(F.when(at_end, F.col(f"start_{n}") - F.col("end") <= scope)), F.lit(False)).alias(f"after_{n}") for n in names],
+        #: Base spans that have begun before this one's end, less those that have ended at its start.
+        (F.max(F.when(at_end, F.col("base_1"))) - F.max(F.when(at_start, F.col("base_0")))).alias("over"),
+    )
+    near = lambda n: F.col(f"before_{n}") | F.col(f"after_{n}")
+    linked = F.when(F.col("kind") == 3, near("secret")).when(F.col("kind") == 4, near("id") | near("endpoint")).otherwise(near("id") & near("secret"))
+    added = swept.where(linked & (F.col("over") == 0)).groupBy(*key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     added = added.select(F.struct(*key).alias("k"), "added")
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key")), "left")
     return joined.select(*key, F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"))

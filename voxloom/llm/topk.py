@@ -2,14 +2,18 @@
 
 Vectors are dealt into groups, one task's work each, and shuffled once. A group cuts its vectors into blocks and sorts, for every
 dimension, a block's vectors by that component; lists are built once. Queries lie in a table in the shared folder, and every
-group streams it in batches, so queries aren't shuffled and none is held longer than its batch. For a query the lists are
-read from the end that its component's sign favours. Objects seen in any list are scored; no unseen one can score above
-the sum of the query's products with the values the lists have come to, so reading stops when the kth score is above that
-bound. The kth score goes from block to block of a group: a block whose bound can't beat it isn't read at all.
+group streams it in batches, so queries aren't shuffled and none is held longer than its batch.
+
+For a query the lists are read from the end that its component's sign favours. An object that is seen in any list is scored once.
+No unseen one can score above the sum of the query's products with the values that the lists have come to, the bound; the next lists to
+be read are those that lower it most for a row. Reading stops when the bound is below the kth score, or when all objects have been seen. The kth score goes from block to block of a
+group, and a block whose first bound can't beat it isn't read at all. A first few groups are searched before the others, whose
+results then need only beat the kth score of those.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 
 from voxloom.scratch import Scratch
 
-#: Vectors of a group and of a block, queries of a batch, and scores held at once.
-GROUP_ROWS, BLOCK_ROWS, BATCH_QUERIES, HELD_SCORES = 131_072, 8192, 2048, 1 << 23
-#: Depths at which the bound is held against the kth score; beyond a share of the block all of it is scored at once.
-FIRST_DEPTH, DEPTH_STEP, SHARE = 16, 4, 0.5
+#: Vectors of a group and of a block, bytes of a group, and queries of a batch.
+GROUP_ROWS, BLOCK_ROWS, GROUP_BYTES, BATCH_QUERIES = 131_072, 8192, 64 << 20, 2048
+#: Rows of a list up to which it is read first; each further step doubles them. Lists that are read between two looks at the bound.
+FIRST_DEPTH, LISTS_READ = 16, 16
+#: Groups that are all searched at once; of more, some come first.
+FEW_GROUPS = 64
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 #: Stands for no score and no id; below and above all others.
 _NONE, _NO_ID = 1 - 2**63, 2**63 - 1
@@ -61,51 +67,56 @@ class Best:
 
 
 class SortedLists:
-    """A block of vectors with its lists."""
+    """A block of vectors, by id, with its lists."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows, self.n = ids, rows, len(ids)
-        self.lists = np.argsort(rows, axis=0, kind="stable").astype(np.int32) if rows.shape[1] else np.zeros((self.n, 0), np.int32)
-        self.depths, d = [0], FIRST_DEPTH
-        while d * max(1, rows.shape[1]) <= SHARE * self.n:
-            self.depths.append(d)
-            d *= DEPTH_STEP
-        at = lambda d: np.take_along_axis(rows, self.lists[d][None], axis=0)[0]
+        self.ids, self.rows, (self.n, dims) = ids, rows, rows.shape
+        #: A list in a row, from the smallest component to the largest.
+        self.lists = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T.astype(np.int32))
+        self.depths = [0]
+        while self.depths[-1] < self.n:
+            self.depths.append(min(self.n, max(FIRST_DEPTH, 2 * self.depths[-1])))
+        at = lambda place: rows[self.lists[:, place], np.arange(dims)]
+        #: The values that a list has come to at each depth, from above and from below; at depth 0 its extremes.
         self.tops = np.array([at(self.n - max(d, 1)) for d in self.depths])
         self.lows = np.array([at(max(d, 1) - 1) for d in self.depths])
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """By depth and query: what an object in none of the lists' first rows can score at most; at depth 0, what any can."""
-        return self.tops @ np.maximum(queries, 0).T + self.lows @ np.minimum(queries, 0).T
-
-    def search(self, queries: np.ndarray, own: np.ndarray, best: Best) -> int:
-        """Put this block's vectors into ``best``; the result is the number of objects scored."""
-        bounds, scored = self.bounds(queries), 0
-        #: An unseen object's score is at most the bound; strictly below the kth score it can't tie either.
-        live = np.flatnonzero(bounds[0] >= best.kth)
-        for depth, bound in zip(self.depths[1:], bounds[1:], strict=True):
-            left = []
-            for q in live.tolist():
-                query = queries[q]
-                up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-                rows = np.unique(np.concatenate((self.lists[self.n - depth :, up].ravel(), self.lists[:depth, down].ravel())))
-                rows = rows[self.ids[rows] != own[q]]
-                rows = rows[~np.isin(self.ids[rows], best.ids[q])]
-                scored += len(rows)
+        self.steps = np.diff(self.depths)
+
+    def search(self, query: np.ndarray, own: int, best: Best, q: int) -> tuple[int, int]:
+        """Put this block's vectors into the q-th row of ``best``; the result is how many rows of lists were read and how many objects scored."""
+        products = np.maximum(query, 0) * self.tops + np.minimum(query, 0) * self.lows
+        if products[0].sum() < best.kth[q]:
+            return 0, 0
+        seen, read, scored = np.zeros(self.n, bool), 0, 0
+        place = np.searchsorted(self.ids, own)
+        if place < self.n and self.ids[place] == own:
+            seen[place] = True
+        at, every = np.zeros(len(query), np.int64), np.arange(len(query))
+        last = len(self.depths) - 1
+        fall = (products[:-1] - products[1:]) / self.steps[:, None]
+        chosen = np.flatnonzero(query)
+        while True:
+            fresh = np.zeros(self.n, bool)
+            for d in chosen.tolist():
+                low, high = self.depths[at[d]], self.depths[at[d] + 1]
+                fresh[self.lists[d, self.n - high : self.n - low] if query[d] > 0 else self.lists[d, low:high]] = True
+                read += high - low
+            at[chosen] += 1
+            rows = np.flatnonzero(fresh & ~seen)
+            seen |= fresh
+            scored += len(rows)
+            best.take(q, self.rows[rows] @ query, self.ids[rows])
+            #: An unseen object's score is at most the bound; strictly below the kth score it can't tie either.
+            if products[at, every].sum() < best.kth[q] or seen.all():
+                return read, scored
+            open_ = np.flatnonzero((at < last) & (query != 0))
+            if not len(open_):
+                #: Where no component decides, all that is unseen scores alike.
+                rows = np.flatnonzero(~seen)
                 best.take(q, self.rows[rows] @ query, self.ids[rows])
-                if bound[q] >= best.kth[q]:
-                    left.append(q)
-            live = np.array(left, np.int64)
-        step = max(1, HELD_SCORES // max(1, self.n))
-        for at in range(0, len(live), step):
-            part = live[at : at + step]
-            scores = self.rows @ queries[part].T
-            for j, q in enumerate(part.tolist()):
-                fit = np.flatnonzero(scores[:, j] >= best.kth[q])
-                fit = fit[(self.ids[fit] != own[q]) & ~np.isin(self.ids[fit], best.ids[q])]
-                best.take(q, scores[fit, j], self.ids[fit])
-            scored += self.n * len(part)
-        return scored
+                return read, scored + len(rows)
+            gains = fall[at[open_], open_]
+            chosen = open_[np.argsort(-gains, kind="stable")[:LISTS_READ]]
 
 
 def _matrix(ids: pa.ChunkedArray, vectors: pa.ChunkedArray, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,34 +125,60 @@ def _matrix(ids: pa.ChunkedArray, vectors: pa.ChunkedArray, scale: int) -> tuple
     return _unique(found, np.floor(flat * scale).reshape(len(found), -1) if len(found) else np.zeros((0, 0)))
 
 
+def _by_whole_numbers(ids: np.ndarray, rows: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """The k best of vectors whose products may not fit 64 bits, by Python's whole numbers, one query after the other."""
+    exact = [[int(x) for x in row] for row in rows.tolist()]
+    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    for q, query in zip(own.tolist(), asked.tolist(), strict=True):
+        whole = [int(x) for x in query]
+        scores = sorted((-sum(a * b for a, b in zip(row, whole, strict=True)), i) for i, row in zip(ids.tolist(), exact, strict=True) if i != q)[:k]
+        for score, i in scores:
+            if not -(2**63) <= -score < 2**63:
+                raise OverflowError(f"the score of vectors {q} and {i} doesn't fit 64 bits")
+            for column, value in zip(out, (q, i, -score), strict=True):
+                column.append(value)
+    return out
+
+
 def _batches(folder: str, dims: int) -> Iterator[pa.Table]:
     """The queries of so many dimensions, from the files of their table."""
     store, base = fs.FileSystem.from_uri(folder)
     for info in sorted(store.get_file_info(fs.FileSelector(base, recursive=True)), key=lambda i: i.path):
         if info.is_file and info.path.endswith(".parquet"):
             with store.open_input_file(info.path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(BATCH_QUERIES, columns=["vec_id", "dim", "embedding"]):
+                for batch in pq.ParquetFile(file).iter_batches(BATCH_QUERIES, columns=["vec_id", "dim", "embedding", "kth"]):
                     table = pa.Table.from_batches([batch])
                     if len(table := table.filter(pa.array(table["dim"].to_numpy() == dims))):
                         yield table
 
 
 def search_group(vectors: pa.Table, queries: Iterator[pa.Table], k: int, scale: int, block_rows: int) -> Iterator[pa.RecordBatch]:
-    """Kernel of one group: the k best of its vectors for every query, a batch of queries at a time."""
+    """Kernel of one group: the k best of its vectors for every query, a batch of queries at a time; those below the query's kth aren't given."""
     ids, rows = _matrix(vectors["vec_id"], vectors["embedding"], scale)
-    blocks, whole = [SortedLists(ids[at : at + block_rows], rows[at : at + block_rows]) for at in range(0, len(ids), block_rows)], None
+    cut = lambda r: [SortedLists(ids[at : at + block_rows], r[at : at + block_rows]) for at in range(0, len(ids), block_rows)]
+    blocks: dict[type, list[SortedLists]] = {}
     top = float(np.abs(rows).max(initial=0))
     for batch in queries:
         if not len(batch):
             continue
         own, asked = _matrix(batch["vec_id"], batch["embedding"], 1)
-        exact = top * float(np.abs(asked).max(initial=0)) * max(1, rows.shape[1]) < 2.0**53
-        if not exact and whole is None:  # sums that doubles can't hold
-            whole = [SortedLists(ids[at : at + block_rows], rows[at : at + block_rows].astype(np.int64)) for at in range(0, len(ids), block_rows)]
-        asked = asked if exact else asked.astype(np.int64)
+        most = top * float(np.abs(asked).max(initial=0)) * max(1, rows.shape[1])
+        if most >= 2.0**62:
+            found = _by_whole_numbers(ids, rows, own, asked, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=_OUT)
+            continue
+        kind = np.float64 if most < 2.0**53 else np.int64  # sums that doubles can't hold
+        if kind not in blocks:
+            blocks[kind] = cut(rows.astype(kind))
+        asked = asked.astype(kind)
+        floor = dict(zip(batch["vec_id"].to_pylist(), batch["kth"].to_pylist(), strict=True))
         best = Best(len(own), k, asked.dtype)
-        for block in blocks if exact else whole:
-            block.search(asked, own, best)
+        for q, query in enumerate(own.tolist()):
+            if floor[query] is not None:
+                best.scores[q] = floor[query]
+        for block in blocks[kind]:
+            for q, query in enumerate(own.tolist()):
+                block.search(asked[q], query, best, q)
         found = best.ids != _NO_ID
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.sum(axis=1))), pa.array(best.ids[found]), pa.array(best.scores[found].astype(np.int64))], schema=_OUT)
 
@@ -152,8 +189,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     Components become floor(scale * x); the score is their inner product, ties go to the smaller id. Vectors that are
     null or hold null or non-finite components, and rows without an id, take no part. Rows that repeat an id count once,
     with the vector that is least in lexicographic order. Vectors are only compared with vectors of the same length.
-    A query gets fewer rows where there are fewer others; an empty table gives an empty result. Queries are read from
-    ``spark.checkpoint.dir`` through ``pyarrow.fs``. Vectors are shuffled once, whatever the number of queries.
+    A query gets fewer rows where there are fewer others; an empty table gives an empty result. A score among the best that
+    doesn't fit 64 bits is an error. Queries are read from ``spark.checkpoint.dir`` through ``pyarrow.fs``. Vectors are shuffled
+    once, whatever the number of queries; about the root of the groups' number is searched first, and the others pass on only what beats those.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -162,27 +200,41 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(df: DataFrame, least: int) -> DataFrame:
-        """Groups of group_rows at most, on the whole; for small tables as many as there are tasks, of ``least`` rows or more."""
-        n = df.count()
-        groups = max(-(-n // group_rows), min(tasks, n // least), 1)
-        return df.select("*", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part")).groupBy("dim", "part")
+    def dealt(df: DataFrame, least: int) -> tuple[DataFrame, int]:
+        """Groups of group_rows at most, on the whole, and of so many bytes; for small tables as many as there are tasks, of ``least`` rows or more."""
+        n, dims = df.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+        most = max(1, min(group_rows, GROUP_BYTES // (8 * max(1, dims))))
+        groups = max(-(-n // most), min(tasks, n // least), 1)
+        return df.select("*", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part")), groups
 
     def clean(table: pa.Table) -> pa.Table:
         ids, rows = _matrix(table["vec_id"], table["embedding"], scale)
         return pa.table([pa.array(ids), pa.array(np.full(len(ids), rows.shape[1]), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], names=["vec_id", "dim", "embedding"])
 
-    scratch.put(dealt(fit(queries), 4096).applyInArrow(clean, "vec_id long, dim int, embedding array<double>"), "queries")
-    folder = f"{scratch.path}/queries"
+    asked = scratch.put(dealt(fit(queries), 4096)[0].groupBy("dim", "part").applyInArrow(clean, "vec_id long, dim int, embedding array<double>"), "asked")
+
+    def search(vectors: DataFrame, name: str) -> DataFrame:
+        folder = f"{scratch.path}/{name}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches))
+            dims = len(table["embedding"][0])
+            yield from search_group(table.select(["vec_id", "embedding"]), _batches(folder, dims), k, scale, block_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        dims = len(table["embedding"][0])
-        yield from search_group(table.select(["vec_id", "embedding"]), _batches(folder, dims), k, scale, block_rows)
+        return vectors.groupBy("dim", "part").applyInArrow(run, "query_id long, vec_id long, score long")
 
-    found = dealt(fit(vectors), 1024).applyInArrow(run, "query_id long, vec_id long, score long")
+    placed, groups = dealt(fit(vectors), 1024)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = math.isqrt(groups - 1) + 1 if groups > FEW_GROUPS else groups
+    scratch.put(asked.withColumn("kth", F.lit(None).cast("long")), "queries")
+    found = ranked(search(placed.where(F.col("part") < first), "queries"))
+    if first < groups:
+        found = scratch.put(found, "first")
+        kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+        scratch.put(asked.join(kth, "vec_id", "left"), "bounded")
+        found = ranked(found.drop("rank").unionByName(search(placed.where(F.col("part") >= first), "bounded")))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def top_k_oracle() -> str:
