@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 ESCAPED, WRONG = "▁".encode(), "�".encode()
 #: Characters that are segmented at once, and bytes of text that are encoded in one call.
-PART_CHARS, BATCH_BYTES = 16_384, 4 << 20
+PART_CHARS, BATCH_BYTES = 16_384, 1 << 20
 #: Values of a segment that is copied, and of a byte that isn't UTF-8.
 _COPY, _WRONG = -1, -2
 
