@@ -4,8 +4,8 @@
 stage before it kept; all but the last return the columns of ``documents``. Decisions are made row by row: rows that share an
 id, or have none, stay or go by what they hold. Columns beyond those of ``documents`` stay, whatever their names.
 
-A stage's result is written before the next stage gets it, reread. So when near_duplicates is called on other files, the
-copy of the texts that quality_rules made beside their statistics is deleted.
+Stages share nothing but what they are given. ``run`` writes each stage's result and rereads it, and deletes the tables that the stage's
+operators made on the way and the result before; a caller of single stages deletes such tables by ``voxloom.scratch.clear`` or ``deleted_after``.
 """
 
 from __future__ import annotations
@@ -20,33 +20,17 @@ from voxloom.llm.packing import pack_documents
 from voxloom.llm.queries import public_byte_bpe
 from voxloom.llm.rules import kept_documents
 from voxloom.llm.secrets import redact_secrets
-from voxloom.scratch import Scratch
-
-
-_judged: list[Scratch] = []
-
-
-def _release(docs: DataFrame) -> None:
-    """Delete the tables of quality_rules that docs isn't read from."""
-    if not _judged:
-        return
-    files = docs.inputFiles()
-    for scratch in list(_judged):
-        if scratch.spark is docs.sparkSession and not any(scratch.path.rsplit("/", 1)[1] in f for f in files):
-            scratch.keep_only()
-            _judged.remove(scratch)
+from voxloom.scratch import Scratch, deleted_after
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text fails the base rules or a learned rule go; the rest is unchanged."""
-    _judged.append(Scratch(spark, "judged"))
-    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch=_judged[-1])
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingles one row stays: that with the smallest doc_id, null last, and of those the one with
     the least hash of its text; of rows that repeat both any one. Rows without words stay."""
-    _release(docs)
     scratch = Scratch(spark, "copies")
     found = ngram_jaccard_components(docs.select("doc_id", "text", F.xxhash64("text").alias("tag")), tag_col="tag")
     key = [F.col("doc_id").alias("id"), "tag"]
@@ -89,7 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with deleted_after():
+            docs = scratch.put(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
