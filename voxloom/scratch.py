@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables that were begun inside of ``deleted_after``, innermost first.
+_begun: ContextVar[list[Scratch] | None] = ContextVar("begun", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``. Where that is unset a temporary one is made, but only for a local master: elsewhere executors
     wouldn't see it, so that is an error."""
@@ -52,12 +57,27 @@ def _shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def deleted_after() -> Iterator[None]:
+    """Scratch tables that operators begin inside are deleted at the end, those of no one else. Results that read them have to be written by then."""
+    own: list[Scratch] = []
+    token = _begun.set(own)
+    try:
+        yield
+    finally:
+        _begun.reset(token)
+        for scratch in own:
+            _delete(scratch.spark, scratch.path)
+
+
 class Scratch:
     """Parquet tables of one operator call. Writing one cuts lineage: later stages reread files instead of recomputing."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if (begun := _begun.get()) is not None:
+            begun.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and reread. The shuffle files of the write go with it: nothing reads them again."""
