@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import bricks, graph, grid, series, stats
 from voxloom.sources import sinks, tables, volumes
+from voxloom.sources.volume_source import open_volumes
 
 
 def frame(spark, rows, ddl):
@@ -314,7 +315,7 @@ def test_array_store(spark, tmp_path, packer):
         raw = part.tobytes(order="F")
         engine = zlib.compressobj(wbits=31 if packer == "gzip" else 15)
         (tmp_path / f"{a}-{b}-0").write_bytes(raw if packer is None else engine.compress(raw) + engine.flush())
-    got = {(r["z"], r["y"], r["x"]): r["value"] for r in volumes.read_zarr(spark, f"file://{tmp_path}").collect()}
+    got = {(r["z"], r["y"], r["x"]): r["value"] for r in open_volumes(spark, f"file://{tmp_path}", "zarr").collect()}
     want = v.astype(float)
     want[2:4, 3:6] = -1
     assert got == {at: want[at] for at in np.ndindex(v.shape)}

@@ -23,3 +23,10 @@ def test_nothing_else_imports_llm():
         for f in files:
             if f.endswith(".py"):
                 assert "voxloom.llm" not in open(os.path.join(folder, f)).read()
+
+
+def test_queries_without_the_vocabulary_package(tmp_path):
+    """Where the package of the public vocabularies is absent, the queries are all there."""
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError('absent', name='public_tokenizers')")
+    code = "import __spark_entry__ as e; from voxloom.plans import catalog; q = e.queries(); assert set(catalog.QUERIES) <= set(q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join([str(tmp_path), ROOT])})

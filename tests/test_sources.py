@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.sources import sinks, tables, volumes
+from voxloom.sources.volume_source import open_volumes
 from voxloom.streaming import scans
 
 
@@ -59,10 +60,10 @@ def test_registry(spark):
 def test_tiff(spark, tmp_path, deflate):
     v = np.arange(4 * 5 * 6, dtype=np.uint16).reshape(4, 5, 6)
     (tmp_path / "v.tif").write_bytes(volumes.tiff_encode(v, deflate))
-    pages = volumes.read_tiff(spark, {2: f"file://{tmp_path}/v.tif"})
-    got = {(r["z"], r["y"], r["x"]): r["grey"] for r in volumes.sparse(pages).collect()}
+    pages = open_volumes(spark, f"file://{tmp_path}/v.tif")
+    got = {(r["z"], r["y"], r["x"]): r["value"] for r in pages.collect()}
     assert got == {at: float(v[at]) for at in np.ndindex(v.shape)}
-    assert volumes.cropped(volumes.sparse(pages), z=(1, 2), x=(0, 0)).count() == 10
+    assert volumes.cropped(pages, z=(1, 2), x=(0, 0)).count() == 10
     for z in range(4):
         (tmp_path / f"sl_{z:04d}.tif").write_bytes(volumes.tiff_encode(v[z : z + 1], deflate))
     some = volumes.read_slices(spark, f"file://{tmp_path}/sl_*.tif", step=2)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.geometry import eigenvalues3
-from voxloom.operators.series import interpolate, running_total
+from voxloom.operators.series import interpolate, running_total, same_keys
 
 
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
@@ -23,7 +23,7 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int,
     got = df.withColumn("bin", bin_of(value, low, high, bins)).where("bin is not null").groupBy(*keys, "bin").agg(n.alias("n"))
     domain = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     every = domain.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return every.join(got, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return same_keys(every, got, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def value_counts(df: DataFrame, column: str, domain: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -38,8 +38,7 @@ def cumulative_q3(df: DataFrame, size: str, tie: str, weight: Column, keys: Sequ
     """``df`` with q3, the percentage of weight at or below each size in order."""
     run = running_total(df, size, tie, weight, "__cum", keys)
     total = df.groupBy(*keys).agg(F.sum(weight).alias("__total"))
-    joined = run.join(total, list(keys)) if keys else run.crossJoin(F.broadcast(total))
-    return joined.withColumn("q3", F.lit(100.0) * F.col("__cum") / F.col("__total")).drop("__cum", "__total")
+    return same_keys(run, total, keys).withColumn("q3", F.lit(100.0) * F.col("__cum") / F.col("__total")).drop("__cum", "__total")
 
 
 def percentiles_q3(curve: DataFrame, size: str, at: Sequence[float]) -> DataFrame:
@@ -108,7 +107,7 @@ def principal_axis(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def weighted_moments(df: DataFrame, value: str, weight: str, keys: Sequence[str]) -> DataFrame:
     """(keys, mean, ra, rq, rt, rsk, rku): two passes, both by partial sums."""
     mean = df.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
-    off = df.join(mean, list(keys)).withColumn("__d", F.col(value) - F.col("mean"))
+    off = same_keys(df, mean, keys).withColumn("__d", F.col(value) - F.col("mean"))
     w, d = F.col(weight), F.col("__d")
     sums = off.groupBy(*keys, "mean").agg(F.sum(w).alias("w"), F.sum(w * F.abs(d)).alias("s1"), F.sum(w * d * d).alias("s2"), F.sum(w * d * d * d).alias("s3"), F.sum(w * d * d * d * d).alias("s4"), (F.max(value) - F.min(value)).alias("rt"))
     rq = F.sqrt(F.col("s2") / F.col("w"))
@@ -133,7 +132,7 @@ def multi_otsu(hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     h = hist.select(*keys, "bin", F.sum("n").over(up).cast("double").alias("w"), F.sum(F.col("n") * F.col("bin")).over(up).cast("double").alias("m"), F.sum("n").over(every).cast("double").alias("wt"), F.sum(F.col("n") * F.col("bin")).over(every).cast("double").alias("mt"))
     a = h.select(*keys, F.col("bin").alias("cut1"), F.col("w").alias("w1"), F.col("m").alias("m1"))
     b = h.select(*keys, F.col("bin").alias("cut2"), F.col("w").alias("w2"), F.col("m").alias("m2"), "wt", "mt")
-    pairs = (a.join(b, list(keys)) if keys else a.crossJoin(b)).where("cut1 < cut2")
+    pairs = same_keys(a, b, keys).where("cut1 < cut2")
     of = lambda m, w: m * m / w
     score = of(F.col("m1"), F.col("w1")) + of(F.col("m2") - F.col("m1"), F.col("w2") - F.col("w1")) + of(F.col("mt") - F.col("m2"), F.col("wt") - F.col("w2"))
     scored = pairs.where("w1 > 0 and w2 > w1 and wt > w2").withColumn("score", score)
@@ -142,8 +141,8 @@ def multi_otsu(hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, size: int, id_col: str, seed: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The ``size`` rows of each key with the least hashes of (seed, id): reruns agree."""
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
+    """The ``size`` rows of each key with the least md5 of ``seed:id``: reruns agree, and so does SQL."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
     if not keys:
         return df.orderBy(order, id_col).limit(size)
     by = Window.partitionBy(*keys).orderBy(order, id_col)
@@ -163,17 +162,17 @@ def _drawn(points: DataFrame, want: DataFrame, keys: Sequence[str], n: int, id_c
     """
     marked = replicas(points, n).withColumn("__h", F.xxhash64(F.lit(seed), "replica", id_col))
     sizes = points.groupBy(*keys).agg(F.count("*").alias("__m")) if keys else points.agg(F.count("*").alias("__m"))
-    need = sizes.join(want, list(keys)) if keys else sizes.crossJoin(want)
+    need = same_keys(sizes, want, keys)
     share = (F.col("want") + 6 * F.sqrt(F.col("want").cast("double")) + 16) / F.greatest(F.col("__m"), F.lit(1))
     need = need.withColumn("__top", F.when(share >= 1, F.lit(float(2**63))).otherwise((share * 2.0 - 1.0) * float(2**63))).drop("__m")
-    both = marked.join(need, list(keys)) if keys else marked.crossJoin(F.broadcast(need))
+    both = same_keys(marked, need, keys)
     by = Window.partitionBy("replica", *keys).orderBy("__h", id_col)
     few = both.where(F.col("__h") < F.col("__top"))
     counts = few.groupBy("replica", *keys).agg(F.count("*").alias("__k"))
-    wanted = (points.sparkSession.range(n).select(F.col("id").cast("int").alias("replica")).crossJoin(need)).join(counts, ["replica", *keys], "left")
+    wanted = same_keys(replicas(need, n), counts, ["replica", *keys], "left")
     short = wanted.where((F.coalesce("__k", F.lit(0)) < F.col("want")) & (F.col("__top") < float(2**63))).select("replica", *keys)
-    again = both.join(short, ["replica", *keys], "left_semi")
-    pool = few.join(short, ["replica", *keys], "left_anti").unionByName(again)
+    again = same_keys(both, short, ["replica", *keys], "left_semi")
+    pool = same_keys(few, short, ["replica", *keys], "left_anti").unionByName(again)
     return pool.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= F.col("want")).drop("__r", "__h", "__top", "want")
 
 
@@ -198,7 +197,7 @@ def joint_tail_p(null: DataFrame, observed: DataFrame, values: Sequence[str], ke
     """(keys, p): share of draws at or above what was observed in all of ``values`` at once, and at least 1 / (draws + 1): no
     less can be claimed. ``observed`` has (keys, values), one row a key; keys without draws have p 1."""
     seen = observed.select(*keys, *[F.col(v).alias(f"__{v}") for v in values])
-    both = seen.join(null.select(*keys, *values, F.lit(1).alias("__draw")), list(keys), "left") if keys else seen.join(null.select(*values, F.lit(1).alias("__draw")), how="left")
+    both = same_keys(seen, null.select(*keys, *values, F.lit(1).alias("__draw")), keys, "left") if keys else seen.join(null.select(*values, F.lit(1).alias("__draw")), how="left")
     hit = F.lit(True)
     for v in values:
         hit = hit & (F.col(v) >= F.col(f"__{v}"))
@@ -213,43 +212,64 @@ def flags_against_chance(tests: DataFrame, hit: Column, level: float, keys: Sequ
 
 
 def exact_summary(df: DataFrame, columns: Mapping[str, tuple[str, float]], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, names): one exact percentile of a column under each name, by ``exact_percentiles``; NULL where a key has no values."""
-    out = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    for value in dict.fromkeys(v for v, _ in columns.values()):
-        named = {name: p for name, (v, p) in columns.items() if v == value}
-        got = exact_percentiles(df, value, sorted(set(named.values())), keys)
-        wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col(value))).alias(name) for name, p in named.items()])
-        out = out.join(wide, list(keys), "left") if keys else out.crossJoin(F.broadcast(wide))
-    return out
+    """(keys, names): one exact percentile of a column under each name; NULL where a key has no values. All columns are bracketed in one
+    aggregation and counted in another, whatever their number."""
+    wanted: dict[str, list[float]] = {}
+    for value, p in columns.values():
+        wanted[value] = sorted({*wanted.get(value, []), float(p)})
+    found = _percentiles(df, wanted, keys)
+    names = list(wanted)
+    at = lambda value, p: F.max(F.when((F.col("__c") == names.index(value)) & (F.col("__p") == float(p)), F.col("__out")))
+    return found.groupBy(*keys).agg(*[at(value, p).alias(name) for name, (value, p) in columns.items()])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose keys it hasn't."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    return same_keys(old, new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
 def exact_percentiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = (), accuracy: int = 1000) -> DataFrame:
-    """(keys, p, value): exact percentiles, linear between ranks, of groups too large for one task's memory.
+    """(keys, p, value): exact percentiles, linear between ranks, of groups too large for one task's memory. Keys without a value have no row; a
+    missing key is a key."""
+    found = _percentiles(df, {value: sorted(set(map(float, at)))}, keys, accuracy)
+    return found.where("__p is not null").select(*keys, F.col("__p").alias("p"), F.col("__out").alias(value))
+
+
+def _percentiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], keys: Sequence[str], accuracy: int = 1000) -> DataFrame:
+    """(keys, __c, __p, __out): percentile __p of the __c-th column; a key without any values has one row without them.
 
     The built-in ``percentile`` keeps a group's distinct values in one buffer. Here an approximate quantile brackets
     each rank with its guaranteed error; what lies below is only counted, and only the bracket, about 4 / accuracy of
     the rows, is put in order, as counts of distinct values.
     """
-    have = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     e = 2.0 / accuracy
-    low = F.percentile_approx("__v", [max(0.0, p - e) for p in at], accuracy)
-    high = F.percentile_approx("__v", [min(1.0, p + e) for p in at], accuracy)
-    ends = have.groupBy(*keys).agg(F.count("*").alias("__n"), low.alias("__lo"), high.alias("__hi"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
-    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.get("__lo", F.lit(k)) if p > e else F.col("__a")).alias("lo"), (F.get("__hi", F.lit(k)) if p < 1 - e else F.col("__b")).alias("hi")) for k, p in enumerate(at)]))
-    marks = ends.select(*keys, "__n", each.alias("m")).select(*keys, F.col("m.p").alias("p"), F.col("m.lo").alias("__lo"), F.col("m.hi").alias("__hi"), (F.col("m.p") * (F.col("__n") - 1)).alias("__pos"))
-    spread = have.join(marks, list(keys)) if keys else have.crossJoin(F.broadcast(marks))
-    group = [*keys, "p", "__lo", "__hi", "__pos"]
+    v = {name: F.col(f"`{name}`").cast("double") for name in wanted}
+    ends = []
+    for c, (name, at) in enumerate(wanted.items()):
+        low, high = ([min(1.0, max(0.0, p + side)) for p in at] for side in (-e, e))
+        ends += [F.count(v[name]).alias(f"__n{c}"), F.min(v[name]).alias(f"__a{c}"), F.max(v[name]).alias(f"__b{c}"), F.percentile_approx(v[name], [*low, *high], accuracy).alias(f"__q{c}")]
+
+    def marks(c: int, at: Sequence[float]) -> Column:
+        def mark(k: int, p: float) -> Column:
+            low = F.get(f"__q{c}", F.lit(k)) if p > e else F.col(f"__a{c}")
+            high = F.get(f"__q{c}", F.lit(len(at) + k)) if p < 1 - e else F.col(f"__b{c}")
+            return F.struct(F.lit(p).alias("p"), low.alias("lo"), high.alias("hi"), (F.lit(p) * (F.col(f"__n{c}") - 1)).alias("pos"))
+
+        return F.when(F.col(f"__n{c}") > 0, F.array(*[mark(k, p) for k, p in enumerate(at)]))
+
+    named = [marks(c, at).alias(f"__m{c}") for c, at in enumerate(wanted.values())]
+    bracketed = df.groupBy(*keys).agg(*ends).select(*keys, *named)
+    spread = same_keys(df.select(*keys, *[x.alias(f"__v{c}") for c, x in enumerate(v.values())]), bracketed, keys)
+    pair = lambda c: F.transform(F.when(F.col(f"__v{c}").isNotNull(), F.col(f"__m{c}")), lambda m: F.struct(F.lit(c).alias("c"), F.col(f"__v{c}").alias("v"), m.alias("m")))
+    every = F.flatten(F.array(*[F.coalesce(pair(c), F.array().cast("array<struct<c: int, v: double, m: struct<p: double, lo: double, hi: double, pos: double>>>")) for c in range(len(v))]))
+    each = spread.select(*keys, F.explode_outer(every).alias("x")).select(*keys, F.col("x.c").alias("__c"), F.col("x.m.p").alias("__p"), F.col("x.m.lo").alias("__lo"), F.col("x.m.hi").alias("__hi"), F.col("x.m.pos").alias("__pos"), F.col("x.v").alias("__v"))
+    group = [*keys, "__c", "__p", "__pos"]
     #: Below the bracket one row with the largest value, above it one with the smallest: in small groups a rank can lie there.
     side = F.when(F.col("__v") < F.col("__lo"), F.lit(float("-inf"))).when(F.col("__v") <= F.col("__hi"), F.col("__v")).otherwise(F.lit(float("inf")))
-    counted = spread.groupBy(*group, side.alias("__s")).agg(F.count("*").alias("__c"), F.min("__v").alias("__l"), F.max("__v").alias("__h"))
-    upto = F.sum("__c").over(Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0))
+    counted = each.groupBy(*group, side.alias("__s")).agg(F.count("*").alias("__n"), F.min("__v").alias("__l"), F.max("__v").alias("__h"))
+    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("__to", upto).withColumn("__v", F.when(F.col("__s") == float("-inf"), F.col("__h")).otherwise(F.col("__l")))
     first = F.min_by("__v", F.when(F.col("__to") > F.floor("__pos"), F.col("__to")))
     second = F.min_by("__v", F.when(F.col("__to") > F.ceil("__pos"), F.col("__to")))
     out = ranked.groupBy(*group).agg(first.alias("__x"), second.alias("__y"))
-    return out.select(*keys, "p", (F.col("__x") + (F.col("__y") - F.col("__x")) * (F.col("__pos") - F.floor("__pos"))).alias(value))
+    return out.select(*keys, "__c", "__p", (F.col("__x") + (F.col("__y") - F.col("__x")) * (F.col("__pos") - F.floor("__pos"))).alias("__out"))

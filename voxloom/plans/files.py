@@ -10,6 +10,7 @@ from voxloom.plans.registry import query
 from voxloom.plans.standins import VOXELS, table, voxels
 from voxloom.scratch import Scratch
 from voxloom.sources import sinks, tables, volumes
+from voxloom.sources.volume_source import index_pages, open_volumes
 
 _PART = "SELECT p_partkey AS id, p_retailprice AS v FROM part"
 
@@ -38,25 +39,28 @@ def _totals(vox: DataFrame) -> DataFrame:
 
 @query(_SLICES)
 def tiff_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Each scan as one multi-page file; tasks write a file each and read a page each."""
+    """Each scan as one multi-page file in strips; pages are indexed, and tasks read a few each."""
     folder = _folder(spark, "tiff")
-    files = volumes.write_tiff(_pages(spark, d)[0], folder)
-    return _totals(volumes.sparse(volumes.read_tiff(spark, {r["scan"]: r["uri"] for r in files.collect()})))
+    volumes.write_tiff(_pages(spark, d)[0], f"{folder}/scans", strip=8).count()
+    index_pages(spark, f"{folder}/scans", f"{folder}/index")
+    return _totals(open_volumes(spark, f"{folder}/scans", "tiff", index=f"{folder}/index").withColumnRenamed("value", "grey"))
 
 
 @query(_SLICES + " HAVING scan = 1 AND z % 2 = 0")
 def tiff_slices(spark: SparkSession, d: str) -> DataFrame:
     """A folder of one-page files; every second slice is read, and the others leave gaps."""
     folder = _folder(spark, "slices")
-    volumes.write_slices(_pages(spark, d)[0].where("scan = 1"), folder)
-    return _totals(volumes.sparse(volumes.read_slices(spark, f"{folder}/*/*.tif", scan=1, step=2)))
+    volumes.write_slices(_pages(spark, d)[0], folder)
+    return _totals(volumes.sparse(volumes.read_slices(spark, f"{folder}/0001/*.tif", scan=1, step=2)))
 
 
-@query(f"WITH {VOXELS}, c AS (SELECT * FROM voxels WHERE z BETWEEN 1 AND 5 AND x BETWEEN 2 AND 4) SELECT scan, count(*) AS n, min(y) AS y0, max(y) AS y1 FROM c GROUP BY 1")
+@query(f"WITH {VOXELS}, c AS (SELECT * FROM voxels WHERE z BETWEEN 1 AND 5 AND x BETWEEN 2 AND 4) SELECT scan, count(*) AS n, min(y) AS y0, max(y) AS y1, sum(phase)::BIGINT AS phases FROM c GROUP BY 1")
 def cropped_box(spark: SparkSession, d: str) -> DataFrame:
-    """A box, ends included; coordinates keep their meaning."""
-    box = volumes.cropped(voxels(spark, d)[0], z=(1, 5), x=(2, 4))
-    return box.groupBy("scan").agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    """A box, ends included, of chunked stores: the chunks that it touches are read, and coordinates keep their meaning."""
+    folder, (vox, edge) = _folder(spark, "crop"), voxels(spark, d)
+    volumes.write_zarr(vox, "phase", (edge,) * 3, folder, 16)
+    box = volumes.cropped(open_volumes(spark, folder, "zarr"), z=(1, 5), x=(2, 4)).where("value > 0")
+    return box.groupBy("scan").agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("value").cast("long").alias("phases"))
 
 
 @query(f"WITH {VOXELS} SELECT scan, (z // 16)::INTEGER AS bz, (y // 16)::INTEGER AS by_, (x // 16)::INTEGER AS bx, sum(phase)::BIGINT AS total FROM voxels GROUP BY 1, 2, 3, 4")
@@ -91,13 +95,13 @@ def frame_guard(spark: SparkSession, d: str) -> DataFrame:
     return grid.checked_frames(shapes).groupBy("frame").agg(F.count("*").alias("scans"), F.max("nz").alias("nz"))
 
 
-@query(f"WITH {VOXELS} SELECT scan, z, count(*) AS n FROM voxels GROUP BY 1, 2")
+@query(f"WITH {VOXELS} SELECT scan, z, count(*) AS n, sum(phase)::BIGINT AS phases, sum(phase * (1 + (y * edge + x) % 97))::BIGINT AS places FROM voxels GROUP BY 1, 2")
 def volume_files(spark: SparkSession, d: str) -> DataFrame:
-    """Slices as a table by scan, written and read."""
-    folder = _folder(spark, "volume")
-    vox = voxels(spark, d)[0]
-    volumes.write_volume(vox.groupBy("scan", "z").agg(F.count("*").alias("n")), folder)
-    return spark.read.parquet(folder).select(F.col("scan").cast("int").alias("scan"), "z", "n")
+    """Whole slices as a table by scan, written and read; every cell's value and place count."""
+    folder, (vox, edge) = _folder(spark, "volume"), voxels(spark, d)
+    volumes.write_volume(volumes.paged(vox, "phase", edge, edge), folder)
+    back = spark.read.parquet(folder).select(F.col("scan").cast("int").alias("scan"), "z", F.posexplode("payload").alias("at", "v")).where("v > 0")
+    return back.groupBy("scan", "z").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("phases"), F.sum(F.col("v") * (1 + F.col("at") % 97)).cast("long").alias("places"))
 
 
 def _deformation(spark: SparkSession, d: str) -> DataFrame:
@@ -230,18 +234,17 @@ def registry_steps(spark: SparkSession, d: str) -> DataFrame:
     return tables.transitions(reg).select("specimen", "step", "scan", "next_scan")
 
 
-@query("SELECT p_brand AS k, least(count(*), 5) AS n FROM part GROUP BY 1")
+@query("SELECT k, id FROM (SELECT p_brand AS k, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY md5('3:' || p_partkey), p_partkey) AS r FROM part) WHERE r <= 5")
 def random_subsample(spark: SparkSession, d: str) -> DataFrame:
-    """Five rows of each class, the same in every run: the sampling operator itself."""
+    """Five rows of each class, the same in every run: the sampling operator itself, by its md5 order."""
     own = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("id"))
-    return stats.exact_sample(own, 5, "id", 3, ["k"]).groupBy("k").agg(F.count_distinct("id").alias("n"))
+    return stats.exact_sample(own, 5, "id", 3, ["k"]).select("k", "id")
 
 
-@query(f"WITH {VOXELS} SELECT label, count(*) AS n FROM voxels WHERE scan = 0 AND label > 0 GROUP BY 1")
+@query(f"WITH {VOXELS} SELECT scan, label, count(*) AS n, sum(z * 1000000 + y * 1000 + x)::BIGINT AS places FROM voxels WHERE label > 0 GROUP BY 1, 2")
 def zarr_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of a scan in a chunked array store, where they are floats; read as the nearest whole numbers."""
-    folder = f"{_folder(spark, 'zarr')}/array"
-    vox, edge = voxels(spark, d)
-    volumes.write_zarr(vox.where("scan = 0"), "label", (edge,) * 3, folder, 16)
-    back = volumes.read_zarr(spark, folder).select(F.rint("value").cast("int").alias("label"))
-    return back.where("label > 0").groupBy("label").agg(F.count("*").alias("n"))
+    """Labels in chunked array stores, where they are floats; read as the nearest whole numbers."""
+    folder, (vox, edge) = _folder(spark, "zarr"), voxels(spark, d)
+    volumes.write_zarr(vox, "label", (edge,) * 3, folder, 16)
+    back = open_volumes(spark, folder, "zarr").withColumn("label", F.rint("value").cast("int")).where("label > 0")
+    return back.groupBy("scan", "label").agg(F.count("*").alias("n"), F.sum(F.col("z") * 1_000_000 + F.col("y") * 1000 + F.col("x")).cast("long").alias("places"))

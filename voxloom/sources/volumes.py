@@ -21,13 +21,12 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 _DTYPES = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4", (8, 2): "i1", (16, 2): "i2", (32, 2): "i4", (64, 3): "f8"}
 
 
-def tiff_pages(read, size: int) -> list[dict]:
-    """The image directories of a TIFF (classic or big), by a ``read(offset, n)``; only headers are read."""
+def tiff_pages(read, size: int) -> Iterator[dict]:
+    """The image directories of a TIFF (classic or big), one after the other, by a ``read(offset, n)``; only headers are read."""
     head = read(0, 16)
     end = {b"II": "<", b"MM": ">"}[head[:2]]
     big = struct.unpack(end + "H", head[2:4])[0] == 43
     at = struct.unpack(end + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
-    pages = []
     while at:
         n = struct.unpack(end + ("Q" if big else "H"), read(at, 8 if big else 2))[0]
         width, first = (20, at + 8) if big else (12, at + 2)
@@ -44,59 +43,48 @@ def tiff_pages(read, size: int) -> list[dict]:
             data = slot[:length] if length <= len(slot) else read(struct.unpack(end + ("Q" if big else "I"), slot)[0], length)
             tags[tag] = list(struct.unpack(f"{end}{count}{code}", data))
         bits, fmt = tags.get(258, [1])[0], tags.get(339, [1])[0]
-        pages.append({"nx": tags[256][0], "ny": tags[257][0], "dtype": end + _DTYPES[bits, fmt], "compression": tags.get(259, [1])[0], "offsets": tags[273], "counts": tags[279]})
+        yield {"nx": tags[256][0], "ny": tags[257][0], "dtype": end + _DTYPES[bits, fmt], "compression": tags.get(259, [1])[0], "rows": min(tags.get(278, [tags[257][0]])[0], tags[257][0]), "offsets": tags[273], "counts": tags[279]}
         at = struct.unpack(end + ("Q" if big else "I"), raw[n * width :])[0]
-    return pages
 
 
-def tiff_decode(page: dict, read) -> np.ndarray:
-    """One page's array; strips are plain or deflated."""
-    parts = [read(o, c) for o, c in zip(page["offsets"], page["counts"], strict=True)]
+def tiff_decode(page: dict, read, first: int = 0, last: int | None = None) -> np.ndarray:
+    """One page's array, or of it the rows from ``first`` to ``last``: strips without such rows aren't read. Strips are plain or deflated."""
+    last = page["ny"] - 1 if last is None else min(last, page["ny"] - 1)
+    low, high = first // page["rows"], last // page["rows"] + 1
+    parts = [read(int(o), int(c)) for o, c in zip(page["offsets"][low:high], page["counts"][low:high], strict=True)]
     if page["compression"] in (8, 32946):
         parts = [zlib.decompress(p) for p in parts]
     elif page["compression"] != 1:
         raise ValueError(f"compression {page['compression']} isn't read")
-    return np.frombuffer(b"".join(parts), page["dtype"]).reshape(page["ny"], page["nx"])
+    rows = np.frombuffer(b"".join(parts), page["dtype"]).reshape(-1, page["nx"])
+    return rows[first - low * page["rows"] : last + 1 - low * page["rows"]]
 
 
-def tiff_encode(volume: np.ndarray, deflate: bool = True) -> bytes:
-    """A multi-page TIFF of a (z, y, x) array of unsigned whole numbers."""
+def tiff_encode(volume: np.ndarray, deflate: bool = True, strip: int | None = None) -> bytes:
+    """A multi-page TIFF of a (z, y, x) array of unsigned whole numbers, in strips of so many rows, or one a page."""
     bits = volume.dtype.itemsize * 8
     out, where = bytearray(b"II*\x00\x00\x00\x00\x00"), 4
     for page in volume:
-        raw = page.astype(f"<u{bits // 8}").tobytes()
-        raw = zlib.compress(raw) if deflate else raw
-        at = len(out)
-        out += raw + b"\x00" * (len(raw) % 2)
-        entries = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, bits), (259, 3, 8 if deflate else 1), (262, 3, 1), (273, 4, at), (277, 3, 1), (278, 4, page.shape[0]), (279, 4, len(raw)), (339, 3, 1)]
+        step = strip or max(1, page.shape[0])
+        places = []
+        for y in range(0, page.shape[0], step):
+            raw = page[y : y + step].astype(f"<u{bits // 8}").tobytes()
+            raw = zlib.compress(raw) if deflate else raw
+            places.append((len(out), len(raw)))
+            out += raw + b"\x00" * (len(raw) % 2)
+        slots = []
+        for values in zip(*places, strict=True):
+            slots.append(values[0] if len(values) == 1 else len(out))
+            out += struct.pack(f"<{len(values)}I", *values) if len(values) > 1 else b""
+        n = len(places)
+        entries = [(256, 4, 1, page.shape[1]), (257, 4, 1, page.shape[0]), (258, 3, 1, bits), (259, 3, 1, 8 if deflate else 1), (262, 3, 1, 1), (273, 4, n, slots[0]), (277, 3, 1, 1), (278, 4, 1, step), (279, 4, n, slots[1]), (339, 3, 1, 1)]
         out[where : where + 4] = struct.pack("<I", len(out))
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in entries)
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
         where = len(out)
         out += b"\x00\x00\x00\x00"
     return bytes(out)
 
 
-def read_tiff(spark: SparkSession, volumes: dict[int, str]) -> DataFrame:
-    """(scan, z, ny, nx, payload): the pages of multi-page files, ``{scan: URI}``. The driver reads directories, tasks one page each."""
-    rows = []
-    for scan, uri in volumes.items():
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_input_file(path) as f:
-            pages = tiff_pages(lambda o, n, f=f: f.read_at(n, o), f.size())
-        rows += [(scan, z, uri, p["ny"], p["nx"], p["dtype"], p["compression"], p["offsets"], p["counts"]) for z, p in enumerate(pages)]
-    table = spark.createDataFrame(rows, "scan int, z int, uri string, ny int, nx int, dtype string, compression int, offsets array<long>, counts array<long>")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for r in part.itertuples():
-                store, path = fs.FileSystem.from_uri(r.uri)
-                with store.open_input_file(path) as f:
-                    got = tiff_decode(r._asdict(), lambda o, n, f=f: f.read_at(int(n), int(o)))
-                yield pd.DataFrame([(r.scan, r.z, r.ny, r.nx, got.ravel().astype(float).tolist())], columns=["scan", "z", "ny", "nx", "payload"])
-
-    return table.repartition(max(1, min(len(rows), 4096))).mapInPandas(run, "scan int, z int, ny int, nx int, payload array<double>")
-
-
 def read_slices(spark: SparkSession, path: str, pattern: str = r"(\d+)\.tiff?$", scan: int = 0, step: int = 1) -> DataFrame:
     """(scan, z, ny, nx, payload): a folder of one-page files, z from the name. Every ``step``-th slice can be taken; missing slices leave gaps in z."""
     files = spark.read.format("binaryFile").load(path).withColumn("z", F.regexp_extract("path", pattern, 1).cast("int")).where(F.col("z").isNotNull() & (F.col("z") % step == 0))
@@ -107,7 +95,7 @@ def read_slices(spark: SparkSession, path: str, pattern: str = r"(\d+)\.tiff?$",
             for z, content in zip(part.z, part.content, strict=True):
                 data = bytes(content)
                 read = lambda o, n, data=data: data[o : o + n]
-                got = tiff_decode(tiff_pages(read, len(data))[0], read)
+                got = tiff_decode(next(tiff_pages(read, len(data))), read)
                 rows.append((scan, z, got.shape[0], got.shape[1], got.ravel().astype(float).tolist()))
             yield pd.DataFrame(rows, columns=["scan", "z", "ny", "nx", "payload"])
 
@@ -130,13 +118,13 @@ def _put(uri: str, data: bytes) -> None:
         out.write(data)
 
 
-def write_tiff(pages: DataFrame, folder: str) -> DataFrame:
+def write_tiff(pages: DataFrame, folder: str, strip: int | None = None) -> DataFrame:
     """(scan, uri, pages): a multi-page file of 16-bit slices for each scan. A file is written from its start, so a scan is one task's work."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("z")
         uri = f"{folder}/scan{int(part.scan.iloc[0]):04d}.tif"
-        _put(uri, tiff_encode(np.stack([np.asarray(p).reshape(ny, nx) for p, ny, nx in zip(part.payload, part.ny, part.nx, strict=True)]).astype(np.uint16)))
+        _put(uri, tiff_encode(np.stack([np.asarray(p).reshape(ny, nx) for p, ny, nx in zip(part.payload, part.ny, part.nx, strict=True)]).astype(np.uint16), strip=strip))
         return pd.DataFrame([(int(part.scan.iloc[0]), uri, len(part))], columns=["scan", "uri", "pages"])
 
     return pages.groupBy("scan").applyInPandas(one, "scan int, uri string, pages int")
@@ -155,51 +143,21 @@ def write_slices(pages: DataFrame, folder: str) -> int:
 
 
 def write_zarr(vox: DataFrame, value: str, shape: tuple[int, int, int], folder: str, chunk: int = 64) -> int:
-    """Voxels (z, y, x) as a chunked array store of doubles (format 2, zlib); the number of chunks. A group is one chunk; what has no voxel is 0."""
-    _put(f"{folder}/.zarray", json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": [chunk] * 3, "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": 0, "order": "C", "filters": None}).encode())
+    """Voxels (scan, z, y, x) as chunked array stores of doubles (format 2, zlib), a folder ``scanNNNN`` each; the number of chunks. A group is one
+    chunk; what has no voxel is 0. Chunks without voxels aren't written."""
+    head = json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": [chunk] * 3, "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": 0, "order": "C", "filters": None}).encode()
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         v = np.zeros((chunk,) * 3)
         v[tuple((part[a] % chunk).to_numpy() for a in ("z", "y", "x"))] = part.v
         at = [int(part[a].iloc[0]) // chunk for a in ("z", "y", "x")]
-        _put(f"{folder}/{'.'.join(map(str, at))}", zlib.compress(v.tobytes(), 1))
+        store = f"{folder}/scan{int(part.scan.iloc[0]):04d}"
+        _put(f"{store}/{'.'.join(map(str, at))}", zlib.compress(v.tobytes(), 1))
+        _put(f"{store}/.zarray", head)
         return pd.DataFrame({"n": [1]})
 
-    own = vox.select("z", "y", "x", F.col(value).cast("double").alias("v"), *[F.floor(F.col(a) / chunk).alias(f"b{a}") for a in ("z", "y", "x")])
-    return own.groupBy("bz", "by", "bx").applyInPandas(one, "n long").agg(F.sum("n")).first()[0] or 0
-
-
-def read_zarr(spark: SparkSession, folder: str, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
-    """(axes, value double): the cells of a chunked array store of format 2, plain, zlib or gzip. The driver reads the header, a task one chunk at a
-    time; chunks that don't exist hold the fill value. Ids that were stored as floats come back by ``rint``."""
-    store, base = fs.FileSystem.from_uri(folder)
-    with store.open_input_file(f"{base}/.zarray") as f:
-        head = json.loads(f.read())
-    shape, chunks, kind, sep = head["shape"], head["chunks"], np.dtype(head["dtype"]), head.get("dimension_separator", ".")
-    packer = (head["compressor"] or {}).get("id")
-    if head["zarr_format"] != 2 or packer not in (None, "zlib", "gzip") or head.get("filters"):
-        raise ValueError(f"{folder}: format {head['zarr_format']} with {packer} isn't read")
-    grid = spark.range(1).select(F.lit(0).alias("one"))
-    for k, (n, c) in enumerate(zip(shape, chunks, strict=True)):
-        grid = grid.withColumn(f"c{k}", F.explode(F.sequence(F.lit(0), F.lit(-(-n // c) - 1))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = fs.FileSystem.from_uri(folder)
-        for part in batches:
-            for at in part.itertuples(index=False):
-                path = f"{root}/{sep.join(map(str, at))}"
-                if files.get_file_info(path).type == fs.FileType.NotFound:
-                    v = np.full(chunks, head["fill_value"] or 0, kind)
-                else:
-                    with files.open_input_file(path) as f:
-                        raw = f.read()
-                    raw = raw if packer is None else zlib.decompress(raw, 47)
-                    v = np.frombuffer(raw, kind).reshape(chunks, order=head["order"])
-                v = v[tuple(slice(0, min(c, n - i * c)) for i, c, n in zip(at, chunks, shape, strict=True))]
-                out = {a: x.ravel() + i * c for a, x, i, c in zip(axes, np.indices(v.shape), at, chunks, strict=True)}
-                yield pd.DataFrame(out | {"value": v.ravel().astype(float)})
-
-    return grid.select(*[f"c{k}" for k in range(len(shape))]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, ", ".join(f"{a} int" for a in axes) + ", value double")
+    own = vox.select("scan", "z", "y", "x", F.col(value).cast("double").alias("v"), *[F.floor(F.col(a) / chunk).alias(f"b{a}") for a in ("z", "y", "x")])
+    return own.groupBy("scan", "bz", "by", "bx").applyInPandas(one, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def sparse(pages: DataFrame) -> DataFrame:
