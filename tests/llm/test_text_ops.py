@@ -2,6 +2,7 @@
 
 import binascii
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -265,3 +266,18 @@ def test_secret_links(spark):
     assert redact_secrets(table(spark)).columns == table(spark).columns and redact_secrets(table(spark)).count() == len(rows())
     assert find_secrets(table(spark, False)).count() == 0
     assert redact_secrets(docs).where(F.col("text").contains("hunter22")).count() == 0
+
+
+def test_an_ngram_of_every_document(spark):
+    """A footer in all texts: no fragment gets more of it than one number from each block, and it links nothing that isn't alike."""
+    draw = random.Random(3)
+    footer = "all rights reserved by nobody"
+    docs = [(i, " ".join(f"v{draw.randrange(10**9)}" for _ in range(12)) + " " + footer) for i in range(3000)]
+    docs += [(5000 + i, docs[i][1].replace(" all", " indeed all", 1)) for i in range(3)] + [(6000, docs[7][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    size = 8 - 8 // 8
+    texts = df.select(F.struct(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("tag")).alias("key"), F.col("text").cast("binary").alias("text"))
+    sent = texts.mapInArrow(ngram_join._postings(5, 8), ngram_join._BLOCK_DDL).where("grams is not null").groupBy("frag").agg((F.sum(F.octet_length("grams")) / size).alias("n")).collect()
+    assert len(sent) == 256 and max(r["n"] for r in sent) < 2 * sorted(r["n"] for r in sent)[128]
+    got = order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_jaccard_components(df).collect()])
+    assert got == order(linked(docs)) and (6000, 13, 7) in got and (2999, 13, 2999) in got

@@ -3,9 +3,10 @@
 The n-grams of all documents have one global order, their 64-bit hash. It is cut into equal fragments, and each
 fragment is handled apart:
 
-1. ``_postings`` cuts each document's n-grams into segments, one per fragment, and sends packed blocks to the fragments.
-2. A fragment holds every posting of its n-grams, so it counts their document frequency, and sends back only the
-   n-grams of two documents or more. Any other can't overlap with anything.
+1. ``_postings`` puts the n-grams of a block of documents in order, cuts them into segments, one per fragment, and sends each
+   n-gram of the block once, with the number of its documents there. Which documents these are isn't sent to the fragments.
+2. A fragment adds the counts up to document frequencies, and sends back only the n-grams of two documents or more. Any other
+   can't overlap with anything. An n-gram that every document has is one number from each block.
 3. Back at the documents, n-grams are put in order of frequency. A link needs a common n-gram among the rarest
    ``n - ceil(t n) + 1``; a document whose prefix has n-grams of its own only has no partner and is done.
 4. Documents with equal sets become one node. Nodes that share a prefix n-gram are candidates.
@@ -153,8 +154,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_BYTES) -> Iter
         yield ids, texts
 
 
-_BLOCK = pa.schema([("frag", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("grams", pa.binary()), ("gaps", pa.binary()), ("df", pa.binary())])
-_BLOCK_DDL = "frag long, block long, ids array<long>, tags array<long>, sizes array<long>, grams binary, gaps binary, df binary"
+#: A block's head has ids, tags, sizes, the document of each posting, and where each fragment's postings begin; its other rows are
+#: n-grams of one fragment with their counts in the block, and on the way back which of them are shared, and their frequency.
+_BLOCK = pa.schema([("frag", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("docs", pa.binary()), ("cuts", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("mask", pa.binary()), ("df", pa.binary())])
+_BLOCK_DDL = "frag long, block long, ids array<long>, tags array<long>, sizes array<long>, docs binary, cuts binary, grams binary, counts binary, n long, mask binary, df binary"
 
 
 def _block_rows(columns: dict[str, list]) -> pa.RecordBatch:
@@ -181,7 +184,7 @@ def _narrow(x: np.ndarray) -> bytes:
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // max(n, 1) or 1]).astype(np.int64)
 
 
 def _postings(width: int, bits: int):
@@ -193,44 +196,39 @@ def _postings(width: int, bits: int):
         seq = TaskContext.get().partitionId() << 32
         for keys, texts in _blocks(batches, chunk):
             grams, n = shingle_sets(texts, width)
-            frag = grams >> down
-            order = np.argsort(frag.astype(np.uint32), kind="stable")
-            doc = np.repeat(np.arange(len(keys)), n)[order]
-            grams, cut = grams[order], np.searchsorted(frag[order], np.arange(frags + 1, dtype=np.uint64))
+            order = np.argsort(grams, kind="stable")
+            grams, doc = grams[order], np.repeat(np.arange(len(keys)), n)[order]
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))[: len(grams)])
+            edges, own = np.append(first, len(grams)), grams[first]
+            cut, counts = np.searchsorted(own >> down, np.arange(frags + 1, dtype=np.uint64)), np.diff(edges)
             some = np.flatnonzero(np.diff(cut)).tolist()
             parts = [slice(cut[f], cut[f + 1]) for f in some]
-            yield _block_rows({"frag": some, "block": [seq] * len(some), "grams": [_packed(grams[p], size) for p in parts], "gaps": [_narrow(np.diff(doc[p], prepend=0)) for p in parts]})
-            yield _block_rows({"frag": [hash(seq) % frags], "block": [seq], "ids": [[k["id"] for k in keys]], "tags": [[k["tag"] for k in keys]], "sizes": [n.tolist()]})
+            yield _block_rows({"frag": some, "block": [seq] * len(some), "grams": [_packed(own[p], size) for p in parts], "counts": [_narrow(counts[p]) for p in parts]})
+            yield _block_rows({"frag": [hash(seq) % frags], "block": [seq], "ids": [[k["id"] for k in keys]], "tags": [[k["tag"] for k in keys]], "sizes": [n.tolist()], "docs": [_narrow(doc)], "cuts": [edges[cut].astype("<u4").tobytes()]})
             seq += 1
 
     return run
 
 
 def _shared(table: pa.Table, size: int) -> pa.Table:
-    """Fragment kernel: keep the postings of n-grams that two documents or more have, with their frequency."""
-    blocks, raw, gaps = table["block"].to_pylist(), table["grams"].to_pylist(), table["gaps"].to_pylist()
-    heads = [k for k, g in enumerate(raw) if g is None]
-    rows = [k for k, g in enumerate(raw) if g is not None]
+    """Fragment kernel: of each block's n-grams those that two documents or more have, with their frequency."""
+    blocks, raw, counts = table["block"].to_pylist(), table["grams"], table["counts"]
+    heads = np.flatnonzero(raw.is_null().to_numpy(zero_copy_only=False)) if len(table) else np.zeros(0, np.int64)
+    rows = np.setdiff1d(np.arange(len(table)), heads).tolist()
     frag = table["frag"][0].as_py()
     out: dict[str, list] = {f.name: [] for f in _BLOCK}
-
-    def add(**row) -> None:
-        for k, v in out.items():
-            v.append(row.get(k))
-
-    for k in heads:
-        add(frag=frag, block=blocks[k], ids=table["ids"][k].as_py(), tags=table["tags"][k].as_py(), sizes=table["sizes"][k].as_py())
     if rows:
-        parts = [_unpacked(raw[k], size, 0) for k in rows]
-        _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        df, at = np.minimum(count, 0xFFFFFFFF).astype(np.uint32)[back], 0
-        for k, part in zip(rows, parts, strict=True):
-            own = df[at : at + len(part)]
-            at += len(part)
-            if (keep := own > 1).any():
-                doc = np.cumsum(_wide(gaps[k], len(part)))[keep]
-                add(frag=frag, block=blocks[k], grams=_packed(part[keep], size), gaps=_narrow(np.diff(doc, prepend=0)), df=_narrow(own[keep]))
-    return pa.Table.from_batches([_block_rows(out)], schema=_BLOCK)
+        parts = [_unpacked(raw[k].as_py(), size, 0) for k in rows]
+        own = [_wide(counts[k].as_py(), len(p)) for k, p in zip(rows, parts, strict=True)]
+        _, back = np.unique(np.concatenate(parts), return_inverse=True)
+        df, at = np.minimum(np.bincount(back, weights=np.concatenate(own)), 0xFFFFFFFF).astype(np.uint32)[back], 0
+        for k, part, count in zip(rows, parts, own, strict=True):
+            all_, at = df[at : at + len(part)], at + len(part)
+            if (keep := all_ > 1).any():
+                row = {"frag": frag, "block": blocks[k], "grams": _packed(part[keep], size), "counts": _narrow(count[keep]), "n": len(part), "mask": np.packbits(keep).tobytes(), "df": _narrow(all_[keep])}
+                for name, column in out.items():
+                    column.append(row.get(name))
+    return pa.concat_tables([table.take(heads).select(_BLOCK.names).cast(_BLOCK), pa.Table.from_batches([_block_rows(out)], schema=_BLOCK)])
 
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("weight", pa.int64()), ("own", pa.int64()), ("prefix", pa.list_(pa.int64())), ("segments", pa.list_(pa.list_(pa.int64())))])
@@ -243,13 +241,20 @@ def _ordered(percent: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         head = next(k for k, ids in enumerate(table["ids"].to_pylist()) if ids is not None)
         ids, tags, n, block = table["ids"][head].as_py(), table["tags"][head].as_py(), np.array(table["sizes"][head].as_py()), table["block"][0].as_py()
-        rows = [k for k, g in enumerate(table["grams"].to_pylist()) if g is not None]
-        grams, doc, df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if rows:
-            parts = [_unpacked(table["grams"][k].as_py(), 8 - bits // 8, table["frag"][k].as_py() << (64 - bits)) for k in rows]
-            grams = np.concatenate(parts)
-            doc = np.concatenate([np.cumsum(_wide(table["gaps"][k].as_py(), len(p))) for k, p in zip(rows, parts, strict=True)])
-            df = np.concatenate([_wide(table["df"][k].as_py(), len(p)) for k, p in zip(rows, parts, strict=True)])
+        docs, cuts = _wide(table["docs"][head].as_py(), int(n.sum())), np.frombuffer(table["cuts"][head].as_py(), "<u4").astype(np.int64)
+        grams, doc, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(table["grams"].is_valid().to_numpy(zero_copy_only=False)).tolist():
+            row = table.slice(k, 1).to_pylist()[0]
+            keep = np.unpackbits(np.frombuffer(row["mask"], np.uint8), count=row["n"]).astype(bool)
+            shared = _unpacked(row["grams"], 8 - bits // 8, row["frag"] << (64 - bits))
+            count = np.ones(row["n"], np.int64)
+            count[keep] = _wide(row["counts"], len(shared))
+            first, own = (np.cumsum(count) - count)[keep] + cuts[row["frag"]], count[keep]
+            place = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            grams.append(np.repeat(shared, own))
+            doc.append(docs[place])
+            df.append(np.repeat(_wide(row["df"], len(shared)), own))
+        grams, doc, df = np.concatenate(grams), np.concatenate(doc), np.concatenate(df)
         order = np.lexsort((grams, df, doc))
         grams, doc = grams[order], doc[order]
         cut = np.searchsorted(doc, np.arange(len(ids) + 1))
