@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import bricks, graph, grid, series, stats
+from voxloom.operators import bricks, graph, grid, series, settle, stats
 from voxloom.sources import sinks, tables, volumes
 from voxloom.sources.volume_source import open_volumes
 
@@ -170,66 +170,12 @@ def test_simple_points_and_thinning():
             assert bricks.simple_point(bits) == (flood(cube, every).max() == 1 and len(faces) == 1)
     for _ in range(4):
         mask = draw.random((9, 10, 8)) < 0.4
-        thin = bricks.thinned(mask)
+        thin = settle.thinned(mask)
         count = lambda m, moves: flood(m, moves).max()
         assert not (thin & ~mask).any() and count(thin, every) == count(mask, every)
         assert count(np.pad(~thin, 1, constant_values=True), six) == count(np.pad(~mask, 1, constant_values=True), six)
 
 
-def test_geodesics():
-    """Dijkstra's result is a fixed point: no step makes any distance shorter, and each but a source's is reached by one."""
-    draw = np.random.default_rng(7)
-    every = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o)]
-    open_, cost = draw.random((7, 6, 8)) < 0.5, draw.uniform(1, 3, (7, 6, 8))
-    for c, moved in ((None, bricks.geodesic(open_)), (cost, bricks.geodesic(open_, cost))):
-        dist = np.where(open_ & (np.arange(7) == 0)[:, None, None], 0.0, np.inf)
-        for _ in range(open_.size):
-            before = dist.copy()
-            for at in zip(*np.nonzero(open_), strict=True):
-                for o in every:
-                    to = tuple(i + d for i, d in zip(at, o, strict=True))
-                    if all(0 <= i < n for i, n in zip(to, open_.shape, strict=True)) and open_[to]:
-                        w = sum(map(abs, o)) ** 0.5 * (1.0 if c is None else (c[at] + c[to]) / 2)
-                        dist[to] = min(dist[to], dist[at] + w)
-            if (dist == before).all():
-                break
-        assert np.allclose(np.where(np.isfinite(dist), dist, -1), np.where(np.isfinite(moved), moved, -1))
-    steps = bricks.breadth_first(open_)
-    assert ((steps >= 0) == np.isfinite(bricks.geodesic(open_))).all()
-
-
-def test_watershed_floods_every_cell_once():
-    """Each reachable cell has a marker's label along a path whose highest cell is as low as it can be."""
-    draw = np.random.default_rng(8)
-    six = [o for o in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1]
-    for _ in range(3):
-        height, mask = draw.integers(0, 9, (6, 7, 6)).astype(float), draw.random((6, 7, 6)) < 0.7
-        markers = np.zeros(mask.shape, int)
-        spots = np.argwhere(mask)[draw.choice(mask.sum(), 4, replace=False)]
-        for k, at in enumerate(spots):
-            markers[tuple(at)] = k + 1
-        got = bricks.watershed(height, markers, mask)
-        level = {}
-        for k in range(5):  # k = 0: from all markers
-            best = np.full(mask.shape, np.inf)
-            start = markers > 0 if k == 0 else markers == k
-            best[start] = height[start]
-            changed = True
-            while changed:
-                changed = False
-                for at in zip(*np.nonzero(np.isfinite(best)), strict=True):
-                    for o in six:
-                        to = tuple(i + d for i, d in zip(at, o, strict=True))
-                        if all(0 <= i < n for i, n in zip(to, mask.shape, strict=True)) and mask[to]:
-                            v = max(best[at], height[to])
-                            if v < best[to]:
-                                best[to], changed = v, True
-            level[k] = best
-        assert ((got > 0) == np.isfinite(level[0])).all() and (got[markers > 0] == markers[markers > 0]).all()
-        for at in zip(*np.nonzero(got), strict=True):
-            assert level[got[at]][at] == level[0][at]
-
-
 def test_distances_stop_early():
     draw = np.random.default_rng(9)
     for share in (0.02, 0.3, 0.9):

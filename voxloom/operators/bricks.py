@@ -1,4 +1,4 @@
-"""Array kernels on bricks and slices, for what joins can't express: distances, closing, watershed, thinning, throats, solvers.
+"""Array kernels on bricks and slices, for what joins can't express: distances, closing, simple points, throats, solvers.
 
 Groups are slices, planes or halo bricks, so their size is that of the layout and not of the data. Arrays come from the
 sparse view by coordinates and go back to it.
@@ -6,9 +6,7 @@ sparse view by coordinates and go back to it.
 
 from __future__ import annotations
 
-import heapq
 import itertools
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,67 +168,6 @@ def specimen_mask(vox: DataFrame, grey: str, threshold: float, radius: int = 2,
     return vox.select("scan", *AXES, grey).groupBy("scan", "z").applyInPandas(one, "scan int, z int, y int, x int")
 
 
-def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Priority flood of the mask from the markers, the lowest first and first come first served at one height."""
-    out = np.where(mask, markers, 0)
-    heap: list[tuple[float, int, tuple[int, ...]]] = []
-    tick = itertools.count()
-    for at in zip(*np.nonzero(out), strict=True):
-        heapq.heappush(heap, (float(height[at]), next(tick), at))
-    while heap:
-        _, _, at = heapq.heappop(heap)
-        for o in _SIX:
-            to = tuple(i + d for i, d in zip(at, o, strict=True))
-            if all(0 <= i < n for i, n in zip(to, mask.shape, strict=True)) and mask[to] and not out[to]:
-                out[to] = out[at]
-                heapq.heappush(heap, (float(height[to]), next(tick), to))
-    return out
-
-
-def h_maxima_markers(dist: np.ndarray, h: float) -> np.ndarray:
-    """Markers: regional maxima that stand out by h, from the reconstruction of dist - h under dist."""
-    seed = dist - h
-    while True:
-        grown = seed
-        for axis in range(seed.ndim):
-            up = np.maximum(grown, np.concatenate([grown.take(range(1, grown.shape[axis]), axis), grown.take([-1], axis)], axis))
-            grown = np.maximum(up, np.concatenate([grown.take([0], axis), grown.take(range(grown.shape[axis] - 1), axis)], axis))
-        grown = np.minimum(grown, dist)
-        if (grown == seed).all():
-            break
-        seed = grown
-    level = label((dist - seed >= h - 1e-9) & (dist > 0), 26)
-    return level
-
-
-def split_touching(mask: np.ndarray, h: float) -> np.ndarray:
-    """Instances of touching bodies: watershed of minus the distance from its h-maxima."""
-    dist = edt(np.pad(mask, 1))[tuple(slice(1, -1) for _ in range(mask.ndim))]
-    return watershed(-dist, h_maxima_markers(dist, h), mask)
-
-
-def instances(mask: DataFrame, slab: int, halo: int, h: float) -> DataFrame:
-    """(scan, z, y, x, owner, label): touching bodies split slab by slab with a halo; a body belongs to the slab that holds its centroid.
-
-    ``mask`` has (scan, z, y, x). The halo has to be as large as a body, so that both slabs see it whole.
-    """
-    first = F.floor((F.col("z") - halo) / slab).cast("int")
-    last = F.floor((F.col("z") + halo) / slab).cast("int")
-    spread = mask.select("scan", *AXES, F.explode(F.sequence(first, last)).alias("slab"))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        at = part[list(AXES)].to_numpy()
-        low = at.min(axis=0)
-        m = np.zeros(at.max(axis=0) - low + 1, bool)
-        m[tuple((at - low).T)] = True
-        got = split_touching(m, h)[tuple((at - low).T)]
-        out = part.assign(label=got)
-        centre = out.groupby("label").z.transform("mean")
-        return out[(got > 0) & (np.floor(centre / slab) == part.slab.iloc[0])].rename(columns={"slab": "owner"})[["scan", *AXES, "owner", "label"]]
-
-    return spread.groupBy("scan", "slab").applyInPandas(one, "scan int, z int, y int, x int, owner int, label long")
-
-
 def _beside(cells: list[tuple[int, int, int]], most: int) -> dict[int, int]:
     """For each cell's bit, the bits of the cells at most ``most`` face steps and one step along each axis away."""
     return {1 << i: sum(1 << j for j, b in enumerate(cells) if i != j and max(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 and sum(abs(x - y) for x, y in zip(a, b, strict=True)) <= most) for i, a in enumerate(cells)}
@@ -263,23 +200,6 @@ def simple_point(bits: int) -> bool:
     return bool(faces) and not faces & ~_grown(faces & -faces, back, _FACES)
 
 
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """Skeleton by removing simple border voxels direction by direction; ends are kept."""
-    m = np.pad(mask, 1).astype(bool)
-    weights = np.array([1 << i for i in range(26)], np.int64)
-    places = tuple(np.array([o[k] for o in _ALL]) for k in range(3))
-    changed = True
-    while changed:
-        changed = False
-        for o in _SIX:
-            for z, y, x in np.argwhere(m & ~np.roll(m, tuple(-d for d in o), (0, 1, 2))):
-                bits = int(m[places[0] + z, places[1] + y, places[2] + x] @ weights)
-                if bits & (bits - 1) and simple_point(bits):
-                    m[z, y, x] = False
-                    changed = True
-    return m[1:-1, 1:-1, 1:-1]
-
-
 def surface_area(values: np.ndarray, level: float) -> float:
     """Area of the level surface of trilinear data by marching tetrahedra."""
     corner = np.array(list(itertools.product((0, 1), repeat=3)))
@@ -480,26 +400,6 @@ def faces(boxes: DataFrame, half: float, least: int = LEAST_FINE, least_shell: i
     return boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, " + _FACE)
 
 
-def geodesic(open_: np.ndarray, cost: np.ndarray | None = None) -> np.ndarray:
-    """Least path length from the first slice through open cells, 26 moves with their lengths, times the mean cost of both ends."""
-    dist = np.full(open_.shape, np.inf)
-    heap = [(0.0, at) for at in zip(*np.nonzero(open_), strict=True) if at[0] == 0]
-    for _, at in heap:
-        dist[at] = 0.0
-    while heap:
-        d, at = heapq.heappop(heap)
-        if d > dist[at]:
-            continue
-        for o in _ALL:
-            to = tuple(i + k for i, k in zip(at, o, strict=True))
-            if all(0 <= i < n for i, n in zip(to, open_.shape, strict=True)) and open_[to]:
-                w = sum(map(abs, o)) ** 0.5 * (1.0 if cost is None else (cost[at] + cost[to]) / 2)
-                if d + w < dist[to]:
-                    dist[to] = d + w
-                    heapq.heappush(heap, (d + w, to))
-    return dist
-
-
 def diffusion_tortuosity(phase: np.ndarray, tol: float = 1e-6, rounds: int = 5000) -> tuple[float, float, float]:
     """(D_eff, tau = phi / D_eff, residual) along z: steady diffusion through the phase between two faces, by conjugate gradients.
 
@@ -620,19 +520,3 @@ def synthetic_grains(shape: tuple[int, int, int], grains: int, radius: tuple[flo
         labels[inside & (labels == 0)] = k
     grey = np.where(labels > 0, 200.0, 60.0) + draw.normal(0, 8, shape)
     return labels, grey
-
-
-def breadth_first(open_: np.ndarray) -> np.ndarray:
-    """Steps from the first slice over the 26 moves; -1 where it can't be reached."""
-    steps = np.full(open_.shape, -1)
-    queue = deque(at for at in zip(*np.nonzero(open_), strict=True) if at[0] == 0)
-    for at in queue:
-        steps[at] = 0
-    while queue:
-        at = queue.popleft()
-        for o in _ALL:
-            to = tuple(i + k for i, k in zip(at, o, strict=True))
-            if all(0 <= i < n for i, n in zip(to, open_.shape, strict=True)) and open_[to] and steps[to] < 0:
-                steps[to] = steps[at] + 1
-                queue.append(to)
-    return steps
