@@ -228,10 +228,14 @@ def test_kernels():
 
 
 def test_segments_and_paths(spark):
-    vox = spark.createDataFrame([(k, k in (0, 4, 9)) for k in range(10)], "id long, is_node boolean")
+    vox = spark.createDataFrame([(k, k in (0, 4, 9), float(k)) for k in range(10)], "id long, is_node boolean, d double")
     links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
-    got = sorted((r["node_a"], r["node_b"], r["length"]) for r in graph.segments(vox, links).collect())
-    assert got == [(0, 4, 4), (4, 9, 5)]
+    got = sorted((r["node_a"], r["node_b"], r["length"], r["thick"]) for r in graph.segments(vox, links).collect())
+    assert got == [(0, 4, 4, 2.0), (4, 9, 5, 6.5)]
+    some = spark.createDataFrame([(1, True, 1.0), (2, True, 2.0), (3, False, 9.0), (4, True, 4.0), (20, False, 1.0), (21, False, 1.0), (22, False, 1.0)], vox.schema)
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (20, 21), (21, 22), (20, 22)], "a long, b long")
+    got = sorted((tuple(r) for r in graph.segments(some, ring).collect()), key=str)
+    assert got == sorted([(None, 1, 2, 1, 1.5), (3, 2, 4, 2, 3.0), (20, None, None, 4, None)], key=str)
     dist = {r["id"]: r["dist"] for r in graph.shortest_paths(vox, links.withColumn("w", F.lit(2.0)), spark.range(1)).collect()}
     assert dist == {k: 2.0 * k for k in range(10)}
 

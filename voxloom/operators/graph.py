@@ -123,19 +123,26 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_r
 
 
 def segments(voxels: DataFrame, links: DataFrame) -> DataFrame:
-    """(edge, node_a, node_b, length): runs of skeleton voxels between nodes.
+    """(edge, node_a, node_b, length, thick): runs of skeleton voxels between nodes, and links of two nodes that touch.
 
-    ``voxels`` has (id, is_node); ``links`` (a, b) are adjacent skeleton voxels. A run's voxels other than nodes are one
-    component; its ends are the smallest and the largest node beside it, its length one more than its voxels.
+    ``voxels`` has (id, is_node, d); ``links`` (a, b) are adjacent skeleton voxels. A run's voxels other than nodes are one
+    component, called by the least of them; its ends are the smallest and the largest node beside it, its length one more than its voxels. Nodes that
+    touch are an edge of length 1 without a name. thick is the mean of d at both ends; runs without nodes, closed ones, have neither.
     """
     inner = voxels.where("not is_node")
-    ends = voxels.where("is_node").select("id")
+    ends = voxels.where("is_node").select("id", "d")
     flat = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = inner.select(F.col("id").alias("a"))
     named = labelled_components(inner, flat.where("a < b").join(own, "a", "left_semi").join(own.toDF("b"), "b", "left_semi"))
-    touch = flat.join(named.select(F.col("id").alias("a"), "comp"), "a").join(ends.toDF("b"), "b", "left_semi").groupBy("comp").agg(F.min("b").alias("node_a"), F.max("b").alias("node_b"))
+    node = ends.select(F.col("id").alias("b"))
+    touch = flat.join(named.select(F.col("id").alias("a"), "comp"), "a").join(node, "b", "left_semi").groupBy("comp").agg(F.min("b").alias("node_a"), F.max("b").alias("node_b"))
     size = named.groupBy("comp").agg((F.count("*") + 1).alias("length"))
-    return size.join(touch, "comp", "left").select(F.col("comp").alias("edge"), "node_a", "node_b", "length")
+    through = size.join(touch, "comp", "left").select(F.col("comp").alias("edge"), "node_a", "node_b", "length")
+    direct = flat.where("a < b").distinct().join(node, "b", "left_semi").join(node.toDF("a"), "a", "left_semi")
+    every = through.unionByName(direct.select(F.lit(None).cast("long").alias("edge"), F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.lit(1).cast("long").alias("length")))
+    thick = lambda c: ends.select(F.col("id").alias(c), F.col("d").alias(f"d_{c}"))
+    both = every.join(thick("node_a"), "node_a", "left").join(thick("node_b"), "node_b", "left")
+    return both.select("edge", "node_a", "node_b", "length", ((F.col("d_node_a") + F.col("d_node_b")) / 2).alias("thick"))
 
 
 def ranked_components(sizes: DataFrame, keys: Sequence[str], top: int, share: float) -> DataFrame:

@@ -139,18 +139,18 @@ def _moved(v: np.ndarray, move: Sequence[int], fill: float) -> np.ndarray:
     return out
 
 
-def geodesic_distance(vox: DataFrame, cost: str, start: str, moves: int = 26, edge: int = EDGE) -> DataFrame:
+def geodesic_distance(vox: DataFrame, cost: str, start: str, moves: int = 26, edge: int = EDGE, lengths: bool = True) -> DataFrame:
     """(scan, z, y, x, dist): least length of a path from the ``start`` voxels (a boolean column) through voxels whose cost isn't NULL: a move's
-    length times the mean cost of its ends. ``moves``: 26, or 6 along faces. Voxels that can't be reached are left out."""
+    length (or without ``lengths`` 1) times the mean cost of its ends. ``moves``: 26, or 6 along faces. Voxels that can't be reached are left out."""
     steps = [m for m in MOVES if moves == 26 or sum(map(abs, m)) == 1]
     open_ = vox.where(F.col(cost).isNotNull()).select("scan", *AXES, F.col(cost).alias("f"), F.when(F.col(start), 0.0).otherwise(F.lit(float("inf"))).alias("v"))
 
     def solve(fixed: np.ndarray, value: np.ndarray, _: int) -> np.ndarray:
-        lengths = [(m, sum(map(abs, m)) ** 0.5 * (fixed + _moved(fixed, m, np.inf)) / 2) for m in steps]
+        far = [(m, (sum(map(abs, m)) ** 0.5 if lengths else 1.0) * (fixed + _moved(fixed, m, np.inf)) / 2) for m in steps]
         value = value.copy()
         while True:
             before = value.copy()
-            for m, length in lengths:
+            for m, length in far:
                 np.minimum(value, _moved(value, m, np.inf) + length, out=value)
             if (value == before).all():
                 return value

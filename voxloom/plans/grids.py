@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import bricks, grid, stats
+from voxloom.operators import bricks, grid, settle, stats
+from voxloom.operators.graph import segments
+from voxloom.operators.watershed import distances, instances
 from voxloom.plans.registry import query
 from voxloom.plans.standins import AIR_ICE, ICE_GRAIN, VOXELS, table
 from voxloom.plans.standins import voxels as placed
+from voxloom.scratch import Scratch
 
 r6 = lambda x, n=6: F.round(x, n)
 KEY = ["scan", "z", "y", "x"]
@@ -309,10 +312,24 @@ def specimen_inside(spark: SparkSession, d: str) -> DataFrame:
     return bricks.specimen_mask(voxels(spark, d), "grey", 20_000.0, 1, 1)
 
 
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    own, edge = placed(spark, d)
+    return instances(own.where("phase = 3").select(*KEY), (edge,) * 3, 0.4)
+
+
 @query()
 def split_instances(spark: SparkSession, d: str) -> DataFrame:
-    """Touching bodies split by watershed, slab by slab with a halo; owners hold the centroid."""
-    return bricks.instances(voxels(spark, d).where("phase = 3").select(*KEY), 8, 8, 0.4).groupBy("scan", "owner", "label").agg(F.count("*").alias("n"))
+    """Touching bodies split by a watershed: size, greatest distance and sums of places of each."""
+    sums = [F.sum(a).cast("long").alias(f"sum_{a}") for a in "zyx"]
+    return _bodies(spark, d).groupBy("scan", "label").agg(F.count("*").alias("n"), r6(F.max("d")).alias("d"), *sums)
+
+
+@query(f"WITH {VOXELS}, g AS (SELECT *, ((scan::BIGINT * edge + z) * edge + y) * edge + x AS id FROM voxels WHERE phase = 3) SELECT scan, z, count(*) AS n, sum(id)::BIGINT AS ids, count(*) AS places, count(*) AS labelled FROM g GROUP BY 1, 2")
+def split_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every voxel of the mask is in one body, and in one only."""
+    own, edge = placed(spark, d)
+    got = instances(own.where("phase = 3").select(*KEY), (edge,) * 3, 0.4).withColumn("id", grid.voxel_id((edge,) * 3))
+    return got.groupBy("scan", "z").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_distinct("id").alias("places"), F.count("label").alias("labelled"))
 
 
 def _pair_boxes(spark: SparkSession, d: str, margin: int) -> DataFrame:
@@ -333,16 +350,20 @@ def throat_measures(spark: SparkSession, d: str) -> DataFrame:
     return bricks.throats(_pair_boxes(spark, d, 6))
 
 
-@query()
-def geodesic_tortuosity(spark: SparkSession, d: str) -> DataFrame:
-    """Mean shortest path through the solid from the first slice to the last, over the height, and steps of a breadth-first search."""
+_FRONT = """g AS MATERIALIZED (SELECT ((scan::BIGINT * edge + z) * edge + y) * edge + x AS id, scan, z, y, x FROM voxels WHERE phase > 1), ways AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sqrt(a.dz * a.dz + a.dy * a.dy + a.dx * a.dx) AS w FROM (SELECT id, scan, z + dz AS z, y + dy AS y, x + dx AS x, dz, dy, dx FROM g, cube WHERE (dz, dy, dx) <> (0, 0, 0)) a JOIN g b ON b.scan = a.scan AND b.z = a.z AND b.y = a.y AND b.x = a.x)"""
+_RELAXED = "{0}(id, d) USING KEY (id) AS (SELECT id, 0.0::DOUBLE FROM g WHERE z = 0 UNION (SELECT w.b, min(r.d + {1}) AS d FROM {0} r JOIN ways w ON w.a = r.id LEFT JOIN recurring.{0} k ON k.id = w.b WHERE k.d IS NULL OR r.d + {1} < k.d - 1e-9 GROUP BY w.b))"
 
-    def kernel(v: np.ndarray) -> dict[str, float]:
-        dist, steps = bricks.geodesic(v > 1)[-1], bricks.breadth_first(v > 1)[-1]
-        ok = np.isfinite(dist)
-        return {"tau": float(dist[ok].mean() / (v.shape[0] - 1)) if ok.any() else float("nan"), "steps": float(steps[steps >= 0].mean()) if (steps >= 0).any() else float("nan"), "reached": int(ok.sum())}
 
-    return bricks.per_scan(voxels(spark, d), kernel, "phase", {"tau": "double", "steps": "double", "reached": "int"})
+@query(f"WITH RECURSIVE {VOXELS}, {_CUBE}, {_FRONT}, {_RELAXED.format('far', 'w.w')}, {_RELAXED.format('near', '1.0::DOUBLE')}, ends AS (SELECT scan, max(z) AS last FROM voxels GROUP BY 1) SELECT e.scan, round(avg(far.d) / any_value(last), 6) AS tau, round(avg(near.d), 6) AS steps, count(far.d) AS reached FROM ends e LEFT JOIN g ON g.scan = e.scan AND g.z = e.last LEFT JOIN far ON far.id = g.id LEFT JOIN near ON near.id = g.id GROUP BY 1")
+def geodesic_tortuosity(spark: SparkSession, d: str) -> DataFrame:
+    """Mean shortest path through the solid from the first slice to the last, over the height, and the mean number of moves of the path with fewest."""
+    own = voxels(spark, d).select(*KEY, F.when(F.col("phase") > 1, 1.0).alias("cost"), (F.col("z") == 0).alias("start"))
+    ends = own.groupBy("scan").agg(F.max("z").alias("last"))
+    out = ends
+    for name, lengths in (("far", True), ("near", False)):
+        got = settle.geodesic_distance(own, "cost", "start", lengths=lengths).join(ends, "scan").where("z = last")
+        out = out.join(got.groupBy("scan").agg(F.avg("dist").alias(name), F.count("*").alias(f"n_{name}")), "scan", "left")
+    return out.select("scan", r6(F.col("far") / F.col("last")).alias("tau"), r6(F.col("near")).alias("steps"), F.coalesce("n_far", F.lit(0)).alias("reached"))
 
 
 @query()
@@ -374,27 +395,16 @@ def elastic_moduli(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def skeleton_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Skeleton of the ice, its nodes by neighbour count, and the runs between them."""
-    from voxloom.operators.graph import segments
-
-    def thin(part):
-        import pandas as pd
-
-        at = part[["z", "y", "x"]].to_numpy()
-        m = np.zeros(at.max(axis=0) + 1, bool)
-        m[tuple(at.T)] = True
-        z, y, x = np.nonzero(bricks.thinned(m))
-        return pd.DataFrame({"scan": part.scan.iloc[0], "z": z, "y": y, "x": x})
-
+    """Skeleton of the ice, its nodes by neighbour count, and the runs and links between them with the ice's half thickness at their ends."""
     own, edge = placed(spark, d)
-    skel = own.where("phase = 2").select(*KEY).groupBy("scan").applyInPandas(thin, "scan int, z int, y int, x int")
-    from voxloom.scratch import Scratch
-
-    skel = Scratch(spark, "skeleton").put(skel.withColumn("id", grid.voxel_id((edge,) * 3)), "voxels")
-    links = grid.adjacent(skel, 26, ["id"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    ice = own.where("phase = 2").select(*KEY)
+    scratch = Scratch(spark, "skeleton")
+    skel = settle.skeleton(ice).join(distances(ice), KEY).withColumn("id", grid.voxel_id((edge,) * 3))
+    skel = scratch.put(skel, "voxels")
+    links = scratch.put(grid.adjacent(skel, 26, ["id"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "links")
     n = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    marked = skel.join(n, "id", "left").select("id", ((F.coalesce("n", F.lit(0)) != 2)).alias("is_node"))
-    return segments(marked, links)
+    marked = skel.join(n, "id", "left").select("id", (F.coalesce("n", F.lit(0)) != 2).alias("is_node"), "d")
+    return segments(marked, links).withColumn("thick", r6(F.col("thick")))
 
 
 @query("SELECT l_linenumber AS scan, min(l_orderkey) AS nz FROM lineitem GROUP BY 1")
