@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import bricks, field, graph, grid, inference, series, spatial, stats
+from voxloom.operators import bricks, components, field, graph, grid, inference, series, spatial, stats
 from voxloom.schema import ingest
 
 
@@ -52,7 +52,7 @@ def test_injective_equals_greedy(spark):
     assert got == want
 
 
-def test_components_and_dbscan(spark):
+def test_components_and_dbscan(spark, monkeypatch):
     df, p = points(spark, 120, 2)
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     for eps, least in ((0.12, 4), (0.2, 5)):
@@ -66,8 +66,10 @@ def test_components_and_dbscan(spark):
         got = {r["id"]: (r["core"], r["cluster"]) for r in graph.dbscan(df, eps, least).collect()}
         assert {i: v[1] for i, v in got.items()} == want and {i for i, v in got.items() if v[0]} == set(core)
     chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
-    got = graph.labelled_components(spark.range(203), chain).collect()
-    assert {r["id"]: r["comp"] for r in got} == {k: 0 if k <= 200 else k for k in range(203)}
+    for most in (0, 50, 10_000):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        got = graph.labelled_components(spark.range(203), chain).collect()
+        assert {r["id"]: r["comp"] for r in got} == {k: 0 if k <= 200 else k for k in range(203)}
 
 
 def test_uniform_gradient_is_recovered(spark):

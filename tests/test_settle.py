@@ -154,7 +154,7 @@ def flooded(height, markers, mask, shape):
     return out
 
 
-@pytest.mark.parametrize("edge,one_task", [(4, 200_000), (5, 0), (64, 0)])
+@pytest.mark.parametrize("edge,one_task", [(4, 10_000), (5, 0), (64, 0)])
 @pytest.mark.parametrize("kind", ["noise", "balls", "column"])
 def test_watershed(spark, edge, one_task, kind):
     draw = np.random.default_rng(8)

@@ -13,7 +13,7 @@ from voxloom.operators.components import components
 from voxloom.scratch import Scratch, is_small
 
 #: Edges that one task may finish.
-ONE_TASK = 200_000
+ONE_TASK = 10_000
 
 
 def least_links(first: np.ndarray, second: np.ndarray, outside: np.ndarray, rooted: np.ndarray) -> np.ndarray:

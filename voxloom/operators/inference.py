@@ -1,56 +1,166 @@
-"""Resampling tests of clustering: what is observed against draws of as many points, at several neighbourhood sizes."""
+"""Resampling tests of clustering: what is observed against draws of as many points, at several neighbourhood sizes.
+
+Points aren't copied for their draws. Each has a bitmap of the draws that it is in, packed into words, and a pair of neighbours, found once at the
+largest size, lives in the draws of both. Whether a point is a core is counted from the bitmaps of its pairs, for all draws and sizes at once.
+A link of two cores exists from some size on, so sizes are gone through in order: the clusters of one are the nodes of the next, and only the links
+that are new there are followed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.graph import dbscan
-from voxloom.operators.spatial import AXES
+from voxloom.operators.components import components
+from voxloom.operators.spatial import AXES, pairs_within
 from voxloom.operators.stats import plane_fit, resampled
 from voxloom.scratch import Scratch
 
 #: Points that make a core, and that make a cluster a feature; draws; neighbourhoods in grain diameters: fixed values.
 MIN_POINTS, MIN_CLUSTER, DRAWS = 5, 6, 400
 SWEEP = (0.6, 0.8, 1.0, 1.25, 1.5, 2.0)
+#: Draws to a word, and the bits above a point's id in the id of the point in a draw.
+WORD, DRAW_BIT = 60, 1 << 40
+
+
+def _words(draw: Column, n: int) -> list[Column]:
+    """For each of n words the draw's bit, or 0."""
+    return [F.when(F.floor(draw / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (draw % WORD).cast("int"))).otherwise(F.lit(0).cast("long")).alias(f"w{w}") for w in range(n)]
+
+
+def _core_words(n: int, sizes: int, min_points: int):
+    """Kernel: pairs in the order of their first point, with its words, to (id, level, words) of the points that are cores from a level on: the draws that
+    are new there. Counts of one point are held, whatever the number of its pairs."""
+    schema = pa.schema([("id", pa.int64()), ("level", pa.int32()), ("words", pa.list_(pa.int64()))])
+    weights = (np.int64(1) << np.arange(WORD, dtype=np.int64))
+
+    def bits(words: np.ndarray) -> np.ndarray:
+        return ((words[:, :, None] & weights) != 0).reshape(len(words), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, own = None, np.zeros((sizes, n * WORD), np.int64), np.zeros(n * WORD, bool)
+        out: list[tuple] = []
 
+        def closed() -> None:
+            core = (np.cumsum(held, axis=0) + 1 >= min_points) & own
+            new = core & ~np.concatenate((np.zeros((1, n * WORD), bool), core[:-1]))
+            for level in np.flatnonzero(new.any(axis=1)).tolist():
+                out.append((last, level, (new[level].reshape(n, WORD) * weights).sum(axis=1).tolist()))
 
-def cluster_summaries(draws: DataFrame, eps: float, min_points: int = MIN_POINTS, least: int = MIN_CLUSTER) -> DataFrame:
-    """(replica, n_clusters, biggest, in_clusters, best_rms) of every replica that has a cluster.
+        for batch in batches:
+            ids, level = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            alive, mine = (np.stack([batch.column(2 + k * n + w).to_numpy() for w in range(n)], axis=1) for k in (0, 1))
+            edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+            for a, b in zip(edges, edges[1:], strict=False):
+                if last != ids[a]:
+                    if last is not None:
+                        closed()
+                    last, held, own = int(ids[a]), np.zeros((sizes, n * WORD), np.int64), bits(mine[a : a + 1])[0]
+                np.add.at(held, level[a:b], bits(alive[a:b]).astype(np.int64))
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out.clear()
+        if last is not None:
+            closed()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    ``draws`` has (replica, pid, z, y, x) with pid unique over all replicas: one keyed DBSCAN does them all.
+    return run
+
+
+def _draws_of(words: Sequence[Column]) -> Column:
+    """The draws whose bits are set, as an array."""
+    places = lambda w, x: F.filter(F.transform(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.when(F.call_function("shiftright", x, i).bitwiseAND(F.lit(1)) == 1, i + w * WORD)), lambda i: i.isNotNull())
+    return F.flatten(F.array(*[F.when(x == 0, F.array().cast("array<int>")).otherwise(places(w, x)) for w, x in enumerate(words)]))
+
+
+def draw_clusters(scratch: Scratch, points: DataFrame, member: DataFrame, draws: int, eps: Sequence[float], min_points: int = MIN_POINTS, least: int = MIN_CLUSTER) -> DataFrame:
+    """(level, draw, id, cluster): the points of the clusters of each draw at each neighbourhood size, the index of ``eps`` in rising order.
+
+    ``points`` has (id, z, y, x), ids from 0 to 2**40 - 1; ``member`` (id, draw) the points of each draw, 0 to draws - 1. As in ``graph.dbscan`` points with
+    ``min_points`` within reach, themselves included, are cores, other points join the lowest cluster that reaches them, and clusters below
+    ``least`` points are left out; a cluster is called by its least core.
     """
-    scratch = Scratch(draws.sparkSession, "clusters")
-    found = dbscan(draws, eps, min_points, keys=["replica"], id_col="pid", least=least).where("cluster <> -1")
-    placed = scratch.put(found.select("replica", "pid", "cluster").join(draws.select("replica", "pid", *AXES), ["replica", "pid"]), f"placed{eps}")
-    planes = plane_fit(placed, ["replica", "cluster"]).select("replica", "n", "rms")
-    return planes.groupBy("replica").agg(F.count("*").alias("n_clusters"), F.max("n").alias("biggest"), F.sum("n").alias("in_clusters"), F.min("rms").alias("best_rms"))
+    if list(eps) != sorted(eps):
+        raise ValueError("sizes are given in rising order")
+    n = -(-draws // WORD)
+    names = [f"w{w}" for w in range(n)]
+    sets = member.select("id", *_words(F.col("draw"), n)).groupBy("id").agg(*[F.bit_or(w).alias(w) for w in names])
+    drawn = scratch.put(points.select("id", *AXES).join(sets, "id"), "drawn")
+    near = pairs_within(drawn, drawn, max(eps), keep=names).where("a <> b")
+    alive = [F.col(f"a_{w}").bitwiseAND(F.col(f"b_{w}")) for w in names]
+    level = F.when(F.lit(False), 0)
+    for k, e in enumerate(eps):
+        level = level.when(F.col("d2") <= float(e) * float(e), k)
+    pairs = near.select("a", "b", level.cast("int").alias("level"), *[x.alias(w) for x, w in zip(alive, names, strict=True)], *[F.col(f"a_{w}") for w in names])
+    some = F.lit(False)
+    for w in names:
+        some = some | (F.col(w) != 0)
+    pairs = scratch.put(pairs.where(some), "pairs")
+    cores = pairs.select("a", "level", *names, *[f"a_{w}" for w in names]).repartition("a").sortWithinPartitions("a").mapInArrow(_core_words(n, len(eps), min_points), "id long, level int, words array<long>")
+    if min_points <= 1:
+        raise ValueError("a core needs another point within reach")
+    cores = scratch.put(cores, "cores")
+    #: From which size on a point is a core in a draw.
+    since = scratch.put(cores.select("id", "level", F.explode(_draws_of([F.get("words", F.lit(w)) for w in range(n)])).alias("draw")).withColumn("pid", F.col("draw").cast("long") * DRAW_BIT + F.col("id")).select("pid", F.col("level").alias("since")), "since")
+    any_core = cores.select(F.col("id").alias("b")).distinct()
+    lives = pairs.join(any_core, "b", "left_semi").select("a", "b", "level", F.explode(_draws_of([F.col(w) for w in names])).alias("draw"))
+    lives = lives.select(*[(F.col("draw").cast("long") * DRAW_BIT + F.col(c)).alias(c) for c in ("a", "b")], "level")
+    ends = lives.join(since.toDF("b", "since_b"), "b").join(since.toDF("a", "since_a"), "a", "left")
+    #: A link of cores from the size on at which both are; a reached point until it is a core itself.
+    both = F.greatest("level", "since_a", "since_b")
+    reach = F.greatest("level", "since_b")
+    kinds = ends.select("a", "b", both.alias("link"), reach.alias("from_"), (F.coalesce("since_a", F.lit(len(eps))) - 1).alias("upto"), F.col("since_a").isNotNull().alias("linked"))
+    kinds = scratch.put(kinds.where((F.col("linked") & (F.col("a") < F.col("b"))) | (F.col("from_") <= F.col("upto"))), "links")
+    scratch.drop("pairs")
+    tree, out = None, None
+    for k in range(len(eps)):
+        now = since.where(F.col("since") == k).select("pid", F.col("pid").alias("tree"))
+        tree = now if tree is None else tree.unionByName(now)
+        fresh = kinds.where(F.col("linked") & (F.col("a") < F.col("b")) & (F.col("link") == k)).select("a", "b")
+        moved = fresh.join(tree.toDF("a", "ta"), "a").join(tree.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+        joined = components(scratch, moved, f"cc{k}")
+        held = tree.join(joined.toDF("tree", "root"), "tree", "left").withColumn("tree", F.coalesce("root", "tree")).drop("root")
+        called = held.groupBy("tree").agg(F.min("pid").alias("cluster"))
+        tree = scratch.put(held.join(called, "tree").select("pid", F.col("cluster").alias("tree")), f"tree{k}")
+        reached = kinds.where((F.col("from_") <= k) & (F.lit(k) <= F.col("upto"))).select(F.col("a").alias("pid"), "b")
+        border = reached.join(tree.toDF("b", "tree"), "b").groupBy("pid").agg(F.min("tree").alias("tree"))
+        every = tree.unionByName(border)
+        large = every.groupBy("tree").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("tree")
+        kept = every.join(large, "tree").select(F.lit(k).alias("level"), F.floor(F.col("pid") / DRAW_BIT).cast("int").alias("draw"), (F.col("pid") % DRAW_BIT).alias("id"), (F.col("tree") % DRAW_BIT).alias("cluster"))
+        kept = scratch.put(kept, f"kept{k}")
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 def clustering_sweep(points: DataFrame, broken: DataFrame, radius: float, eps_diameters: Sequence[float] = SWEEP, draws: int = DRAWS, seed: int = 1, min_points: int = MIN_POINTS, least: int = MIN_CLUSTER) -> DataFrame:
     """(eps_d, clusters, clusters_null, p_clusters, biggest, biggest_null, p_biggest, rms_r, rms_null, p_rms, frac_in) per neighbourhood size.
 
-    ``points`` and its part ``broken`` have (id, z, y, x). The null draws as many of ``points`` without replacement. p is the
-    share of draws at or beyond what was observed, so it can be 0; rms in radii, smaller is flatter, and NULL without a cluster.
+    ``points`` and its part ``broken`` have (id, z, y, x). The null draws as many of ``points`` without replacement, those with the least md5 of
+    ``seed:draw:id``. p is the share of draws at or beyond what was observed, so it can be 0; rms in radii, smaller is flatter, and NULL without
+    a cluster. What comes back to the driver is one number.
     """
     scratch = Scratch(points.sparkSession, "sweep")
     broken = scratch.put(broken.select("id", *AXES), "broken")
     many = broken.count()
-    null = resampled(points.select("id", *AXES), many, draws, "id", seed)
-    every = null.unionByName(broken.withColumn("replica", F.lit(-1))).withColumn("pid", (F.col("replica").cast("long") + 1) * F.lit(1 << 40) + F.col("id"))
-    every = scratch.put(every, "draws")
-    domain = points.sparkSession.range(-1, draws).select(F.col("id").cast("int").alias("replica"))
-    out = None
-    for e in eps_diameters:
-        got = domain.join(cluster_summaries(every, e * 2 * radius, min_points, least), "replica", "left").withColumn("rms", F.col("best_rms") / radius).na.fill(0, ["n_clusters", "biggest", "in_clusters"])
-        got = scratch.put(got, f"got{e}")
-        seen = got.where("replica = -1").select(F.col("n_clusters").alias("c0"), F.col("biggest").alias("b0"), F.col("in_clusters").alias("i0"), F.col("rms").alias("r0"))
-        rows = got.where("replica >= 0").crossJoin(F.broadcast(seen))
-        beyond = lambda c: F.avg(c.cast("int"))
-        half = lambda c: F.percentile(c, F.lit(0.5))
-        line = rows.groupBy("c0", "b0", "i0", "r0").agg(half("n_clusters").alias("clusters_null"), beyond(F.col("n_clusters") >= F.col("c0")).alias("p_clusters"), half("biggest").alias("biggest_null"), beyond(F.col("biggest") >= F.col("b0")).alias("p_biggest"), half("rms").alias("rms_null"), beyond(F.col("rms") <= F.col("r0")).alias("p_rms"))
-        line = line.select(F.lit(float(e)).alias("eps_d"), F.col("c0").alias("clusters"), "clusters_null", "p_clusters", F.col("b0").alias("biggest"), "biggest_null", "p_biggest", F.col("r0").alias("rms_r"), "rms_null", "p_rms", (F.col("i0") / max(many, 1)).alias("frac_in"))
-        out = line if out is None else out.unionByName(line)
-    return out
+    drawn = resampled(points.select("id"), many, draws, "id", seed).select("id", F.col("replica").alias("draw"))
+    #: What was observed is one more draw.
+    member = drawn.unionByName(broken.select("id", F.lit(draws).alias("draw")))
+    eps = [e * 2 * radius for e in eps_diameters]
+    found = draw_clusters(scratch, points.select("id", *AXES), member, draws + 1, eps, min_points, least)
+    placed = found.join(points.select("id", *AXES), "id")
+    planes = plane_fit(placed, ["level", "draw", "cluster"]).select("level", "draw", "n", "rms")
+    per = planes.groupBy("level", "draw").agg(F.count("*").alias("n_clusters"), F.max("n").alias("biggest"), F.sum("n").alias("in_clusters"), F.min("rms").alias("best_rms"))
+    domain = points.sparkSession.range(draws + 1).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(len(eps) - 1))).alias("level"))
+    got = scratch.put(domain.join(per, ["level", "draw"], "left").withColumn("rms", F.col("best_rms") / radius).na.fill(0, ["n_clusters", "biggest", "in_clusters"]), "got")
+    seen = got.where(F.col("draw") == draws).select(F.col("level").alias("at"), F.col("n_clusters").alias("c0"), F.col("biggest").alias("b0"), F.col("in_clusters").alias("i0"), F.col("rms").alias("r0"))
+    rows = got.where(F.col("draw") < draws).join(F.broadcast(seen), F.col("level") == F.col("at"))
+    beyond = lambda c: F.avg(c.cast("int"))
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    line = rows.groupBy("level", "c0", "b0", "i0", "r0").agg(half("n_clusters").alias("clusters_null"), beyond(F.col("n_clusters") >= F.col("c0")).alias("p_clusters"), half("biggest").alias("biggest_null"), beyond(F.col("biggest") >= F.col("b0")).alias("p_biggest"), half("rms").alias("rms_null"), beyond(F.col("rms") <= F.col("r0")).alias("p_rms"))
+    size = F.get(F.array(*[F.lit(float(e)) for e in eps_diameters]), F.col("level"))
+    return line.select(size.alias("eps_d"), F.col("c0").alias("clusters"), "clusters_null", "p_clusters", F.col("b0").alias("biggest"), "biggest_null", "p_biggest", F.col("r0").alias("rms_r"), "rms_null", "p_rms", (F.col("i0") / max(many, 1)).alias("frac_in"))

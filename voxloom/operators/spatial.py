@@ -30,14 +30,19 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: Sequence
 
     The larger side should be ``left``: it isn't replicated. Points with a missing coordinate pair with nothing.
     """
-    names = [*keys, id_col, *axes]
+    return pairs_within(left, right, radius, keys, id_col, axes, closed).select(*keys, "a", "b", F.sqrt("d2").alias("d"))
+
+
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, keys: Sequence[str] = (), id_col: str = "id", axes: Sequence[str] = AXES, closed: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """``radius_join`` as (keys, a, b, d2) with the squared distance, and the columns ``keep`` of both sides as a_* and b_*."""
+    names = [*keys, id_col, *axes, *keep]
     edge = radius if radius > 0 else 1.0
-    a = _cells(left.select(*names), edge, axes).withColumnsRenamed({id_col: "a", **{x: f"a_{x}" for x in axes}})
-    b = _around(right.select(*names), edge, axes).withColumnsRenamed({id_col: "b", **{x: f"b_{x}" for x in axes}})
+    a = _cells(left.select(*names), edge, axes).withColumnsRenamed({id_col: "a", **{x: f"a_{x}" for x in [*axes, *keep]}})
+    b = _around(right.select(*names), edge, axes).withColumnsRenamed({id_col: "b", **{x: f"b_{x}" for x in [*axes, *keep]}})
     pairs = a.join(b, [*keys, *[f"__c{x}" for x in axes]])
     d2 = distance2([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes])
     inside = d2 <= radius * radius if closed else d2 < radius * radius
-    return pairs.where(inside).select(*keys, "a", "b", F.sqrt(d2).alias("d"))
+    return pairs.where(inside).select(*keys, "a", "b", d2.alias("d2"), *[F.col(f"{s}_{x}") for s in "ab" for x in keep])
 
 
 def radius_pairs(points: DataFrame, radius: float, keys: Sequence[str] = (), id_col: str = "id", axes: Sequence[str] = AXES) -> DataFrame:

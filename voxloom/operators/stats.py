@@ -155,22 +155,23 @@ def replicas(df: DataFrame, n: int) -> DataFrame:
 
 
 def _drawn(points: DataFrame, want: DataFrame, keys: Sequence[str], n: int, id_col: str, seed: int) -> DataFrame:
-    """The ``want`` points of each key with the least hashes in each of n replicas.
+    """The ``want`` points of each key with the least md5 of ``seed:replica:id`` in each of n replicas, ties to the smaller id.
 
     Hashes are even, so of a key's m points those below a threshold somewhat above want / m hold all that are wanted: only they are
     put in order. Where they are too few after all, the key's replica is done over with all of its points, so results are exact.
     """
-    marked = replicas(points, n).withColumn("__h", F.xxhash64(F.lit(seed), "replica", id_col))
+    marked = replicas(points, n).withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replica").cast("string"), F.col(id_col).cast("string")).cast("binary")))
     sizes = points.groupBy(*keys).agg(F.count("*").alias("__m")) if keys else points.agg(F.count("*").alias("__m"))
     need = same_keys(sizes, want, keys)
     share = (F.col("want") + 6 * F.sqrt(F.col("want").cast("double")) + 16) / F.greatest(F.col("__m"), F.lit(1))
-    need = need.withColumn("__top", F.when(share >= 1, F.lit(float(2**63))).otherwise((share * 2.0 - 1.0) * float(2**63))).drop("__m")
+    #: A share of all hashes, as the first digits of one; "g" is above every digit.
+    need = need.withColumn("__top", F.when(share >= 1, F.lit("g")).otherwise(F.lower(F.lpad(F.hex(F.floor(share * float(1 << 48)).cast("long")), 12, "0")))).drop("__m")
     both = same_keys(marked, need, keys)
     by = Window.partitionBy("replica", *keys).orderBy("__h", id_col)
     few = both.where(F.col("__h") < F.col("__top"))
     counts = few.groupBy("replica", *keys).agg(F.count("*").alias("__k"))
     wanted = same_keys(replicas(need, n), counts, ["replica", *keys], "left")
-    short = wanted.where((F.coalesce("__k", F.lit(0)) < F.col("want")) & (F.col("__top") < float(2**63))).select("replica", *keys)
+    short = wanted.where((F.coalesce("__k", F.lit(0)) < F.col("want")) & (F.col("__top") != "g")).select("replica", *keys)
     again = same_keys(both, short, ["replica", *keys], "left_semi")
     pool = same_keys(few, short, ["replica", *keys], "left_anti").unionByName(again)
     return pool.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= F.col("want")).drop("__r", "__h", "__top", "want")

@@ -306,7 +306,10 @@ def closed_envelope(spark: SparkSession, d: str) -> DataFrame:
     return bricks.envelope(voxels(spark, d).withColumn("m", F.col("phase") == 3), "m", 2.0, 1.0)
 
 
-@query()
+_MASK = f"ext AS (SELECT scan, z, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM voxels GROUP BY 1, 2), disc(dz, dy, dx) AS (VALUES (0, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)), four AS (SELECT * FROM disc WHERE dy <> 0 OR dx <> 0), grown AS MATERIALIZED (SELECT DISTINCT scan, z, y + dy AS y, x + dx AS x FROM voxels, disc WHERE grey >= 20000), whole AS MATERIALIZED (SELECT a.scan, a.z, a.y, a.x, (a.y * 100000 + a.x)::BIGINT AS id FROM {_beside('grown', 'disc', 'grown')} JOIN ext e ON e.scan = a.scan AND e.z = a.z AND a.y BETWEEN y0 AND y1 AND a.x BETWEEN x0 AND x1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 5), ways AS MATERIALIZED (SELECT a.scan, a.z, a.id AS a, b.id AS b FROM {_beside('whole', 'four', 'whole')}), part(scan, z, id, top) USING KEY (scan, z, id) AS (SELECT scan, z, id, id FROM whole UNION (SELECT w.scan, w.z, w.b, min(p.top) AS top FROM part p JOIN ways w ON w.scan = p.scan AND w.z = p.z AND w.a = p.id JOIN recurring.part k ON k.scan = w.scan AND k.z = w.z AND k.id = w.b WHERE p.top < k.top GROUP BY 1, 2, 3)), best AS (SELECT scan, z, arg_max(top, {{'n': n, 't': -top}}) AS top FROM (SELECT scan, z, top, count(*) AS n FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2), shut AS MATERIALIZED (SELECT w.scan, w.z, w.y, w.x FROM whole w JOIN part p USING (scan, z, id) JOIN best b ON b.scan = p.scan AND b.z = p.z AND b.top = p.top)"
+
+
+@query(f"WITH RECURSIVE {VOXELS}, {_MASK}, {_FLOOD}, eroded AS (SELECT a.scan, a.z, a.y, a.x FROM {_beside('solid', 'disc', 'solid')} GROUP BY 1, 2, 3, 4 HAVING count(*) = 5) SELECT scan, z::INTEGER AS z, y::INTEGER AS y, x::INTEGER AS x FROM eroded JOIN ext USING (scan, z) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")
 def specimen_inside(spark: SparkSession, d: str) -> DataFrame:
     """Specimen mask per slice, and the voxels inside it."""
     return bricks.specimen_mask(voxels(spark, d), "grey", 20_000.0, 1, 1)

@@ -9,6 +9,7 @@ from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
 from voxloom.operators import field, graph, inference, spatial, stats
 from voxloom.operators.components import components
+from voxloom.plans.objects import _EIG
 from voxloom.plans.registry import query
 from voxloom.plans.standins import EDGES, GRAINS, edges, grains, table
 from voxloom.scratch import Scratch
@@ -238,7 +239,20 @@ def crack_spine(spark: SparkSession, d: str) -> DataFrame:
     return got.select("comp", F.col("bin").cast("int").alias("bin"), "n", *[r6(F.col(a)).alias(a) for a in "zyx"])
 
 
-@query()
+_NAMES = (("szz", "szy", "szx"), ("szy", "syy", "syx"), ("szx", "syx", "sxx"))
+
+
+def _axis_column(j: int) -> str:
+    """SQL: a column of (S - l2 I)(S - l3 I), which points along the largest principal direction."""
+    entry = lambda i, k, x: f"({_NAMES[i][k]} - {x})" if i == k else _NAMES[i][k]
+    return "{" + ", ".join(f"'{a}': " + " + ".join(f"{entry(i, k, 'l2')} * {entry(k, j, 'l3')}" for k in range(3)) for i, a in enumerate("zyx")) + "}"
+
+
+_AXIS = f"c AS (SELECT label AS comp, count(*) AS n, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, covar_pop(z, z) AS szz, covar_pop(z, y) AS szy, covar_pop(z, x) AS szx, covar_pop(y, y) AS syy, covar_pop(y, x) AS syx, covar_pop(x, x) AS sxx FROM grains GROUP BY 1), {_EIG}, e6 AS (SELECT *, 3.0 * q - l1 - l3 AS l2 FROM e5), u AS (SELECT comp, n, cz, cy, cx, unnest([{', '.join(_axis_column(j) for j in range(3))}]) AS v FROM e6), ax AS (SELECT comp, any_value(n) AS n, any_value(cz) AS cz, any_value(cy) AS cy, any_value(cx) AS cx, max({{'m': v.z * v.z + v.y * v.y + v.x * v.x, 'z': v.z, 'y': v.y, 'x': v.x}}) AS v FROM u GROUP BY 1), axes AS (SELECT *, CASE WHEN CASE WHEN abs(v.z) > 1e-12 * sqrt(v.m) THEN v.z WHEN abs(v.y) > 1e-12 * sqrt(v.m) THEN v.y ELSE v.x END < 0 THEN -1.0 ELSE 1.0 END / sqrt(v.m) AS s, least(16, greatest(2, n // 4))::INTEGER AS bins FROM ax WHERE n >= 5)"
+_ALONG = "t AS (SELECT comp, n, bins, z, y, x, (z - cz) * (v.z * s) + (y - cy) * (v.y * s) + (x - cx) * (v.x * s) AS t FROM grains JOIN axes ON label = comp), span AS (SELECT comp, min(t) AS t0, max(t) AS t1 FROM t GROUP BY 1), f AS (SELECT t.*, t1 - t0 AS length, CASE WHEN t1 > t0 THEN (t - t0) / ((t1 - t0) / bins) ELSE 0 END AS f FROM t JOIN span USING (comp)), b AS (SELECT comp, n, length, z, y, x, unnest(CASE WHEN f = floor(f) AND f > 0 AND f < bins THEN [least(floor(f), bins - 1) - 1, least(floor(f), bins - 1)] ELSE [least(floor(f), bins - 1)] END)::INTEGER AS bin FROM f)"
+
+
+@query(f"WITH {GRAINS}, {_AXIS}, {_ALONG} SELECT comp, n, round(length, 6) AS length, bin, count(*) AS m, round(avg(z), 6) AS z, round(avg(y), 6) AS y, round(avg(x), 6) AS x FROM b GROUP BY 1, 2, 3, 4")
 def crack_paths(spark: SparkSession, d: str) -> DataFrame:
     """Spine of each cluster along its own principal axis; tests hold it against a singular value decomposition."""
     got = graph.crack_paths(grains(spark, d).select(F.col("label").alias("comp"), "z", "y", "x"))
@@ -272,15 +286,23 @@ def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
     return sep.where("label <> 0").crossJoin(F.broadcast(cut)).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("sep") > F.col("cut")).alias("opened"), r6(F.first("cut")).alias("cut"))
 
 
-@query()
+_SIZES = "sizes(level, e) AS (VALUES " + ", ".join(f"({k}, {e}::DOUBLE * 2 * 0.05::DOUBLE)" for k, e in enumerate(inference.SWEEP)) + ")"
+#: Draw 400 is what was observed; a node is a point in a draw at a size.
+_DRAWN = "own AS (SELECT id, z, y, x, label FROM grains), broken AS (SELECT id FROM own WHERE label = 0), member AS MATERIALIZED (SELECT draw, id FROM (SELECT draw, id, row_number() OVER (PARTITION BY draw ORDER BY md5('20:' || draw || ':' || id), id) AS r FROM own, range(400) t(draw)) WHERE r <= (SELECT count(*) FROM broken) UNION ALL SELECT 400, id FROM broken)"
+_NEAR = f"near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_D2} AS d2 FROM own a JOIN own b ON a.id <> b.id AND {_D2} <= 0.2::DOUBLE * 0.2::DOUBLE), lives AS MATERIALIZED (SELECT draw, level, a, b FROM near JOIN member m ON m.id = a JOIN member n ON n.id = b AND n.draw = m.draw, sizes WHERE d2 <= e * e)".replace("SELECT draw, level", "SELECT m.draw, level")
+_GROUPS = "core AS MATERIALIZED (SELECT draw, level, a AS id FROM lives GROUP BY 1, 2, 3 HAVING count(*) >= 4), ways AS MATERIALIZED (SELECT l.draw, l.level, l.a, l.b FROM lives l JOIN core c ON c.draw = l.draw AND c.level = l.level AND c.id = l.a JOIN core k ON k.draw = l.draw AND k.level = l.level AND k.id = l.b), tree(draw, level, id, top) USING KEY (draw, level, id) AS (SELECT draw, level, id, id FROM core UNION (SELECT w.draw, w.level, w.b, min(t.top) AS top FROM tree t JOIN ways w ON w.draw = t.draw AND w.level = t.level AND w.a = t.id JOIN recurring.tree k ON k.draw = w.draw AND k.level = w.level AND k.id = w.b WHERE t.top < k.top GROUP BY 1, 2, 3)), every AS (SELECT draw, level, id, top FROM tree UNION ALL SELECT l.draw, l.level, l.a, min(t.top) FROM lives l JOIN tree t ON t.draw = l.draw AND t.level = l.level AND t.id = l.b ANTI JOIN core c ON c.draw = l.draw AND c.level = l.level AND c.id = l.a GROUP BY 1, 2, 3)"
+_PLANES = f"c AS (SELECT draw, level, top, count(*) AS n, covar_pop(z, z) AS szz, covar_pop(z, y) AS szy, covar_pop(z, x) AS szx, covar_pop(y, y) AS syy, covar_pop(y, x) AS syx, covar_pop(x, x) AS sxx FROM every JOIN own USING (id) GROUP BY 1, 2, 3 HAVING count(*) >= 6), {_EIG}, per AS (SELECT draw, level, count(*) AS n, max(n) AS biggest, sum(n) AS inside, min(sqrt(greatest(l3, 0))) / 0.05::DOUBLE AS rms FROM e5 GROUP BY 1, 2), got AS (SELECT draw, level, coalesce(n, 0) AS n, coalesce(biggest, 0) AS biggest, coalesce(inside, 0) AS inside, rms FROM (SELECT draw, level FROM range(401) t(draw), sizes) LEFT JOIN per USING (draw, level)), seen AS (SELECT level, n AS c0, biggest AS b0, inside AS i0, rms AS r0 FROM got WHERE draw = 400)"
+
+
+@query(f"WITH RECURSIVE {GRAINS}, {_SIZES}, {_DRAWN}, {_NEAR}, {_GROUPS}, {_PLANES} SELECT round(any_value(e) / 0.1::DOUBLE, 6) AS eps_d, any_value(c0) AS clusters, round(median(n), 6) AS clusters_null, round(avg((n >= c0)::INT), 6) AS p_clusters, any_value(b0) AS biggest, round(median(biggest), 6) AS biggest_null, round(avg((biggest >= b0)::INT), 6) AS p_biggest, round(any_value(r0), 6) AS rms_r, round(median(rms), 6) AS rms_null, round(avg((rms <= r0)::INT), 6) AS p_rms, round(any_value(i0) / greatest((SELECT count(*) FROM broken), 1), 6) AS frac_in FROM got JOIN seen USING (level) JOIN sizes USING (level) WHERE draw < 400 GROUP BY level")
 def clustering_null(spark: SparkSession, d: str, draws: int = inference.DRAWS) -> DataFrame:
-    """Clusters of broken points against as many drawn at random, over the whole sweep of neighbourhood sizes: all draws in one keyed DBSCAN each."""
+    """Clusters of broken points against as many drawn at random, over the whole sweep of neighbourhood sizes; pairs of neighbours are found once for all draws."""
     own = Scratch(spark, "null").put(grains(spark, d), "points")
     got = inference.clustering_sweep(own, own.where("label = 0"), 0.05, inference.SWEEP, draws, 20)
     return got.select(*[r6(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes])
 
 
-@query()
+@query(f"WITH {GRAINS}, own AS (SELECT *, floor(z * 10)::INTEGER AS band FROM grains), want AS (SELECT band, count(*) AS want FROM own WHERE label = 0 GROUP BY 1), h AS (SELECT replica, id, band, want, y, x, row_number() OVER (PARTITION BY replica, band ORDER BY md5('21:' || replica || ':' || id), id) AS r FROM own JOIN want USING (band), range(60) t(replica)) SELECT replica::INTEGER AS replica, count(*) AS n, round(stddev_pop(y) + stddev_pop(x), 6) AS spread FROM h WHERE r <= want GROUP BY 1")
 def stratified_null(spark: SparkSession, d: str, replicas: int = 60) -> DataFrame:
     """Mean spread of draws that keep the number of broken points per height band."""
     own = grains(spark, d).withColumn("band", F.floor(F.col("z") * 10).cast("int"))

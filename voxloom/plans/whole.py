@@ -20,7 +20,10 @@ def contact_zones(spark: SparkSession, d: str) -> DataFrame:
     return grid.contact_zones(vox, "label", grid.contact_pairs(vox, "label", F.lit(True), 1), F.col("phase") == 1, F.col("phase") == 2)
 
 
-@query()
+_PLACED = "per AS (SELECT scan, z, count(*) AS n, avg(y) AS y, avg(x) AS x, any_value(edge) AS edge FROM voxels GROUP BY 1, 2), ends AS (SELECT scan, min(z) AS low, max(z) - min(z) + 1 AS nz FROM per JOIN (SELECT scan, max(n) AS most FROM per GROUP BY 1) USING (scan) WHERE n > 0.25 * most GROUP BY 1), mid AS (SELECT p.scan, low, nz, edge, least(16, nz - 2) // 2 AS h, floor(p.y)::INTEGER AS cy, floor(p.x)::INTEGER AS cx FROM ends e JOIN per p ON p.scan = e.scan AND p.z = low + nz // 2), spot AS (SELECT *, floor(CASE WHEN k = 2 THEN nz * 0.72::DOUBLE ELSE nz * 0.28::DOUBLE + k * ((nz * 0.72::DOUBLE - nz * 0.28::DOUBLE) / 2) END)::INTEGER AS cz FROM mid, range(3) t(k)), held AS (SELECT *, cz + low AS mz FROM spot WHERE h > 0 AND cz >= h AND cz + h <= nz AND cy >= h AND cy + h <= edge AND cx >= h AND cx + h <= edge)"
+
+
+@query(f"WITH {VOXELS}, {_PLACED} SELECT v.scan, k::INTEGER AS k, mz AS z, 2 * h AS edge, count(*) AS n, round(avg((phase = 2)::INT), 6) AS phi FROM voxels v JOIN held a ON a.scan = v.scan AND v.z >= mz - h AND v.z < mz + h AND v.y >= cy - h AND v.y < cy + h AND v.x >= cx - h AND v.x < cx + h GROUP BY 1, 2, 3, 4 HAVING count(*) > 0.98 * any_value(8 * h * h * h)")
 def whole_cubes(spark: SparkSession, d: str) -> DataFrame:
     """Cubes at three heights of each scan, placed by its extents, and their share of ice."""
     vox, edge = voxels(spark, d)
