@@ -29,7 +29,8 @@ def library():
 def test_ids_and_spans_as_the_library(spark, library):
     docs = table(spark)
     got = pieces.decode_ids(pieces.encode_texts(docs, MODEL), MODEL).join(docs.select("doc_id", "text"), "doc_id").collect()
-    assert pieces.encode_texts(docs, MODEL).count() == len(rows())
+    at_once = {r["doc_id"]: (r["ids"], r["decoded"]) for r in pieces.encode_texts(docs, MODEL, decoded=True).collect()}
+    assert pieces.encode_texts(docs, MODEL).count() == len(rows()) and all(at_once[r["doc_id"]] == (r["ids"], r["decoded"]) for r in got)
     for r in got:
         text = r["text"] or ""
         assert r["ids"] == library.encode(text, add_bos=True, add_eos=True)

@@ -255,23 +255,23 @@ def load_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
-def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True, spans: bool = True, pack: bool = False) -> DataFrame:
-    """A row per row of ``docs``: (doc_id, ids[, starts, ends], span_bytes).
+def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", begin: bool = True, end: bool = True, spans: bool = True, pack: bool = False, decoded: bool = False) -> DataFrame:
+    """A row per row of ``docs``: (doc_id, ids[, starts, ends], span_bytes[, decoded]).
 
     ids is an array, or with ``pack`` a binary of 32-bit little-endian numbers; starts and ends are arrays of byte places in
-    the UTF-8 text, and span_bytes how many bytes the spans cover in all. Null texts count as empty: begin and end ids
+    the UTF-8 text, and span_bytes how many bytes the spans cover in all; decoded is what the library's decode makes of the ids. Null texts count as empty: begin and end ids
     alone. Bytes that aren't UTF-8 become U+FFFD one by one, as in the library. Rows that repeat, and null ids, are encoded
     as they stand; other columns are ignored; an empty table gives an empty result. ``model`` is a file that every
     executor has. Rows aren't shuffled.
     """
-    fields = [("doc_id", pa.int64()), ("ids", pa.binary() if pack else pa.list_(pa.int64()))] + [("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))] * spans + [("span_bytes", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("ids", pa.binary() if pack else pa.list_(pa.int64()))] + [("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))] * spans + [("span_bytes", pa.int64())] + [("decoded", pa.string())] * decoded
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load_model(model)
 
         def encoded(docs: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
-            rows = [(d, e.ids.astype("<u4").tobytes() if pack else e.ids, *([e.starts, e.ends] if spans else []), int((e.ends - e.starts).sum())) for d, e in zip(docs, own.encode(texts, begin, end), strict=True)]
+            rows = [(d, e.ids.astype("<u4").tobytes() if pack else e.ids, *([e.starts, e.ends] if spans else []), int((e.ends - e.starts).sum()), *([own.library.decode(e.ids.tolist())] if decoded else [])) for d, e in zip(docs, own.encode(texts, begin, end), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -286,7 +286,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             if docs:
                 yield encoded(docs, texts)
 
-    ddl = f"doc_id long, ids {'binary' if pack else 'array<long>'}, " + "starts array<long>, ends array<long>, " * spans + "span_bytes long"
+    ddl = f"doc_id long, ids {'binary' if pack else 'array<long>'}, " + "starts array<long>, ends array<long>, " * spans + "span_bytes long" + ", decoded string" * decoded
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string").cast("binary")).mapInArrow(run, ddl)
 
 

@@ -13,7 +13,7 @@ from .mixing import mix_oracle, plan_mix
 from .ngram_join import ngram_jaccard_components, ngram_oracle
 from .filters import audit_filters, audit_oracle, text_failures
 from .packing import byte_bpe_encoder, pack_documents
-from .pieces import decode_ids, encode_texts
+from .pieces import encode_texts
 from .repair import audit_conversations, damage, repair_oracle
 from .rules import quality_verdicts
 from .secrets import describe, find_secrets
@@ -103,9 +103,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str, path: Callable[[str], str] = public_path) -> DataFrame:
     model = path("piece_bpe_32k.model")
-    encoded = encode_texts(_table(spark, sf_dir, "documents"), model, spans=False, pack=True)
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), model, spans=False, pack=True, decoded=True)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return decode_ids(encoded, model).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), sha(F.col("ids")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), "span_bytes")
+    return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), sha(F.col("ids")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), "span_bytes")
 
 
 def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
