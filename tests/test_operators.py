@@ -312,3 +312,28 @@ def test_clustering_sweep(spark):
     r = inference.clustering_sweep(df, df.where("id < 30"), 0.5, (1.0,), 40, 3).first()
     assert r["p_biggest"] > 0.05
     assert r["clusters"] == 0 or r["rms_r"] > 0
+
+
+def test_outline_seed_recovers_pairs(spark):
+    """A leaning column that is stretched, shifted and widened by more than the tolerance: without a seed hardly a pair is right, with it all are."""
+    draw = np.random.default_rng(12)
+    n = 600
+    z, r, t = draw.uniform(0, 10, n), np.sqrt(draw.random(n)), draw.uniform(0, 2 * np.pi, n)
+    a = np.stack([z, 3 + 0.1 * z + r * np.cos(t), 2 - 0.05 * z + r * np.sin(t)], axis=1)
+    mid = np.stack([3 + 0.1 * z, 2 - 0.05 * z], axis=1)
+    wide = 1.3 + 0.05 * z
+    b = np.column_stack([5 + 1.2 * z, mid + [2.0, -1.0] + (a[:, 1:] - mid) * wide[:, None]]) + draw.normal(scale=0.003, size=(n, 3))
+    frame = lambda p: spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, z double, y double, x double")
+    source, target = frame(a), frame(b)
+    seed = field.outline_seed(source, target, 6, 30)
+    follow = lambda start: spatial.follow(source, target, 0.25, 8, 4, 10, 0.3, start)
+    right = lambda found: sum(r["a"] == r["b"] for r in found.collect())
+    assert right(follow(seed)) > 0.9 * n > 10 * right(follow(None))
+    few = field.outline_seed(source.limit(3), target, 6, 30).collect()
+    assert len(few) == 3 and all(r["sy"] == 0 and r["sx"] == 0 for r in few)
+
+
+def test_edges_are_kept_by_scan(spark):
+    edges = spark.createDataFrame([(1, 5.0, 5.0), (1, 5.0, None), (1, 6.0, 6.0), (2, 9.0, 9.0), (None, 7.0, 7.0), (None, 8.0, 8.0)], "scan int, length double, thick double")
+    got = sorted(((r["scan"], r["length"]) for r in graph.kept_edges(edges, 5.0, 5.0, 2).collect()), key=str)
+    assert got == sorted([(1, 5.0), (1, 6.0), (None, 7.0), (None, 8.0)], key=str)

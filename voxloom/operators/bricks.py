@@ -71,6 +71,33 @@ def distance_transform(vox: DataFrame, mask: str) -> DataFrame:
     return flat.groupBy("scan", "y").applyInPandas(planes, "scan int, z int, y int, x int, d double").where("d < double('inf')")
 
 
+def _apart(vox: DataFrame, inside: str, radius: float) -> DataFrame:
+    """(scan, z, y, x): voxels of ``vox`` with ``inside`` that lie further than ``radius`` from all others of the data; where there are no others, all of them."""
+    own = vox.where(inside).select("scan", *AXES)
+    near = distance_transform(vox, inside).where(F.col("d") <= radius)
+    return own.join(near.select("scan", *AXES), ["scan", *AXES], "left_anti")
+
+
+def _widened(vox: DataFrame, inside: str, radius: float) -> DataFrame:
+    """``vox`` with the boolean column ``wide``: whether ``inside`` holds at most ``radius`` away."""
+    far = _apart(vox.withColumn("__out", ~F.col(inside)), "__out", radius).withColumn("__far", F.lit(True))
+    return vox.join(far, ["scan", *AXES], "left").withColumn("wide", F.col("__far").isNull()).drop("__far")
+
+
+def closed(vox: DataFrame, inside: str, radius: float) -> DataFrame:
+    """(scan, z, y, x): closing of the voxels where the boolean column ``inside`` holds, by a ball, from exact distances. What lies outside of the data counts
+    neither as inside nor as outside."""
+    return _apart(_widened(vox.select("scan", *AXES, inside), inside, radius), "wide", radius)
+
+
+def opened(vox: DataFrame, inside: str, radius: float) -> DataFrame:
+    """(scan, z, y, x): opening by a ball, as ``closed``."""
+    own = vox.select("scan", *AXES, inside)
+    kept = _apart(own, inside, radius).withColumn("__kept", F.lit(True))
+    thin = own.join(kept, ["scan", *AXES], "left").withColumn("__kept", F.coalesce("__kept", F.lit(False)))
+    return _widened(thin, "__kept", radius).where("wide").select("scan", *AXES)
+
+
 def label(mask: np.ndarray, connectivity: int = 6) -> np.ndarray:
     """Components numbered from 1 in raster order."""
     moves = [o for o in (_SIX if connectivity == 6 else _ALL) if o > (0,) * 3] if mask.ndim == 3 else [o for o in itertools.product((-1, 0, 1), repeat=2) if o > (0, 0) and (connectivity != 6 or sum(map(abs, o)) == 1)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.geometry import solve3
 from voxloom.operators.spatial import AXES
+from voxloom.operators.stats import exact_summary
 
 
 def gradient(points: DataFrame, near: DataFrame) -> DataFrame:
@@ -74,13 +75,54 @@ def affine_seed(before: DataFrame, after: DataFrame, low: float = 0.02, high: fl
     def shape(df: DataFrame, tag: str) -> DataFrame:
         mid = df.agg(F.avg("y").alias("my"), F.avg("x").alias("mx"))
         r2 = (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")) + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))
-        return df.crossJoin(F.broadcast(mid)).agg(F.percentile("z", F.lit(low)).alias(f"{tag}0"), F.percentile("z", F.lit(high)).alias(f"{tag}1"), F.sqrt(F.avg(r2)).alias(f"{tag}r"))
+        ends = exact_summary(df, {f"{tag}0": ("z", low), f"{tag}1": ("z", high)})
+        return df.crossJoin(F.broadcast(mid)).agg(F.sqrt(F.avg(r2)).alias(f"{tag}r")).crossJoin(F.broadcast(ends))
 
-    both = shape(before, "a").crossJoin(shape(after, "b"))
+    both = shape(before, "a").crossJoin(F.broadcast(shape(after, "b")))
     stretch = F.try_divide(F.col("b1") - F.col("b0"), F.col("a1") - F.col("a0"))
     return both.select(stretch.alias("stretch_z"), (F.col("b0") - stretch * F.col("a0")).alias("shift_z"), F.try_divide("br", "ar").alias("stretch_r"))
 
 
+def outline(points: DataFrame, bands: int = 40, least: int = 50, share: float = 0.98) -> DataFrame:
+    """(h, cy, cx, r): axis and outer radius of a cloud (z, y, x) per band of height: medians, and the ``share`` percentile of the distance from them, at the
+    band's middle. Bands are of equal height; those with fewer than ``least`` points are left out."""
+    ends = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    width = (F.col("z1") - F.col("z0")) / bands
+    band = F.when(width > 0, F.least(F.floor((F.col("z") - F.col("z0")) / width), F.lit(bands - 1))).otherwise(F.lit(0)).cast("int")
+    own = points.select("z", "y", "x").crossJoin(F.broadcast(ends)).withColumn("band", band)
+    full = own.groupBy("band").agg(F.count("*").alias("n"), F.first(F.col("z0") + (F.col("band") + 0.5) * width).alias("h")).where(F.col("n") >= least)
+    axis = full.join(exact_summary(own, {"cy": ("y", 0.5), "cx": ("x", 0.5)}, ["band"]), "band")
+    off = own.join(axis, "band").withColumn("__d", F.sqrt((F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))))
+    return axis.join(exact_summary(off, {"r": ("__d", share)}, ["band"]), "band").select("h", "cy", "cx", "r")
+
+
+def _between(at: Column, knots: Column, field: str) -> Column:
+    """Linear interpolation of a field of sorted knots (h, ...), clamped at the ends."""
+    low = F.size(F.filter(knots, lambda k: k["h"] <= at)) - 1
+    a = F.get(knots, F.greatest(low, F.lit(0)))
+    b = F.get(knots, F.least(low + 1, F.size(knots) - 1))
+    inside = (low >= 0) & (low + 1 < F.size(knots))
+    return F.when(inside, a[field] + (b[field] - a[field]) * (at - a["h"]) / (b["h"] - a["h"])).when(low < 0, a[field]).otherwise(b[field])
+
+
+def outline_seed(source: DataFrame, target: DataFrame, bands: int = 40, least: int = 50) -> DataFrame:
+    """(id, z, y, x, sz, sy, sx): points of ``source`` with the shift that its outline's change to that of ``target`` predicts: heights stretch with the
+    extents, the axis moves with height, and distances from it scale with the outer radius there. The outlines have a row a band; clouds of fewer points than
+    a band needs have no outline, and then only the height is stretched."""
+    knots = lambda df, name: outline(df, bands, least).agg(F.sort_array(F.collect_list(F.struct("h", "cy", "cx", "r"))).alias(name))
+    ends = lambda df, tag: df.agg(F.min("z").alias(f"{tag}0"), F.max("z").alias(f"{tag}1"))
+    both = source.select("id", *AXES)
+    for small in (ends(source, "a"), ends(target, "b"), knots(source, "ka"), knots(target, "kb")):
+        both = both.crossJoin(F.broadcast(small))
+    rise = F.coalesce(F.try_divide(F.col("b1") - F.col("b0"), F.col("a1") - F.col("a0")), F.lit(1.0))
+    both = both.withColumn("pz", F.col("b0") + (F.col("z") - F.col("a0")) * rise)
+    of = lambda side, at, field: _between(F.col(at), F.col(side), field)
+    both = both.withColumn("f", F.coalesce(F.try_divide(of("kb", "pz", "r"), of("ka", "z", "r")), F.lit(1.0)))
+    for a in ("y", "x"):
+        both = both.withColumn(f"p{a}", F.coalesce(of("kb", "pz", f"c{a}") + (F.col(a) - of("ka", "z", f"c{a}")) * F.col("f"), F.col(a)))
+    return both.select("id", *AXES, *[(F.col(f"p{a}") - F.col(a)).alias(f"s{a}") for a in AXES])
+
+
 def delaunay(p: np.ndarray) -> np.ndarray:
     """Tetrahedra (n, 4) of a point set, by insertion: cells whose sphere holds the new point are opened and closed again over its faces.
 

@@ -49,6 +49,13 @@ def degree(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
     return nodes.select(id_col).join(ends, id_col, "left").select(id_col, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def kept_edges(edges: DataFrame, least_length: float, least_thick: float, least: int = 1) -> DataFrame:
+    """``edges`` (scan, length, thick, ...) that are long and thick enough, of the scans in which at least that many are left. A missing measure isn't enough."""
+    kept = edges.where((F.col("length") >= least_length) & (F.col("thick") >= least_thick))
+    full = kept.groupBy("scan").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(F.col("scan").alias("__scan"))
+    return kept.join(full, F.col("scan").eqNullSafe(F.col("__scan")), "left_semi")
+
+
 def network_diff(before: DataFrame, after: DataFrame, mapping: DataFrame) -> DataFrame:
     """(a, b, na, nb, thick_before, thick_after, side): each edge of ``before`` with its image, and the edges of ``after`` that are none's image.
 

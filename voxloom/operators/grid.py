@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -203,13 +203,35 @@ def mode_blocks(vox: DataFrame, code: str, k: int) -> DataFrame:
     return counts.groupBy("scan", *AXES).agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code"))
 
 
-def neighbourhood(vox: DataFrame, value: str, radius: int, how, out: str) -> DataFrame:
-    """``how`` over the values in the cube around each voxel, fewer at the ends."""
-    cube = list(itertools.product(range(-radius, radius + 1), repeat=3))
-    near = shifted(vox, cube, [value]).groupBy(*KEY).agg(how(F.col(value)).alias(out))
+def neighbourhood(vox: DataFrame, value: str, radius: int, how: Callable[[np.ndarray], np.ndarray], out: str, brick: int = 32) -> DataFrame:
+    """``vox`` with ``how`` over the values in the cube around each voxel, fewer at the ends. Voxels go to the bricks whose rim they are in, so about one copy
+    of each is shuffled; a group is one brick. ``how`` maps (cells of the cube, voxels), missing ones NaN and last, to a value a voxel."""
+    spread = vox.select(*KEY, F.col(value).cast("double").alias("v"))
+    for a in AXES:
+        spread = spread.withColumn(f"b{a}", F.explode(F.sequence(F.floor((F.col(a) - radius) / brick), F.floor((F.col(a) + radius) / brick))))
+    cube = list(itertools.product(range(2 * radius + 1), repeat=3))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        n = brick + 2 * radius
+        at = np.stack([part[a].to_numpy() - int(part[f"b{a}"].iloc[0]) * brick + radius for a in AXES])
+        v = np.full((n, n, n), np.nan)
+        v[tuple(at)] = part.v
+        core = ((at >= radius) & (at < brick + radius)).all(axis=0)
+        place = at[:, core] - radius
+        near = np.stack([v[tuple(p + d for p, d in zip(place, o, strict=True))] for o in cube])
+        return part[core][[*KEY]].assign(**{out: how(np.sort(near, axis=0)) if core.any() else np.zeros(0)})
+
+    near = spread.groupBy("scan", *[f"b{a}" for a in AXES]).applyInPandas(one, f"scan int, z int, y int, x int, {out} double")
     return vox.join(near, [*KEY])
 
 
+def medians(near: np.ndarray) -> np.ndarray:
+    """Medians of sorted columns whose missing cells are last."""
+    n = (~np.isnan(near)).sum(axis=0)
+    row = np.arange(near.shape[1])
+    return (near[(n - 1) // 2, row] + near[n // 2, row]) / 2
+
+
 def local_maxima(vox: DataFrame, value: str, radius: int = 1) -> DataFrame:
     """Voxels with the largest value of their cube; plateaus count whole."""
     return max_filter(vox, value, radius, "__top").where(F.col(value) == F.col("__top")).drop("__top")

@@ -157,11 +157,14 @@ def chain(matches: Sequence[DataFrame], moves: Sequence[DataFrame]) -> DataFrame
     return out.select("id", *[f"u{a}" for a in AXES])
 
 
-def follow(source: DataFrame, target: DataFrame, tolerance: float, neighbours: int, max_rounds: int, least: int, cell: float) -> DataFrame:
+def follow(source: DataFrame, target: DataFrame, tolerance: float, neighbours: int, max_rounds: int, least: int, cell: float, start: DataFrame | None = None) -> DataFrame:
     """Match with a prediction that is refined: predict, match one to one, move each point by the median of its nearest accepted
-    neighbours, and again; stops when fewer than ``least`` match or nothing changes. Result: (a, b, d)."""
+    neighbours, and again; stops when fewer than ``least`` match or nothing changes. ``start`` has the first shifts (id, sz, sy, sx), such as those
+    of ``field.outline_seed``; without it they are 0. Result: (a, b, d)."""
     scratch = Scratch(source.sparkSession, "follow")
     guess = source.select("id", *AXES, *[F.lit(0.0).alias(f"s{a}") for a in AXES])
+    if start is not None:
+        guess = scratch.put(source.select("id", *AXES).join(start.select("id", *[f"s{a}" for a in AXES]), "id"), "start")
     best, count = None, -1
     for k in range(max_rounds):
         moved = guess.select("id", *[(F.col(a) + F.col(f"s{a}")).alias(a) for a in AXES])

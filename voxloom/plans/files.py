@@ -74,7 +74,10 @@ def brick_sums(spark: SparkSession, d: str) -> DataFrame:
     return inner.groupBy("scan", "bz", F.col("by").alias("by_"), "bx").agg(F.sum("v").cast("long").alias("total"))
 
 
-@query(f"WITH {VOXELS}, b AS (SELECT DISTINCT scan, (z // 8)::INTEGER AS bz, (y // 8)::INTEGER AS by_, (x // 8)::INTEGER AS bx FROM voxels) SELECT scan, bz, by_, bx, 512 AS cells FROM b")
+_RIMS = "spread AS (SELECT scan, grey, z // 8 AS bz, y // 8 AS by_, x // 8 AS bx, true AS core FROM voxels UNION ALL SELECT scan, grey, bz, by_, bx, false FROM (SELECT *, unnest(range((z - 2) // 8, (z + 2) // 8 + 1)) AS bz FROM (SELECT *, unnest(range((y - 2) // 8, (y + 2) // 8 + 1)) AS by_ FROM (SELECT *, unnest(range((x - 2) // 8, (x + 2) // 8 + 1)) AS bx FROM voxels))) WHERE bz >= 0 AND by_ >= 0 AND bx >= 0)"
+
+
+@query(f"WITH {VOXELS}, {_RIMS.replace('(z - 2) // 8', 'floor((z - 2) / 8.0)::INTEGER').replace('(y - 2) // 8', 'floor((y - 2) / 8.0)::INTEGER').replace('(x - 2) // 8', 'floor((x - 2) / 8.0)::INTEGER')}, m AS (SELECT scan, bz, by_, bx, sum(grey) / 1728 AS mean FROM spread WHERE NOT core GROUP BY 1, 2, 3, 4) SELECT scan, bz::INTEGER AS bz, by_::INTEGER AS by_, bx::INTEGER AS bx, 512 AS cells, count(*) FILTER (grey > mean) AS solid FROM spread JOIN m USING (scan, bz, by_, bx) WHERE core GROUP BY 1, 2, 3, 4")
 def brick_model(spark: SparkSession, d: str) -> DataFrame:
     """A model over halo bricks: here a threshold on the standardised grey; a class for every cell of a brick."""
 
@@ -85,14 +88,14 @@ def brick_model(spark: SparkSession, d: str) -> DataFrame:
 
     halo = volumes.bricked(voxels(spark, d)[0], "grey", 8, 2)
     got = bricks.predict_bricks(halo, model, 2)
-    return got.select("scan", "bz", F.col("by").alias("by_"), "bx", F.size(F.filter("classes", lambda c: c.isin(0, 1))).alias("cells"))
+    return got.select("scan", "bz", F.col("by").alias("by_"), "bx", F.size("classes").alias("cells"), F.size(F.filter("classes", lambda c: c == 1)).cast("long").alias("solid"))
 
 
-@query("SELECT 'a' AS frame, count(*) AS scans, 4 AS nz FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
+@query("WITH s AS (SELECT l_linenumber AS scan, count(DISTINCT l_returnflag) AS nz, count(DISTINCT l_linestatus) AS ny, count(DISTINCT l_orderkey % 5) AS nx FROM lineitem GROUP BY 1) SELECT 'a' AS frame, count(*) AS scans, min(nz) AS nz, max(ny) AS ny, sum(nx)::BIGINT AS nx FROM s")
 def frame_guard(spark: SparkSession, d: str) -> DataFrame:
     """Scans of one frame and shape pass; others raise an error."""
-    shapes = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("scan")).distinct().select("scan", F.lit("a").alias("frame"), F.lit(4).alias("nz"), F.lit(5).alias("ny"), F.lit(6).alias("nx"))
-    return grid.checked_frames(shapes).groupBy("frame").agg(F.count("*").alias("scans"), F.max("nz").alias("nz"))
+    shapes = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("scan")).agg(F.count_distinct("l_returnflag").alias("nz"), F.count_distinct("l_linestatus").alias("ny"), F.count_distinct(F.col("l_orderkey") % 5).alias("nx"))
+    return grid.checked_frames(shapes.withColumn("frame", F.lit("a"))).groupBy("frame").agg(F.count("*").alias("scans"), F.min("nz").alias("nz"), F.max("ny").alias("ny"), F.sum("nx").alias("nx"))
 
 
 @query(f"WITH {VOXELS} SELECT scan, z, count(*) AS n, sum(phase)::BIGINT AS phases, sum(phase * (1 + (y * edge + x) % 97))::BIGINT AS places FROM voxels GROUP BY 1, 2")
@@ -219,10 +222,10 @@ def latex_lines(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, x) for k, x in enumerate(body)], "row int, line string")
 
 
-@query(f"WITH {VOXELS}, m AS (SELECT scan, z, y, x FROM voxels WHERE phase = 3 AND z < 4), o(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)), i AS (SELECT a.scan, count(*) AS c FROM m a, o, m b WHERE b.scan = a.scan AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1) SELECT scan, 2 * (6 * n - c) AS triangles FROM (SELECT scan, count(*) AS n FROM m GROUP BY 1) JOIN i USING (scan)")
+@query(f"WITH {VOXELS}, m AS (SELECT scan, z, y, x FROM voxels WHERE phase = 3), o(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)), i AS (SELECT a.scan, count(*) AS c FROM m a, o, m b WHERE b.scan = a.scan AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1) SELECT scan, 2 * (6 * n - c) AS triangles FROM (SELECT scan, count(*) AS n FROM m GROUP BY 1) JOIN i USING (scan)")
 def stl_meshes(spark: SparkSession, d: str) -> DataFrame:
-    """Outer faces of the first slices as binary meshes, a file per scan: a reduced mesh is one task's work."""
-    mesh = sinks.face_triangles(voxels(spark, d)[0].where("phase = 3 and z < 4"))
+    """Outer faces as binary meshes, a file per scan: a reduced mesh is one task's work."""
+    mesh = sinks.face_triangles(voxels(spark, d)[0].where("phase = 3"))
     return sinks.write_stl(mesh, _folder(spark, "stl")).select("scan", "triangles")
 
 

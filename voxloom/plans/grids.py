@@ -110,13 +110,13 @@ def local_maxima(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(quantile_cont(b.grey, 0.5), 4) AS median FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4")
 def median_filter(spark: SparkSession, d: str) -> DataFrame:
-    return grid.neighbourhood(voxels(spark, d), "grey", 1, lambda v: F.percentile(v, F.lit(0.5)), "median").select(*KEY, F.round("median", 4).alias("median"))
+    return grid.neighbourhood(voxels(spark, d), "grey", 1, grid.medians, "median").select(*KEY, F.round("median", 4).alias("median"))
 
 
 @query(f"WITH {VOXELS}, {_CUBE} SELECT a.scan, a.z, a.y, a.x, round(stddev_pop(b.grey), 3) AS texture FROM {_beside('voxels', 'cube', 'voxels')} GROUP BY 1, 2, 3, 4")
 def texture(spark: SparkSession, d: str) -> DataFrame:
     """Local deviation in a box."""
-    return grid.neighbourhood(voxels(spark, d), "grey", 1, F.stddev_pop, "texture").select(*KEY, F.round("texture", 3).alias("texture"))
+    return grid.neighbourhood(voxels(spark, d), "grey", 1, lambda v: np.nanstd(v, axis=0), "texture").select(*KEY, F.round("texture", 3).alias("texture"))
 
 
 _STAR = "star(dz, dy, dx) AS (VALUES (0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0))"
@@ -264,12 +264,12 @@ def label_territory(spark: SparkSession, d: str) -> DataFrame:
     return own.where("label = 0").select(*KEY).join(best, KEY)
 
 
-@query(f"WITH {VOXELS}, c AS (SELECT label, CASE WHEN count(*) >= 290 THEN 'large' ELSE 'small' END AS class FROM voxels WHERE scan = 0 AND label > 0 GROUP BY 1) SELECT scan, coalesce(class, 'none') AS class, count(*) AS n FROM voxels LEFT JOIN c USING (label) GROUP BY 1, 2")
+@query(f"WITH {VOXELS}, c AS (SELECT scan, label, CASE WHEN count(*) >= 290 THEN 'large' ELSE 'small' END AS class FROM voxels WHERE label > 0 GROUP BY 1, 2) SELECT scan, coalesce(class, 'none') AS class, count(*) AS n FROM voxels LEFT JOIN c USING (scan, label) GROUP BY 1, 2")
 def class_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Classes of labels painted back on the voxels."""
     own = voxels(spark, d)
-    k = own.where("scan = 0 and label > 0").groupBy("label").agg(F.when(F.count("*") >= 290, "large").otherwise("small").alias("class"))
-    return own.join(k, "label", "left").groupBy("scan", F.coalesce("class", F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
+    k = own.where("label > 0").groupBy("scan", "label").agg(F.when(F.count("*") >= 290, "large").otherwise("small").alias("class"))
+    return own.join(k, ["scan", "label"], "left").groupBy("scan", F.coalesce("class", F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {VOXELS}, s AS (SELECT dy * dy + dx * dx AS r2, * FROM (SELECT y - (edge - 1) / 2.0::DOUBLE AS dy, x - (edge - 1) / 2.0::DOUBLE AS dx, * FROM voxels)), b AS (SELECT scan, floor((degrees(atan2(dy, dx)) + 180) / 30)::INTEGER AS sector, min(sqrt(r2)) FILTER (WHERE phase = 3) AS r FROM s GROUP BY 1, 2) SELECT scan, round(median(r), 6) AS bore FROM b GROUP BY 1")
@@ -306,6 +306,23 @@ def closed_envelope(spark: SparkSession, d: str) -> DataFrame:
     return bricks.envelope(voxels(spark, d).withColumn("m", F.col("phase") == 3), "m", 2.0, 1.0)
 
 
+_BALL = "ball AS (SELECT p AS dz, q AS dy, r AS dx FROM range(-1, 2) a(p), range(-1, 2) b(q), range(-1, 2) c(r) WHERE p * p + q * q + r * r <= 1)"
+_SOLID = "m AS MATERIALIZED (SELECT scan, z, y, x FROM voxels WHERE phase = 3), air AS MATERIALIZED (SELECT scan, z, y, x FROM voxels WHERE phase <> 3)"
+
+
+def _within(of: str, near: str) -> str:
+    """SQL: the places of one relation that lie in a ball round one of another."""
+    return f"(SELECT DISTINCT a.scan, a.z, a.y, a.x FROM {_beside(of, 'ball', near)})"
+
+
+@query(f"WITH {VOXELS}, {_BALL}, {_SOLID}, wide AS MATERIALIZED (SELECT * FROM {_within('voxels', 'm')}), rest AS MATERIALIZED (SELECT scan, z, y, x FROM voxels ANTI JOIN wide USING (scan, z, y, x)), closed AS (SELECT * FROM wide ANTI JOIN {_within('wide', 'rest')} USING (scan, z, y, x)), thin AS MATERIALIZED (SELECT * FROM m ANTI JOIN {_within('m', 'air')} USING (scan, z, y, x)), opened AS (SELECT * FROM {_within('voxels', 'thin')}) SELECT 'closed' AS kind, scan, z, y, x FROM closed UNION ALL SELECT 'opened', scan, z, y, x FROM opened")
+def opened_closed(spark: SparkSession, d: str) -> DataFrame:
+    """Opening and closing of the solid by a ball of one voxel, inside of the scan."""
+    own = voxels(spark, d).withColumn("m", F.col("phase") == 3)
+    made = [f(own, "m", 1.0).select(F.lit(name).alias("kind"), *KEY) for name, f in (("closed", bricks.closed), ("opened", bricks.opened))]
+    return made[0].unionByName(made[1])
+
+
 _MASK = f"ext AS (SELECT scan, z, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM voxels GROUP BY 1, 2), disc(dz, dy, dx) AS (VALUES (0, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)), four AS (SELECT * FROM disc WHERE dy <> 0 OR dx <> 0), grown AS MATERIALIZED (SELECT DISTINCT scan, z, y + dy AS y, x + dx AS x FROM voxels, disc WHERE grey >= 20000), whole AS MATERIALIZED (SELECT a.scan, a.z, a.y, a.x, (a.y * 100000 + a.x)::BIGINT AS id FROM {_beside('grown', 'disc', 'grown')} JOIN ext e ON e.scan = a.scan AND e.z = a.z AND a.y BETWEEN y0 AND y1 AND a.x BETWEEN x0 AND x1 GROUP BY 1, 2, 3, 4 HAVING count(*) = 5), ways AS MATERIALIZED (SELECT a.scan, a.z, a.id AS a, b.id AS b FROM {_beside('whole', 'four', 'whole')}), part(scan, z, id, top) USING KEY (scan, z, id) AS (SELECT scan, z, id, id FROM whole UNION (SELECT w.scan, w.z, w.b, min(p.top) AS top FROM part p JOIN ways w ON w.scan = p.scan AND w.z = p.z AND w.a = p.id JOIN recurring.part k ON k.scan = w.scan AND k.z = w.z AND k.id = w.b WHERE p.top < k.top GROUP BY 1, 2, 3)), best AS (SELECT scan, z, arg_max(top, {{'n': n, 't': -top}}) AS top FROM (SELECT scan, z, top, count(*) AS n FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2), shut AS MATERIALIZED (SELECT w.scan, w.z, w.y, w.x FROM whole w JOIN part p USING (scan, z, id) JOIN best b ON b.scan = p.scan AND b.z = p.z AND b.top = p.top)"
 
 

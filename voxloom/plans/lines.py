@@ -102,7 +102,7 @@ def layer_relative(spark: SparkSession, d: str) -> DataFrame:
     own = grains(spark, d)
     e = own.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     banded = own.crossJoin(F.broadcast(e)).withColumn("band", stats.bin_of(F.col("z"), F.col("lo"), F.col("hi"), 12))
-    m = banded.groupBy("band").agg(F.count("*").alias("n"), F.percentile("uz", F.lit(0.5)).alias("m"))
+    m = banded.groupBy("band").agg(F.count("*").alias("n")).join(stats.exact_summary(banded, {"m": ("uz", 0.5)}, ["band"]), "band")
     return banded.join(m, "band").select("id", "band", r6(F.when(F.col("n") > 20, F.col("uz") - F.col("m")).otherwise(F.col("uz"))).alias("uz"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
 from voxloom.operators import stats
+from voxloom.operators.graph import kept_edges
 from voxloom.operators.series import running_total
 from voxloom.plans.registry import query
 from voxloom.plans.standins import GRAINS, THROATS, edges, grains, table, throats
@@ -310,7 +311,8 @@ def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH m AS (SELECT l_linenumber % 2 AS scan, l_orderkey % 20 AS z, median(l_extendedprice) AS grain, quantile_cont(l_extendedprice, 0.05) AS pore FROM lineitem GROUP BY 1, 2), s AS (SELECT scan, median(grain) AS grain, median(pore) AS pore FROM m GROUP BY 1), p AS (SELECT a.grain - a.pore AS g0, a.pore AS p0, b.grain - b.pore AS g1, b.pore AS p1 FROM s a, s b WHERE a.scan = 0 AND b.scan = 1) SELECT round(g0 / g1, 6) AS gain, round(p0 - g0 / g1 * p1, 4) AS offset_, CASE WHEN abs(g0 / g1 - 1) <= 0.10 THEN 'skip' ELSE 'map' END AS verdict FROM p")
 def grey_landmarks(spark: SparkSession, d: str) -> DataFrame:
     """Linear map between two scans from two landmarks: medians of slices, then of the scan."""
-    z = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") % 2).alias("scan"), (F.col("l_orderkey") % 20).alias("z")).agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("grain"), F.percentile("l_extendedprice", F.lit(0.05)).alias("pore"))
+    own = table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).alias("scan"), (F.col("l_orderkey") % 20).alias("z"), "l_extendedprice")
+    z = stats.exact_summary(own, {"grain": ("l_extendedprice", 0.5), "pore": ("l_extendedprice", 0.05)}, ["scan", "z"])
     s = z.groupBy("scan").agg(F.percentile("grain", F.lit(0.5)).alias("grain"), F.percentile("pore", F.lit(0.5)).alias("pore"))
     one = s.groupBy().agg(*[F.max(F.when(F.col("scan") == k, F.col(n))).alias(f"{n}{k}") for k in (0, 1) for n in ("grain", "pore")])
     gain = (F.col("grain0") - F.col("pore0")) / (F.col("grain1") - F.col("pore1"))
@@ -466,8 +468,9 @@ _LONG = "s_acctbal >= 200 AND s_suppkey % 50 >= 5"
 @query(f"SELECT s_nationkey AS scan, count(*) AS n, count(*) FILTER (WHERE {_LONG}) AS kept FROM supplier GROUP BY 1 HAVING count(*) FILTER (WHERE {_LONG}) >= 5")
 def edge_filter(spark: SparkSession, d: str) -> DataFrame:
     """Edges that are long and thick enough; scans left with fewer than five are skipped."""
-    long = (F.col("s_acctbal") >= 200) & (F.col("s_suppkey") % 50 >= 5)
-    return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("scan")).agg(F.count("*").alias("n"), F.count_if(long).alias("kept")).where("kept >= 5")
+    own = table(spark, d, "supplier").select(F.col("s_nationkey").alias("scan"), F.col("s_acctbal").alias("length"), (F.col("s_suppkey") % 50).alias("thick"))
+    kept = kept_edges(own, 200.0, 5.0, 5).groupBy("scan").agg(F.count("*").alias("kept"))
+    return own.groupBy("scan").agg(F.count("*").alias("n")).join(kept, "scan")
 
 
 @query(f"WITH {THROATS}, s AS (SELECT *, CASE WHEN cover_a >= 0.5::DOUBLE THEN 3 ELSE 1 END AS phase FROM throats) SELECT specimen, scan, round(avg(gap_vox) FILTER (WHERE phase = 3) / nullif(stddev_pop(gap_vox) FILTER (WHERE phase = 3), 0), 6) AS snr, round(abs(avg(gap_vox) FILTER (WHERE phase = 3) - avg(gap_vox) FILTER (WHERE phase = 1)) / nullif(sqrt((var_pop(gap_vox) FILTER (WHERE phase = 3) + var_pop(gap_vox) FILTER (WHERE phase = 1)) / 2), 0), 6) AS cnr FROM s GROUP BY 1, 2")

@@ -178,6 +178,28 @@ def affine_seed(spark: SparkSession, d: str) -> DataFrame:
     return field.affine_seed(a, b).select(*[r6(F.col(k)).alias(k) for k in ("stretch_z", "shift_z", "stretch_r")])
 
 
+def _outline(name: str, scan: int) -> str:
+    """SQL: axis and outer radius per band of height."""
+    return f"{name}0 AS (SELECT *, least(floor((z - z0) / ((z1 - z0) / 8)), 7)::INTEGER AS band FROM (SELECT *, min(z) OVER () AS z0, max(z) OVER () AS z1 FROM grains WHERE scan = {scan})), {name}1 AS (SELECT band, any_value(z0 + (band + 0.5::DOUBLE) * ((z1 - z0) / 8)) AS h, median(y) AS cy, median(x) AS cx, any_value(z0) AS z0, any_value(z1) AS z1 FROM {name}0 GROUP BY 1 HAVING count(*) >= 10), {name} AS MATERIALIZED (SELECT h, cy, cx, quantile_cont(sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)), 0.98) AS r FROM {name}0 JOIN {name}1 USING (band) GROUP BY 1, 2, 3)"
+
+
+def _bent(at: str, knots: str, column: str) -> str:
+    """SQL: linear between the knots beside a height, clamped."""
+    one = lambda c, test, order: f"(SELECT {c} FROM {knots} k WHERE k.h {test} p.{at} ORDER BY k.h {order} LIMIT 1)"
+    a, b, ha, hb = one(column, "<=", "DESC"), one(column, ">", ""), one("h", "<=", "DESC"), one("h", ">", "")
+    return f"CASE WHEN {ha} IS NULL THEN {b} WHEN {hb} IS NULL THEN {a} ELSE {a} + ({b} - {a}) * (p.{at} - {ha}) / ({hb} - {ha}) END"
+
+
+_ENDS = "p AS (SELECT id, z, y, x, b0 + (z - a0) * ((b1 - b0) / (a1 - a0)) AS pz FROM (SELECT * FROM grains WHERE scan = 0), (SELECT min(z) AS a0, max(z) AS a1 FROM grains WHERE scan = 0), (SELECT min(z) AS b0, max(z) AS b1 FROM grains WHERE scan = 1))"
+
+
+@query(f"WITH {GRAINS}, {_outline('ka', 0)}, {_outline('kb', 1)}, {_ENDS}, w AS (SELECT *, {_bent('pz', 'kb', 'r')} / {_bent('z', 'ka', 'r')} AS f, {_bent('pz', 'kb', 'cy')} AS by_, {_bent('z', 'ka', 'cy')} AS ay, {_bent('pz', 'kb', 'cx')} AS bx, {_bent('z', 'ka', 'cx')} AS ax FROM p) SELECT id, round(pz - z, 6) AS sz, round(by_ + (y - ay) * f - y, 6) AS sy, round(bx + (x - ax) * f - x, 6) AS sx FROM w")
+def outline_seed(spark: SparkSession, d: str) -> DataFrame:
+    """Where the change of the outline between two scans puts each point: a start for matching."""
+    a, b = _scans(spark, d)
+    return field.outline_seed(a, b, 8, 10).select("id", *[r6(F.col(f"s{k}")).alias(f"s{k}") for k in "zyx"])
+
+
 @query()
 def followed_points(spark: SparkSession, d: str) -> DataFrame:
     """Matching with a prediction refined from accepted neighbours."""
@@ -209,11 +231,12 @@ def vacancy_clusters(spark: SparkSession, d: str) -> DataFrame:
     return graph.vacancies(grains(spark, d), 0.08, 0.2, 0.15, 3)
 
 
-@query(f"WITH {EDGES}, n AS (SELECT DISTINCT unnest([a, b]) AS id FROM edges), e AS (SELECT unnest([a, b]) AS id FROM edges WHERE scan = 0) SELECT n.id, count(e.id) AS degree FROM n LEFT JOIN e USING (id) GROUP BY 1")
+@query(f"WITH {EDGES}, n AS (SELECT DISTINCT unnest([a, b]) AS id FROM edges), e AS (SELECT scan, unnest([a, b]) AS id FROM edges) SELECT n.id, count(e.id) FILTER (scan = 0) AS degree, count(e.id) FILTER (scan = 1) AS degree_after FROM n LEFT JOIN e USING (id) GROUP BY 1")
 def degrees(spark: SparkSession, d: str) -> DataFrame:
     own = edges(spark, d)
     nodes = own.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return graph.degree(nodes, own.where("scan = 0"))
+    after = graph.degree(nodes, own.where("scan = 1")).withColumnRenamed("degree", "degree_after")
+    return graph.degree(nodes, own.where("scan = 0")).join(after, "id")
 
 
 _MAP = "map AS (SELECT a AS n, CASE WHEN a % 7 = 0 THEN NULL WHEN a % 11 = 0 THEN a + 1 ELSE a END AS image FROM (SELECT DISTINCT unnest([a, b]) AS a FROM edges))"
@@ -282,7 +305,7 @@ def calibrated_threshold(spark: SparkSession, d: str) -> DataFrame:
     near = spatial.radius_join(own, own, 0.3, keys=["label"]).where("a < b")
     r = own.select("id", "r")
     sep = near.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b").select("label", (F.col("d") - F.col("ra") - F.col("rb")).alias("sep"))
-    cut = sep.where("label = 0").agg(F.percentile("sep", F.lit(0.99)).alias("cut"))
+    cut = stats.exact_summary(sep.where("label = 0"), {"cut": ("sep", 0.99)})
     return sep.where("label <> 0").crossJoin(F.broadcast(cut)).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("sep") > F.col("cut")).alias("opened"), r6(F.first("cut")).alias("cut"))
 
 
