@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import graph, spatial
+from voxloom.operators import graph, neighbours, spatial
 
 
 def test_knn_reaches_a_far_outlier(spark):
     rows = [(k, 0.0, 0.0, 1e-4 * k) for k in range(6)] + [(6, 0.0, 0.0, 1e6)]
     df = spark.createDataFrame(rows, "id long, z double, y double, x double")
-    got = spatial.knn_join(df, df, 2, 1e-3, skip_self=True).collect()
+    got = neighbours.knn_join(df, df, 2, skip_self=True).collect()
     assert len(got) == 14
     assert [r["b"] for r in sorted((r for r in got if r["a"] == 6), key=lambda r: r["rank"])] == [5, 4]
 
@@ -27,3 +27,14 @@ def test_paths_stop_with_an_error(spark):
     assert graph.shortest_paths(spark.range(6), links, spark.range(1), max_rounds=5).count() == 6
     with pytest.raises(RuntimeError, match="after 4 rounds"):
         graph.shortest_paths(spark.range(6), links, spark.range(1), max_rounds=4)
+
+
+def test_rounds_of_neighbours_follow_the_tree(spark, monkeypatch):
+    """61 points, one of them far away: the tree is gone down once, whatever the distance."""
+    rows = [(k, 0.0, 1e-3 * (k % 7), 1e-4 * k) for k in range(60)] + [(60, 0.0, 0.0, 1e6)]
+    df = spark.createDataFrame(rows, "id long, z double, y double, x double")
+    tables = []
+    put = neighbours.Scratch.put
+    monkeypatch.setattr(neighbours.Scratch, "put", lambda self, frame, name: tables.append(name) or put(self, frame, name))
+    got = neighbours.knn_join(df, df, 3, skip_self=True).collect()
+    assert len(got) == 183 and sum(t.startswith("open") for t in tables) <= neighbours.LEVELS + 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import bricks, components, field, graph, grid, inference, series, spatial, stats
+from voxloom.operators import bricks, components, field, graph, grid, inference, neighbours, series, spatial, stats
 from voxloom.schema import ingest
 
 
@@ -24,14 +24,36 @@ def test_radius_and_knn_match_brute_force(spark):
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     got = {(r["a"], r["b"]) for r in spatial.radius_pairs(df, 0.2).collect()}
     assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if d[i, j] <= 0.2}
-    near = spatial.knn_join(df, df, 7, 0.05, skip_self=True).collect()
+    near = neighbours.knn_join(df, df, 7, skip_self=True).collect()
     for i in range(150):
         assert [r["b"] for r in sorted((r for r in near if r["a"] == i), key=lambda r: r["rank"])] == [j for j in np.argsort(d[i], kind="stable") if j != i][:7]
 
 
+@pytest.mark.parametrize("cell_points", [2, 7, 32])
+def test_knn_of_keys_and_densities(spark, cell_points):
+    """A dense clump, a sparse cloud, repeats, a line and outliers; keys, missing ones too; another side than its own."""
+    draw = np.random.default_rng(5)
+    p = np.concatenate([draw.normal(scale=1e-3, size=(90, 3)), draw.uniform(-5, 5, (60, 3)), np.repeat(draw.uniform(-1, 1, (1, 3)), 20, axis=0), np.outer(np.linspace(0, 3, 30), [1, 0, 0]), [[1e5, 0, 0], [0, -3e6, 0]]])
+    keys = [None, "a", "b"]
+    rows = [(i, keys[i % 3], *map(float, q)) for i, q in enumerate(p)] + [(900, "a", None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, k string, z double, y double, x double")
+    other = df.where("id % 2 = 0")
+    for left, right, self_out in ((df, df, True), (other, df, False)):
+        got = {}
+        for r in neighbours.knn_join(left, right, 4, ["k"], skip_self=self_out, cell_points=cell_points).collect():
+            got.setdefault((r["k"], r["a"]), []).append((r["rank"], r["b"], r["d"]))
+        for i, q in enumerate(p):
+            if self_out or i % 2 == 0:
+                want = sorted((float(np.sqrt(((q - p[j]) ** 2).sum())), j) for j in range(len(p)) if j % 3 == i % 3 and not (self_out and j == i))[:4]
+                found = sorted(got[keys[i % 3], i])
+                assert [b for _, b, _ in found] == [j for _, j in want] and np.allclose([d for *_, d in found], [d for d, _ in want])
+        assert not any(a == 900 for _, a in got)
+    assert neighbours.knn_join(df.limit(0), df, 2).count() == 0 and neighbours.knn_join(df, df.limit(0), 2).count() == 0
+
+
 def test_knn_with_few_points(spark):
     df, _ = points(spark, 3, 1)
-    assert spatial.knn_join(df, df, 5, 1e-3, skip_self=True).count() == 6
+    assert neighbours.knn_join(df, df, 5, skip_self=True).count() == 6
 
 
 def test_missing_coordinates_pair_with_nothing(spark):
@@ -76,7 +98,7 @@ def test_uniform_gradient_is_recovered(spark):
     df, p = points(spark, 200, 3)
     h = np.array([[0.01, 0.002, 0.0], [-0.003, 0.02, 0.004], [0.001, 0.0, -0.01]])
     moved = df.select("*", *[sum((float(h[k, j]) * F.col(a) for j, a in enumerate("zyx")), F.lit(0.5)).alias(f"u{b}") for k, b in enumerate("zyx")])
-    got = field.gradient(moved, spatial.knn_join(df, df, 12, 0.1, skip_self=True)).collect()
+    got = field.gradient(moved, neighbours.knn_join(df, df, 12, skip_self=True)).collect()
     assert len(got) == 200
     for r in got:
         assert np.allclose([r[f"h{k}"] for k in range(9)], h.ravel(), atol=1e-9)
@@ -326,7 +348,7 @@ def test_outline_seed_recovers_pairs(spark):
     frame = lambda p: spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, z double, y double, x double")
     source, target = frame(a), frame(b)
     seed = field.outline_seed(source, target, 6, 30)
-    follow = lambda start: spatial.follow(source, target, 0.25, 8, 4, 10, 0.3, start)
+    follow = lambda start: spatial.follow(source, target, 0.25, 8, 4, 10, start)
     right = lambda found: sum(r["a"] == r["b"] for r in found.collect())
     assert right(follow(seed)) > 0.9 * n > 10 * right(follow(None))
     few = field.outline_seed(source.limit(3), target, 6, 30).collect()

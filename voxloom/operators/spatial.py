@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.geometry import distance2
+from voxloom.operators.neighbours import AXES, knn_join
 from voxloom.scratch import Scratch
 
-AXES = ("z", "y", "x")
-
 
 def _cells(df: DataFrame, edge: float, axes: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.floor(F.col(a) / F.lit(edge)).alias(f"__c{a}") for a in axes])
@@ -56,41 +55,6 @@ def neighbour_count(points: DataFrame, radius: float, keys: Sequence[str] = (),
     return points.select(*keys, id_col).join(near, [*keys, id_col], "left").select(*keys, id_col, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, keys: Sequence[str] = (), id_col: str = "id", skip_self: bool = False, rounds: int = 24) -> DataFrame:
-    """(keys, a, b, d, rank): for each point of ``left`` its k nearest of ``right``, ties to the smaller id.
-
-    Search starts within ``cell`` and the radius doubles for points that found fewer than k, until all have k or the radius has
-    passed the extent of the points; the last of ``rounds`` takes the extent at once. A point is done once k lie within the radius,
-    for all nearer ones do too.
-    """
-    scratch = Scratch(left.sparkSession, "knn")
-    by = Window.partitionBy(*keys, "a").orderBy("d", "b")
-    extent = left.select(*AXES).unionByName(right.select(*AXES)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
-    reach = sum((extent[a] or 0.0) ** 2 for a in AXES) ** 0.5
-    todo, radius, parts = left, cell, []
-    for step in range(rounds):
-        last = radius >= reach or step == rounds - 1
-        if last:
-            radius = max(radius, reach * (1 + 1e-9))
-        near = radius_join(todo, right, radius, keys, id_col)
-        if skip_self:
-            near = near.where("a <> b")
-        ranked = scratch.put(near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), f"near{step}")
-        if last:
-            parts.append(ranked)
-            break
-        full = ranked.groupBy(*keys, "a").agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
-        parts.append(ranked.join(full, [*keys, "a"], "left_semi"))
-        todo = scratch.put(todo.join(full.withColumnRenamed("a", id_col), [*keys, id_col], "left_anti"), f"todo{step}")
-        if todo.isEmpty():
-            break
-        radius *= 2
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def nearest_match(source: DataFrame, target: DataFrame, tolerance: float, keys: Sequence[str] = (), id_col: str = "id", closed: bool = False) -> DataFrame:
     """(keys, a, b, d): each source's nearest target below the tolerance; several sources may share one."""
     by = Window.partitionBy(*keys, "a").orderBy("d", "b")
@@ -157,7 +121,7 @@ def chain(matches: Sequence[DataFrame], moves: Sequence[DataFrame]) -> DataFrame
     return out.select("id", *[f"u{a}" for a in AXES])
 
 
-def follow(source: DataFrame, target: DataFrame, tolerance: float, neighbours: int, max_rounds: int, least: int, cell: float, start: DataFrame | None = None) -> DataFrame:
+def follow(source: DataFrame, target: DataFrame, tolerance: float, neighbours: int, max_rounds: int, least: int, start: DataFrame | None = None) -> DataFrame:
     """Match with a prediction that is refined: predict, match one to one, move each point by the median of its nearest accepted
     neighbours, and again; stops when fewer than ``least`` match or nothing changes. ``start`` has the first shifts (id, sz, sy, sx), such as those
     of ``field.outline_seed``; without it they are 0. Result: (a, b, d)."""
@@ -177,7 +141,7 @@ def follow(source: DataFrame, target: DataFrame, tolerance: float, neighbours: i
         count = n
         to = target.select(F.col("id").alias("b"), *[F.col(a).alias(f"t{a}") for a in AXES])
         accepted = scratch.put(source.join(found.withColumnRenamed("a", "id"), "id").join(to, "b").select("id", *AXES, *[(F.col(f"t{a}") - F.col(a)).alias(f"v{a}") for a in AXES]), f"a{k}")
-        near = knn_join(source, accepted, neighbours, cell)
+        near = knn_join(source, accepted, neighbours)
         shift = near.join(accepted.select(F.col("id").alias("b"), *[f"v{a}" for a in AXES]), "b").groupBy(F.col("a").alias("id")).agg(*[F.expr(f"percentile(v{a}, 0.5)").alias(f"s{a}") for a in AXES])
         guess = scratch.put(source.select("id", *AXES).join(shift, "id"), f"g{k}")
     return best

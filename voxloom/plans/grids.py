@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import bricks, grid, settle, stats
+from voxloom.operators import bricks, grid, mesh, settle, stats
 from voxloom.operators.graph import segments
 from voxloom.operators.watershed import distances, instances
 from voxloom.plans.registry import query
@@ -466,13 +466,48 @@ def tilted_cylinder(spark: SparkSession, d: str) -> DataFrame:
     return own.where(dy * dy + dx * dx <= edge * edge / 16.0).groupBy("scan", "phase").agg(F.count("*").alias("n"))
 
 
-@query()
+def _pieces() -> str:
+    """SQL: (t, inside, triangles, area) of each tetrahedron of a cell by the bits of its corners that lie inside: what is cut off are midpoints of its edges, a
+    triangle a quarter of the face it is parallel to, or a parallelogram between two opposite edges."""
+    rows = []
+    for t, tet in enumerate(mesh.TETRAHEDRA):
+        at = [np.array([c >> 2 & 1, c >> 1 & 1, c & 1]) for c in tet]
+        for bits in range(1, 15):
+            inside, rest = ([k for k in range(4) if bits >> k & 1 == x] for x in (1, 0))
+            few = min(inside, rest, key=len)
+            others = [k for k in range(4) if k not in few]
+            u, v = (at[few[1]] - at[few[0]], at[others[1]] - at[others[0]]) if len(few) == 2 else (at[others[1]] - at[others[0]], at[others[2]] - at[others[0]])
+            area = float(np.linalg.norm(np.cross(u, v))) / (4 if len(few) == 2 else 8)
+            rows.append(f"({t}, {bits}, {2 if len(few) == 2 else 1}, {area!r}::DOUBLE)")
+    return "pieces(t, inside, triangles, area) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_TETS = "tets(t, k, corner) AS (VALUES " + ", ".join(f"({t}, {k}, {c})" for t, tet in enumerate(mesh.TETRAHEDRA) for k, c in enumerate(tet)) + ")"
+_LATTICE = f"s AS (SELECT scan, z, y, x FROM voxels WHERE phase > 1), corners AS MATERIALIZED (SELECT scan, z - p AS z, y - q AS y, x - r AS x, 4 * p + 2 * q + r AS corner FROM s, range(2) a(p), range(2) b(q), range(2) c(r)), parts AS (SELECT scan, z, y, x, t, sum(1 << k) AS inside FROM corners JOIN tets USING (corner) GROUP BY 1, 2, 3, 4, 5), {_pieces()}, cut AS (SELECT scan, sum(triangles) AS triangles, sum(area) AS area FROM parts JOIN pieces USING (t, inside) GROUP BY 1)"
+
+
+@query(f"WITH {VOXELS}, {_TETS}, {_LATTICE} SELECT scan, round(area, 4) AS area FROM cut")
 def surface_areas(spark: SparkSession, d: str) -> DataFrame:
     """Area of the solid's surface by marching tetrahedra, brick by brick: what lies outside of the data is air."""
     got = bricks.surface_areas(voxels(spark, d).where("phase > 1"))
     return got.select("scan", F.round("area", 4).alias("area"))
 
 
+def _solid_mesh(spark: SparkSession, d: str) -> DataFrame:
+    own, edge = placed(spark, d)
+    return mesh.surface_mesh(own.where("phase > 1").select(*KEY, F.lit(1.0).alias("v")), "v", 0.5, (edge,) * 3)
+
+
+@query(f"WITH {VOXELS}, {_TETS}, {_LATTICE}, ways AS (SELECT p, q, r FROM range(2) a(p), range(2) b(q), range(2) c(r) WHERE p + q + r > 0), crossed AS (SELECT s.scan, count(*) AS n FROM (SELECT scan, z + p AS z, y + q AS y, x + r AS x FROM s, ways UNION ALL SELECT scan, z - p, y - q, x - r FROM s, ways) s ANTI JOIN s o ON o.scan = s.scan AND o.z = s.z AND o.y = s.y AND o.x = s.x GROUP BY 1) SELECT scan, triangles::BIGINT AS triangles, round(area, 4) AS area, n AS vertices, (triangles * 3 // 2)::BIGINT AS edges, (triangles * 3 // 2)::BIGINT AS closed FROM cut JOIN crossed USING (scan)")
+def surface_mesh(spark: SparkSession, d: str) -> DataFrame:
+    """The solid's surface as a mesh of shared vertices: every edge belongs to two triangles, which go along it in opposite directions."""
+    own = Scratch(spark, "mesh").put(_solid_mesh(spark, d), "mesh")
+    area = mesh.mesh_area(own).withColumn("area", F.round("area", 4))
+    points = mesh.mesh_vertices(own).groupBy("scan").agg(F.count("*").alias("vertices"))
+    edges = mesh.mesh_edges(own).groupBy("scan").agg(F.count("*").alias("edges"), F.count_if(F.expr("there = 1 and back = 1")).alias("closed"))
+    return area.join(points, "scan").join(edges, "scan")
+
+
 @query()
 def face_covers(spark: SparkSession, d: str) -> DataFrame:
     """How much of both faces of a throat is covered, on a grid three times as fine, and the class that follows."""

@@ -9,6 +9,7 @@ from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
 from voxloom.operators import field, graph, inference, spatial, stats
 from voxloom.operators.components import components
+from voxloom.operators.neighbours import knn_join
 from voxloom.plans.objects import _EIG
 from voxloom.plans.registry import query
 from voxloom.plans.standins import EDGES, GRAINS, edges, grains, table
@@ -99,7 +100,7 @@ _KNN = f"knn AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, sqrt({_D2}) AS d, r
 
 def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     own = grains(spark, d)
-    return spatial.knn_join(own, own, k, 0.1, skip_self=True)
+    return knn_join(own, own, k, skip_self=True)
 
 
 @query(f"WITH {GRAINS}, {_KNN} SELECT a, b, rank, round(d, 6) AS d FROM knn WHERE rank <= 5")
@@ -204,7 +205,7 @@ def outline_seed(spark: SparkSession, d: str) -> DataFrame:
 def followed_points(spark: SparkSession, d: str) -> DataFrame:
     """Matching with a prediction refined from accepted neighbours."""
     a, b = _scans(spark, d)
-    return spatial.follow(a, b, 0.1, 8, 3, 20, 0.1).select("a", "b", r6(F.col("d")).alias("d"))
+    return spatial.follow(a, b, 0.1, 8, 3, 20).select("a", "b", r6(F.col("d")).alias("d"))
 
 
 def _tree(pairs: str, nodes: str) -> str:
