@@ -285,8 +285,9 @@ def fragments_for(size: int, partitions: int) -> tuple[int, int]:
     return min(high, max(low, (size // FRAGMENT_BYTES).bit_length(), partitions.bit_length() + 1)), parts
 
 
-def shared_ngrams(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tag_col: str | None = None) -> DataFrame:
-    """Steps 1 to 3: a row per document, with (node, prefix, segments) only where a link is possible."""
+def shared_ngrams(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tag_col: str | None = None) -> DataFrame:
+    """Steps 1 to 3: a row per document, with (node, prefix, segments) only where a link is possible. What comes back from the fragments is written in
+    between, so that the n-grams that were sent there and the rows that are made of them never lie on disk at once."""
     text = F.col(text_col).cast("binary")
     size = plan_bytes(docs)
     if size is None:
@@ -297,7 +298,7 @@ def shared_ngrams(docs: DataFrame, id_col: str, text_col: str, width: int, perce
     tag = (F.lit(None) if tag_col is None else F.col(tag_col)).cast("long")
     texts = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), tag.alias("tag")).alias("key"), text.alias("text"))
     blocks = texts.mapInArrow(_postings(width, bits), _BLOCK_DDL)
-    kept = blocks.repartition(parts, "frag").groupBy("frag").applyInArrow(lambda t: _shared(t, 8 - bits // 8), _BLOCK_DDL)
+    kept = scratch.put(blocks.repartition(parts, "frag").groupBy("frag").applyInArrow(lambda t: _shared(t, 8 - bits // 8), _BLOCK_DDL), "kept")
     return kept.repartition(parts, "block").groupBy("block").applyInArrow(_ordered(percent, bits), _DOC_DDL)
 
 
@@ -372,7 +373,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     ``docs`` has to give the same rows per partition when a lost task is run again, as a file scan does.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
-    rows = scratch.put(shared_ngrams(docs, id_col, text_col, width, threshold_percent, tag_col), "rows")
+    rows = scratch.put(shared_ngrams(scratch, docs, id_col, text_col, width, threshold_percent, tag_col), "rows")
+    scratch.drop("kept")
     live = rows.where("node is not null")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))).alias("best")
     nodes = scratch.put(live.groupBy("node").agg(F.min("doc_id").alias("least"), best, F.count("*").alias("m"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("own").alias("own"), F.first("prefix").alias("prefix"), F.first("segments").alias("segments")), "nodes")
