@@ -225,8 +225,6 @@ def test_kernels():
     assert np.allclose(one[0, 0], 5.0) and np.allclose(one[3, 3], 2.0) and np.allclose(one[0, 1], 1.0)
     mixed, _ = bricks.homogenised(layers, {1: (1.0, 1.0), 2: (2.0, 2.0)}, 1e-6, 400)
     assert abs(mixed[0, 0] - 2 / (1 / 3 + 1 / 6)) < 1e-2 and abs(mixed[5, 5] - 2 / (1 + 1 / 2)) < 0.6
-    lab, grey = bricks.synthetic_grains((16, 16, 16), 6, (2, 4), 1)
-    assert lab.max() <= 6 and grey[lab > 0].mean() > grey[lab == 0].mean()
     z, y, x = np.ogrid[:48, :23, :23]
     left, right = (z - 11) ** 2 + (y - 11) ** 2 + (x - 11) ** 2 <= 100, (z - 36) ** 2 + (y - 11) ** 2 + (x - 11) ** 2 <= 100
     labels = np.where(left, 1, np.where(right, 2, 0))

@@ -534,16 +534,3 @@ def predict_bricks(bricks: DataFrame, model: Callable[[np.ndarray], np.ndarray],
             yield pd.DataFrame(rows, columns=["scan", "bz", "by", "bx", "classes"])
 
     return bricks.mapInPandas(run, "scan int, bz int, by int, bx int, classes array<int>")
-
-
-def synthetic_grains(shape: tuple[int, int, int], grains: int, radius: tuple[float, float], seed: int, power: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, grey) of a random packing of superellipsoids; where two overlap the first keeps the voxel."""
-    draw = np.random.default_rng(seed)
-    grid = np.stack(np.meshgrid(*[np.arange(n) for n in shape], indexing="ij"))
-    labels = np.zeros(shape, np.int64)
-    for k in range(1, grains + 1):
-        centre, axes = [draw.uniform(0, n) for n in shape], draw.uniform(*radius, 3)
-        inside = sum(np.abs((g - c) / a) ** power for g, c, a in zip(grid, centre, axes, strict=True)) <= 1
-        labels[inside & (labels == 0)] = k
-    grey = np.where(labels > 0, 200.0, 60.0) + draw.normal(0, 8, shape)
-    return labels, grey

@@ -278,11 +278,11 @@ def crack_split(gaps: DataFrame, envelope: DataFrame, shape: tuple[int, int, int
 
 
 def cubes(vox: DataFrame, phase: Column, shape: tuple[int, int], edge: int, many: int = 3, inside: float = 0.98) -> DataFrame:
-    """(scan, k, z, edge, n, phi): cubes at ``many`` heights (two or more) from 0.28 to 0.72 of each specimen, round the centroid of its middle slice, of which
-    more than ``inside`` is specimen; phi is the share of the phase in it.
+    """(scan, k, z, edge, n, phi, accepted): cubes at ``many`` heights (two or more) from 0.28 to 0.72 of each specimen, round the centroid of its middle slice; n is how
+    much of it is specimen, phi the share of the phase in that, NULL without any. A cube is accepted if it lies in the grid and more than ``inside`` of it is specimen.
 
     ``vox`` has the specimen's voxels alone, ``shape`` the extents in y and x. Slices with a quarter of the fullest one or less are cut off at the
-    ends. Edges are even and at most the height less 2; cubes that leave the grid are left out.
+    ends. Edges are even and at most the height less 2.
     """
     per = vox.groupBy("scan", "z").agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.avg("x").alias("x"))
     full = per.join(per.groupBy("scan").agg(F.max("n").alias("most")), "scan").where("n > 0.25 * most")
@@ -297,12 +297,13 @@ def cubes(vox: DataFrame, phase: Column, shape: tuple[int, int], edge: int, many
     held = (F.col("cz") >= F.col("h")) & (F.col("cz") + F.col("h") <= F.col("nz")) & (F.col("h") > 0)
     for c, n in zip(("cy", "cx"), shape, strict=True):
         held = held & (F.col(c) >= F.col("h")) & (F.col(c) + F.col("h") <= n)
-    at = at.where(held).withColumn("cz", F.col("cz") + F.col("low"))
+    at = at.withColumn("held", held).withColumn("cz", F.col("cz") + F.col("low"))
     both = vox.withColumn("__p", phase.cast("int")).join(at, "scan")
     for a in AXES:
         both = both.where((F.col(a) >= F.col(f"c{a}") - F.col("h")) & (F.col(a) < F.col(f"c{a}") + F.col("h")))
-    got = both.groupBy("scan", "k", F.col("cz").alias("z"), (F.col("h") * 2).alias("edge")).agg(F.count("*").alias("n"), F.avg("__p").alias("phi"))
-    return got.where(F.col("n") > inside * F.col("edge") * F.col("edge") * F.col("edge"))
+    got = both.groupBy("scan", "k").agg(F.count("*").alias("n"), F.avg("__p").alias("phi"))
+    every = at.select("scan", "k", F.col("cz").alias("z"), (F.col("h") * 2).alias("edge"), "held").join(got, ["scan", "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return every.withColumn("accepted", F.col("held") & (F.col("n") > inside * F.col("edge") * F.col("edge") * F.col("edge"))).drop("held")
 
 
 def framed(vox: DataFrame, shifts: DataFrame) -> DataFrame:

@@ -103,12 +103,15 @@ def read_slices(spark: SparkSession, path: str, pattern: str = r"(\d+)\.tiff?$",
 
 
 def paged(vox: DataFrame, value: str, ny: int, nx: int) -> DataFrame:
-    """(scan, z, ny, nx, payload): voxels as whole slices; places without a voxel are 0. A group is one slice."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(ny * nx - 1))).alias("at")
-    cells = vox.select("scan", "z", (F.col("y") * nx + F.col("x")).alias("at"), F.col(value).cast("double").alias("v"))
-    full = vox.select("scan", "z").distinct().select("scan", "z", at).join(cells, ["scan", "z", "at"], "left")
-    rows = full.groupBy("scan", "z").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("v", F.lit(0.0)).alias("v")))).alias("c"))
-    return rows.select("scan", "z", F.lit(ny).alias("ny"), F.lit(nx).alias("nx"), F.transform("c", lambda x: x["v"]).alias("payload"))
+    """(scan, z, ny, nx, payload): voxels as whole slices; places without a voxel are 0, slices without voxels are left out. A group is one slice, filled as an array."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        page = np.zeros(ny * nx)
+        page[part.y.to_numpy() * nx + part.x.to_numpy()] = part.v
+        return pd.DataFrame({"scan": part.scan.iloc[:1], "z": part.z.iloc[:1], "ny": ny, "nx": nx, "payload": [page]})
+
+    cells = vox.select("scan", "z", "y", "x", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    return cells.groupBy("scan", "z").applyInPandas(one, "scan int, z int, ny int, nx int, payload array<double>")
 
 
 def _put(uri: str, data: bytes) -> None:
