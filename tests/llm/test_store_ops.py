@@ -216,6 +216,26 @@ def test_chat(spark, sf_dir):
         assert (got[i]["loss_chars"], got[i]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_pieces_beyond_the_capacity_are_an_error(spark, monkeypatch):
+    from voxloom.llm import packing
+
+    pieces = spark.createDataFrame([(i, 0, 0, 3 + i % 5, i) for i in range(40)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with pytest.raises(ValueError, match="a piece of 7"):
+        packing.place_pieces(pieces, 6)
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 3)
+    placed = packing.place_pieces(pieces, 10).collect()
+    rooms = {}
+    for r in placed:
+        rooms.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(placed) == 40
+    for parts in rooms.values():
+        ends = 0
+        for offset, length in sorted(parts):
+            assert offset == ends
+            ends += length
+        assert ends <= 10
+
+
 def test_nothing_but_text_is_learned(spark):
     """Media between the texts of an assistant: the mask holds the texts alone."""
     part = "array<struct<type: string, text: string, ref: string, units: bigint>>"

@@ -22,6 +22,8 @@ from voxloom.scratch import Scratch
 
 from .columns import packed, unpacked
 
+#: Pieces of a bucket.
+BUCKET_ROWS = 1 << 20
 #: (length, first rank, pieces, pieces to a sequence, first sequence, offset of the first piece)
 Placement = tuple[int, int, int, int, int, int]
 
@@ -160,16 +162,20 @@ def byte_bpe_encoder(tokenizer_json: str, ranks_file: str | None = None, pattern
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (with doc_id, piece, start, length, ids_crc32) with sequence_id and offset beside its columns; columns of these two names are replaced, others may have any."""
+    """``pieces`` (with doc_id, piece, start, length, ids_crc32) with sequence_id and offset beside its columns; columns of these two names are replaced, others may have any.
+    A piece above the capacity is an error. Pieces of one length are ranked in buckets whose number follows that of all pieces."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     order = ["doc_id", "piece", "ids_crc32"]
-    marked = scratch.put(pieces.select(packed(names).alias("row"), "length", *order, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int").alias("bucket")), "pieces")
+    marked = scratch.put(pieces.select(packed(names).alias("row"), "length", *order, F.xxhash64(*order).alias("h")), "pieces")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // BUCKET_ROWS))
+    marked = marked.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")).drop("h")
     counts = scratch.put(marked.groupBy("length", "bucket").agg(F.count("*").alias("m")), "counts")
     #: At most one row per length.
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("m").alias("n")).collect()}
+    if max(total, default=0) > capacity:
+        raise ValueError(f"a piece of {max(total)} doesn't fit a sequence of {capacity}")
     plan = sorted(plan_packing(total, capacity))
     table = spark.sparkContext.broadcast(np.array(plan, np.int64).reshape(-1, 6))
 
