@@ -123,35 +123,62 @@ def outline_seed(source: DataFrame, target: DataFrame, bands: int = 40, least: i
     return both.select("id", *AXES, *[(F.col(f"p{a}") - F.col(a)).alias(f"s{a}") for a in AXES])
 
 
+def _first_cell(q: np.ndarray) -> np.ndarray:
+    """Four points far from one plane: an end, the point furthest from it, from their line, and from the plane of the three."""
+    a = int(q[:, 0].argmin())
+    b = int(((q - q[a]) ** 2).sum(axis=1).argmax())
+    line = np.cross(q - q[a], q[b] - q[a])
+    c = int((line * line).sum(axis=1).argmax())
+    d = int(np.abs((q - q[a]) @ line[c]).argmax())
+    return np.array([a, b, c, d])
+
+
 def delaunay(p: np.ndarray) -> np.ndarray:
     """Tetrahedra (n, 4) of a point set, by insertion: cells whose sphere holds the new point are opened and closed again over its faces.
 
-    A jitter of 1e-9 of the extent, from the points' numbers, settles points on one sphere. Fewer than four points give none.
+    Outside of the hull each of its faces has a cell that reaches to infinity, and is opened by points beyond the face's plane, so flat tetrahedra
+    at the hull aren't lost. A jitter of 1e-9 of the extent, from the points' numbers, settles points on one sphere. Fewer than four points, and
+    points of one plane, give none.
     """
     n = len(p)
     if n < 4:
         return np.zeros((0, 4), int)
     extent = float(np.ptp(p, axis=0).max()) or 1.0
     q = (p - p.mean(axis=0)) / extent + np.random.default_rng(0).normal(scale=1e-9, size=p.shape)
-    far = 60.0 * np.array([[1.0, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]])
-    every = np.vstack([q, far])
-    cells = np.array([[n, n + 1, n + 2, n + 3]])
+    first = _first_cell(q)
+    inner = q[first].mean(axis=0)
+    if abs(np.linalg.det(q[first[1:]] - q[first[0]])) < 1e-7:
+        return np.zeros((0, 4), int)
 
     def spheres(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a = every[t[:, 0]]
-        m = every[t[:, 1:]] - a[:, None]
+        m = q[t[:, 1:]] - q[t[:, :1]]
         c = np.linalg.solve(2 * m, (m * m).sum(axis=2)[..., None])[..., 0]
-        return a + c, (c * c).sum(axis=1)
+        return q[t[:, 0]] + c, (c * c).sum(axis=1)
+
+    def planes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Normals of hull faces, away from the inside, and their offsets."""
+        normal = np.cross(q[f[:, 1]] - q[f[:, 0]], q[f[:, 2]] - q[f[:, 0]])
+        normal *= np.where(((inner - q[f[:, 0]]) * normal).sum(axis=1) > 0, -1.0, 1.0)[:, None]
+        return normal, (normal * q[f[:, 0]]).sum(axis=1)
 
+    faces_of = lambda t: t[:, [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]].reshape(-1, 3)
+    cells = first[None]
+    hull = faces_of(cells)
     centre, r2 = spheres(cells)
-    for k in range(n):
-        inside = ((centre - every[k]) ** 2).sum(axis=1) < r2
-        faces = np.sort(cells[inside][:, [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]].reshape(-1, 3), axis=1)
-        once, count = np.unique(faces, axis=0, return_counts=True)
-        fresh = np.hstack([once[count == 1], np.full(((count == 1).sum(), 1), k)])
-        c, r = spheres(fresh)
-        cells, centre, r2 = np.vstack([cells[~inside], fresh]), np.vstack([centre[~inside], c]), np.concatenate([r2[~inside], r])
-    return cells[(cells < n).all(axis=1)]
+    normal, offset = planes(hull)
+    for k in np.setdiff1d(np.arange(n), first).tolist():
+        inside, beyond = ((centre - q[k]) ** 2).sum(axis=1) < r2, normal @ q[k] > offset
+        #: The point at infinity is called n.
+        open_ = np.concatenate([cells[inside], np.column_stack([hull[beyond], np.full(int(beyond.sum()), n)])])
+        once, count = np.unique(np.sort(faces_of(open_), axis=1), axis=0, return_counts=True)
+        once = once[count == 1]
+        outer = once[:, 2] == n
+        fresh = np.column_stack([once[~outer], np.full(int((~outer).sum()), k)])
+        sides = np.column_stack([once[outer][:, :2], np.full(int(outer.sum()), k)])
+        (c, r), (m, o) = spheres(fresh), planes(sides)
+        cells, centre, r2 = np.concatenate([cells[~inside], fresh]), np.concatenate([centre[~inside], c]), np.concatenate([r2[~inside], r])
+        hull, normal, offset = np.concatenate([hull[~beyond], sides]), np.concatenate([normal[~beyond], m]), np.concatenate([offset[~beyond], o])
+    return cells
 
 
 def tetra_gradients(points: DataFrame, key: str) -> DataFrame:
