@@ -1,9 +1,9 @@
 """Nearest neighbours through a tree of cells that follows the points' density.
 
-Points lie in the cells of a tree of boxes, each cut in four along every axis, down to where a cell holds few points. Cells of both sides go down
-the other side's tree together: a round joins each cell's open boxes with their children, and drops those that lie beyond the distance within
-which enough points are sure to be found. So rounds follow the depth of the tree, never the distances, and where points are dense or far apart doesn't
-matter. What is left for a cell, its own points and the points of the boxes it kept, is one group, solved as arrays.
+Points lie in the cells of a tree of boxes, each cut in two along every axis, down to where a cell holds few points. The trees of both sides are gone down
+together: a round replaces each pair of boxes by the pairs of their children, and drops those that lie further apart than the distance within
+which enough points are sure to be found. So rounds follow the depth of the trees, never the distances, where points are dense or far apart doesn't
+matter, and only the last rounds have many pairs. What is left for a cell, its own points and the points of the boxes it kept, is one group, solved as arrays.
 """
 
 from __future__ import annotations
@@ -19,28 +19,28 @@ from voxloom.operators.series import same_keys
 from voxloom.scratch import Scratch
 
 AXES = ("z", "y", "x")
-#: Points of a cell at most, unless it is of the last level; levels, each of two bits an axis.
-CELL_POINTS, LEVELS = 32, 9
+#: Points of a cell at most, unless it is of the last level; levels, each of a bit an axis.
+CELL_POINTS, LEVELS = 32, 18
 _BOX = [f"{e}{a}" for e in ("lo_", "hi_") for a in AXES]
 
 
 def _coded(df: DataFrame, ends: dict[str, float]) -> Column:
-    """The number of the smallest cell that a point is in: two bits an axis and level, the first level on top. What lies outside of the ends is in the outermost cells."""
+    """The number of the smallest cell that a point is in: a bit an axis and level, the first level on top. What lies outside of the ends is in the outermost cells."""
     places = []
     for a in AXES:
         low, high = ends[f"lo_{a}"], ends[f"hi_{a}"]
         share = (F.col(a) - low) / (high - low) if high > low else F.lit(0.0)
-        places.append(F.least(F.greatest(F.floor(share * (1 << 2 * LEVELS)), F.lit(0)), F.lit((1 << 2 * LEVELS) - 1)).cast("long"))
+        places.append(F.least(F.greatest(F.floor(share * (1 << LEVELS)), F.lit(0)), F.lit((1 << LEVELS) - 1)).cast("long"))
     code = F.lit(0).cast("long")
-    for level in range(LEVELS):
+    for level in range(LEVELS - 1, -1, -1):
         for p in places:
-            code = code * 4 + F.floor(p / (1 << 2 * (LEVELS - 1 - level))) % 4
+            code = code * 2 + F.shiftright(p, level).bitwiseAND(F.lit(1).cast("long"))
     return code.cast("long")
 
 
 def _node(code: Column, level: Column) -> Column:
     """One number for a cell of a level: its code, and the level in the last digits."""
-    return (F.call_function("shiftright", code, (6 * (F.lit(LEVELS) - level)).cast("int")) * 16 + level).cast("long")
+    return (F.call_function("shiftright", code, (3 * (F.lit(LEVELS) - level)).cast("int")) * 32 + level).cast("long")
 
 
 class CellTree:
@@ -65,15 +65,22 @@ class CellTree:
         scratch.drop(f"{name}-coded", f"{name}-every")
 
 
-def _kept(open_: DataFrame, keys: Sequence[str], need: int) -> DataFrame:
-    """Of each cell's open boxes those that may hold one of the nearest points: none that lies beyond the least distance within which enough points are sure to lie."""
-    nearest = sum((_squared(F.greatest(F.col(f"lo_{a}") - F.col(f"q_hi_{a}"), F.col(f"q_lo_{a}") - F.col(f"hi_{a}"), F.lit(0.0))) for a in AXES), F.lit(0.0))
-    furthest = sum((_squared(F.greatest(F.col(f"hi_{a}") - F.col(f"q_lo_{a}"), F.col(f"q_hi_{a}") - F.col(f"lo_{a}"))) for a in AXES), F.lit(0.0))
+def _down(tree: CellTree, keys: Sequence[str], name: str) -> DataFrame:
+    """(keys, name_up, name, name_leaf, name_n and the box): each box's children; a leaf is its own child."""
+    columns = [F.col("node").alias(name), F.col("leaf").alias(f"{name}_leaf"), F.col("n").alias(f"{name}_n"), *[F.col(c).alias(f"{name}_{c}") for c in _BOX]]
+    below = tree.nodes.where("parent is not null").select(*keys, F.col("parent").alias(f"{name}_up"), *columns)
+    return below.unionByName(tree.nodes.where("leaf").select(*keys, F.col("node").alias(f"{name}_up"), *columns))
+
+
+def _kept(pairs: DataFrame, keys: Sequence[str], need: int) -> DataFrame:
+    """Of each box's partners those that may hold one of the nearest points: none that lies beyond the least distance within which enough points are sure to lie."""
+    nearest = sum((_squared(F.greatest(F.col(f"r_lo_{a}") - F.col(f"q_hi_{a}"), F.col(f"q_lo_{a}") - F.col(f"r_hi_{a}"), F.lit(0.0))) for a in AXES), F.lit(0.0))
+    furthest = sum((_squared(F.greatest(F.col(f"r_hi_{a}") - F.col(f"q_lo_{a}"), F.col(f"q_hi_{a}") - F.col(f"r_lo_{a}"))) for a in AXES), F.lit(0.0))
     cell = Window.partitionBy(*keys, "q")
-    sure = F.sum("n").over(cell.orderBy("far", "node").rowsBetween(Window.unboundedPreceding, 0))
-    marked = open_.withColumns({"near": nearest, "far": furthest}).withColumn("sure", sure)
+    sure = F.sum("r_n").over(cell.orderBy("far", "r").rowsBetween(Window.unboundedPreceding, 0))
+    marked = pairs.select(*keys, "q", "q_leaf", "r", "r_leaf", "r_n", nearest.alias("near"), furthest.alias("far")).withColumn("sure", sure)
     bound = F.min(F.when(F.col("sure") >= need, F.col("far"))).over(cell)
-    return marked.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12))).drop("near", "far", "sure", "bound")
+    return marked.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12))).select(*keys, "q", "q_leaf", "r", "r_leaf")
 
 
 def _squared(x: Column) -> Column:
@@ -89,23 +96,24 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, keys: Sequence[str] = ()
     scratch = Scratch(left.sparkSession, "knn")
     both = left.select(*AXES).unionByName(right.select(*AXES))
     #: Far outliers don't make the cells coarse: beyond these ends all is in the outermost cells.
-    share = [0.001, 0.999]
+    share = [0.005, 0.995]
     ends_of = both.agg(*[F.percentile_approx(F.col(a).cast("double"), share, 10_000).alias(a) for a in AXES]).first()
     ends = {f"{e}{a}": ends_of[a][i] if ends_of[a] else 0.0 for i, e in enumerate(("lo_", "hi_")) for a in AXES}
     theirs = CellTree(scratch, right, ends, keys, id_col, cell_points, "right")
     ours = theirs if left is right else CellTree(scratch, left, ends, keys, id_col, cell_points, "left")
     need = k + bool(skip_self)
-    q = ours.nodes.where("leaf").select(*keys, F.col("node").alias("q"), *[F.col(c).alias(f"q_{c}") for c in _BOX])
-    open_ = same_keys(q, theirs.nodes.where("parent is null").drop("parent"), keys)
+    q_down, r_down = _down(ours, keys, "q"), _down(theirs, keys, "r")
+    top = lambda tree, name: tree.nodes.where("parent is null").select(*keys, F.col("node").alias(name), F.col("leaf").alias(f"{name}_leaf"))
+    open_ = same_keys(top(ours, "q"), top(theirs, "r"), keys)
     for step in range(LEVELS + 1):
-        open_ = scratch.put(_kept(open_, keys, need), f"open{step}")
-        rest = open_.where("not leaf")
-        if rest.isEmpty():
+        open_ = scratch.put(open_, f"open{step}")
+        if step:
+            scratch.drop(f"open{step - 1}")
+        if open_.where("not q_leaf or not r_leaf").isEmpty():
             break
-        down = same_keys(rest.drop("leaf", "n", *_BOX).withColumnRenamed("node", "parent"), theirs.nodes, [*keys, "parent"]).drop("parent")
-        open_ = open_.where("leaf").unionByName(down)
-    pairs = open_.select(*keys, "q", "node")
-    near = same_keys(pairs, theirs.points, [*keys, "node"]).select(*keys, "q", "id", *AXES, F.lit(False).alias("own"))
+        below = same_keys(open_.select(*keys, F.col("q").alias("q_up"), F.col("r").alias("r_up")), q_down, [*keys, "q_up"]).drop("q_up")
+        open_ = _kept(same_keys(below, r_down, [*keys, "r_up"]).drop("r_up"), keys, need)
+    near = same_keys(open_.select(*keys, "q", F.col("r").alias("node")), theirs.points, [*keys, "node"]).select(*keys, "q", "id", *AXES, F.lit(False).alias("own"))
     own = ours.points.select(*keys, F.col("node").alias("q"), "id", *AXES, F.lit(True).alias("own"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
