@@ -1,81 +1,58 @@
 """Resampling tests of clustering: what is observed against draws of as many points, at several neighbourhood sizes.
 
-Points aren't copied for their draws. Each has a bitmap of the draws that it is in, packed into words, and a pair of neighbours, found once at the
-largest size, lives in the draws of both. Whether a point is a core is counted from the bitmaps of its pairs, for all draws and sizes at once.
-A link of two cores exists from some size on, so sizes are gone through in order: the clusters of one are the nodes of the next, and only the links
-that are new there are followed.
+All draws are clustered at once, at all sizes. Points of a draw go to tiles of space with a rim of the largest size, so pairs of neighbours, which may be many for
+a point, are met inside of a task and never written. A first pass says from which size on a point is a core, a second one which cores are linked from
+which size on; of these links a tile gives only those that join something, so they are fewer than its points. Sizes are then gone through in
+order: the clusters of one are the nodes of the next, and only the links that are new there are followed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import components
-from voxloom.operators.spatial import AXES, pairs_within
+from voxloom.operators.spatial import AXES
 from voxloom.operators.stats import plane_fit, resampled
 from voxloom.scratch import Scratch
 
 #: Points that make a core, and that make a cluster a feature; draws; neighbourhoods in grain diameters: fixed values.
 MIN_POINTS, MIN_CLUSTER, DRAWS = 5, 6, 400
 SWEEP = (0.6, 0.8, 1.0, 1.25, 1.5, 2.0)
-#: Draws to a word, and the bits above a point's id in the id of the point in a draw.
-WORD, DRAW_BIT = 60, 1 << 40
+#: Edge of a tile in largest sizes, draws of a group, distances held at once, and the bits above a point's id in the id of the point in a draw.
+TILE, DRAWS_A_GROUP, HELD, DRAW_BIT = 4, 8, 1 << 22, 1 << 40
 
 
-def _words(draw: Column, n: int) -> list[Column]:
-    """For each of n words the draw's bit, or 0."""
-    return [F.when(F.floor(draw / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (draw % WORD).cast("int"))).otherwise(F.lit(0).cast("long")).alias(f"w{w}") for w in range(n)]
+def _tiled(points: DataFrame, reach: float, one: Callable[[np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
+    """``one`` over the draws of each tile: its points (draw, id, z, y, x, ...), of one draw at a time, with those of a rim of ``reach``. A group is some draws of one tile."""
+    spread, inside = points.withColumn("block", F.floor(F.col("draw") / DRAWS_A_GROUP)), F.lit(True)
+    for a in AXES:
+        tile = lambda shift, a=a: F.floor((F.col(a) + shift) / (TILE * reach))
+        spread = spread.withColumn(f"t{a}", F.explode(F.sequence(tile(-reach), tile(reach))))
+        inside = inside & (F.col(f"t{a}") == tile(0.0))
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = [one(own[list(AXES)].to_numpy(), own.own.to_numpy(bool), own) for _, own in part.groupby("draw", sort=False) if own.own.any()]
+        return pd.concat(found) if found else part.iloc[:0].reindex(columns=[c.split()[0] for c in ddl.split(", ")])
 
-def _core_words(n: int, sizes: int, min_points: int):
-    """Kernel: pairs in the order of their first point, with its words, to (id, level, words) of the points that are cores from a level on: the draws that
-    are new there. Counts of one point are held, whatever the number of its pairs."""
-    schema = pa.schema([("id", pa.int64()), ("level", pa.int32()), ("words", pa.list_(pa.int64()))])
-    weights = (np.int64(1) << np.arange(WORD, dtype=np.int64))
+    return spread.withColumn("own", inside).groupBy("block", *[f"t{a}" for a in AXES]).applyInPandas(run, ddl)
 
-    def bits(words: np.ndarray) -> np.ndarray:
-        return ((words[:, :, None] & weights) != 0).reshape(len(words), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, own = None, np.zeros((sizes, n * WORD), np.int64), np.zeros(n * WORD, bool)
-        out: list[tuple] = []
-
-        def closed() -> None:
-            core = (np.cumsum(held, axis=0) + 1 >= min_points) & own
-            new = core & ~np.concatenate((np.zeros((1, n * WORD), bool), core[:-1]))
-            for level in np.flatnonzero(new.any(axis=1)).tolist():
-                out.append((last, level, (new[level].reshape(n, WORD) * weights).sum(axis=1).tolist()))
-
-        for batch in batches:
-            ids, level = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            alive, mine = (np.stack([batch.column(2 + k * n + w).to_numpy() for w in range(n)], axis=1) for k in (0, 1))
-            edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
-            for a, b in zip(edges, edges[1:], strict=False):
-                if last != ids[a]:
-                    if last is not None:
-                        closed()
-                    last, held, own = int(ids[a]), np.zeros((sizes, n * WORD), np.int64), bits(mine[a : a + 1])[0]
-                np.add.at(held, level[a:b], bits(alive[a:b]).astype(np.int64))
-            if len(out) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out.clear()
-        if last is not None:
-            closed()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return run
-
-
-def _draws_of(words: Sequence[Column]) -> Column:
-    """The draws whose bits are set, as an array."""
-    places = lambda w, x: F.filter(F.transform(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.when(F.call_function("shiftright", x, i).bitwiseAND(F.lit(1)) == 1, i + w * WORD)), lambda i: i.isNotNull())
-    return F.flatten(F.array(*[F.when(x == 0, F.array().cast("array<int>")).otherwise(places(w, x)) for w, x in enumerate(words)]))
+def _near(places: np.ndarray, own: np.ndarray, eps: Sequence[float]):
+    """(first, second, level) of the pairs of an own point and another of a tile within the largest size, in blocks; level is the index of the least size."""
+    rows, squares = np.flatnonzero(own), np.array([e * e for e in eps])
+    step = max(1, HELD // max(1, len(places)))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        d2 = sum((places[some, i][:, None] - places[None, :, i]) ** 2 for i in range(3))
+        first, second = np.nonzero(d2 <= squares[-1])
+        apart = some[first] != second
+        first, second = first[apart], second[apart]
+        yield some[first], second, np.searchsorted(squares, d2[first, second])
 
 
 def draw_clusters(scratch: Scratch, points: DataFrame, member: DataFrame, draws: int, eps: Sequence[float], min_points: int = MIN_POINTS, least: int = MIN_CLUSTER) -> DataFrame:
@@ -87,47 +64,63 @@ def draw_clusters(scratch: Scratch, points: DataFrame, member: DataFrame, draws:
     """
     if list(eps) != sorted(eps):
         raise ValueError("sizes are given in rising order")
-    n = -(-draws // WORD)
-    names = [f"w{w}" for w in range(n)]
-    sets = member.select("id", *_words(F.col("draw"), n)).groupBy("id").agg(*[F.bit_or(w).alias(w) for w in names])
-    drawn = scratch.put(points.select("id", *AXES).join(sets, "id"), "drawn")
-    near = pairs_within(drawn, drawn, max(eps), keep=names).where("a <> b")
-    alive = [F.col(f"a_{w}").bitwiseAND(F.col(f"b_{w}")) for w in names]
-    level = F.when(F.lit(False), 0)
-    for k, e in enumerate(eps):
-        level = level.when(F.col("d2") <= float(e) * float(e), k)
-    pairs = near.select("a", "b", level.cast("int").alias("level"), *[x.alias(w) for x, w in zip(alive, names, strict=True)], *[F.col(f"a_{w}") for w in names])
-    some = F.lit(False)
-    for w in names:
-        some = some | (F.col(w) != 0)
-    pairs = scratch.put(pairs.where(some), "pairs")
-    cores = pairs.select("a", "level", *names, *[f"a_{w}" for w in names]).repartition("a").sortWithinPartitions("a").mapInArrow(_core_words(n, len(eps), min_points), "id long, level int, words array<long>")
     if min_points <= 1:
         raise ValueError("a core needs another point within reach")
-    cores = scratch.put(cores, "cores")
-    #: From which size on a point is a core in a draw.
-    since = scratch.put(cores.select("id", "level", F.explode(_draws_of([F.get("words", F.lit(w)) for w in range(n)])).alias("draw")).withColumn("pid", F.col("draw").cast("long") * DRAW_BIT + F.col("id")).select("pid", F.col("level").alias("since")), "since")
-    any_core = cores.select(F.col("id").alias("b")).distinct()
-    lives = pairs.join(any_core, "b", "left_semi").select("a", "b", "level", F.explode(_draws_of([F.col(w) for w in names])).alias("draw"))
-    lives = lives.select(*[(F.col("draw").cast("long") * DRAW_BIT + F.col(c)).alias(c) for c in ("a", "b")], "level")
-    ends = lives.join(since.toDF("b", "since_b"), "b").join(since.toDF("a", "since_a"), "a", "left")
-    #: A link of cores from the size on at which both are; a reached point until it is a core itself.
-    both = F.greatest("level", "since_a", "since_b")
-    reach = F.greatest("level", "since_b")
-    kinds = ends.select("a", "b", both.alias("link"), reach.alias("from_"), (F.coalesce("since_a", F.lit(len(eps))) - 1).alias("upto"), F.col("since_a").isNotNull().alias("linked"))
-    kinds = scratch.put(kinds.where((F.col("linked") & (F.col("a") < F.col("b"))) | (F.col("from_") <= F.col("upto"))), "links")
-    scratch.drop("pairs")
+    sizes, reach = len(eps), float(eps[-1])
+    placed = member.where(F.col("draw").between(0, draws - 1)).join(points.select("id", *AXES), "id").dropna(subset=list(AXES))
+    placed = scratch.put(placed.select("draw", "id", *AXES), "placed")
+
+    def cores(places: np.ndarray, own: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((len(part), sizes), np.int64)
+        for first, _, level in _near(places, own, eps):
+            np.add.at(counts, (first, level), 1)
+        since = (np.cumsum(counts, axis=1) + 1 < min_points).sum(axis=1)
+        return part.assign(since=since)[own][["draw", "id", *AXES, "since"]]
+
+    known = scratch.put(_tiled(placed, reach, cores, "draw int, id long, z double, y double, x double, since int"), "known")
+
+    def links(places: np.ndarray, own: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        since, pid = part.since.to_numpy(), part.draw.to_numpy().astype(np.int64) * DRAW_BIT + part.id.to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        top, waiting = np.arange(len(part)), [[] for _ in eps]
+        for first, second, level in _near(places, own, eps):
+            both = np.maximum(level, np.maximum(since[first], since[second]))
+            for k in range(sizes):
+                at = both == k
+                waiting[k].append(np.stack([first[at], second[at]]))
+            #: A point is reached by a core until it is one.
+            start, end = np.maximum(level, since[second]), since[first] - 1
+            at = start <= end
+            out.append((pid[first[at]], pid[second[at]], start[at], end[at]))
+        for k in range(sizes):
+            x, y = np.concatenate([np.zeros((2, 0), np.int64), *waiting[k]], axis=1)
+            before = top.copy()
+            while True:
+                last, low = top.copy(), np.minimum(top[x], top[y])
+                np.minimum.at(top, top[x], low)
+                np.minimum.at(top, top[y], low)
+                top = top[top]
+                if (top == last).all():
+                    break
+            moved = np.flatnonzero((before == np.arange(len(top))) & (top != before))
+            out.append((pid[moved], pid[top[moved]], np.full(len(moved), k), np.full(len(moved), -1)))
+        a, b, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"a": a, "b": b, "start": start, "end": end})
+
+    #: Links of cores have an end of -1; the others say by whom a point that isn't a core yet is reached.
+    kinds = scratch.put(_tiled(known, reach, links, "a long, b long, start int, end int"), "links")
+    since = known.where(F.col("since") < sizes).select((F.col("draw").cast("long") * DRAW_BIT + F.col("id")).alias("pid"), "since")
     tree, out = None, None
-    for k in range(len(eps)):
+    for k in range(sizes):
         now = since.where(F.col("since") == k).select("pid", F.col("pid").alias("tree"))
         tree = now if tree is None else tree.unionByName(now)
-        fresh = kinds.where(F.col("linked") & (F.col("a") < F.col("b")) & (F.col("link") == k)).select("a", "b")
+        fresh = kinds.where((F.col("end") < 0) & (F.col("start") == k)).select("a", "b").distinct()
         moved = fresh.join(tree.toDF("a", "ta"), "a").join(tree.toDF("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
         joined = components(scratch, moved, f"cc{k}")
         held = tree.join(joined.toDF("tree", "root"), "tree", "left").withColumn("tree", F.coalesce("root", "tree")).drop("root")
         called = held.groupBy("tree").agg(F.min("pid").alias("cluster"))
         tree = scratch.put(held.join(called, "tree").select("pid", F.col("cluster").alias("tree")), f"tree{k}")
-        reached = kinds.where((F.col("from_") <= k) & (F.lit(k) <= F.col("upto"))).select(F.col("a").alias("pid"), "b")
+        reached = kinds.where((F.col("start") <= k) & (F.lit(k) <= F.col("end"))).select(F.col("a").alias("pid"), "b")
         border = reached.join(tree.toDF("b", "tree"), "b").groupBy("pid").agg(F.min("tree").alias("tree"))
         every = tree.unionByName(border)
         large = every.groupBy("tree").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("tree")

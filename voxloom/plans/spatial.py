@@ -320,7 +320,7 @@ _PLANES = f"c AS (SELECT draw, level, top, count(*) AS n, covar_pop(z, z) AS szz
 
 @query(f"WITH RECURSIVE {GRAINS}, {_SIZES}, {_DRAWN}, {_NEAR}, {_GROUPS}, {_PLANES} SELECT round(any_value(e) / 0.1::DOUBLE, 6) AS eps_d, any_value(c0) AS clusters, round(median(n), 6) AS clusters_null, round(avg((n >= c0)::INT), 6) AS p_clusters, any_value(b0) AS biggest, round(median(biggest), 6) AS biggest_null, round(avg((biggest >= b0)::INT), 6) AS p_biggest, round(any_value(r0), 6) AS rms_r, round(median(rms), 6) AS rms_null, round(avg((rms <= r0)::INT), 6) AS p_rms, round(any_value(i0) / greatest((SELECT count(*) FROM broken), 1), 6) AS frac_in FROM got JOIN seen USING (level) JOIN sizes USING (level) WHERE draw < 400 GROUP BY level")
 def clustering_null(spark: SparkSession, d: str, draws: int = inference.DRAWS) -> DataFrame:
-    """Clusters of broken points against as many drawn at random, over the whole sweep of neighbourhood sizes; pairs of neighbours are found once for all draws."""
+    """Clusters of broken points against as many drawn at random, over the whole sweep of neighbourhood sizes."""
     own = Scratch(spark, "null").put(grains(spark, d), "points")
     got = inference.clustering_sweep(own, own.where("label = 0"), 0.05, inference.SWEEP, draws, 20)
     return got.select(*[r6(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes])
