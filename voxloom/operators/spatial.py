@@ -69,9 +69,8 @@ def best_per_target(source: DataFrame, target: DataFrame, tolerance: float, keys
 
 
 def candidate_edges(source: DataFrame, target: DataFrame, tolerance: float, k: int = 6, keys: Sequence[str] = (), id_col: str = "id") -> DataFrame:
-    """Each source's k nearest targets within the tolerance."""
-    by = Window.partitionBy(*keys, "a").orderBy("d", "b")
-    return radius_join(source, target, tolerance, keys, id_col).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("rank")
+    """(keys, a, b, d): each source's k nearest targets that are at most the tolerance away. The nearest are found first, so dense points cost no more pairs than these."""
+    return knn_join(source, target, k, keys, id_col).where(F.col("d") <= tolerance).drop("rank")
 
 
 def injective_match(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
