@@ -39,7 +39,7 @@ from voxloom.scratch import Scratch, plan_bytes
 #: Bytes of text in a block, at least and at most, and of those that are hashed at once. They bound a task's memory.
 CHUNK_BYTES, MAX_CHUNK_BYTES, HASH_BYTES = 4 << 20, 64 << 20, 1 << 20
 #: Bytes of n-grams in a fragment and in a partition of fragments that are aimed at, and bits of a fragment's number.
-FRAGMENT_BYTES, PARTITION_BYTES, FRAGMENT_BITS = 16 << 20, 64 << 20, (8, 20)
+FRAGMENT_BYTES, PARTITION_BYTES, FRAGMENT_BITS = 16 << 20, 16 << 20, (8, 20)
 #: Bytes of text to a byte of compressed files, for the estimate of an input's size.
 EXPANSION = 4
 #: Rows of one key in a part, keys that may have more than one part at most (their table is broadcast), and nodes in a block of the last round.
