@@ -83,7 +83,11 @@ def affine_seed(before: DataFrame, after: DataFrame, low: float = 0.02, high: fl
     return both.select(stretch.alias("stretch_z"), (F.col("b0") - stretch * F.col("a0")).alias("shift_z"), F.try_divide("br", "ar").alias("stretch_r"))
 
 
-def outline(points: DataFrame, bands: int = 40, least: int = 50, share: float = 0.98) -> DataFrame:
+#: Bands of an outline, points that one needs, and the percentile that is the outer radius: fixed values.
+BANDS, BAND_POINTS, OUTER = 40, 50, 0.98
+
+
+def outline(points: DataFrame, bands: int = BANDS, least: int = BAND_POINTS, share: float = OUTER) -> DataFrame:
     """(h, cy, cx, r): axis and outer radius of a cloud (z, y, x) per band of height: medians, and the ``share`` percentile of the distance from them, at the
     band's middle. Bands are of equal height; those with fewer than ``least`` points are left out."""
     ends = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
@@ -105,7 +109,7 @@ def _between(at: Column, knots: Column, field: str) -> Column:
     return F.when(inside, a[field] + (b[field] - a[field]) * (at - a["h"]) / (b["h"] - a["h"])).when(low < 0, a[field]).otherwise(b[field])
 
 
-def outline_seed(source: DataFrame, target: DataFrame, bands: int = 40, least: int = 50) -> DataFrame:
+def outline_seed(source: DataFrame, target: DataFrame, bands: int = BANDS, least: int = BAND_POINTS) -> DataFrame:
     """(id, z, y, x, sz, sy, sx): points of ``source`` with the shift that its outline's change to that of ``target`` predicts: heights stretch with the
     extents, the axis moves with height, and distances from it scale with the outer radius there. The outlines have a row a band; clouds of fewer points than
     a band needs have no outline, and then only the height is stretched."""
