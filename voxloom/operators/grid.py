@@ -7,8 +7,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from voxloom.operators.bricks import label as label_array
 from voxloom.operators.components import components
@@ -53,27 +55,102 @@ def contact_pairs(vox: DataFrame, label: str, ice: Column, least: int) -> DataFr
     return near.groupBy("scan", lo, hi).agg(F.count("*").alias("faces"), F.sum(F.col("a_ice") * F.col("b_ice")).alias("ice_faces")).where(F.col("faces") >= least)
 
 
-def contact_zones(vox: DataFrame, label: str, pairs: DataFrame, air: Column, ice: Column, reach: int = 5) -> DataFrame:
+def by_bricks(vox: DataFrame, kernel: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: StructType | str, rim: int, edge: int) -> DataFrame:
+    """``kernel`` over bricks of ``edge`` voxels with a rim. Voxels go to the bricks whose rim they are in, so little more than one copy of each is
+    shuffled, and no map holds the places of a partition; a group is one brick.
+
+    ``kernel`` gets the brick's rows, their places (3, n) in an array of edge + 2 rim cells along each axis, and which of them are the brick's own.
+    """
+    spread = vox
+    for a in AXES:
+        spread = spread.withColumn(f"__b{a}", F.explode(F.sequence(F.floor((F.col(a) - rim) / edge), F.floor((F.col(a) + rim) / edge))))
+
+    def one(rows: pa.Table) -> pa.Table:
+        at = np.stack([rows[a].to_numpy() - rows[f"__b{a}"][0].as_py() * edge + rim for a in AXES])
+        core = ((at >= rim) & (at < edge + rim)).all(axis=0)
+        return kernel(rows.drop_columns([f"__b{a}" for a in AXES]), at, core)
+
+    return spread.groupBy("scan", *[f"__b{a}" for a in AXES]).applyInArrow(one, schema)
+
+
+def _tallied(key: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+    """The keys, how often each is there, and its sums of the weights."""
+    keys, of = np.unique(key, return_inverse=True)
+    return [keys, np.bincount(of, minlength=len(keys)), *[np.bincount(of, w, len(keys)).astype(np.int64) for w in weights]]
+
+
+def _grown(labels: np.ndarray, reach: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, place, name): the cells of ``where`` that a label reaches in ``reach`` face steps without being their own, by place, then by name."""
+    flat = np.flatnonzero(labels > 0)
+    flat = flat[np.argsort(labels.ravel()[flat], kind="stable")]
+    names, first = np.unique(labels.ravel()[flat], return_index=True)
+    index = np.arange(labels.size).reshape(labels.shape)
+    place, name = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, spots in enumerate(np.split(flat, first[1:]) if len(names) else []):
+        at = np.stack(np.unravel_index(spots, labels.shape))
+        low, high = np.maximum(at.min(axis=1) - reach, 0), np.minimum(at.max(axis=1) + reach + 1, labels.shape)
+        box = tuple(slice(i, j) for i, j in zip(low, high, strict=True))
+        near = np.zeros(high - low, bool)
+        near[tuple(at - low[:, None])] = True
+        for _ in range(reach):
+            wide = near.copy()
+            for axis in range(3):
+                to, of = (tuple(slice(None) if a != axis else x for a in range(3)) for x in (slice(1, None), slice(0, -1)))
+                wide[to] |= near[of]
+                wide[of] |= near[to]
+            near = wide
+        got = index[box][near & where[box] & (labels[box] != names[k])]
+        place.append(got)
+        name.append(np.full(len(got), k))
+    place, name = np.concatenate(place), np.concatenate(name)
+    order = np.argsort(place, kind="stable")
+    return names, place[order], name[order]
+
+
+def contact_zones(vox: DataFrame, label: str, pairs: DataFrame, air: Column, ice: Column, reach: int = 5, edge: int = 64) -> DataFrame:
     """(scan, lo, hi, zone, air, ice, contact) for every pair (scan, lo, hi): voxels outside of both bodies that both reach in ``reach`` face steps,
     how many of them are air and ice, and the voxels of lo that touch hi.
 
-    Bodies grow from their surface, a step a round; a voxel holds the labels that reach it, so sums are made per pair before
-    ``pairs`` is joined.
+    Bodies grow as arrays inside of bricks with a rim of ``reach``; a brick gives a row per pair, and rows add up.
     """
-    own = vox.select(*KEY, F.col(label).alias("label"), air.cast("int").alias("air"), ice.cast("int").alias("ice"))
-    body = own.where("label > 0").select(*KEY, "label")
-    inner = shifted(body, offsets(6), ["label"]).groupBy(*KEY, "label").agg(F.count("*").alias("n")).where("n = 6").drop("n")
-    grown = body.join(inner, [*KEY, "label"], "left_anti")
-    for _ in range(reach):
-        grown = shifted(grown, [(0, 0, 0), *offsets(6)], ["label"]).select(*KEY, "label").distinct()
-    held = grown.groupBy(*KEY).agg(F.sort_array(F.collect_set("label")).alias("by")).where(F.size("by") > 1)
-    lo = held.join(own, [*KEY]).select("scan", "label", "air", "ice", "by", F.explode("by").alias("lo"))
-    both = lo.select("scan", "label", "air", "ice", "lo", F.explode("by").alias("hi")).where("lo < hi and label <> lo and label <> hi")
-    zones = both.groupBy("scan", "lo", "hi").agg(F.count("*").alias("zone"), F.sum("air").alias("air"), F.sum("ice").alias("ice"))
-    beside = shifted(body.withColumnRenamed("label", "hi"), offsets(6), ["hi"]).select(*KEY, "hi").distinct()
-    touch = body.withColumnRenamed("label", "lo").join(beside, [*KEY]).where("lo < hi").groupBy("scan", "lo", "hi").agg(F.count("*").alias("contact"))
-    got = pairs.select("scan", "lo", "hi").join(zones, ["scan", "lo", "hi"], "left").join(touch, ["scan", "lo", "hi"], "left")
-    return got.na.fill(0, ["zone", "air", "ice", "contact"])
+    own = vox.select(*KEY, F.col(label).cast("long").alias("label"), F.coalesce(air.cast("int"), F.lit(0)).alias("air"), F.coalesce(ice.cast("int"), F.lit(0)).alias("ice")).where("label is not null")
+    rim = max(reach, 1)
+    schema = "scan int, lo long, hi long, zone long, air long, ice long, contact long"
+
+    def kernel(rows: pa.Table, at: np.ndarray, core: np.ndarray) -> pa.Table:
+        n = edge + 2 * rim
+        labels, where = np.zeros((n, n, n), np.int64), np.zeros((n, n, n), bool)
+        labels[tuple(at)] = rows["label"].to_numpy()
+        where[tuple(at[:, core])] = True
+        kinds = np.zeros((2, n, n, n), np.int8)
+        for k, c in enumerate(("air", "ice")):
+            kinds[k][tuple(at)] = rows[c].to_numpy()
+        names, place, name = _grown(labels, reach, where)
+        many = max(1, len(names))
+        got = []
+        for shift in itertools.count(1):
+            same = np.flatnonzero(place[shift:] == place[:-shift])
+            if not len(same):
+                break
+            key, spot = name[same] * many + name[same + shift], place[same]
+            got.append([*_tallied(key, *[kinds[k].ravel()[spot] for k in (0, 1)]), None])
+        touch = [np.zeros(0, np.int64)]
+        mine = np.flatnonzero(where.ravel() & (labels.ravel() > 0))
+        for step in (1, n, n * n):
+            for to in (mine + step, mine - step):
+                over = labels.ravel()[to] > labels.ravel()[mine]
+                touch.append(mine[over] * many + np.searchsorted(names, labels.ravel()[to[over]]))
+        both = np.unique(np.concatenate(touch))
+        keys, count = _tallied(np.searchsorted(names, labels.ravel()[both // many]) * many + both % many)
+        got.append([keys, *[np.zeros(len(keys), np.int64)] * 3, count])
+        columns = [np.concatenate([np.zeros(len(g[0]), np.int64) if g[k] is None else g[k] for g in got]) for k in range(5)]
+        pair = [names[i] if len(columns[0]) else columns[0] for i in np.divmod(columns[0], many)]
+        scan = np.full(len(columns[0]), rows["scan"][0].as_py(), np.int32)
+        return pa.table(dict(zip(("scan", "lo", "hi", "zone", "air", "ice", "contact"), [scan, *pair, *columns[1:]], strict=True)))
+
+    counts = ("zone", "air", "ice", "contact")
+    zones = by_bricks(own, kernel, schema, rim, edge).groupBy("scan", "lo", "hi").agg(*[F.sum(c).alias(c) for c in counts])
+    return pairs.select("scan", "lo", "hi").join(zones, ["scan", "lo", "hi"], "left").na.fill(0, list(counts))
 
 
 def max_filter(vox: DataFrame, value: str, radius: int, out: str, function=F.max) -> DataFrame:
