@@ -20,6 +20,19 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_territory_by_bricks(spark):
+    vox, rows = cloud(spark, 5, low=-3)
+    got = grid.territory(vox, "label", 2, edge=4)
+    assert "Aggregate" not in plan(got)
+    cube = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3)]
+    body, want = {r[:4]: r[4] for r in rows if r[4] > 0}, {}
+    for s, z, y, x, k, _ in rows:
+        near = [(a * a + b * b + c * c, body[s, z + a, y + b, x + c]) for a, b, c in cube if (s, z + a, y + b, x + c) in body]
+        if k == 0 and near:
+            want[s, z, y, x] = min(near)[1]
+    assert {tuple(r)[:4]: r.label for r in got.collect()} == want
+
+
 def test_zones_are_rows_of_bricks(spark):
     """The result is the same for every cut, and no voxel is sent on for each label that reaches it."""
     vox, _ = cloud(spark, 6)

@@ -153,6 +153,30 @@ def contact_zones(vox: DataFrame, label: str, pairs: DataFrame, air: Column, ice
     return pairs.select("scan", "lo", "hi").join(zones, ["scan", "lo", "hi"], "left").na.fill(0, list(counts))
 
 
+def territory(vox: DataFrame, label: str, radius: int, edge: int = 32) -> DataFrame:
+    """(scan, z, y, x, label) of the free voxels (label 0) that have a body within ``radius`` voxels along each axis: the nearest, of equals the least label."""
+    cube = sorted(itertools.product(range(-radius, radius + 1), repeat=3), key=lambda o: sum(k * k for k in o))
+    own = vox.select(*KEY, F.col(label).alias("label")).where("label >= 0")
+    kind = own.schema["label"].dataType
+
+    def kernel(rows: pa.Table, at: np.ndarray, core: np.ndarray) -> pa.Table:
+        n, own = edge + 2 * radius, rows["label"].to_numpy()
+        none = np.iinfo(own.dtype).max
+        v = np.full((n, n, n), none, own.dtype)
+        v[tuple(at[:, own > 0])] = own[own > 0]
+        free = np.flatnonzero(core & (own == 0))
+        best = np.full(len(free), none, own.dtype)
+        left = np.arange(len(free))
+        for _, ring in itertools.groupby(cube, key=lambda o: sum(k * k for k in o)):
+            spots = at[:, free[left]]
+            best[left] = np.min([v[tuple(p + d for p, d in zip(spots, o, strict=True))] for o in ring], axis=0)
+            left = left[best[left] == none]
+        found = best != none
+        return rows.select([*KEY]).take(free[found]).append_column("label", pa.array(best[found]))
+
+    return by_bricks(own, kernel, StructType([*own.select(*KEY).schema.fields, StructField("label", kind)]), radius, edge)
+
+
 def max_filter(vox: DataFrame, value: str, radius: int, out: str, function=F.max) -> DataFrame:
     """``vox`` with the largest value in the cube of edge 2 radius + 1; ``F.min`` gives the least.
 
