@@ -20,6 +20,23 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cube_extremes_by_bricks(spark):
+    vox, rows = cloud(spark, 3, low=-4)
+    got = grid.cube_extremes(vox, "v", 1, {"hi": F.max, "lo": F.min}, edge=4)
+    assert "Aggregate" not in plan(got) and got.schema["hi"].dataType == got.schema["v"].dataType
+    held = {r[:4]: r[5] for r in rows}
+    for r in got.collect():
+        near = [held.get((r.scan, r.z + a, r.y + b, r.x + c)) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+        near = [n for n in near if n is not None]
+        assert (r.v, r.hi, r.lo) == (held[r.scan, r.z, r.y, r.x], max(near, default=None), min(near, default=None))
+    assert got.count() == len(rows)
+
+
+def test_border_core_reads_each_voxel_once(spark):
+    assert plan(grid.border_core(cloud(spark, 4)[0], "label", 1)).count("FlatMapGroups") == 1
+    assert "Join" not in plan(grid.local_maxima(cloud(spark, 4)[0], "v"))
+
+
 def test_territory_by_bricks(spark):
     vox, rows = cloud(spark, 5, low=-3)
     got = grid.territory(vox, "label", 2, edge=4)

@@ -177,17 +177,45 @@ def territory(vox: DataFrame, label: str, radius: int, edge: int = 32) -> DataFr
     return by_bricks(own, kernel, StructType([*own.select(*KEY).schema.fields, StructField("label", kind)]), radius, edge)
 
 
-def max_filter(vox: DataFrame, value: str, radius: int, out: str, function=F.max) -> DataFrame:
-    """``vox`` with the largest value in the cube of edge 2 radius + 1; ``F.min`` gives the least.
+def cube_extremes(vox: DataFrame, value: str, radius: int, outs: dict[str, Callable], edge: int = 32) -> DataFrame:
+    """``vox`` with the largest (``F.max``) or least (``F.min``) value in the cube of edge 2 radius + 1 round each voxel, a column for each of ``outs``. Missing values and
+    places without a voxel take no part."""
+    kind = vox.schema[value].dataType
 
-    Axis by axis: each value is spread along one axis and combined map-side, which takes 3 (2 radius + 1) rows a voxel
-    instead of their cube. Places without a voxel carry values on, so gaps in the data don't matter.
-    """
-    spread = vox.select(*KEY, F.col(value).alias("__v"))
-    for axis in AXES:
-        moved = spread.select("scan", *[(F.explode(F.sequence(F.col(a) - radius, F.col(a) + radius)) if a == axis else F.col(a)).alias(a) for a in AXES], "__v")
-        spread = moved.groupBy(*KEY).agg(function("__v").alias("__v"))
-    return vox.join(spread.withColumnRenamed("__v", out), [*KEY])
+    def kernel(rows: pa.Table, at: np.ndarray, core: np.ndarray) -> pa.Table:
+        column = rows[value].combine_chunks()
+        have = column.is_valid().to_numpy(zero_copy_only=False)
+        own, n = column.filter(pa.array(have)).to_numpy(zero_copy_only=False), edge + 2 * radius
+        whole = np.issubdtype(own.dtype, np.integer)
+        out = rows.filter(pa.array(core))
+
+        def spread(v: np.ndarray, take: np.ufunc) -> np.ndarray:
+            for axis in range(3):
+                of = np.moveaxis(v, axis, 0)
+                wide = of.copy()
+                for shift in range(1, radius + 1):
+                    take(wide[shift:], of[:-shift], out=wide[shift:])
+                    take(wide[:-shift], of[shift:], out=wide[:-shift])
+                v = np.moveaxis(wide, 0, axis)
+            return v[tuple(at[:, core])]
+
+        seen = np.zeros((n, n, n), bool)
+        seen[tuple(at[:, have])] = True
+        lost = None if have.all() else ~spread(seen, np.logical_or)
+        for name, function in outs.items():
+            #: NaN is above all numbers, as it is for Spark.
+            take, fill = (np.fmin, np.iinfo(own.dtype).max if whole else np.nan) if function is F.min else (np.maximum, np.iinfo(own.dtype).min if whole else -np.inf)
+            v = np.full((n, n, n), fill, own.dtype)
+            take.at(v, tuple(at[:, have]), own)
+            out = out.append_column(name, pa.array(spread(v, take), mask=lost))
+        return out
+
+    return by_bricks(vox, kernel, StructType([*vox.schema.fields, *[StructField(name, kind) for name in outs]]), radius, edge)
+
+
+def max_filter(vox: DataFrame, value: str, radius: int, out: str, function=F.max) -> DataFrame:
+    """``vox`` with the largest value in the cube of edge 2 radius + 1; ``F.min`` gives the least."""
+    return cube_extremes(vox, value, radius, {out: function})
 
 
 def dilated(mask: DataFrame, connectivity: int = 6) -> DataFrame:
@@ -340,7 +368,7 @@ def local_maxima(vox: DataFrame, value: str, radius: int = 1) -> DataFrame:
 
 def border_core(vox: DataFrame, label: str, radius: int) -> DataFrame:
     """(…, code): core (1) where the cube has one label, border (2) at other labelled voxels, else 0."""
-    both = max_filter(max_filter(vox, label, radius, "__hi"), label, radius, "__lo", F.min)
+    both = cube_extremes(vox, label, radius, {"__hi": F.max, "__lo": F.min})
     same = (F.col("__hi") == F.col("__lo")) & (F.col("__hi") == F.col(label))
     return both.withColumn("code", F.when(F.col(label) <= 0, 0).when(same, 1).otherwise(2)).drop("__hi", "__lo")
 
