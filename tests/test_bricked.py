@@ -58,3 +58,15 @@ def test_zones_are_rows_of_bricks(spark):
     a, b = (sorted(map(tuple, m.collect())) for m in made)
     assert a == b and len(a) == 6 and all(r[3] > r[4] > 0 and r[6] > 0 for r in a)
     assert plan(made[0]).count("Distinct") + plan(made[0]).count("Deduplicate") == 0
+
+
+def test_no_join_by_scan_alone(spark):
+    """A scan isn't a key of a join of its voxels."""
+    vox, _ = cloud(spark, 7)
+    for df in (bricks.distance_transform(vox.withColumn("m", F.col("label") > 0), "m"), grid.cubes(vox, F.col("label") == 1, (11, 10), 4)):
+        for line in plan(df).splitlines():
+            if "Join" in line and "(scan#" in line:
+                sides = line.count("=")
+                assert sides > 1 or "FlatMapGroups" not in line
+    assert "z#" in next(line for line in plan(bricks.distance_transform(vox.withColumn("m", F.col("label") > 0), "m")).splitlines() if "Join" in line)
+    assert "__bz#" in plan(grid.cubes(vox, F.col("label") == 1, (11, 10), 4))

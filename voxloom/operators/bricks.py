@@ -67,7 +67,9 @@ def distance_transform(vox: DataFrame, mask: str) -> DataFrame:
         out = part[part.want]
         return out[["scan", *AXES]].assign(d=np.sqrt(f[out.z - z0, out.x - x0]))
 
-    flat = vox.select("scan", *AXES, mask).join(extent, "scan").groupBy("scan", "z").applyInPandas(slices, "scan int, z int, y int, x int, f double, want boolean")
+    #: By slice: a join by scan alone would sort a whole scan in one task.
+    per_slice = vox.select("scan", "z").distinct().join(extent, "scan")
+    flat = vox.select("scan", *AXES, mask).join(per_slice, ["scan", "z"]).groupBy("scan", "z").applyInPandas(slices, "scan int, z int, y int, x int, f double, want boolean")
     return flat.groupBy("scan", "y").applyInPandas(planes, "scan int, z int, y int, x int, d double").where("d < double('inf')")
 
 

@@ -427,7 +427,11 @@ def cubes(vox: DataFrame, phase: Column, shape: tuple[int, int], edge: int, many
     for c, n in zip(("cy", "cx"), shape, strict=True):
         held = held & (F.col(c) >= F.col("h")) & (F.col(c) + F.col("h") <= n)
     at = at.withColumn("held", held).withColumn("cz", F.col("cz") + F.col("low"))
-    both = vox.withColumn("__p", phase.cast("int")).join(at, "scan")
+    #: Cubes are spread over the blocks that they touch, so that a scan isn't one key of the join.
+    block, spread = 32, at
+    for a in AXES:
+        spread = spread.withColumn(f"__b{a}", F.explode(F.sequence(F.floor((F.col(f"c{a}") - F.col("h")) / block), F.floor((F.col(f"c{a}") + F.col("h")) / block))))
+    both = vox.select(*KEY, phase.cast("int").alias("__p"), *[F.floor(F.col(a) / block).alias(f"__b{a}") for a in AXES]).join(spread, ["scan", *[f"__b{a}" for a in AXES]])
     for a in AXES:
         both = both.where((F.col(a) >= F.col(f"c{a}") - F.col("h")) & (F.col(a) < F.col(f"c{a}") + F.col("h")))
     got = both.groupBy("scan", "k").agg(F.count("*").alias("n"), F.avg("__p").alias("phi"))
