@@ -70,3 +70,13 @@ def test_no_join_by_scan_alone(spark):
                 assert sides > 1 or "FlatMapGroups" not in line
     assert "z#" in next(line for line in plan(bricks.distance_transform(vox.withColumn("m", F.col("label") > 0), "m")).splitlines() if "Join" in line)
     assert "__bz#" in plan(grid.cubes(vox, F.col("label") == 1, (11, 10), 4))
+
+
+def test_nearest_first(spark):
+    """Points at one place: no pairs within the tolerance are made."""
+    rows = [(k, 0.0, 0.0, 0.001 * (k % 3)) for k in range(300)]
+    a = spark.createDataFrame(rows, "id long, z double, y double, x double")
+    got = spatial.nearest_match(a, a.where("id >= 3"), 0.5)
+    assert {r.a: (r.b, round(r.d, 9)) for r in got.collect()} == {k: (3 + k % 3, 0.0) for k in range(300)}
+    assert "Window" not in plan(got)
+    assert spatial.nearest_match(a.where("id = 1"), a.where("id = 3"), 0.001, closed=True).count() == 1 and spatial.nearest_match(a.where("id = 1"), a.where("id = 3"), 0.001).count() == 0

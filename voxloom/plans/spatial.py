@@ -90,8 +90,12 @@ _SUMS = ", ".join(f"round({' + '.join(f'p{k}.u{a}' for k in _STEPS)}, 6) AS u{a}
 @query(f"WITH {GRAINS}, {_CHAIN} SELECT m0.a AS id, {_SUMS} FROM m0 {_LINKS}")
 def chain_displacement(spark: SparkSession, d: str) -> DataFrame:
     """Displacements composed over all nine transitions; whoever loses its match is gone."""
-    at = [grains(spark, d).where(f"label = {k}") for k in range(10)]
-    matches = [spatial.nearest_match(at[k], at[k + 1], 0.3) for k in _STEPS]
+    own = grains(spark, d)
+    at = [own.where(f"label = {k}") for k in range(10)]
+    #: All transitions at once: each is a key.
+    source, target = (own.where(f"label between {k} and {k + 8}").withColumn("step", F.col("label") - k) for k in (0, 1))
+    found = Scratch(spark, "chain").put(spatial.nearest_match(source, target, 0.3, keys=["step"]), "matches")
+    matches = [found.where(f"step = {k}").select("a", "b") for k in _STEPS]
     return spatial.chain(matches, [a.select("id", "uz", "uy", "ux") for a in at[:9]]).select("id", *[r6(F.col(f"u{a}")).alias(f"u{a}") for a in "zyx"])
 
 
