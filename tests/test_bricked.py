@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.operators import bricks, grid, spatial
+from voxloom.sources import volumes
 
 DDL = "scan int, z int, y int, x int, label int, v double"
 
@@ -80,3 +81,12 @@ def test_nearest_first(spark):
     assert {r.a: (r.b, round(r.d, 9)) for r in got.collect()} == {k: (3 + k % 3, 0.0) for k in range(300)}
     assert "Window" not in plan(got)
     assert spatial.nearest_match(a.where("id = 1"), a.where("id = 3"), 0.001, closed=True).count() == 1 and spatial.nearest_match(a.where("id = 1"), a.where("id = 3"), 0.001).count() == 0
+
+
+def test_models_see_doubles(spark):
+    """Values that are one number as a float are on both sides of their brick's mean."""
+    rows = [(0, z, y, x, 70_000.0 + 0.001 * ((z + y + x) % 2)) for z in range(2) for y in range(2) for x in range(2)]
+    vox = spark.createDataFrame(rows, "scan int, z int, y int, x int, grey double")
+    model = lambda v: np.stack([v <= 0, v > 0]).astype(float)
+    (got,) = bricks.predict_bricks(volumes.bricked(vox, "grey", 2, 0, "double"), model, 0).collect()
+    assert got.classes == [r[4] > 70_000.0 for r in rows]

@@ -520,7 +520,7 @@ def per_scan(vox: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]], v
 
 
 def predict_bricks(bricks: DataFrame, model: Callable[[np.ndarray], np.ndarray], halo: int) -> DataFrame:
-    """(scan, bz, by, bx, classes): a model over halo bricks (payload array<float>, nz, ny, nx), each brick standardised by itself; the halo is cut off.
+    """(scan, bz, by, bx, classes): a model over halo bricks (payload, nz, ny, nx), each brick standardised by itself, in doubles; the halo is cut off.
 
     ``model`` maps a brick to probabilities (class, z, y, x); the class with the largest is taken.
     """
@@ -529,7 +529,7 @@ def predict_bricks(bricks: DataFrame, model: Callable[[np.ndarray], np.ndarray],
         for part in batches:
             rows = []
             for r in part.itertuples():
-                v = np.array(r.payload, np.float32).reshape(r.nz, r.ny, r.nx)
+                v = np.array(r.payload, np.float64).reshape(r.nz, r.ny, r.nx)
                 v = (v - v.mean()) / max(float(v.std()), 1e-6)
                 inner = tuple(slice(halo, n - halo) for n in v.shape)
                 rows.append((r.scan, r.bz, r.by, r.bx, model(v).argmax(axis=0)[inner].ravel().astype(int).tolist()))

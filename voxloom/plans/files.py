@@ -86,7 +86,7 @@ def brick_model(spark: SparkSession, d: str) -> DataFrame:
 
         return np.stack([(v <= 0).astype(float), (v > 0).astype(float)])
 
-    halo = volumes.bricked(voxels(spark, d)[0], "grey", 8, 2)
+    halo = volumes.bricked(voxels(spark, d)[0], "grey", 8, 2, "double")
     got = bricks.predict_bricks(halo, model, 2)
     return got.select("scan", "bz", F.col("by").alias("by_"), "bx", F.size("classes").alias("cells"), F.size(F.filter("classes", lambda c: c == 1)).cast("long").alias("solid"))
 

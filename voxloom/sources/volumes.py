@@ -177,9 +177,10 @@ def cropped(vox: DataFrame, z: tuple[int, int] | None = None, y: tuple[int, int]
     return vox
 
 
-def bricked(vox: DataFrame, value: str, edge: int, halo: int = 0) -> DataFrame:
-    """(scan, bz, by, bx, nz, ny, nx, payload): cubes of ``edge`` with a halo; voxels that don't exist are 0. Each voxel goes to the bricks whose halo it is in."""
-    spread = vox.select("scan", "z", "y", "x", F.col(value).cast("float").alias("v"))
+def bricked(vox: DataFrame, value: str, edge: int, halo: int = 0, kind: str = "float") -> DataFrame:
+    """(scan, bz, by, bx, nz, ny, nx, payload): cubes of ``edge`` with a halo, as arrays of ``kind`` (float or double); voxels that don't exist are 0. Each voxel goes to
+    the bricks whose halo it is in."""
+    spread = vox.select("scan", "z", "y", "x", F.col(value).cast(kind).alias("v"))
     for a in ("z", "y", "x"):
         first, last = F.floor((F.col(a) - halo) / edge).cast("int"), F.floor((F.col(a) + halo) / edge).cast("int")
         spread = spread.withColumn(f"b{a}", F.explode(F.sequence(first, last)))
@@ -189,11 +190,11 @@ def bricked(vox: DataFrame, value: str, edge: int, halo: int = 0) -> DataFrame:
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         first = part.iloc[0]
-        v = np.zeros((n, n, n), np.float32)
+        v = np.zeros((n, n, n), part.v.dtype)
         v[tuple((part[a] - first[f"b{a}"] * edge + halo).astype(int) for a in ("z", "y", "x"))] = part.v
         return pd.DataFrame([(int(first.scan), int(first.bz), int(first.by), int(first.bx), n, n, n, v.ravel().tolist())], columns=["scan", "bz", "by", "bx", "nz", "ny", "nx", "payload"])
 
-    return spread.groupBy("scan", "bz", "by", "bx").applyInPandas(pack, "scan int, bz int, by int, bx int, nz int, ny int, nx int, payload array<float>")
+    return spread.groupBy("scan", "bz", "by", "bx").applyInPandas(pack, "scan int, bz int, by int, bx int, nz int, ny int, nx int, payload array<" + kind + ">")
 
 
 def write_volume(pages: DataFrame, path: str) -> None:
