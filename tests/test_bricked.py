@@ -90,3 +90,19 @@ def test_models_see_doubles(spark):
     model = lambda v: np.stack([v <= 0, v > 0]).astype(float)
     (got,) = bricks.predict_bricks(volumes.bricked(vox, "grey", 2, 0, "double"), model, 0).collect()
     assert got.classes == [r[4] > 70_000.0 for r in rows]
+
+
+def test_boxes_share_the_voxels_of_their_brick(spark):
+    """Boxes of several sizes that lie upon each other: a voxel is sent once to each brick and size, and every pair has its own box."""
+    vox = spark.createDataFrame([(0, z, y, x, 100 * z + 10 * y + x) for z in range(9) for y in range(9) for x in range(9)], "scan int, z int, y int, x int, v long")
+    made = [(0, k, k + 1, -1 + k % 3, 3 + k % 6, 0, 2 + k % 7, 1, 12 - k) for k in range(10)]
+    pairs = spark.createDataFrame(made, "scan int, bead_a long, bead_b long, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
+    pairs = pairs.select("*", *[F.lit(1.0).alias(f"r_{s}") for s in "ab"], *[F.lit(2.0).alias(f"c{s}_{a}") for s in "ab" for a in "zyx"])
+    measure = lambda v, pair, radii, centres: {"n": v.size, "total": int(v.sum()), "z": float(centres[0][0])}
+    got = bricks._per_pair(vox, pairs, ("v",), measure, "n long, total long, z double", home=4)
+    assert "CoGroup" in plan(got)
+    want = {}
+    for _, a, b, z0, z1, y0, y1, x0, x1 in made:
+        box = [(z, y, x) for z in range(max(z0, 0), min(z1, 8) + 1) for y in range(y0, min(y1, 8) + 1) for x in range(x0, min(x1, 8) + 1)]
+        want[a] = (len(box), sum(100 * z + 10 * y + x for z, y, x in box), 2.0 - max(z0, 0))
+    assert {r.bead_a: (r.n, r.total, r.z) for r in got.collect()} == want

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.spatial import AXES
+from voxloom.scratch import Scratch
 
 _SIX = [o for o in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1]
 _ALL = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o)]
@@ -115,14 +116,13 @@ def label(mask: np.ndarray, connectivity: int = 6) -> np.ndarray:
         both = mask[a] & mask[b]
         pairs.append(np.stack([at[a][both], at[b][both]]))
     edges = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
+    #: Roots are hooked to smaller ones, and only edges between different roots are looked at again.
     while edges.shape[1]:
-        low = np.minimum(top[edges[0]], top[edges[1]])
-        before = top.copy()
-        np.minimum.at(top, top[edges[0]], low)
-        np.minimum.at(top, top[edges[1]], low)
-        top = top[top]
-        if (top == before).all():
-            break
+        np.minimum.at(top, edges.max(axis=0), edges.min(axis=0))
+        while (top != top[top]).any():
+            top = top[top]
+        edges = top[edges]
+        edges = edges[:, edges[0] != edges[1]]
     out = np.zeros(mask.size, np.int64)
     out[flat] = np.unique(top, return_inverse=True)[1] + 1 if len(flat) else 0
     return out.reshape(mask.shape)
@@ -370,63 +370,70 @@ def face_cover(grey: np.ndarray, labels: np.ndarray, phase: np.ndarray, crack: n
     return out
 
 
-def pair_boxes(vox: DataFrame, pairs: DataFrame, brick: int) -> DataFrame:
-    """``vox`` rows inside each pair's box, with the pair's columns: boxes are spread over the bricks they touch and joined by brick.
+#: Edge of the bricks that pairs are at home in by their box's first cell, and of the blocks by which voxels are sent there.
+HOME = 32
+
 
-    ``pairs`` has (scan, bead_a, bead_b) and the box as z0, z1, y0, y1, x0, x1, ends included.
+def _per_pair(vox: DataFrame, pairs: DataFrame, columns: tuple[str, ...], measure: Callable[..., dict | None], ddl: str, home: int = HOME) -> DataFrame:
+    """(scan, bead_a, bead_b, ...): a row of ``measure`` for each pair that has one, from the arrays ``columns`` of the voxels in its box.
+
+    ``pairs`` has (scan, bead_a, bead_b), the box as z0, z1, y0, y1, x0, x1, ends included, r_a, r_b and ca_z .. cb_x. A group is the pairs whose boxes are of one class of size and begin in
+    one brick: they share its voxels, which are sent there once instead of once a pair.
     """
-    spread = pairs
+    longest = F.greatest(*[F.col(f"{a}1") - F.col(f"{a}0") + 1 for a in AXES])
+    key = ["scan", "__size", *[f"__h{a}" for a in AXES]]
+    placed = Scratch(vox.sparkSession, "pairs").put(pairs, "pairs").withColumn("__size", F.greatest(F.ceil(F.log2(longest / home)), F.lit(0)).cast("int")).withColumns({f"__h{a}": F.floor(F.col(f"{a}0") / home) for a in AXES})
+    homes = placed.groupBy(*key).agg(*[f(f"{a}{k}").alias(f"__{a}{k}") for a in AXES for k, f in ((0, F.min), (1, F.max))])
     for a in AXES:
-        spread = spread.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / brick), F.floor(F.col(f"{a}1") / brick))))
-    own = vox.select("*", *[F.floor(F.col(a) / brick).alias(f"b{a}") for a in AXES])
-    joined = own.join(spread, ["scan", *[f"b{a}" for a in AXES]])
-    inside = F.lit(True)
+        homes = homes.withColumn(f"__b{a}", F.explode(F.sequence(F.floor(F.col(f"__{a}0") / home), F.floor(F.col(f"__{a}1") / home))))
+    own = vox.select("scan", *AXES, *columns, *[F.floor(F.col(a) / home).alias(f"__b{a}") for a in AXES])
+    near = own.join(homes, ["scan", *[f"__b{a}" for a in AXES]])
     for a in AXES:
-        inside = inside & F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1"))
-    extra = [c for c in pairs.columns if c not in ("scan", "bead_a", "bead_b", *[f"{a}{k}" for a in AXES for k in (0, 1)])]
-    return joined.where(inside).select("scan", "bead_a", "bead_b", *[c for c in vox.columns if c != "scan"], *extra)
-
+        near = near.where(F.col(a).between(F.col(f"__{a}0"), F.col(f"__{a}1")))
+    names = ["scan", "bead_a", "bead_b", *[c.split()[0] for c in ddl.split(", ")]]
+
+    def one(mine: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(mine) and len(part):
+            at = part[list(AXES)].to_numpy()
+            base = at.min(axis=0)
+            place, shape = tuple((at - base).T), at.max(axis=0) - base + 1
+            there = np.zeros(shape, bool)
+            there[place] = True
+            arrays = {c: np.zeros(shape, part[c].to_numpy().dtype) for c in columns}
+            for c in columns:
+                arrays[c][place] = part[c]
+            for r in mine.itertuples():
+                low = np.maximum([getattr(r, f"{a}0") for a in AXES] - base, 0)
+                box = tuple(slice(i, max(i, getattr(r, f"{a}1") - o + 1)) for i, a, o in zip(low, AXES, base, strict=True))
+                found = np.argwhere(there[box])
+                if not len(found):
+                    continue
+                #: A box ends where its voxels do.
+                first, last = low + found.min(axis=0), low + found.max(axis=0) + 1
+                box = tuple(slice(i, j) for i, j in zip(first, last, strict=True))
+                centres = tuple(np.array([getattr(r, f"{s}{a}") for a in AXES], float) - (base + first) for s in ("ca_", "cb_"))
+                got = measure(*[arrays[c][box] for c in columns], pair=(int(r.bead_a), int(r.bead_b)), radii=(float(r.r_a), float(r.r_b)), centres=centres)
+                if got is not None:
+                    rows.append({"scan": r.scan, "bead_a": r.bead_a, "bead_b": r.bead_b, **got})
+        return pd.DataFrame(rows, columns=names)
 
-def _box(part: pd.DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, np.ndarray], dict]:
-    """Arrays of a pair's box, and its pair, radii and centres in the box."""
-    at = part[list(AXES)].to_numpy()
-    low = at.min(axis=0)
-    place, shape = tuple((at - low).T), at.max(axis=0) - low + 1
-    arrays = {}
-    for c in columns:
-        arrays[c] = np.zeros(shape, part[c].to_numpy().dtype)
-        arrays[c][place] = part[c]
-    one = part.iloc[0]
-    return arrays, {"pair": (int(one.bead_a), int(one.bead_b)), "radii": (float(one.r_a), float(one.r_b)), "centres": tuple(np.array([one[f"{s}{x}"] for x in AXES], float) - low for s in ("ca_", "cb_"))}
+    near = near.select(*[F.col(c).alias(c) for c in (*key, *AXES, *columns)])
+    return placed.groupBy(*key).cogroup(near.groupBy(*key)).applyInPandas(one, "scan int, bead_a long, bead_b long, " + ddl)
 
 
 _THROAT = "gap_vox double, dsum_min double, axis_dip_deg double, lens_vox long, binder_vox long, pore_vox long, crack_vox long, binder_frac double, pore_frac double, crack_frac double, connected boolean, bond_area_vox double, r_bond_vox double, r_bond_over_r double, neck_binder_vox long, neck_crack_vox long, neck_severed double, q_crack double, q_binder double, q_pore double, dq_paired double"
 _FACE = "gap_sub_vox double, cover_a double, crack_at_a double, cover_b double, crack_at_b double"
 
 
-def throats(boxes: DataFrame, least: int = LEAST_LENS) -> DataFrame:
-    """A row of ``throat`` measures per pair. A group is one box.
-
-    ``boxes`` has (scan, bead_a, bead_b, z, y, x, label, phase, crack) and, of each pair, r_a, r_b, ca_z .. cb_x.
-    """
+def throats(vox: DataFrame, pairs: DataFrame, least: int = LEAST_LENS) -> DataFrame:
+    """A row of ``throat`` measures per pair of ``_per_pair``; ``vox`` has (scan, z, y, x, label, phase, crack)."""
+    return _per_pair(vox, pairs, ("label", "phase", "crack"), lambda *v, **of: throat(*v, **of, least=least), _THROAT)
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        v, of = _box(part, ("label", "phase", "crack"))
-        got = throat(v["label"], v["phase"], v["crack"], **of, least=least)
-        return pd.DataFrame([] if got is None else [{"scan": part.scan.iloc[0], "bead_a": of["pair"][0], "bead_b": of["pair"][1], **got}], columns=["scan", "bead_a", "bead_b", *[c.split()[0] for c in _THROAT.split(", ")]])
-
-    return boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, " + _THROAT)
-
-
-def faces(boxes: DataFrame, half: float, least: int = LEAST_FINE, least_shell: int = LEAST_SHELL) -> DataFrame:
-    """A row of ``face_cover`` measures per pair; ``boxes`` as for ``throats``, with grey."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        v, of = _box(part, ("grey", "label", "phase", "crack"))
-        got = face_cover(v["grey"], v["label"], v["phase"], v["crack"], of["pair"], of["radii"], half, least=least, least_shell=least_shell)
-        return pd.DataFrame([] if got is None else [{"scan": part.scan.iloc[0], "bead_a": of["pair"][0], "bead_b": of["pair"][1], **got}], columns=["scan", "bead_a", "bead_b", *[c.split()[0] for c in _FACE.split(", ")]])
 
-    return boxes.groupBy("scan", "bead_a", "bead_b").applyInPandas(one, "scan int, bead_a long, bead_b long, " + _FACE)
+def faces(vox: DataFrame, pairs: DataFrame, half: float, least: int = LEAST_FINE, least_shell: int = LEAST_SHELL) -> DataFrame:
+    """A row of ``face_cover`` measures per pair, as ``throats``; ``vox`` also has grey."""
+    return _per_pair(vox, pairs, ("grey", "label", "phase", "crack"), lambda *v, pair, radii, centres: face_cover(*v, pair, radii, half, least=least, least_shell=least_shell), _FACE)
 
 
 def diffusion_tortuosity(phase: np.ndarray, tol: float = 1e-6, rounds: int = 5000) -> tuple[float, float, float]:
