@@ -224,7 +224,7 @@ def latex_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VOXELS}, m AS (SELECT scan, z, y, x FROM voxels WHERE phase = 3), o(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)), i AS (SELECT a.scan, count(*) AS c FROM m a, o, m b WHERE b.scan = a.scan AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1) SELECT scan, 2 * (6 * n - c) AS triangles FROM (SELECT scan, count(*) AS n FROM m GROUP BY 1) JOIN i USING (scan)")
 def stl_meshes(spark: SparkSession, d: str) -> DataFrame:
-    """Outer faces as binary meshes, a file per scan: a reduced mesh is one task's work."""
+    """Outer faces as binary meshes, a file per scan, written in parts."""
     mesh = sinks.face_triangles(voxels(spark, d)[0].where("phase = 3"))
     return sinks.write_stl(mesh, _folder(spark, "stl")).select("scan", "triangles")
 

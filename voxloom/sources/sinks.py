@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from xml.sax.saxutils import escape
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators.stats import upsert
+from voxloom.scratch import Scratch
 from voxloom.sources.tables import first_existing
 
+#: Bytes of a part that are copied at once.
+COPIED = 1 << 22
+
 
 def write_upsert(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:
     """Replace the rows of ``new``'s keys: only partitions that ``new`` touches are rewritten."""
     if first_existing(spark, [path]):
         touched = new.select(partition).distinct()
         old = spark.read.parquet(path).join(F.broadcast(touched) if touched.limit(1001).count() <= 1000 else touched, partition, "left_semi")
-        from voxloom.scratch import Scratch
-
         new = Scratch(spark, "upsert").put(upsert(old.select(*new.columns), new, keys), "rows")
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
@@ -109,14 +114,23 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
         f.write(out.getvalue())
 
 
-def stl_bytes(triangles: np.ndarray) -> bytes:
-    """Binary STL of (n, 3, 3) triangles with their normals."""
+def stl_body(triangles: np.ndarray) -> bytes:
+    """(n, 3, 3) triangles with their normals as a binary STL has them after its head."""
     t = np.asarray(triangles, "<f4").reshape(-1, 3, 3)
     n = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
     n = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-30)
     body = np.zeros(len(t), np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("a", "<u2")]))
     body["n"], body["v"] = n, t
-    return b"voxloom".ljust(80, b" ") + struct.pack("<I", len(t)) + body.tobytes()
+    return body.tobytes()
+
+
+def stl_head(n: int) -> bytes:
+    return b"voxloom".ljust(80, b" ") + struct.pack("<I", n)
+
+
+def stl_bytes(triangles: np.ndarray) -> bytes:
+    """Binary STL of (n, 3, 3) triangles with their normals."""
+    return stl_head(np.asarray(triangles).reshape(-1, 3, 3).shape[0]) + stl_body(triangles)
 
 
 def face_triangles(vox: DataFrame) -> DataFrame:
@@ -144,15 +158,44 @@ def face_triangles(vox: DataFrame) -> DataFrame:
 
 
 def write_stl(triangles: DataFrame, folder: str) -> DataFrame:
-    """One binary STL per scan: (scan, path, triangles). A group is one reduced mesh."""
-    import pandas as pd
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        store, base = fs.FileSystem.from_uri(folder)
+    """One binary STL per scan: (scan, path, triangles). Every task writes its triangles of a scan as a part, a batch at a time; then a task a scan copies the parts
+    after the head, which says how many there are, by blocks. So no task holds a mesh."""
+    parts = f"{folder}/parts-{uuid.uuid4().hex}"
+    #: Both steps are written: parts are made once, and are gone when the meshes are there.
+    scratch = Scratch(triangles.sparkSession, "stl")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(parts)
         store.create_dir(base, recursive=True)
-        path = f"{base}/scan{int(part.scan.iloc[0]):02d}.stl"
+        name, held, opened = uuid.uuid4().hex, {}, {}
+        try:
+            for batch in batches:
+                scans, tri = batch.column("scan").to_numpy(zero_copy_only=False), batch.column("tri").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
+                for scan in np.unique(scans).tolist():
+                    if scan not in opened:
+                        held[scan], opened[scan] = 0, store.open_output_stream(f"{base}/{scan:02d}-{name}")
+                    own = tri[scans == scan]
+                    opened[scan].write(stl_body(own))
+                    held[scan] += len(own)
+        finally:
+            for out in opened.values():
+                out.close()
+        yield pa.RecordBatch.from_pydict({"scan": pa.array(list(held), pa.int32()), "part": pa.array([f"{base}/{k:02d}-{name}" for k in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+
+    def one(found: pd.DataFrame) -> pd.DataFrame:
+        store, base = fs.FileSystem.from_uri(folder)
+        path = f"{base}/scan{int(found.scan.iloc[0]):02d}.stl"
         with store.open_output_stream(path) as out:
-            out.write(stl_bytes(np.stack(part.tri.to_numpy()).reshape(-1, 3, 3)))
-        return pd.DataFrame([(part.scan.iloc[0], path, len(part))], columns=["scan", "path", "triangles"])
-
-    return triangles.groupBy("scan").applyInPandas(one, "scan int, path string, triangles long")
+            out.write(stl_head(int(found.n.sum())))
+            for name in sorted(found.part):
+                with store.open_input_stream(name) as rows:
+                    while block := rows.read(COPIED):
+                        out.write(block)
+        return pd.DataFrame([(found.scan.iloc[0], path, found.n.sum())], columns=["scan", "path", "triangles"])
+
+    found = scratch.put(triangles.select(F.col("scan").cast("int").alias("scan"), "tri").mapInArrow(part, "scan int, part string, n long"), "parts")
+    out = scratch.put(found.groupBy("scan").applyInPandas(one, "scan int, path string, triangles long"), "meshes")
+    if not found.isEmpty():
+        store, base = fs.FileSystem.from_uri(parts)
+        store.delete_dir(base)
+    return out
