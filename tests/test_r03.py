@@ -6,8 +6,8 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxloom.operators import bricks
-from voxloom.plans import grids
+from voxloom.operators import bricks, dense, graph
+from voxloom.plans import grids, spatial
 from voxloom.sources import sinks
 
 
@@ -50,3 +50,46 @@ def test_stl_is_written_in_parts(spark, tmp_path):
         assert r.triangles == struct.unpack("<I", data[80:84])[0] == len(want) == (len(data) - 84) // 50
         assert {struct.unpack("<9f", data[84 + 50 * k + 12 : 84 + 50 * k + 48]) for k in range(len(want))} == want
     assert sinks.write_stl(rows.where("scan > 5"), f"file://{tmp_path}/none").count() == 0
+
+
+def near_by_hand(places, radius, group):
+    d = places[:, None] - places[None]
+    return (d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2 <= radius * radius) & (group[:, None] == group[None])
+
+
+def test_dense_points_without_their_pairs(monkeypatch):
+    """Components, cores and what is near the others, against all pairs: dense, sparse, on a lattice, in few pairs at once."""
+    for seed in range(24):
+        draw = np.random.default_rng(seed)
+        n, radius, least = int(draw.integers(1, 120)), (0.05, 0.1, 0.25, 0.5, 2.0)[seed % 5], (1, 2, 4, 6)[seed % 4]
+        places = draw.random((n, 3)) if seed % 2 else np.round(draw.random((n, 3)) * 10) / 10
+        group, own = draw.integers(0, 2, n), draw.random(n) < 0.8
+        monkeypatch.setattr(dense, "HELD", 1 << 20 if seed % 3 else 20)
+        near, name = near_by_hand(places, radius, group), np.arange(n)
+        for _ in range(n):
+            name = np.array([name[row].min() for row in near])
+        root = dense.linked(places, radius, group)
+        assert len({*zip(name.tolist(), root.tolist(), strict=True)}) == len({*name.tolist()}) == len({*root.tolist()})
+        many, p, q = dense.sparse(places, own, radius, least, group)
+        assert (many == ((near.sum(axis=1) >= least) | ~own)).all()
+        want = sorted((i, j) for i, j in np.argwhere(near & ~many[:, None]).tolist() if i != j)
+        assert sorted(zip(p.tolist(), q.tolist(), strict=True)) == want
+
+
+def test_points_of_a_crowd_cost_no_pairs(spark):
+    """20,000 points of which each has all others within the radius, 200 million pairs, and some beside them; tiles are crossed, and places may be missing."""
+    draw = np.random.default_rng(5)
+    crowd = [(k, *map(float, p)) for k, p in enumerate(draw.random((20_000, 3)) * 0.5)]
+    chain = [(30_000 + k, 0.0, 3.0, 0.9 * k) for k in range(40)]
+    points = spark.createDataFrame([*crowd, *chain, (40_000, 0.0, 9.0, 0.0), (40_001, None, 0.0, 0.0), (40_002, float("nan"), 0.0, 0.0)], "id long, z double, y double, x double")
+    links = dense.radius_links(points, 1.0)
+    assert links.count() < 200_000
+    sizes = {(r.comp, r["size"]) for r in graph.labelled_components(points, links).collect()}
+    assert sizes == {(0, 20_000), (30_000, 40), (40_000, 1), (40_001, 1), (40_002, 1)}
+    named = graph.dbscan(points, 1.0, 3)
+    assert {tuple(r) for r in named.groupBy("core", "cluster").count().collect()} == {(True, 0, 20_000), (True, 30_001, 38), (False, 30_001, 2), (False, -1, 3)}
+
+
+def test_component_queries_join_no_cells(spark, sf_dir):
+    for query in (spatial.point_components, spatial.density_clusters):
+        assert "__cz" not in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import classify as c
 from voxloom.functions import geometry as g
-from voxloom.operators import field, graph, inference, spatial, stats
+from voxloom.operators import dense, field, graph, inference, spatial, stats
 from voxloom.operators.components import components
 from voxloom.operators.neighbours import knn_join
 from voxloom.plans.objects import _EIG
@@ -221,7 +221,7 @@ def _tree(pairs: str, nodes: str) -> str:
 def point_components(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of the radius graph."""
     own = grains(spark, d)
-    return graph.labelled_components(own, spatial.radius_pairs(own, RADIUS))
+    return graph.labelled_components(own, dense.radius_links(own, RADIUS))
 
 
 @query(f"WITH RECURSIVE {GRAINS}, p AS (SELECT a.id AS a, b.id AS b FROM grains a JOIN grains b ON {_D2} <= 0.06::DOUBLE * 0.06::DOUBLE), core AS (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) >= 4), i AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), {_tree('i', 'core')}, r AS (SELECT p.b AS id, min(comp) AS c FROM p JOIN comp ON comp.id = p.a GROUP BY 1) SELECT grains.id, comp.comp IS NOT NULL AS core, coalesce(comp.comp, r.c, -1) AS cluster FROM grains LEFT JOIN comp ON comp.id = grains.id LEFT JOIN r ON r.id = grains.id")
@@ -291,7 +291,7 @@ def crack_paths(spark: SparkSession, d: str) -> DataFrame:
 def blob_graph(spark: SparkSession, d: str) -> DataFrame:
     """Components of two points or more, and which of their centres lie near one another."""
     own = grains(spark, d)
-    comps = graph.labelled_components(own, spatial.radius_pairs(own, 0.06), 2).where("comp >= 0")
+    comps = graph.labelled_components(own, dense.radius_links(own, 0.06), 2).where("comp >= 0")
     blobs = own.join(comps, "id").groupBy(F.col("comp").alias("id")).agg(*[(F.sum(a) / F.count("*")).alias(a) for a in "zyx"])
     return spatial.radius_pairs(blobs, 0.2).select("a", "b", F.round("d", 5).alias("d"))
 
