@@ -6,7 +6,7 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxloom.operators import bricks, dense, graph
+from voxloom.operators import bricks, dense, graph, stats
 from voxloom.plans import grids, spatial
 from voxloom.sources import sinks
 
@@ -93,3 +93,19 @@ def test_points_of_a_crowd_cost_no_pairs(spark):
 def test_component_queries_join_no_cells(spark, sf_dir):
     for query in (spatial.point_components, spatial.density_clusters):
         assert "__cz" not in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_percentiles_of_few_keys_sort_no_key(spark, monkeypatch):
+    """Brackets of few keys are broadcast, so no task sorts a key's rows; those of many are joined by key, with the same result."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 > 0, F.lit("all")).alias("k"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = stats.exact_summary(rows, {"m": ("v", 0.5)}, ["k"])
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in few.collect()}
+        monkeypatch.setattr(stats, "FEW_KEYS", 1)
+        assert got == {tuple(r) for r in stats.exact_summary(rows, {"m": ("v", 0.5)}, ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    values = {None: sorted(k * 7919 % 1000 for k in range(0, 5000, 10)), "all": sorted(k * 7919 % 1000 for k in range(5000) if k % 10)}
+    assert got == {(k, float(np.percentile(v, 50))) for k, v in values.items()}

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.geometry import eigenvalues3
 from voxloom.operators.series import interpolate, running_total, same_keys
+from voxloom.scratch import Scratch, is_small
+
+#: Keys whose brackets are broadcast.
+FEW_KEYS = 10_000
 
 
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
@@ -259,7 +263,10 @@ def _percentiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], keys: Seq
         return F.when(F.col(f"__n{c}") > 0, F.array(*[mark(k, p) for k, p in enumerate(at)]))
 
     named = [marks(c, at).alias(f"__m{c}") for c, at in enumerate(wanted.values())]
-    bracketed = df.groupBy(*keys).agg(*ends).select(*keys, *named)
+    bracketed = Scratch(df.sparkSession, "percentiles").put(df.groupBy(*keys).agg(*ends).select(*keys, *named), "brackets")
+    #: A join by a few keys would sort a key's rows in one task.
+    if keys and is_small(bracketed, FEW_KEYS):
+        bracketed = F.broadcast(bracketed)
     spread = same_keys(df.select(*keys, *[x.alias(f"__v{c}") for c, x in enumerate(v.values())]), bracketed, keys)
     pair = lambda c: F.transform(F.when(F.col(f"__v{c}").isNotNull(), F.col(f"__m{c}")), lambda m: F.struct(F.lit(c).alias("c"), F.col(f"__v{c}").alias("v"), m.alias("m")))
     every = F.flatten(F.array(*[F.coalesce(pair(c), F.array().cast("array<struct<c: int, v: double, m: struct<p: double, lo: double, hi: double, pos: double>>>")) for c in range(len(v))]))
