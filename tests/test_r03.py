@@ -6,7 +6,7 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxloom.operators import bricks, dense, graph, stats
+from voxloom.operators import bricks, dense, graph, inference, stats
 from voxloom.plans import grids, spatial
 from voxloom.sources import sinks
 
@@ -109,3 +109,15 @@ def test_percentiles_of_few_keys_sort_no_key(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     values = {None: sorted(k * 7919 % 1000 for k in range(0, 5000, 10)), "all": sorted(k * 7919 % 1000 for k in range(5000) if k % 10)}
     assert got == {(k, float(np.percentile(v, 50))) for k, v in values.items()}
+
+
+def test_sweep_looks_at_few_pairs(monkeypatch):
+    """The sweep's draws are told by ``dense``, which looks at a few distances a point, however many neighbours it has."""
+    assert inference.linked is dense.linked and inference.sparse is dense.sparse
+    seen, d2 = [], dense.Cells.d2
+    monkeypatch.setattr(dense.Cells, "d2", lambda self, p, q: seen.append(len(p)) or d2(self, p, q))
+    places = np.random.default_rng(9).normal(0, 0.125, (40_000, 3))
+    for eps in (0.06, 0.2):
+        dense.linked(places, eps)
+        dense.sparse(places, np.ones(len(places), bool), eps, 5)
+    assert sum(seen) < 100 * len(places)

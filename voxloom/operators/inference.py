@@ -1,7 +1,7 @@
 """Resampling tests of clustering: what is observed against draws of as many points, at several neighbourhood sizes.
 
-All draws are clustered at once, at all sizes. Points of a draw go to tiles of space with a rim of the largest size, so pairs of neighbours, which may be many for
-a point, are met inside of a task and never written. A first pass says from which size on a point is a core, a second one which cores are linked from
+All draws are clustered at once, at all sizes. Points of a draw go to tiles of space with a rim of the largest size, in which ``dense`` tells cores and links without
+looking at all pairs of neighbours, which may be many for a point. A first pass says from which size on a point is a core, a second one which cores are linked from
 which size on; of these links a tile gives only those that join something, so they are fewer than its points. Sizes are then gone through in
 order: the clusters of one are the nodes of the next, and only the links that are new there are followed.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import components
+from voxloom.operators.dense import join, linked, sparse, tiled
 from voxloom.operators.spatial import AXES
 from voxloom.operators.stats import plane_fit, resampled
 from voxloom.scratch import Scratch
@@ -23,36 +24,18 @@ from voxloom.scratch import Scratch
 #: Points that make a core, and that make a cluster a feature; draws; neighbourhoods in grain diameters: fixed values.
 MIN_POINTS, MIN_CLUSTER, DRAWS = 5, 6, 400
 SWEEP = (0.6, 0.8, 1.0, 1.25, 1.5, 2.0)
-#: Edge of a tile in largest sizes, draws of a group, distances held at once, and the bits above a point's id in the id of the point in a draw.
-TILE, DRAWS_A_GROUP, HELD, DRAW_BIT = 4, 8, 1 << 22, 1 << 40
+#: Edge of a tile in largest sizes, draws of a group, and the bits above a point's id in the id of the point in a draw.
+TILE, DRAWS_A_GROUP, DRAW_BIT = 4, 8, 1 << 40
 
 
-def _tiled(points: DataFrame, reach: float, one: Callable[[np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
-    """``one`` over the draws of each tile: its points (draw, id, z, y, x, ...), of one draw at a time, with those of a rim of ``reach``. A group is some draws of one tile."""
-    spread, inside = points.withColumn("block", F.floor(F.col("draw") / DRAWS_A_GROUP)), F.lit(True)
-    for a in AXES:
-        tile = lambda shift, a=a: F.floor((F.col(a) + shift) / (TILE * reach))
-        spread = spread.withColumn(f"t{a}", F.explode(F.sequence(tile(-reach), tile(reach))))
-        inside = inside & (F.col(f"t{a}") == tile(0.0))
+def _tiled(points: DataFrame, reach: float, one: Callable[[np.ndarray, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
+    """``one`` over the places and rows of each tile: its points (draw, id, z, y, x, own, ...) with those of a rim of ``reach``. A group is some draws of one tile."""
+    spread, tile = tiled(points.withColumn("block", F.floor(F.col("draw") / DRAWS_A_GROUP)), reach, TILE * reach)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = [one(own[list(AXES)].to_numpy(), own.own.to_numpy(bool), own) for _, own in part.groupby("draw", sort=False) if own.own.any()]
-        return pd.concat(found) if found else part.iloc[:0].reindex(columns=[c.split()[0] for c in ddl.split(", ")])
+        return one(part[list(AXES)].to_numpy(float), part)
 
-    return spread.withColumn("own", inside).groupBy("block", *[f"t{a}" for a in AXES]).applyInPandas(run, ddl)
-
-
-def _near(places: np.ndarray, own: np.ndarray, eps: Sequence[float]):
-    """(first, second, level) of the pairs of an own point and another of a tile within the largest size, in blocks; level is the index of the least size."""
-    rows, squares = np.flatnonzero(own), np.array([e * e for e in eps])
-    step = max(1, HELD // max(1, len(places)))
-    for at in range(0, len(rows), step):
-        some = rows[at : at + step]
-        d2 = sum((places[some, i][:, None] - places[None, :, i]) ** 2 for i in range(3))
-        first, second = np.nonzero(d2 <= squares[-1])
-        apart = some[first] != second
-        first, second = first[apart], second[apart]
-        yield some[first], second, np.searchsorted(squares, d2[first, second])
+    return spread.groupBy("block", *tile).applyInPandas(run, ddl)
 
 
 def draw_clusters(scratch: Scratch, points: DataFrame, member: DataFrame, draws: int, eps: Sequence[float], min_points: int = MIN_POINTS, least: int = MIN_CLUSTER) -> DataFrame:
@@ -70,38 +53,34 @@ def draw_clusters(scratch: Scratch, points: DataFrame, member: DataFrame, draws:
     placed = member.where(F.col("draw").between(0, draws - 1)).join(points.select("id", *AXES), "id").dropna(subset=list(AXES))
     placed = scratch.put(placed.select("draw", "id", *AXES), "placed")
 
-    def cores(places: np.ndarray, own: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((len(part), sizes), np.int64)
-        for first, _, level in _near(places, own, eps):
-            np.add.at(counts, (first, level), 1)
-        since = (np.cumsum(counts, axis=1) + 1 < min_points).sum(axis=1)
+    def cores(places: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        own, draw = part.own.to_numpy(bool), part.draw.to_numpy()
+        since = np.where(own, 0, sizes)
+        for k, e in enumerate(eps):
+            waits = np.flatnonzero(own & (since == k))
+            if len(waits):
+                since[waits[~sparse(places, since == k, e, min_points, draw)[0][waits]]] = k + 1
         return part.assign(since=since)[own][["draw", "id", *AXES, "since"]]
 
     known = scratch.put(_tiled(placed, reach, cores, "draw int, id long, z double, y double, x double, since int"), "known")
 
-    def links(places: np.ndarray, own: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
-        since, pid = part.since.to_numpy(), part.draw.to_numpy().astype(np.int64) * DRAW_BIT + part.id.to_numpy()
+    def links(places: np.ndarray, part: pd.DataFrame) -> pd.DataFrame:
+        own, draw, since = part.own.to_numpy(bool), part.draw.to_numpy(), part.since.to_numpy()
+        pid = draw.astype(np.int64) * DRAW_BIT + part.id.to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        top, waiting = np.arange(len(part)), [[] for _ in eps]
-        for first, second, level in _near(places, own, eps):
-            both = np.maximum(level, np.maximum(since[first], since[second]))
-            for k in range(sizes):
-                at = both == k
-                waiting[k].append(np.stack([first[at], second[at]]))
-            #: A point is reached by a core until it is one.
-            start, end = np.maximum(level, since[second]), since[first] - 1
-            at = start <= end
-            out.append((pid[first[at]], pid[second[at]], start[at], end[at]))
-        for k in range(sizes):
-            x, y = np.concatenate([np.zeros((2, 0), np.int64), *waiting[k]], axis=1)
+        top, squares = np.arange(len(part)), np.array([e * e for e in eps])
+        for k, e in enumerate(eps):
+            #: At the last size at which a point isn't a core it has few points in reach, and these hold those of the sizes below.
+            last = own & (since == k + 1)
+            _, p, q = sparse(places, last, e, min_points, draw)
+            d = places[p] - places[q]
+            start = np.maximum(np.searchsorted(squares, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]), since[q])
+            at = start <= k
+            out.append((pid[p[at]], pid[q[at]], start[at], np.full(int(at.sum()), k)))
+            #: A point is reached by a core until it is one; cores are linked with what is new at a size.
+            core = np.flatnonzero(since <= k)
             before = top.copy()
-            while True:
-                last, low = top.copy(), np.minimum(top[x], top[y])
-                np.minimum.at(top, top[x], low)
-                np.minimum.at(top, top[y], low)
-                top = top[top]
-                if (top == last).all():
-                    break
+            join(top, core, core[linked(places[core], e, draw[core])])
             moved = np.flatnonzero((before == np.arange(len(top))) & (top != before))
             out.append((pid[moved], pid[top[moved]], np.full(len(moved), k), np.full(len(moved), -1)))
         a, b, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
