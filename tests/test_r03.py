@@ -121,3 +121,28 @@ def test_sweep_looks_at_few_pairs(monkeypatch):
         dense.linked(places, eps)
         dense.sparse(places, np.ones(len(places), bool), eps, 5)
     assert sum(seen) < 100 * len(places)
+
+
+def test_diffusion_by_blocks_of_slices(monkeypatch):
+    """The same flow whatever the blocks; a block's slices are all that a round holds beside its four fields."""
+    phase = np.random.default_rng(6).random((13, 9, 8)) < 0.75
+    monkeypatch.setattr(bricks, "IN_CACHE", 1)
+    one = bricks.diffusion_tortuosity(phase)
+    for cells in (150, 1 << 20):
+        monkeypatch.setattr(bricks, "IN_CACHE", cells)
+        assert np.allclose(bricks.diffusion_tortuosity(phase), one, rtol=1e-6)
+    at = np.flatnonzero(phase)
+    number = {k: i for i, k in enumerate(at.tolist())}
+    a, b = np.zeros((len(at), len(at))), np.zeros(len(at))
+    for k, i in number.items():
+        z, y, x = np.unravel_index(k, phase.shape)
+        for dz, dy, dx in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)):
+            if z + dz in (-1, 13):
+                a[i, i] += 2
+                b[i] += 2.0 * (z + dz < 0)
+            elif 0 <= y + dy < 9 and 0 <= x + dx < 8 and (j := number.get(int(np.ravel_multi_index((z + dz, y + dy, x + dx), phase.shape)))) is not None:
+                a[i, i] += 1
+                a[i, j] -= 1
+    u = np.linalg.lstsq(a, b, rcond=None)[0]
+    first = [i for k, i in number.items() if k < 72]
+    assert np.isclose(one[0], (2 * (1 - u[first])).sum() / 72 * 13, rtol=1e-5)
