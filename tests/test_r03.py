@@ -4,9 +4,11 @@ import os
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import bricks, dense, graph, inference, stats
+from tests.test_settle import voxels
+from voxloom.operators import bricks, dense, graph, inference, mesh, stats
 from voxloom.plans import grids, spatial
 from voxloom.sources import sinks
 
@@ -163,3 +165,35 @@ def test_axes_that_differ_in_their_last_digits(spark, monkeypatch):
     for got in (graph.spine(points, axes.drop("n"), 8), graph.crack_paths(points)):
         bins = got.select("bin").distinct().toPandas()["bin"]
         assert bins.min() == 0 and bins.max() < 8
+
+
+@pytest.mark.parametrize("edge", [1, 3, 4, 64])
+def test_meshes_are_counted_by_bricks(spark, edge):
+    """What a mesh comes to is the same without the mesh as a table, for every cut into bricks; also of fields whose places aren't midpoints, and of meshes with a border."""
+    draw = np.random.default_rng(6)
+    solid, field = (draw.random((9, 8, 10)) < 0.6).astype(float), draw.normal(size=(9, 8, 10))
+    for v, level, outside in ((solid, 0.5, 0.0), (field, 0.1, -9.0), (np.abs(field), 0.3, -9.0)):
+        on = voxels(spark, v).where("z < 8 or x < 6").withColumn("scan", F.col("x").cast("int") % 2 + 3) if outside else voxels(spark, v).where("v0 > 0")
+        whole = mesh.surface_mesh(on, "v0", level, v.shape, 64, outside).cache()
+        want = mesh.mesh_area(whole).join(mesh.mesh_vertices(whole).groupBy("scan").agg(F.count("*").alias("vertices")), "scan")
+        want = want.join(mesh.mesh_edges(whole).groupBy("scan").agg(F.count("*").alias("edges"), F.count_if(F.expr("there = 1 and back = 1")).alias("closed")), "scan")
+        got = mesh.mesh_summary(on, "v0", level, v.shape, edge, outside)
+        assert got.columns == want.columns
+        rows = [sorted(tuple(round(x, 6) for x in r) for r in df.collect()) for df in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) == (2 if outside else 1)
+        whole.unpersist()
+    assert mesh.mesh_summary(on.limit(0), "v0", 0.5, v.shape, edge).count() == 0
+
+
+def test_only_faces_of_bricks_are_shuffled():
+    """Of a solid's mesh, a brick hands on what lies in its faces: every triangle was a row, and each of its corners and sides another."""
+    solid = np.random.default_rng(8).random((25, 25, 25)) < 0.8
+    low, direction, at = mesh._cut(np.pad(solid, ((0, 8),) * 3).astype(float), 0.5)
+    total, points, sides = mesh._counted(low, direction, at, 32)
+    assert total[0] == len(low) > 50_000 and len(points) + len(sides) < total[0] / 15
+    assert total[3] + len(sides) == len(np.unique(np.sort(mesh_sides(low, direction), axis=1), axis=0))
+
+
+def mesh_sides(low, direction):
+    name = ((low[..., 0] * 99 + low[..., 1]) * 99 + low[..., 2]) * 8 + direction
+    return np.concatenate([name[:, [0, 1]], name[:, [1, 2]], name[:, [2, 0]]])

@@ -10,6 +10,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,10 @@ def _cut(values: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray, np.n
     lower, direction, place = [np.zeros((0, 3, 3), int)], [np.zeros((0, 3), int)], [np.zeros((0, 3, 3))]
     for tet in TETRAHEDRA:
         v = cells[list(tet)]
-        above = v >= 0
+        above = sum((v[k] >= 0).astype(np.int8) << k for k in range(4))
         for size in (1, 2, 3):
             for inside in itertools.combinations(range(4), size):
-                hit = np.flatnonzero((above.sum(axis=0) == size) & above[list(inside)].all(axis=0))
+                hit = np.flatnonzero(above == sum(1 << k for k in inside))
                 if not len(hit):
                     continue
                 rest = [k for k in range(4) if k not in inside]
@@ -85,6 +86,74 @@ def surface_mesh(vox: DataFrame, value: str, level: float, shape: tuple[int, int
     return spread.groupBy("scan", *[f"b{a}" for a in AXES]).applyInPandas(one, _MESH)
 
 
+def _counted(low: np.ndarray, direction: np.ndarray, at: np.ndarray, edge: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """What a brick's triangles of ``_cut`` come to: [triangles, area, vertices, edges, edges that are closed], of vertices and edges those alone that no
+    other brick can have; the others' vertices (n, 4) as lower corner and direction, and edges (m, 10) as two such and how often they are gone along either way."""
+    n = edge + 1
+    name = (((low[..., 0] * n + low[..., 1]) * n + low[..., 2]) * 8 + direction).astype(np.int64)
+    #: Of each face of the brick whether a vertex lies in it: its lattice edge does.
+    flat = [(direction & bit) == 0 for bit in (4, 2, 1)]
+    faces = sum(((flat[k] & (low[..., k] == end)).astype(np.int64) << (2 * k + i)) for k in range(3) for i, end in enumerate((0, edge)))
+    place = lambda v: np.stack([*np.unravel_index(v >> 3, (n,) * 3), v & 7], axis=1)
+    seen = np.zeros(8 * n**3, np.int8)
+    seen[name.ravel()] = np.where(faces.ravel() > 0, 2, 1)
+    #: The names of an edge's ends and its direction as one number, so that equal ones are together when in order.
+    p, q = name, np.roll(name, -1, axis=1)
+    both = faces & np.roll(faces, -1, axis=1)
+    wide = 8 * n**3
+    key = ((np.minimum(p, q) * wide + np.maximum(p, q)) * 2 + (both == 0)) * 2 + (p < q)
+    key = np.sort(key.ravel())
+    first = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+    ups = np.add.reduceat(key & 1, first) if len(first) else np.zeros(0, np.int64)
+    many, kind = np.diff(first, append=len(key)), key[first] >> 1
+    inner = kind & 1 == 1
+    area = np.linalg.norm(np.cross(at[:, 1] - at[:, 0], at[:, 2] - at[:, 0]), axis=1).sum() / 2
+    total = [len(low), float(area), int((seen == 1).sum()), int(inner.sum()), int((inner & (ups == 1) & (many == 2)).sum())]
+    a, b = np.divmod(kind[~inner] >> 1, wide)
+    there = ups[~inner]
+    return total, place(np.flatnonzero(seen == 2)), np.concatenate([place(a), place(b), there[:, None], (many[~inner] - there)[:, None]], axis=1)
+
+
+def mesh_summary(vox: DataFrame, value: str, level: float, shape: tuple[int, int, int], edge: int = 32, outside: float = 0.0) -> DataFrame:
+    """(scan, triangles, area, vertices, edges, closed) of ``surface_mesh``: closed are the edges that are gone along once in each direction.
+
+    A brick counts its own triangles, and the vertices and edges that no other brick can have. Only those in its faces are put together
+    with the neighbours', so what is shuffled after the cut is a few hundredths of the mesh.
+    """
+    spread = vox.select("scan", *AXES, F.col(value).cast("double").alias("v"))
+    for a in AXES:
+        spread = spread.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(F.floor((F.col(a) - 1) / edge), F.floor(F.col(a) / edge)))))
+    wide = [n + 2 for n in shape]
+    ddl = "scan int, a long, b long, there long, back long, triangles long, area double, vertices long, edges long, closed long"
+
+    def one(rows: pa.Table) -> pa.Table:
+        base = np.array([rows[f"b{a}"][0].as_py() * edge for a in AXES])
+        scan, v = rows["scan"][0].as_py(), np.full((edge + 1,) * 3, float(outside))
+        v[tuple(rows[a].to_numpy() - k for a, k in zip(AXES, base, strict=True))] = rows["v"].to_numpy()
+        total, points, sides = _counted(*_cut(v, level), edge)
+
+        def number(p: np.ndarray) -> np.ndarray:
+            z, y, x = (p[:, :3] + base + 1).T
+            return (((scan * wide[0] + z) * wide[1] + y) * wide[2] + x) * 8 + p[:, 3]
+
+        k, m = len(points), len(sides)
+        none, zero = [None], np.zeros(k + m, np.int64)
+        own = lambda first, rest, kind: pa.concat_arrays([pa.array([first], kind), pa.array(rest, kind)])
+        a = np.concatenate([number(points), number(sides[:, :4])])
+        b = pa.concat_arrays([pa.nulls(1 + k, pa.int64()), pa.array(number(sides[:, 4:8]), pa.int64())])
+        ways = [own(0, np.concatenate([np.zeros(k, np.int64), sides[:, c]]), pa.int64()) for c in (8, 9)]
+        sums = [own(t, zero.astype(float) if isinstance(t, float) else zero, pa.float64() if isinstance(t, float) else pa.int64()) for t in total]
+        columns = [pa.array(np.full(1 + k + m, scan, np.int32)), own(*none, a, pa.int64()), b, *ways, *sums]
+        return pa.table(dict(zip(("scan", "a", "b", "there", "back", "triangles", "area", "vertices", "edges", "closed"), columns, strict=True)))
+
+    parts = spread.groupBy("scan", *[f"b{a}" for a in AXES]).applyInArrow(one, ddl)
+    counts = ("triangles", "area", "vertices", "edges", "closed")
+    each = parts.groupBy("scan", "a", "b").agg(*[F.sum(c).alias(c) for c in ("there", "back", *counts)])
+    point, side = F.col("a").isNotNull() & F.col("b").isNull(), F.col("b").isNotNull()
+    more = {"vertices": point, "edges": side, "closed": side & (F.col("there") == 1) & (F.col("back") == 1)}
+    return each.groupBy("scan").agg(*[(F.sum(c) + F.count_if(more[c]) if c in more else F.sum(c)).alias(c) for c in counts]).where("triangles > 0")
+
+
 def mesh_vertices(mesh: DataFrame) -> DataFrame:
     """(scan, v, z, y, x): each vertex once."""
     corner = lambda k, n: F.struct(F.col(n).alias("v"), *[F.col(f"{a}{k}").alias(a) for a in AXES])
