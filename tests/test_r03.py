@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_settle import voxels
-from voxloom.operators import bricks, dense, graph, inference, mesh, stats
+from voxloom.operators import bricks, dense, graph, grid, inference, mesh, settle, stats, watershed
 from voxloom.plans import grids, spatial
+from voxloom.scratch import Scratch
 from voxloom.sources import sinks
 
 
@@ -167,7 +168,7 @@ def test_axes_that_differ_in_their_last_digits(spark, monkeypatch):
         assert bins.min() == 0 and bins.max() < 8
 
 
-@pytest.mark.parametrize("edge", [1, 3, 4, 64])
+@pytest.mark.parametrize("edge", [3, 64])
 def test_meshes_are_counted_by_bricks(spark, edge):
     """What a mesh comes to is the same without the mesh as a table, for every cut into bricks; also of fields whose places aren't midpoints, and of meshes with a border."""
     draw = np.random.default_rng(6)
@@ -197,3 +198,59 @@ def test_only_faces_of_bricks_are_shuffled():
 def mesh_sides(low, direction):
     name = ((low[..., 0] * 99 + low[..., 1]) * 99 + low[..., 2]) * 8 + direction
     return np.concatenate([name[:, [0, 1]], name[:, [1, 2]], name[:, [2, 0]]])
+
+
+def test_many_simple_points_at_once():
+    """Against the test of one voxel, also where few or nearly all neighbours are there."""
+    draw = np.random.default_rng(5)
+    bits = np.concatenate([(draw.random((700, 26)) < share).astype(int) @ (1 << np.arange(26)) for share in (0.05, 0.15, 0.4, 0.7, 0.95)] + [np.array([0, (1 << 26) - 1])])
+    want = [bricks.simple_point(b) for b in bits.tolist()]
+    assert bricks.simple_points(bits).tolist() == want and 100 < sum(want) < len(want) - 100
+    assert bricks.simple_points(bits[:0]).tolist() == []
+
+
+def test_thinning_asks_for_no_single_voxel(spark, monkeypatch):
+    """A skeleton's voxels were tested one by one in Python, and six rounds more were made to see that nothing changes."""
+    monkeypatch.setattr(bricks, "simple_point", None)
+    put, rounds = Scratch.put, []
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: rounds.append(name) or put(self, df, name))
+    mask = np.random.default_rng(3).random((12, 9, 10)) < 0.5
+    got = {(r["z"], r["y"], r["x"]) for r in settle.skeleton(voxels(spark, mask).where("v0"), 8, 8).collect()}
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(settle.thinned(mask))), strict=True))
+    m, k, last = np.pad(mask, 2), 0, 0
+    while k < last + settle.SUB_STEPS:
+        new, k = settle.thinning_step(m, k % settle.SUB_STEPS, (-2, -2, -2)), k + 1
+        m, last = new, k if (new != m).any() else last
+    assert len(rounds) == -(-last // 8) + 1
+
+
+@pytest.mark.parametrize("rim", [2, 8])
+def test_thickness_of_skeletons(spark, rim):
+    """Distances from a brick and its rim, and of the whole mask where a body is thicker than a rim."""
+    mask = np.random.default_rng(4).random((22, 14, 13)) < 0.5
+    mask[2:13, 1:12, 1:12] = True
+    on = voxels(spark, mask).where("v0").select("scan", "z", "y", "x")
+    got = {(r["z"], r["y"], r["x"]): r["d"] for r in watershed.thick_skeleton(on, 8, rim).collect()}
+    d = bricks.edt(np.pad(mask, 1))[1:-1, 1:-1, 1:-1]
+    want = {tuple(map(int, at)): d[tuple(at)] for at in np.argwhere(settle.thinned(mask))}
+    assert got == want and max(want.values()) > 3
+
+
+@pytest.mark.parametrize("edge", [3, 64])
+@pytest.mark.parametrize("share", [0.08, 0.3])
+def test_segments_by_bricks(spark, edge, share):
+    """Runs, loops and links between nodes as the graph of all voxels gives them, for every cut into bricks; ids of two scans differ."""
+    draw = np.random.default_rng(12)
+    skel = draw.random((11, 10, 12)) < share
+    skel[5, 2, 1:11] = skel[5, 7, 1:11] = skel[5, 3:7, 0] = skel[5, 3:7, 11] = True
+    vox = voxels(spark, skel, draw.random(skel.shape)).where("v0").withColumn("scan", F.explode(F.array(F.lit(1), F.lit(2)))).select("scan", "z", "y", "x", grid.voxel_id(skel.shape).alias("id"), F.col("v1").alias("d"))
+    vox = vox.where("scan = 1 or x <> 6").cache()
+    links = grid.adjacent(vox, 26, ["id"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    n = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    want = graph.segments(vox.join(n, "id", "left").select("id", (F.coalesce("n", F.lit(0)) != 2).alias("is_node"), "d"), links)
+    got = graph.brick_segments(vox, edge)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    rows = [sorted((tuple(r) for r in df.collect()), key=str) for df in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 20
+    assert graph.brick_segments(vox.limit(0), edge).count() == 0
+    vox.unpersist()

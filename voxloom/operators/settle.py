@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.bricks import simple_point
+from voxloom.operators.bricks import edt, simple_points
 from voxloom.operators.spatial import AXES
 from voxloom.scratch import Scratch
 
@@ -42,8 +42,8 @@ def _rim(move: Sequence[int], edge: int, rim: int) -> tuple[slice, ...]:
     return tuple(slice(rim, edge + rim) if not m else slice(edge + rim, edge + 2 * rim) if m > 0 else slice(0, rim) for m in move)
 
 
-def laid_out(vox: DataFrame, fixed: str, value: str, outside: tuple[float, float], edge: int, rim: int) -> DataFrame:
-    """Bricks of the voxels (scan, z, y, x, fixed, value), rims included; cells without a voxel hold ``outside``. Bricks without voxels of
+def laid_out(vox: DataFrame, fixed: str, value: str, outside: tuple[float, float], edge: int, rim: int, kind: type = np.float64) -> DataFrame:
+    """Bricks of the voxels (scan, z, y, x, fixed, value), rims included, as arrays of a ``kind``; cells without a voxel hold ``outside``. Bricks without voxels of
     their own are left out."""
     spread = vox.select("scan", *AXES, F.col(fixed).cast("double").alias("f"), F.col(value).cast("double").alias("v"))
     for a in AXES:
@@ -57,17 +57,17 @@ def laid_out(vox: DataFrame, fixed: str, value: str, outside: tuple[float, float
             return pd.DataFrame([], columns=_ROWS.names)
         arrays = []
         for name, other in zip(("f", "v"), outside, strict=True):
-            arrays.append(np.full((n, n, n), other))
+            arrays.append(np.full((n, n, n), other, kind))
             arrays[-1][at] = part[name]
         return pd.DataFrame([(*[int(first[c]) for c in _BRICK], -1, *[a.tobytes() for a in arrays], 1)], columns=_ROWS.names)
 
     return spread.groupBy(*_BRICK).applyInPandas(pack, _DDL)
 
 
-def settled(scratch: Scratch, bricks: DataFrame, solve: Solver, edge: int, rim: int, quiet: int = 1, max_rounds: int = 10_000) -> DataFrame:
-    """``bricks`` of ``laid_out`` after as many rounds as it takes until ``quiet`` rounds in a row change nothing. With ``quiet`` above 1 every brick is solved
-    in every round, else only those that were sent something. Each round is a table, so its bricks are read, not computed, by the next; the one
-    before is deleted. More than ``max_rounds`` is an error."""
+def settled(scratch: Scratch, bricks: DataFrame, solve: Solver, edge: int, rim: int, open_: Callable[[np.ndarray], int] | None = None, max_rounds: int = 10_000, kind: type = np.float64) -> DataFrame:
+    """``bricks`` of ``laid_out`` after as many rounds as it takes until one changes nothing. Bricks that were sent something are solved; where rounds differ, ``open_``
+    says of a brick how many of its cells any round could change as it is, and those with some are solved, until none has any. Each round is a table, so its
+    bricks are read, not computed, by the next; the one before is deleted. More than ``max_rounds`` is an error."""
     n = edge + 2 * rim
 
     def round_of(k: int):
@@ -78,18 +78,19 @@ def settled(scratch: Scratch, bricks: DataFrame, solve: Solver, edge: int, rim:
                 return table.slice(0, 0)
             (own,) = own
             sent = [r for r in rows if r["move"] >= 0]
-            fixed, value = (np.frombuffer(own[c], np.float64).reshape(n, n, n) for c in ("fixed", "value"))
-            if k and not sent and quiet == 1:
+            fixed, value = (np.frombuffer(own[c], kind).reshape(n, n, n) for c in ("fixed", "value"))
+            if k and not sent and not (open_ and own["changed"]):
                 return pa.Table.from_pylist([own | {"changed": 0}], _ROWS)
             value = value.copy()
             for r in sent:
                 place = _rim(MOVES[r["move"]], edge, rim)
-                value[place] = np.frombuffer(r["value"], np.float64).reshape(value[place].shape)
+                value[place] = np.frombuffer(r["value"], kind).reshape(value[place].shape)
             core = (slice(rim, edge + rim),) * 3
-            new = solve(fixed, value, k)
+            left = open_(value) if open_ else 0
+            new = solve(fixed, value, k) if left or not open_ else value.copy()
             changed = new[core] != value[core]
             value[core] = new[core]
-            out = [own | {"value": value.tobytes(), "changed": int(changed.sum())}]
+            out = [own | {"value": value.tobytes(), "changed": int(changed.sum()) + left}]
             differs = np.zeros((n, n, n), bool)
             differs[core] = changed
             for m, move in enumerate(MOVES):
@@ -101,31 +102,31 @@ def settled(scratch: Scratch, bricks: DataFrame, solve: Solver, edge: int, rim:
 
         return one
 
-    state, still = bricks, 0
+    state = bricks
     for k in range(max_rounds + 1):
         state = scratch.put(state.groupBy(*_BRICK).applyInArrow(round_of(k), _DDL), f"round{k}")
         if k:
             scratch.drop(f"round{k - 1}")
-        still = 0 if state.agg(F.sum("changed")).first()[0] else still + 1
-        if still >= quiet:
+        if not state.agg(F.sum("changed")).first()[0]:
             return state.where("move < 0")
         if k == max_rounds:
             break
     raise RuntimeError(f"bricks still change after {max_rounds} rounds")
 
 
-def cells(bricks: DataFrame, value: str, edge: int, rim: int, kept: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(scan, z, y, x, value): the cells of settled bricks where ``kept`` of (fixed, value) holds."""
+def cells(bricks: DataFrame, value: str, edge: int, rim: int, kept: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type = np.float64, measure: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(scan, z, y, x, value): the cells of settled bricks where ``kept`` of (fixed, value) holds, with their values or what ``measure`` makes of the brick's fixed ones."""
     n, schema = edge + 2 * rim, pa.schema([("scan", pa.int32()), *[(a, pa.int32()) for a in AXES], (value, pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = (slice(rim, edge + rim),) * 3
         for batch in batches:
             for r in batch.to_pylist():
-                fixed, v = (np.frombuffer(r[c], np.float64).reshape(n, n, n)[core] for c in ("fixed", "value"))
-                at = np.argwhere(kept(fixed, v))
+                fixed, v = (np.frombuffer(r[c], kind).reshape(n, n, n) for c in ("fixed", "value"))
+                at = np.argwhere(kept(fixed[core], v[core]))
+                v = (measure(fixed) if measure else v)[core]
                 place = [(at[:, i] + r[f"b{a}"] * edge).astype(np.int32) for i, a in enumerate(AXES)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["scan"], np.int32)), *map(pa.array, place), pa.array(v[tuple(at.T)])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["scan"], np.int32)), *map(pa.array, place), pa.array(v[tuple(at.T)].astype(np.float64))], schema=schema)
 
     return bricks.mapInArrow(run, f"scan int, z int, y int, x int, {value} double")
 
@@ -194,37 +195,41 @@ def thinning_step(mask: np.ndarray, step: int, origin: Sequence[int]) -> np.ndar
     first = [f if f else 2 for f in first]
     inner = tuple(slice(f, n - 1, 2) for f, n in zip(first, mask.shape, strict=True))
     beside = lambda m: mask[tuple(slice(s.start + d, s.stop + d, 2) for s, d in zip(inner, m, strict=True))]
-    at = np.argwhere(mask[inner] & ~beside(face))
-    if not len(at):
+    at = np.nonzero(mask[inner] & ~beside(face))
+    if not len(at[0]):
         return mask
-    bits = np.zeros(len(at), np.int64)
-    for i, m in enumerate(MOVES):
-        bits |= beside(m)[tuple(at.T)].astype(np.int64) << i
-    kinds, of = np.unique(bits, return_inverse=True)
-    goes = np.array([b & (b - 1) != 0 and _simple(b) for b in kinds.tolist()], bool)[of]
     out = mask.copy()
-    out[inner][tuple(at[goes].T)] = False
+    place = np.ravel_multi_index([s.start + 2 * i for s, i in zip(inner, at, strict=True)], mask.shape)
+    out.ravel()[place[_goes(mask, place)]] = False
     return out
 
 
-_known: dict[int, bool] = {}
+def _goes(mask: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the cells at these flat places, none of them at the array's border, are simple and no ends."""
+    flat, wide = np.ascontiguousarray(mask).ravel(), (mask.shape[1] * mask.shape[2], mask.shape[2], 1)
+    bits = np.zeros(len(place), np.int32)
+    for i, m in enumerate(MOVES):
+        bits |= flat[place + sum(d * w for d, w in zip(m, wide, strict=True))].astype(np.int32) << i
+    goes = bits & (bits - 1) != 0
+    goes[goes] = simple_points(bits[goes])
+    return goes
 
 
-def _simple(bits: int) -> bool:
-    if bits not in _known:
-        if len(_known) > 1 << 20:
-            _known.clear()
-        _known[bits] = simple_point(bits)
-    return _known[bits]
+def _removable(mask: np.ndarray) -> int:
+    """How many cells some sub-step would take from the mask as it is; those at the array's border aren't looked at."""
+    inner = (slice(1, -1),) * 3
+    hidden = np.logical_and.reduce([mask[tuple(slice(1 + d, n - 1 + d) for d, n in zip(m, mask.shape, strict=True))] for m in _FACES])
+    at = np.nonzero(mask[inner] & ~hidden)
+    return int(_goes(mask, np.ravel_multi_index([i + 1 for i in at], mask.shape)).sum())
 
 
 def skeleton(mask: DataFrame, edge: int = EDGE, rim: int = 8) -> DataFrame:
-    """(scan, z, y, x): the voxels that are left when simple ones are taken from all sides in turn: the topology and the ends of thin parts stay.
+    """(scan, z, y, x, d): the voxels that are left when simple ones are taken from all sides in turn: the topology and the ends of thin parts stay. d is the distance to
+    the nearest place outside of the mask, infinite where the brick and its rim don't tell.
 
-    A round does ``rim`` sub-steps: what happens outside of the rim can't reach the brick in so many. It ends when all sub-steps, one after the
-    other, take nothing.
+    A round does ``rim`` sub-steps: what happens outside of the rim can't reach the brick in so many. It ends when no sub-step would take anything.
     """
-    own = mask.select("scan", *AXES, F.lit(0.0).alias("f"), F.lit(1.0).alias("v"))
+    own = mask.select("scan", *AXES, F.lit(1.0).alias("f"), F.lit(1.0).alias("v"))
     #: Each brick knows its place by the cells' coordinates, which only matter modulo 2.
     if edge % 2 or SUB_STEPS % rim:
         raise ValueError("bricks have an even edge, and rims divide the number of sub-steps")
@@ -233,11 +238,16 @@ def skeleton(mask: DataFrame, edge: int = EDGE, rim: int = 8) -> DataFrame:
         m = np.pad(value > 0, 1)
         for step in range(k * rim, (k + 1) * rim):
             m = thinning_step(m, step % SUB_STEPS, (-rim - 1,) * 3)
-        return m[1:-1, 1:-1, 1:-1].astype(float)
+        return m[1:-1, 1:-1, 1:-1].astype(np.uint8)
+
+    def thickness(fixed: np.ndarray) -> np.ndarray:
+        #: What isn't in the array is more than a rim away.
+        d = edt(fixed > 0)
+        return np.where(d <= rim + 1, d, np.inf)
 
     scratch = Scratch(mask.sparkSession, "skeleton")
-    done = settled(scratch, laid_out(own, "f", "v", (0.0, 0.0), edge, rim), solve, edge, rim, SUB_STEPS // rim)
-    return cells(done, "kept", edge, rim, lambda f, v: v > 0).select("scan", *AXES)
+    done = settled(scratch, laid_out(own, "f", "v", (0, 0), edge, rim, np.uint8), solve, edge, rim, lambda v: _removable(v > 0), kind=np.uint8)
+    return cells(done, "d", edge, rim, lambda f, v: v > 0, np.uint8, thickness)
 
 
 def thinned(mask: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxloom.operators.bricks import distance_transform
 from voxloom.operators.forest import ONE_TASK, least_links, rooted_forest
 from voxloom.operators.grid import KEY, adjacent, dilated, labelled, voxel_id
-from voxloom.operators.settle import EDGE, reconstructed
+from voxloom.operators.settle import EDGE, reconstructed, skeleton
 from voxloom.operators.spatial import AXES
 from voxloom.scratch import Scratch
 
@@ -28,6 +28,15 @@ def distances(mask: DataFrame) -> DataFrame:
     return distance_transform(own.withColumn("m", F.lit(True)).unionByName(shell.withColumn("m", F.lit(False))), "m")
 
 
+def thick_skeleton(mask: DataFrame, edge: int = EDGE, rim: int = 8) -> DataFrame:
+    """(scan, z, y, x, d): the mask's skeleton with ``distances``. Only where a brick and its rim don't tell them are those of the whole mask made."""
+    scratch = Scratch(mask.sparkSession, "skeleton")
+    own = scratch.put(skeleton(mask, edge, rim), "voxels")
+    if own.where("d = double('inf')").isEmpty():
+        return own
+    return own.drop("d").join(distances(mask), [*KEY])
+
+
 def _trees(part: pd.DataFrame, edge: int) -> pd.DataFrame:
     """Kernel of one brick with a rim of one voxel: each of its voxels with the tree it is in, and whether it lies beside another."""
     base = np.array([int(part[f"b{a}"].iloc[0]) * edge - 1 for a in AXES])
