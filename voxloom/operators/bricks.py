@@ -322,6 +322,55 @@ def _lens(a: np.ndarray, b: np.ndarray, others: np.ndarray, free: np.ndarray, ra
     return {"da": da, "db": db, "total": total, "own": own, "gap": gap, "mean": mean, "lens": lens, "q": np.minimum(da, db) / np.maximum(total, 1e-6)}
 
 
+def _within(mask: np.ndarray, reach: int) -> tuple[slice, ...]:
+    """The cells of the mask's array at most ``reach`` along each axis from the box round the mask."""
+    out = []
+    for axis, n in enumerate(mask.shape):
+        some = np.flatnonzero(mask.any(axis=tuple(k for k in range(mask.ndim) if k != axis)))
+        out.append(slice(max(0, int(some[0]) - reach), min(n, int(some[-1]) + reach + 1)))
+    return tuple(out)
+
+
+def _distances(mask: np.ndarray, box: tuple[slice, ...], reach: int) -> np.ndarray:
+    """``edt(~mask)`` in a box where the nearest cell of the mask is at most ``reach`` away along each axis; infinite elsewhere."""
+    wide = tuple(slice(max(0, s.start - reach), min(n, s.stop + reach)) for s, n in zip(box, mask.shape, strict=True))
+    #: Squares in the narrowest type that holds them and the step beyond.
+    kind, far = (np.uint8, 200) if reach <= 4 else (np.int16, 24_400) if reach <= 90 else (np.float64, np.inf)
+    f = np.where(mask[wide], kind(0), kind(far))
+    for axis, (s, w) in enumerate(zip(box, wide, strict=True)):
+        f = np.moveaxis(f, axis, 0)
+        low, high = s.start - w.start, s.stop - w.start
+        out = f[low:high].copy()
+        for shift in range(1, reach + 1):
+            up, down = f[max(0, low - shift) : max(0, high - shift)], f[low + shift : high + shift]
+            if len(up):
+                np.minimum(out[len(out) - len(up) :], up + kind(shift * shift), out=out[len(out) - len(up) :])
+            if len(down):
+                np.minimum(out[: len(down)], down + kind(shift * shift), out=out[: len(down)])
+        f = np.moveaxis(out, 0, axis)
+    return np.sqrt(np.where(f < far, f, np.inf))
+
+
+def _near_lens(a: np.ndarray, b: np.ndarray, others: np.ndarray, free: np.ndarray, radii: tuple[float, float], scale: float, reach: int = 4) -> tuple[tuple[slice, ...], dict]:
+    """What ``_lens`` tells of the lens and the gap, and the box it lies in: a lens's cells are no further from a body than its greatest sum of distances, so
+    only cells within a reach of both bodies are looked at, and the reach is doubled until it holds that sum. The values are those of ``_lens``."""
+    mean = 0.5 * (radii[0] + radii[1])
+    while True:
+        at_a, at_b = _within(a, reach), _within(b, reach)
+        box = tuple(slice(max(p.start, q.start), min(p.stop, q.stop)) for p, q in zip(at_a, at_b, strict=True))
+        whole = reach >= max(a.shape)
+        if whole or all(s.start < s.stop for s in box):
+            #: The nearest cell of a body may lie outside of the box, within the reach.
+            da, db = _distances(a, box, reach) / scale, _distances(b, box, reach) / scale
+            total = da + db
+            gap = float(total[free[box]].min(initial=np.inf))
+            top = gap + (FOOT * mean) ** 2 / (mean + 0.5 * gap)
+            if whole or top * scale <= reach:
+                own = np.minimum(da, db) <= _distances(others, box, reach) / scale
+                return box, {"da": da, "db": db, "gap": gap, "lens": free[box] & own & (total <= top)}
+        reach *= 2
+
+
 def _median(values: np.ndarray) -> float:
     return float(np.median(values)) if len(values) else float("nan")
 
@@ -374,9 +423,13 @@ def finer(v: np.ndarray, times: int, nearest: bool = False) -> np.ndarray:
         if nearest:
             v = v.take(np.rint(at).astype(int), axis)
             continue
-        i = np.minimum(at.astype(int), max(0, n - 2))
-        t = (at - i).reshape([-1 if k == axis else 1 for k in range(v.ndim)])
-        v = v.take(i, axis) * (1 - t) + v.take(np.minimum(i + 1, n - 1), axis) * t
+        v = np.moveaxis(v, axis, 0)
+        out = np.empty((len(at), *v.shape[1:]), np.result_type(v, float))
+        out[::times] = v
+        for k in range(1, times if n > 1 else 1):
+            t = (at[k::times] - np.arange(n - 1)).reshape(-1, *[1] * (v.ndim - 1))
+            out[k::times] = v[:-1] * (1 - t) + v[1:] * t
+        v = np.moveaxis(out, 0, axis)
     return v
 
 
@@ -386,20 +439,23 @@ def face_cover(grey: np.ndarray, labels: np.ndarray, phase: np.ndarray, crack: n
     Bodies are where the interpolated grey is above half and the nearest label is theirs; a face is the lens's shell within
     ``SHELL`` voxels of a body. None without both bodies or with a lens that is too small; NaN for faces that are.
     """
-    lab, ph, broken = finer(labels, fine, True), finer(phase, fine, True), finer(crack, fine, True)
-    solid = finer(grey.astype(float), fine) >= half
-    a, b, beads = solid & (lab == pair[0]), solid & (lab == pair[1]), solid & (lab > 0)
-    free = (ph > 0) & ~beads
+    #: A byte a cell tells whether it is a bead's, a's, b's, free, binder and crack.
+    told = np.zeros(labels.shape, np.uint8)
+    for bit, which in enumerate((labels > 0, labels == pair[0], labels == pair[1], phase > 0, phase == 2, crack)):
+        told |= which.astype(np.uint8) << bit
+    told, solid = finer(told, fine, True), finer(grey.astype(float), fine) >= half
+    beads, a, b = (solid & (told & (1 << bit) > 0) for bit in range(3))
+    free = (told & 8 > 0) & ~beads
     if not a.any() or not b.any() or not free.any():
         return None
-    m = _lens(a, b, beads & ~a & ~b, free, radii, fine)
+    box, m = _near_lens(a, b, beads & ~a & ~b, free, radii, fine)
     if m["lens"].sum() < least:
         return None
-    out = {"gap_sub_vox": m["gap"]}
+    out, told = {"gap_sub_vox": m["gap"]}, told[box]
     for name, d in (("a", m["da"]), ("b", m["db"])):
         shell = m["lens"] & (d >= SHELL[0]) & (d <= SHELL[1])
         enough = shell.sum() >= least_shell
-        out |= {f"cover_{name}": float((ph[shell] == 2).mean()) if enough else float("nan"), f"crack_at_{name}": float(broken[shell].mean()) if enough else float("nan")}
+        out |= {f"cover_{name}": float((told[shell] & 16 > 0).mean()) if enough else float("nan"), f"crack_at_{name}": float((told[shell] & 32 > 0).mean()) if enough else float("nan")}
     return out
 
 
