@@ -9,7 +9,7 @@ crosses, not its steps.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,20 @@ _BRICK = ["scan", "bz", "by", "bx"]
 _ROWS = pa.schema([("scan", pa.int32()), ("bz", pa.int32()), ("by", pa.int32()), ("bx", pa.int32()), ("move", pa.int32()), ("fixed", pa.binary()), ("value", pa.binary()), ("changed", pa.int64())])
 _DDL = "scan int, bz int, by int, bx int, move int, fixed binary, value binary, changed long"
 
+#: Bricks are held compressed, so that what Spark takes a partition for is what its tasks hold.
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """The array's bytes, compressed, behind their number."""
+    raw = np.ascontiguousarray(v).tobytes()
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type, shape: tuple[int, ...]) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind).reshape(shape)
+
+
 #: (fixed, value, round) -> value: arrays of edge + 2 rim cells along each axis; what it says of the rim is passed over.
 Solver = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -59,7 +73,7 @@ def laid_out(vox: DataFrame, fixed: str, value: str, outside: tuple[float, float
         for name, other in zip(("f", "v"), outside, strict=True):
             arrays.append(np.full((n, n, n), other, kind))
             arrays[-1][at] = part[name]
-        return pd.DataFrame([(*[int(first[c]) for c in _BRICK], -1, *[a.tobytes() for a in arrays], 1)], columns=_ROWS.names)
+        return pd.DataFrame([(*[int(first[c]) for c in _BRICK], -1, *[_packed(a) for a in arrays], 1)], columns=_ROWS.names)
 
     return spread.groupBy(*_BRICK).applyInPandas(pack, _DDL)
 
@@ -78,26 +92,26 @@ def settled(scratch: Scratch, bricks: DataFrame, solve: Solver, edge: int, rim:
                 return table.slice(0, 0)
             (own,) = own
             sent = [r for r in rows if r["move"] >= 0]
-            fixed, value = (np.frombuffer(own[c], kind).reshape(n, n, n) for c in ("fixed", "value"))
             if k and not sent and not (open_ and own["changed"]):
                 return pa.Table.from_pylist([own | {"changed": 0}], _ROWS)
+            fixed, value = (_unpacked(own[c], kind, (n, n, n)) for c in ("fixed", "value"))
             value = value.copy()
             for r in sent:
                 place = _rim(MOVES[r["move"]], edge, rim)
-                value[place] = np.frombuffer(r["value"], kind).reshape(value[place].shape)
+                value[place] = _unpacked(r["value"], kind, value[place].shape)
             core = (slice(rim, edge + rim),) * 3
             left = open_(value) if open_ else 0
             new = solve(fixed, value, k) if left or not open_ else value.copy()
             changed = new[core] != value[core]
             value[core] = new[core]
-            out = [own | {"value": value.tobytes(), "changed": int(changed.sum()) + left}]
+            out = [own | {"value": _packed(value), "changed": int(changed.sum()) + left}]
             differs = np.zeros((n, n, n), bool)
             differs[core] = changed
             for m, move in enumerate(MOVES):
                 place = _inside(move, edge, rim)
                 if differs[place].any():
                     to = {f"b{a}": own[f"b{a}"] + d for a, d in zip(AXES, move, strict=True)}
-                    out.append({"scan": own["scan"], **to, "move": MOVES.index(tuple(-d for d in move)), "value": value[place].tobytes(), "changed": 0})
+                    out.append({"scan": own["scan"], **to, "move": MOVES.index(tuple(-d for d in move)), "value": _packed(value[place]), "changed": 0})
             return pa.Table.from_pylist(out, _ROWS)
 
         return one
@@ -118,17 +132,16 @@ def cells(bricks: DataFrame, value: str, edge: int, rim: int, kept: Callable[[np
     """(scan, z, y, x, value): the cells of settled bricks where ``kept`` of (fixed, value) holds, with their values or what ``measure`` makes of the brick's fixed ones."""
     n, schema = edge + 2 * rim, pa.schema([("scan", pa.int32()), *[(a, pa.int32()) for a in AXES], (value, pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core = (slice(rim, edge + rim),) * 3
-        for batch in batches:
-            for r in batch.to_pylist():
-                fixed, v = (np.frombuffer(r[c], kind).reshape(n, n, n) for c in ("fixed", "value"))
-                at = np.argwhere(kept(fixed[core], v[core]))
-                v = (measure(fixed) if measure else v)[core]
-                place = [(at[:, i] + r[f"b{a}"] * edge).astype(np.int32) for i, a in enumerate(AXES)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["scan"], np.int32)), *map(pa.array, place), pa.array(v[tuple(at.T)].astype(np.float64))], schema=schema)
-
-    return bricks.mapInArrow(run, f"scan int, z int, y int, x int, {value} double")
+    def run(table: pa.Table) -> pa.Table:
+        core, (r,) = (slice(rim, edge + rim),) * 3, table.to_pylist()
+        fixed, v = (_unpacked(r[c], kind, (n, n, n)) for c in ("fixed", "value"))
+        at = np.argwhere(kept(fixed[core], v[core]))
+        v = (measure(fixed) if measure else v)[core]
+        place = [(at[:, i] + r[f"b{a}"] * edge).astype(np.int32) for i, a in enumerate(AXES)]
+        return pa.Table.from_arrays([pa.array(np.full(len(at), r["scan"], np.int32)), *map(pa.array, place), pa.array(v[tuple(at.T)].astype(np.float64))], schema=schema)
+
+    #: By brick: a batch of a partition would hold many.
+    return bricks.groupBy(*_BRICK).applyInArrow(run, f"scan int, z int, y int, x int, {value} double")
 
 
 def _moved(v: np.ndarray, move: Sequence[int], fill: float) -> np.ndarray:
