@@ -55,3 +55,33 @@ def test_bricks_are_held_compressed(spark):
     assert (back[1, 1:-1, 1:-1] == 0).all() and np.isinf(back[2:]).all() and np.isinf(back[0]).all()
     got = settle.cells(made, "d", 64, 1, lambda f, v: np.isfinite(v))
     assert got.count() == 4096 and "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moduli_keep_fields_in_files(monkeypatch):
+    """Fields in files, a slice or a row of columns at a time: what one transform over whole arrays in memory gives, for odd and even edges."""
+    lame = {1: (0.1, 0.1), 2: (1.0, 0.7), 3: (2.0, 1.5)}
+    for shape in ((5, 7, 3), (6, 4, 5)):
+        cell = np.random.default_rng(3).integers(1, 4, shape)
+        want = bricks.homogenised_column(cell, lame, 1, 1e-6)[0]
+        with monkeypatch.context() as m:
+            m.setattr(bricks, "IN_MEMORY", 0)
+            m.setattr(bricks, "IN_CACHE", 1)
+            kinds, field = [], bricks._field
+            m.setattr(bricks, "_field", lambda *of, **more: kinds.append(type(made := field(*of, **more))) or made)
+            got = bricks.homogenised_column(cell, lame, 1, 1e-6)[0]
+        assert kinds == [np.memmap] * 12 and np.allclose(got, want, atol=1e-9)
+
+
+def test_scans_are_sent_by_slices(spark):
+    """A scan's array with gaps, in its own type or in bytes where they hold it, from a row a slice."""
+    rows = [(s, z, y, x, 7 * z + y - x + 300 * s) for s in (0, 1) for z in (2, 4) for y in range(3, 6) for x in range(-1, 3) if (y + x) % 3]
+    vox = spark.createDataFrame(rows, "scan int, z int, y int, x int, v int")
+    kernel = lambda v, case: {"total": int(v.sum()), "n": v.size, "wide": v.itemsize, "off": int((v == -9).sum()), "k": case}
+    got = bricks.per_scan(vox, kernel, "v", {"total": "long", "n": "long", "wide": "long", "off": "long", "k": "long"}, outside=-9, cases=2)
+    want = set()
+    for s in (0, 1):
+        own = [r for r in rows if r[0] == s]
+        n = 3 * 3 * (max(r[3] for r in own) - min(r[3] for r in own) + 1)
+        want |= {(s, k, sum(r[4] for r in own) - 9 * (n - len(own)), n, 4 if s else 1, n - len(own), k) for k in (0, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "held#" in got._jdf.queryExecution().optimizedPlan().toString()
