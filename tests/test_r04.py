@@ -85,3 +85,15 @@ def test_scans_are_sent_by_slices(spark):
         want |= {(s, k, sum(r[4] for r in own) - 9 * (n - len(own)), n, 4 if s else 1, n - len(own), k) for k in (0, 1)}
     assert {tuple(r) for r in got.collect()} == want
     assert "held#" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_diffusion_keeps_fields_in_files(monkeypatch):
+    """The same flow with its fields in files, whose pages are let go on the way."""
+    phase = np.random.default_rng(7).random((11, 9, 8)) < 0.8
+    want = bricks.diffusion_tortuosity(phase)
+    monkeypatch.setattr(bricks, "FLOW_IN_MEMORY", 0)
+    monkeypatch.setattr(bricks, "IN_CACHE", 150)
+    monkeypatch.setattr(bricks, "LET_GO", 2)
+    gone, let_go = [], bricks._let_go
+    monkeypatch.setattr(bricks, "_let_go", lambda *fields: gone.extend(map(type, fields)) or let_go(*fields))
+    assert np.allclose(bricks.diffusion_tortuosity(phase), want, rtol=1e-6) and set(gone) == {np.memmap}
